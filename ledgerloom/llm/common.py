@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TEXT_BATCH_ROWS = 256
@@ -53,16 +53,9 @@ def number_rows(df: DataFrame, order: list[str], group: str | None = None, name:
     placed = placed.withColumn("_part", F.shiftright("_at", 33))
     by = ["_part"] + ([group] if group else [])
     ends = placed.groupBy(*by).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    a, b = ends.alias("a"), ends.alias("b")
-    same = F.col("b._part") < F.col("a._part")
-    if group:
-        same = same & (F.col("a." + group) == F.col("b." + group))
     # one row per (partition, group): bounded by partitions times groups, whatever the number of rows
-    offsets = (
-        a.join(F.broadcast(b), same, "left")
-        .groupBy(*[F.col("a." + c).alias(c) for c in by])
-        .agg((F.coalesce(F.sum("b._rows"), F.lit(0)) - F.first("a._first")).alias("_shift"))
-    )
+    before = (Window.partitionBy(group) if group else Window).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ends.select(*by, (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
     return placed.join(F.broadcast(offsets), by).withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
 
 
