@@ -59,6 +59,13 @@ def number_rows(df: DataFrame, order: list[str], group: str | None = None, name:
     return placed.join(F.broadcast(offsets), by).withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
 
 
+def without(docs: DataFrame, rejected: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """docs less the rows whose id and text hash are in `rejected` (doc_id, text_hash). Broadcast only if those are counted and few; else texts and ids meet in a shuffle."""
+    keys = rejected.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    keys = F.broadcast(keys) if keys.count() <= broadcast_rows else keys
+    return docs.join(keys, docs[doc_id].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_hash")), "left_anti")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import licences, urls
 from ledgerloom.llm.bpe import encode_decode
 from ledgerloom.llm.common import table
+from ledgerloom.llm.langid import identify_languages
 from ledgerloom.llm.packing import pack_documents
+from ledgerloom.llm.quality import classify_quality
+from ledgerloom.llm.search import exact_top_k, nearest_by_codes
 from ledgerloom.llm.sharding import shard_by_bytes
 from ledgerloom.llm.simhash import simhash_near_duplicates
 
@@ -19,10 +22,23 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_duplicates(table(spark, sf_dir, "documents"), words=3, budget=3)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "lang", "n_grams", "perplexity", "threshold", "keep")
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
@@ -45,16 +61,35 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_by_codes(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_quality": op2_quality,
+    "op3_topk": op3_topk,
     "op4_sharding": op4_sharding,
+    "op5_language": op5_language,
     "op6_licences": op6_licences,
     "op7_urls": op7_urls,
     "op8_bpe": op8_bpe,
     "op9_packing": op9_packing,
+    "op10_neighbours": op10_neighbours,
 }
 
+#: Every query's 20 highest integer products, compared with all vectors.
+OP3_ORACLE = """
+    WITH usable AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+                    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    usual AS (SELECT len(v) AS d FROM usable GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+    kept AS (SELECT * FROM usable WHERE len(v) = (SELECT d FROM usual)),
+    scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM kept q JOIN kept c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20"""
+
 ORACLES: dict[str, str] = {
+    "op3_topk": OP3_ORACLE,
     "op6_licences": licences.oracle(),
     "op7_urls": urls.oracle(),
 }

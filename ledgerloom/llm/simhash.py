@@ -65,16 +65,16 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """doc_id, fp (long). Null and empty texts have fingerprint 0; every row has its own output row."""
+    """doc_id, text_hash, fp (long). Null and empty texts have fingerprint 0; every row has its own output row."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint(t.as_py(), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=["doc_id", "fp"])
+            made = [fingerprint(t.as_py(), words) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _labels(n: int, x: np.ndarray, y: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -248,7 +248,7 @@ def fingerprint_links(distinct: DataFrame, budget: int) -> DataFrame:
 
 
 def near_duplicate_groups(marked: DataFrame, budget: int = 3) -> DataFrame:
-    """marked (doc_id, fp) -> doc_id, fp, component_id: the smallest doc_id that links of at most `budget` bits reach.
+    """marked (doc_id, fp, ...) with component_id: the smallest doc_id that links of at most `budget` bits reach.
 
     A row with a null doc_id keeps its row and takes its fingerprint's component, but links of fingerprints that only
     such rows hold don't count. Repeated rows each keep a row. An empty table gives an empty result.
@@ -259,7 +259,7 @@ def near_duplicate_groups(marked: DataFrame, budget: int = 3) -> DataFrame:
     first = materialise(first, "simhash-roots")
     least = first.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = first.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(named, "fp")
 
 
 def simhash_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, budget: int = 3) -> DataFrame:
