@@ -41,8 +41,17 @@ def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it and wherever the optimizer moves it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def phrase_count(words: Column, phrase: list[str]) -> Column:
     """How often the words stand one after another (FTS-2)."""
+    return let(words, lambda w: _phrase_count(w, phrase))
+
+
+def _phrase_count(words: Column, phrase: list[str]) -> Column:
     last = F.size(words) - len(phrase)
     here = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
@@ -90,6 +99,11 @@ def bm25(docs: DataFrame, doc_id: str, text: str, terms: list[str]) -> DataFrame
 
 
 def boolean(words: Column, query: tuple) -> Column:
+    """`query` (see _boolean) over an array of tokens, which is worked out once."""
+    return let(words, lambda w: _boolean(w, query))
+
+
+def _boolean(words: Column, query: tuple) -> Column:
     """('term', w) | ('prefix', w) | ('phrase', text) | ('near', a, b, distance) | ('and' | 'or', q, q, ...) | ('not', q, without) over an array of tokens (FTS-3)."""
     kind, *args = query
     if kind == "term":
@@ -97,16 +111,16 @@ def boolean(words: Column, query: tuple) -> Column:
     if kind == "prefix":
         return F.exists(words, lambda w: w.startswith(fold_text(args[0])[0]))
     if kind == "phrase":
-        return phrase_count(words, fold_text(args[0])) > 0
+        return _phrase_count(words, fold_text(args[0])) > 0
     if kind == "near":
         a, b, distance = fold_text(args[0])[0], fold_text(args[1])[0], args[2]
         at = lambda w: F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: F.coalesce(F.get(words, i) == w, F.lit(False)))
         return F.exists(at(a), lambda i: F.exists(at(b), lambda j: F.abs(i - j) - 1 <= distance))
     if kind == "not":
-        return boolean(words, args[0]) & ~boolean(words, args[1])
-    out = boolean(words, args[0])
+        return _boolean(words, args[0]) & ~_boolean(words, args[1])
+    out = _boolean(words, args[0])
     for q in args[1:]:
-        out = (out & boolean(words, q)) if kind == "and" else (out | boolean(words, q))
+        out = (out & _boolean(words, q)) if kind == "and" else (out | _boolean(words, q))
     return out
 
 
@@ -174,6 +188,10 @@ def parse(query: str) -> tuple:
 
 def snippet(words: Column, phrase: list[str], size: int = SNIPPET_TOKENS) -> Column:
     """At most `size` tokens around the first match, which stands in brackets (FTS-5)."""
+    return let(words, lambda w: _snippet(w, phrase, size))
+
+
+def _snippet(words: Column, phrase: list[str], size: int) -> Column:
     first = F.array_position(words, phrase[0])  # 1-based place of the first word; 0 if absent
     start = F.greatest(F.lit(1).cast("long"), first - size // 2).cast("int")
     window = F.slice(words, start, size)

@@ -342,21 +342,21 @@ def _snippets(spark, d):
 # --- samples
 
 _SEED = "a fixed seed"
-_KEYED = f"u AS (SELECT prompt_id, session_id, role, substr(sha256(CAST(prompt_id AS VARCHAR)), 1, 16) AS sample_key, substr(sha256('{_SEED}'), 1, 16) AS pivot FROM prompts)"
+_KEYED = f"u AS (SELECT prompt_id, session_id, role, substr(sha256(CAST(prompt_id AS VARCHAR)), 1, 16) AS sample_key, substr(sha256('{_SEED}'), 1, 16) AS start_key FROM prompts)"
 
 
-@query("random_sample", f"WITH {Q}, {_KEYED} SELECT prompt_id, sample_key FROM u ORDER BY sample_key < pivot, sample_key, prompt_id LIMIT 25")
+@query("random_sample", f"WITH {Q}, {_KEYED} SELECT prompt_id, sample_key FROM u ORDER BY sample_key < start_key, sample_key, prompt_id LIMIT 25")
 def _random(spark, d):
     return M.random_sample(B.prompts(spark, d).select("prompt_id"), "prompt_id", 25, _SEED)
 
 
-@query("stratified_sample", f"""WITH {Q}, {_KEYED}, k AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY sample_key < pivot, sample_key, prompt_id) AS turn, substr(sha256(role), 1, 16) AS gk FROM u)
-    SELECT prompt_id, role, sample_key FROM k ORDER BY turn, gk < pivot, gk, role LIMIT 25""")
+@query("stratified_sample", f"""WITH {Q}, {_KEYED}, k AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY sample_key < start_key, sample_key, prompt_id) AS turn, substr(sha256(role), 1, 16) AS gk FROM u)
+    SELECT prompt_id, role, sample_key FROM k ORDER BY turn, gk < start_key, gk, role LIMIT 25""")
 def _stratified(spark, d):
     return M.stratified_sample(B.prompts(spark, d).select("prompt_id", "role"), "prompt_id", "role", 25, _SEED).select("prompt_id", "role", "sample_key")
 
 
-@query("one_per_session", f"WITH {Q}, {_KEYED}, k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sample_key < pivot, sample_key, prompt_id) AS n FROM u) SELECT session_id, prompt_id FROM k WHERE n = 1")
+@query("one_per_session", f"WITH {Q}, {_KEYED}, k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sample_key < start_key, sample_key, prompt_id) AS n FROM u) SELECT session_id, prompt_id FROM k WHERE n = 1")
 def _one_per_session(spark, d):
     return M.one_per_session(B.prompts(spark, d).select("prompt_id", "session_id"), "prompt_id", "session_id", _SEED).select("session_id", "prompt_id")
 
@@ -367,7 +367,7 @@ def _strata(spark, d):
     return M.group_sizes(M.fold_small(docs, "stratum", 8), ["stratum"])
 
 
-@query("session_representatives", f"WITH {Q}, {_KEYED} SELECT u.session_id, arg_min(text, (sample_key < pivot, sample_key, u.prompt_id)) AS text FROM u JOIN prompts p USING (prompt_id) GROUP BY u.session_id")
+@query("session_representatives", f"WITH {Q}, {_KEYED} SELECT u.session_id, arg_min(text, (sample_key < start_key, sample_key, u.prompt_id)) AS text FROM u JOIN prompts p USING (prompt_id) GROUP BY u.session_id")
 def _representatives(spark, d):
     return M.representative(B.prompts(spark, d).select("prompt_id", "session_id", "text"), "session_id", "prompt_id", "text", _SEED)
 
