@@ -112,7 +112,9 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int =
     rows = rows.withColumn("block", F.floor(F.col("place") / block).cast("int"))
     picked = materialise(rows.filter(is_query).dropDuplicates(["vec_id"]).select("vec_id", "v", "shorter"), "queries")
     queries, chunks = _chunks(picked, picked.count())
-    rotation = np.linalg.svd(_sample(rows, n), full_matrices=True)[2].T
+    some = _sample(rows, n)
+    # the right singular vectors, from the d x d matrix of products; the left ones would have a row and column for each vector
+    rotation = np.linalg.eigh(some.T @ some)[1][:, ::-1]
     d = len(rotation)
     steps = sorted({max(1, d // 4), max(1, d // 2), max(1, 3 * d // 4)})
 
