@@ -17,9 +17,9 @@ from ledgerloom.llm.simhash import fingerprints, near_duplicate_groups
 
 #: A document stays if its language is known at least so well.
 LEAST_LANGUAGE_SCORE = 0.5
-#: Differing bits of fingerprints of three-word shingles up to which documents are copies: about what documents that
-#: share 0.8 or more of their five-word shingles differ by.
-NEAR_BITS = 7
+#: Documents are copies if fingerprints of their three-word shingles differ in at most so many bits in one of so many
+#: independent tables: about what documents that share 0.8 or more of their five-word shingles differ by.
+NEAR_BITS, TABLES = 7, 2
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +36,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id (then text hash); of repeated rows, one."""
-    marked = materialise(fingerprints(docs, words=3), "pipeline-simhash")
+    marked = materialise(fingerprints(docs, words=3, tables=TABLES), "pipeline-simhash")
     groups = materialise(near_duplicate_groups(marked, NEAR_BITS).withColumn("place", F.coalesce("component_id", "fp")), "pipeline-groups")
-    first = groups.groupBy("place").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = materialise(groups.join(first, "place"), "pipeline-copies")
-    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    # sums and minima of plain numbers, kept as a table, so that a large group is gathered within tasks and its join can be split
+    first = materialise(groups.groupBy("place").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "pipeline-places")
+    met = materialise(groups.join(first, "place").withColumn("least", F.col("doc_id").eqNullSafe(F.col("first_id"))), "pipeline-copies")
+    hashes = met.filter("least").groupBy("place").agg(F.min("text_hash").alias("first_hash"))  # one row a group
+    met = met.join(materialise(hashes, "pipeline-firsts"), "place")
+    kept = F.col("least") & (F.col("text_hash") == F.col("first_hash"))
     out = without(docs, met.filter(~kept).select("doc_id", "text_hash"))
     repeated = met.filter(kept).groupBy("place").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out

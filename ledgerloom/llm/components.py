@@ -14,7 +14,7 @@ def _star(directed: DataFrame, candidates: DataFrame) -> DataFrame:
     return directed.join(least, "u")
 
 
-def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """links (u, v): node -> root, the smallest node reachable. Nodes without a link are absent; self links are ignored.
 
     Nulls and repeated links are dropped. An empty table gives an empty result.

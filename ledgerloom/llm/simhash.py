@@ -40,12 +40,26 @@ def _word_blocks(raw: bytes, size: int = 1 << 22) -> Iterator[list[bytes]]:
         start = end
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """SimHash of the text's word shingles as a signed 64-bit integer; null or without words: 0. Long texts go in blocks."""
+def _remixed(hashes: np.ndarray, table: int) -> np.ndarray:
+    """Independent hashes for a further table of fingerprints, from the first table's."""
+    z = hashes + np.uint64(0x9E3779B97F4A7C15 * table & (2**64 - 1))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprint_tables(text: str | None, words: int = 3, tables: int = 1) -> list[int]:
+    """SimHashes of the text's word shingles as signed 64-bit integers, one a table; null or without words: 0. Long texts go in blocks."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    ones, total, carry = np.zeros(64, np.int64), 0, []
+    ones, total, carry = np.zeros((tables, 64), np.int64), 0, []
+
+    def count(hashes: np.ndarray) -> None:
+        for table in range(tables):
+            mixed = _remixed(hashes, table) if table else hashes
+            ones[table] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
     for block in _word_blocks((text or "").encode("utf-8", "surrogatepass").lower()):
         run = carry + block
         if len(run) >= words:
@@ -53,28 +67,34 @@ def fingerprint(text: str | None, words: int = 3) -> int:
             ends = list(accumulate(len(w) + 1 for w in run))
             starts = [0, *ends]
             hashes = np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[words - 1 :])], dtype="<u8")
-            ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            count(hashes)
             total += len(hashes)
             run = run[len(run) - words + 1 :] if words > 1 else []
         carry = run
     if not total:
         if not carry:
-            return 0
-        return int(np.uint64(digest(b" ".join(carry), SEED)).astype(np.int64))
-    return int(np.packbits(ones * 2 > total, bitorder="little").view("<i8")[0])
+            return [0] * tables
+        count(np.array([digest(b" ".join(carry), SEED)], dtype="<u8"))
+        total = 1
+    return np.packbits(ones * 2 > total, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    return fingerprint_tables(text, words)[0]
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """doc_id, text_hash, fp (long). Null and empty texts have fingerprint 0; every row has its own output row."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, tables: int = 1) -> DataFrame:
+    """doc_id, text_hash, fp (long), and fp1, fp2, ... for further tables. Null and empty texts have fingerprint 0; every row has its own output row."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
+    names = ["fp", *[f"fp{k}" for k in range(1, tables)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint(t.as_py(), words) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.int64())], names=["doc_id", "text_hash", "fp"])
+            made = np.array([fingerprint_tables(t.as_py(), words, tables) for t in batch.column(2)], dtype=np.int64).reshape(-1, tables)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(made[:, k]) for k in range(tables)]], names=["doc_id", "text_hash", *names])
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _labels(n: int, x: np.ndarray, y: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -250,11 +270,23 @@ def fingerprint_links(distinct: DataFrame, budget: int) -> DataFrame:
 def near_duplicate_groups(marked: DataFrame, budget: int = 3) -> DataFrame:
     """marked (doc_id, fp, ...) with component_id: the smallest doc_id that links of at most `budget` bits reach.
 
-    A row with a null doc_id keeps its row and takes its fingerprint's component, but links of fingerprints that only
-    such rows hold don't count. Repeated rows each keep a row. An empty table gives an empty result.
+    Where marked has further tables of fingerprints (fp1, ...), a link in any table counts. A row with a null doc_id
+    keeps its row and takes its fingerprint's component, but links of fingerprints that only such rows hold don't
+    count. Repeated rows each keep a row. An empty table gives an empty result.
     """
-    first = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "simhash-distinct")
-    root = connected_components(fingerprint_links(first.filter("doc_id is not null"), budget))
+    further = [c for c in marked.columns if re.fullmatch(r"fp[0-9]+", c)]
+    whole = materialise(marked.groupBy("fp", *further).agg(F.min("doc_id").alias("doc_id")), "simhash-distinct")
+    first = materialise(whole.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "simhash-first") if further else whole
+    links = fingerprint_links(first.filter("doc_id is not null"), budget)
+    for column in further:
+        known = whole.filter("doc_id is not null").select("fp", F.col(column).alias("own"))
+        # each fingerprint of this table stands for the smallest of the first table that it comes with
+        stands = materialise(known.groupBy("own").agg(F.min("fp").alias("rep")), "simhash-stands")
+        found = materialise(fingerprint_links(stands.select(F.col("own").alias("fp")), budget), "simhash-links")
+        left, right = stands.toDF("u", "rep_u"), stands.toDF("v", "rep_v")
+        links = links.union(found.join(left, "u").join(right, "v").select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v")))
+        links = links.union(known.join(stands, "own").filter("fp <> rep").select(F.col("fp").alias("u"), F.col("rep").alias("v")))
+    root = connected_components(links)
     first = first.join(root, first.fp == root.node, "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     first = materialise(first, "simhash-roots")
     least = first.groupBy("root").agg(F.min("doc_id").alias("component_id"))
