@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
 from ledgerloom.functions import times
+from ledgerloom.operators import attribution as A
 from ledgerloom.operators import corpus as R
 from ledgerloom.operators import extraction as X
 from ledgerloom.operators import graph as G
@@ -463,3 +464,78 @@ def _search_page(spark, d):
 @query("newest_kept", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC OFFSET 100")
 def _offset(spark, d):
     return B.table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).offset(100).select("event_id")
+
+
+# --- costs of sessions and comparisons
+
+
+def _session_events(spark, d) -> DataFrame:
+    """A line item is an event of the session of its order's customer."""
+
+    li = B.table(spark, d, "lineitem").join(B.table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).join(B.table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    zero = F.lit(0).cast("long")
+    return li.select(
+        F.col("o_custkey").alias("session_id"), F.when(F.col("l_linenumber") != 7, F.col("l_shipdate")).alias("ts"), F.lit("codex").alias("provider"), F.col("p_brand").alias("model"),
+        F.floor("l_extendedprice").alias("input"), zero.alias("cache_read"), zero.alias("cache_write_5m"), zero.alias("cache_write_1h"), zero.alias("cache_write_unclassified"), F.floor("l_quantity").alias("output"), zero.alias("reasoning"),
+    )
+
+
+_SESSION_USAGE = """li AS (SELECT o_custkey AS session_id, CASE WHEN l_linenumber <> 7 THEN l_shipdate END AS ts, p_brand AS model, CAST(floor(l_extendedprice) AS BIGINT) AS input, CAST(floor(l_quantity) AS BIGINT) AS output
+    FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
+    su AS (SELECT session_id, coalesce(strftime(ts, '%Y-%m-%d'), 'unknown') AS date, model, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output FROM li GROUP BY ALL)"""
+_SESSION_PRICED = f"""{_SESSION_USAGE}, {B.RATES_SQL}, sp AS (SELECT su.*, coalesce(input * base_input, 0) + coalesce(output * r_output, 0) AS cost, CASE WHEN base_input IS NULL THEN input + output ELSE 0 END AS unpriced
+    FROM su LEFT JOIN rates r ON su.model = r.model AND (effective_from IS NULL OR date >= effective_from) AND (effective_until IS NULL OR date <= effective_until))"""
+
+
+@query("session_usage", f"WITH {_SESSION_USAGE} SELECT session_id, date, model, input, output FROM su")
+def _session_usage(spark, d):
+    return A.session_usage(_session_events(spark, d)).select("session_id", "date", "model", "input", "output")
+
+
+@query("session_costs", f"""WITH {_SESSION_PRICED}, s AS (SELECT session_id, CAST(sum(cost) AS BIGINT) AS cost, CAST(sum(unpriced) AS BIGINT) AS unpriced_tokens, CAST(sum(input + output) AS BIGINT) AS tokens FROM sp GROUP BY session_id)
+    SELECT c_custkey AS session_id, coalesce(cost, 0) AS cost, coalesce(unpriced_tokens, 0) AS unpriced_tokens, coalesce(tokens, 0) AS tokens, CASE WHEN tokens IS NULL THEN 'no_usage_events' WHEN unpriced_tokens <> 0 THEN 'incomplete' ELSE 'complete' END AS attribution_status FROM customer LEFT JOIN s ON c_custkey = session_id""")
+def _session_costs(spark, d):
+    sessions = B.table(spark, d, "customer").select(F.col("c_custkey").alias("session_id"))
+    return A.session_costs(_session_events(spark, d), B.rates(spark), sessions).drop("priced_tokens")
+
+
+@query("preferred_locations", f"""WITH {Q}, k AS (SELECT prompt_id, location_id, row_number() OVER (PARTITION BY prompt_id ORDER BY list_position(['provider_live', 'provider_archive', 'vault'], kind), location_id DESC) AS choice FROM occurrences WHERE available) SELECT prompt_id, location_id, choice FROM k WHERE choice <= 2""")
+def _preferred(spark, d):
+    o = B.occurrences(spark, d).withColumn("recency", F.col("location_id"))
+    return A.preferred_locations(o, "prompt_id", 2).select("prompt_id", "location_id", F.col("choice").cast("long").alias("choice"))
+
+
+@query("provider_mix", f"WITH {B.PRICED_SQL} SELECT provider, CAST(sum(cost) AS BIGINT) AS cost, round(sum(cost) / sum(sum(cost)) OVER () * 100, 6) AS share FROM priced GROUP BY provider")
+def _mix(spark, d):
+    return A.provider_mix(B.priced(spark, d))
+
+
+@query("average_and_peak", f"WITH {B.PRICED_SQL}, days AS (SELECT date, CAST(sum(cost) AS BIGINT) AS cost FROM priced GROUP BY date) SELECT CAST(sum(cost) // count(*) AS BIGINT) AS average, arg_min(date, (-cost, date)) AS peak_day FROM days WHERE cost > 0")
+def _average(spark, d):
+    return A.averages(B.priced(spark, d).groupBy("date").agg(F.sum("cost").alias("cost")))
+
+
+@query("parity_of_stores", """WITH a AS (SELECT c_custkey AS k, count(*) AS want FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 5 <> 0 GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) FILTER (WHERE o_orderstatus <> 'P') AS got FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1)
+    SELECT coalesce(a.k, b.k) AS k, want, got, CASE WHEN got IS NULL THEN 'missing' WHEN want IS NULL THEN 'extra' WHEN want = got THEN 'equal' ELSE 'different' END AS state FROM a FULL JOIN b ON a.k = b.k""")
+def _parity(spark, d):
+    o = B.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderstatus")
+    want = o.filter("k % 5 <> 0").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = o.filter("k % 3 <> 0").groupBy("k").agg(F.count_if(F.col("o_orderstatus") != "P").alias("n"))
+    return A.differences(want, got, ["k"], "n")
+
+
+@query("project_statistics", f"WITH {Q} SELECT project, count(*) AS sessions FROM sessions WHERE coalesce(project, '') <> '' GROUP BY project ORDER BY sessions DESC, lower(project), project LIMIT 20")
+def _project_statistics(spark, d):
+    return A.project_statistics(B.sessions(spark, d))
+
+
+@query("units_of_both_kinds", f"WITH {Q} SELECT 'session' AS unit, session_id AS id, provider FROM sessions UNION ALL SELECT 'prompt', prompt_id, provider FROM prompts")
+def _units(spark, d):
+    s = B.sessions(spark, d).select(F.lit("session").alias("unit"), F.col("session_id").alias("id"), "provider")
+    return s.unionByName(B.prompts(spark, d).select(F.lit("prompt").alias("unit"), F.col("prompt_id").alias("id"), "provider"))
+
+
+@query("run_counters", """WITH c AS (SELECT c_custkey AS k, CAST(floor(c_acctbal) AS BIGINT) AS size FROM customer WHERE c_custkey % 7 <> 0), o AS (SELECT o_custkey AS k, CAST(floor(max(o_totalprice)) AS BIGINT) AS size FROM orders GROUP BY 1)
+    SELECT count(*) AS scanned, count(*) FILTER (WHERE c.k IS NULL) AS new, count(*) FILTER (WHERE o.size = c.size) AS unchanged, CAST(0 AS BIGINT) AS appended, count(*) FILTER (WHERE o.size <> c.size) AS rewritten, count(*) FILTER (WHERE o.k IS NULL) AS missing FROM o FULL JOIN c ON o.k = c.k""")
+def _run_counters(spark, d):
+    return A.run_counters(_freshness(spark, d))
