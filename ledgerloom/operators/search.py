@@ -78,7 +78,12 @@ def match_phrase(docs: DataFrame, text: str, query: str) -> DataFrame:
     return found.filter("tf > 0")
 
 
-def bm25(docs: DataFrame, doc_id: str, text: str, terms: list[str]) -> DataFrame:
+def bm25_any(docs: DataFrame, doc_id: str, text: str, terms: list[str]) -> DataFrame:
+    """As bm25, for the documents that hold any of the terms."""
+    return bm25(docs, doc_id, text, terms, every=False)
+
+
+def bm25(docs: DataFrame, doc_id: str, text: str, terms: list[str], every: bool = True) -> DataFrame:
     """doc_id, rank (lower is better) of the documents that hold all terms, each a word or a phrase (FTS-4).
 
     One pass counts documents and tokens, one finds the matches; term statistics are as many rows as the query has terms.
@@ -88,8 +93,8 @@ def bm25(docs: DataFrame, doc_id: str, text: str, terms: list[str]) -> DataFrame
     counts = words.select("doc_id", F.size("_words").alias("length"), *[phrase_count(F.col("_words"), fold_text(t)).alias(f"tf{k}") for k, t in enumerate(terms)])
     any_ = counts.filter(" or ".join(f"tf{k} > 0" for k in range(len(terms))))
     df = any_.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
-    every = any_.filter(" and ".join(f"tf{k} > 0" for k in range(len(terms))))
-    rows = every.join(F.broadcast(df)).join(F.broadcast(lengths))  # one row each
+    held = any_.filter(" and ".join(f"tf{k} > 0" for k in range(len(terms)))) if every else any_
+    rows = held.join(F.broadcast(df)).join(F.broadcast(lengths))  # one row each
     total = F.lit(0.0)
     for k in range(len(terms)):
         tf, n = F.col(f"tf{k}"), F.col(f"df{k}")

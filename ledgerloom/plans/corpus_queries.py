@@ -13,11 +13,13 @@ from ledgerloom.operators import attribution as A
 from ledgerloom.operators import corpus as R
 from ledgerloom.operators import extraction as X
 from ledgerloom.operators import graph as G
+from ledgerloom.operators import maintenance as D
 from ledgerloom.operators import pagination as N
 from ledgerloom.operators import sampling as M
 from ledgerloom.operators import search as H
 from ledgerloom.operators import vault as V
 from ledgerloom.plans import bindings as B
+from ledgerloom.plans import history_reports as Z
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -449,7 +451,7 @@ def _prompt_page(spark, d):
     return N.page(B.prompts(spark, d), [("ts", True), ("prompt_id", False)], 50, ["2024-01-20T00:00:00.000000000Z", 10**15]).select("prompt_id", "ts")
 
 
-@query("catalog_page", f"WITH {Q} SELECT session_id, coalesce(last_ts, first_ts) AS at FROM sessions ORDER BY coalesce(last_ts, first_ts) IS NULL, coalesce(last_ts, first_ts) DESC, session_id LIMIT 21")
+@query("catalog_page", f"WITH {Q} SELECT session_id, coalesce(last_ts, first_ts) AS "at" FROM sessions ORDER BY coalesce(last_ts, first_ts) IS NULL, coalesce(last_ts, first_ts) DESC, session_id LIMIT 21")
 def _catalog_page(spark, d):
     s = B.sessions(spark, d).withColumn("at", F.coalesce("last_ts", "first_ts"))
     return N.page(s, [("at", True), ("session_id", False)], 20).select("session_id", "at")
@@ -539,3 +541,70 @@ def _units(spark, d):
     SELECT count(*) AS scanned, count(*) FILTER (WHERE c.k IS NULL) AS new, count(*) FILTER (WHERE o.size = c.size) AS unchanged, CAST(0 AS BIGINT) AS appended, count(*) FILTER (WHERE o.size <> c.size) AS rewritten, count(*) FILTER (WHERE o.k IS NULL) AS missing FROM o FULL JOIN c ON o.k = c.k""")
 def _run_counters(spark, d):
     return A.run_counters(_freshness(spark, d))
+
+
+# --- reports and upkeep
+
+
+@query("session_population", f"WITH {Q} SELECT session_id FROM sessions s WHERE EXISTS (SELECT 1 FROM prompts p JOIN occurrences o USING (prompt_id) WHERE p.session_id = s.session_id AND available AND searchable AND role = 'user' AND p.kind = 'human')")
+def _population(spark, d):
+    return Z.session_population(B.sessions(spark, d), B.prompts(spark, d), B.occurrences(spark, d)).select("session_id")
+
+
+@query("model_page", f"""WITH {B.PRICED_SQL}, m AS (SELECT provider, model, CAST(sum(cost) AS BIGINT) AS cost, CAST(sum(input + output) AS BIGINT) AS tokens, max(date) AS last_date FROM priced GROUP BY ALL), s AS (SELECT provider, model, count(DISTINCT path) AS sessions FROM usage_rows WHERE model <> 'Brand#2' GROUP BY ALL)
+    SELECT provider, model, cost, tokens, coalesce(sessions, 0) AS sessions, round(cost / sum(cost) OVER () * 1000) / 10 AS cost_share, greatest(0, CAST(DATE '2001-10-01' - CAST(last_date AS DATE) AS INTEGER)) AS recency_days, CASE WHEN coalesce(sessions, 0) = 0 THEN 0 ELSE tokens // sessions END AS tokens_per_session FROM m LEFT JOIN s USING (provider, model)""")
+def _model_page(spark, d):
+    s = R.model_sessions(B.usage_rows(spark, d).filter("model <> 'Brand#2'").withColumnRenamed("path", "session_id"))
+    return Z.model_page(B.priced(spark, d), s, "2001-10-01")
+
+
+@query("project_costs", f"""WITH {_SESSION_PRICED}, s AS (SELECT session_id, CAST(sum(cost) AS BIGINT) AS cost, CAST(sum(unpriced) AS BIGINT) AS unpriced, CAST(sum(input + output) AS BIGINT) AS tokens FROM sp GROUP BY session_id)
+    SELECT CASE WHEN c_nationkey % 5 = 0 THEN 'unknown' ELSE 'nation' || c_nationkey END AS project, CAST(sum(coalesce(tokens, 0)) AS BIGINT) AS tokens, CAST(coalesce(sum(CASE WHEN tokens IS NOT NULL AND unpriced = 0 THEN cost END), 0) AS BIGINT) AS cost, count(*) AS sessions FROM customer LEFT JOIN s ON c_custkey = session_id GROUP BY 1""")
+def _project_costs(spark, d):
+    c = B.table(spark, d, "customer").select(F.col("c_custkey").alias("session_id"), F.when(F.col("c_nationkey") % 5 == 0, "").otherwise(F.concat(F.lit("nation"), F.col("c_nationkey").cast("string"))).alias("project"))
+    return Z.project_day(A.session_costs(_session_events(spark, d), B.rates(spark), c), c)
+
+
+@query("daily_average", f"WITH {B.PRICED_SQL}, days AS (SELECT date, CAST(sum(cost) AS BIGINT) AS cost FROM priced GROUP BY date), n AS (SELECT CAST(max(CAST(date AS DATE)) - min(CAST(date AS DATE)) + 1 AS BIGINT) AS days FROM days) SELECT any_value(n.days) AS days, CAST(sum(cost) // any_value(n.days) AS BIGINT) AS average FROM days, n")
+def _daily_average(spark, d):
+    return Z.daily_averages(B.priced(spark, d).groupBy("date").agg(F.sum("cost").alias("cost")), "cost")
+
+
+@query("session_cost_page", f"""WITH {_SESSION_PRICED}, page AS (SELECT o_custkey AS session_id, strftime(max(o_orderdate), '%Y-%m-%d') AS "at" FROM orders GROUP BY 1 ORDER BY 2 DESC, session_id LIMIT 21), s AS (SELECT session_id, CAST(sum(cost) AS BIGINT) AS cost, CAST(sum(unpriced) AS BIGINT) AS unpriced_tokens, CAST(sum(input + output) AS BIGINT) AS tokens FROM sp GROUP BY session_id)
+    SELECT session_id, "at", coalesce(cost, 0) AS cost, coalesce(unpriced_tokens, 0) AS unpriced_tokens, coalesce(tokens, 0) AS tokens, CASE WHEN tokens IS NULL THEN 'no_usage_events' WHEN unpriced_tokens <> 0 THEN 'incomplete' ELSE 'complete' END AS attribution_status FROM page LEFT JOIN s USING (session_id)""")
+def _session_cost_page(spark, d):
+    s = B.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("session_id")).agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last_ts")).withColumn("first_ts", F.col("last_ts"))
+    return Z.costs(_session_events(spark, d), B.rates(spark), s, 20).drop("priced_tokens")
+
+
+@query("marked_missing", "SELECT 'p' || c_custkey AS path, NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS missing, c_custkey % 2 = 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS settled FROM customer")
+def _marked(spark, d):
+    path = lambda c: F.concat(F.lit("p"), F.col(c).cast("string")).alias("path")
+    c = B.table(spark, d, "customer").select(path("c_custkey"), F.lit(False).alias("missing"), (F.col("c_custkey") % 2 == 0).alias("settled"))
+    return D.mark_missing(c, B.table(spark, d, "orders").select(path("o_custkey")))
+
+
+@query("replaced_source", "SELECT o_orderkey AS id, o_orderstatus AS source, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT o_orderkey, 'P', CAST(0 AS BIGINT) FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 2 = 0")
+def _replaced(spark, d):
+    rows = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("source"), F.floor("o_totalprice").alias("v"))
+    return D.apply_source(rows, "source", rows.filter("source = 'P' and id % 2 = 0").withColumn("v", F.lit(0).cast("long")))
+
+
+@query("archive_counters", "SELECT o_orderstatus AS provider, count(*) FILTER (WHERE o_orderkey % 4 = 0) AS archived, count(*) FILTER (WHERE o_orderkey % 4 = 1) AS deduplicated, count(*) FILTER (WHERE o_orderkey % 4 = 2) AS skipped, count(*) FILTER (WHERE o_orderkey % 4 = 3) AS changed, CAST(coalesce(sum(CASE WHEN o_orderkey % 4 = 0 THEN floor(o_totalprice) END), 0) AS BIGINT) AS bytes FROM orders GROUP BY 1")
+def _archive_counters(spark, d):
+    kinds = F.array(*[F.lit(k) for k in ("archived", "deduplicated", "skipped", "changed")])
+    rows = B.table(spark, d, "orders").select(F.col("o_orderstatus").alias("provider"), F.get(kinds, (F.col("o_orderkey") % 4).cast("int")).alias("outcome"), F.floor("o_totalprice").alias("size"))
+    return D.archive_counters(rows)
+
+
+@query("bounded_issues", "SELECT 'u' || user_id AS path, CAST(event_id AS VARCHAR) AS message, (SELECT count(*) FROM events WHERE event_type = 'error') AS total FROM events WHERE event_type = 'error' ORDER BY path, message LIMIT 20")
+def _issues(spark, d):
+    e = B.table(spark, d, "events").filter("event_type = 'error'")
+    return D.bounded_issues(e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").cast("string").alias("message")))
+
+
+@query("search_hits", f"""WITH {Q}, b AS (SELECT p.* FROM prompts p WHERE searchable AND role = 'user' AND p.kind = 'human' AND EXISTS (SELECT 1 FROM occurrences o WHERE o.prompt_id = p.prompt_id AND available)), tokens AS (SELECT prompt_id, ts, {_WORDS} AS w FROM b),
+    c AS (SELECT *, len(w) AS size, {_phrase_sql("the")} AS tf FROM tokens), s AS (SELECT count(*) AS n, avg(size) AS mean, count(*) FILTER (WHERE tf > 0) AS df FROM c)
+    SELECT prompt_id, round(-(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 9) AS rank FROM c, s WHERE tf > 0""")
+def _search_hits(spark, d):
+    return Z.search(B.prompts(spark, d), B.occurrences(spark, d), "the", size=500).select("prompt_id", F.round("rank", 9).alias("rank"))

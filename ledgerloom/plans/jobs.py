@@ -1,0 +1,52 @@
+"""Batch jobs over a store of generations: each run reads one, writes the next (ING-15, ING-22, ING-24, STR-6, STR-9, STR-10, DML-8, RPT-8, RPT-10)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import extraction as X
+from ledgerloom.operators import maintenance as M
+from ledgerloom.operators.cube import KEY, cube, sums
+from ledgerloom.sources import jsonl as J
+
+LEDGER = "path string, date string, provider string, model string, input long, cache_read long, cache_write_5m long, cache_write_1h long, cache_write_unclassified long, output long, reasoning long"
+CHECKPOINTS = "path string, size long, mtime timestamp, byte_offset long, tail_hash string, missing boolean, settled boolean"
+
+
+def _table(spark: SparkSession, store: str, generation: int, name: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{store}/generation={generation}/{name}") if generation else spark.createDataFrame([], schema)
+
+
+def sync(spark: SparkSession, root: str, store: str, generation: int, zone: str = "UTC") -> tuple[int, dict]:
+    """Reads generation `generation` (0: none), writes the next one whole, and counts what it met.
+
+    A generation is never changed, so a run that fails leaves the last one as it was and can be run again; two writers
+    can't mix. Files that vanished keep their contribution. Of files with equal content one contributes.
+    """
+    ledger = _table(spark, store, generation, "ledger", LEDGER)
+    checkpoints = _table(spark, store, generation, "checkpoints", CHECKPOINTS)
+    files = J.contents(spark, root)
+    prints = J.fingerprints(files)
+    kinds = J.classify_files(files.select("path", "size", "mtime"), checkpoints, files)
+    out = f"{store}/generation={generation + 1}"
+    kinds.write.mode("overwrite").parquet(f"{out}/kinds")
+    kinds = spark.read.parquet(f"{out}/kinds")
+    changed = kinds.filter("kind in ('new', 'appended', 'rewritten')")
+    owned = files.join(changed, "path", "left_semi").join(J.content_owners(files).filter("path = owner"), "path", "left_semi")
+    events = X.to_cube_rows(X.events_a(J.positioned_lines(owned)), zone)
+    fresh = events.groupBy("path", *KEY).agg(*sums())
+    kept = ledger.join(changed.select("path"), "path", "left_anti")
+    kept.unionByName(fresh).write.mode("overwrite").parquet(f"{out}/ledger")
+    seen = prints.select("path", "size", "mtime", F.col("size").alias("byte_offset"), "tail_hash", F.lit(False).alias("missing"), F.lit(False).alias("settled"))
+    gone = M.mark_missing(checkpoints, files.select("path")).filter("missing")
+    seen.unionByName(gone.select(*seen.columns)).write.mode("overwrite").parquet(f"{out}/checkpoints")
+    counts = {r["kind"]: r["n"] for r in kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return generation + 1, counts
+
+
+def usage(spark: SparkSession, store: str, generation: int) -> DataFrame:
+    """The cube of a generation (SRC-12)."""
+    return cube(_table(spark, store, generation, "ledger", LEDGER))
+
+
