@@ -289,8 +289,9 @@ def near_duplicate_groups(marked: DataFrame, budget: int = 3) -> DataFrame:
     root = connected_components(links)
     first = first.join(root, first.fp == root.node, "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     first = materialise(first, "simhash-roots")
-    least = first.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = first.join(least, "root").select("fp", "component_id")
+    # tables of their own on both sides of a join, so that the rows of a large component or fingerprint can be split
+    least = materialise(first.groupBy("root").agg(F.min("doc_id").alias("component_id")), "simhash-components")
+    named = materialise(first.join(least, "root").select("fp", "component_id"), "simhash-named")
     return marked.join(named, "fp")
 
 
