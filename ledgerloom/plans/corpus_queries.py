@@ -451,7 +451,7 @@ def _prompt_page(spark, d):
     return N.page(B.prompts(spark, d), [("ts", True), ("prompt_id", False)], 50, ["2024-01-20T00:00:00.000000000Z", 10**15]).select("prompt_id", "ts")
 
 
-@query("catalog_page", f"WITH {Q} SELECT session_id, coalesce(last_ts, first_ts) AS "at" FROM sessions ORDER BY coalesce(last_ts, first_ts) IS NULL, coalesce(last_ts, first_ts) DESC, session_id LIMIT 21")
+@query("catalog_page", f"WITH {Q} SELECT session_id, coalesce(last_ts, first_ts) AS \"at\" FROM sessions ORDER BY coalesce(last_ts, first_ts) IS NULL, coalesce(last_ts, first_ts) DESC, session_id LIMIT 21")
 def _catalog_page(spark, d):
     s = B.sessions(spark, d).withColumn("at", F.coalesce("last_ts", "first_ts"))
     return N.page(s, [("at", True), ("session_id", False)], 20).select("session_id", "at")
