@@ -11,15 +11,14 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import materialise, table, without
 from ledgerloom.llm.langid import identify_languages
+from ledgerloom.llm.minhash import near_copy_places, signatures
 from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.quality import classify_quality
-from ledgerloom.llm.simhash import fingerprints, near_duplicate_groups
 
 #: A document stays if its language is known at least so well.
 LEAST_LANGUAGE_SCORE = 0.5
-#: Documents are copies if fingerprints of their three-word shingles differ in at most so many bits in one of so many
-#: independent tables: about what documents that share 0.8 or more of their five-word shingles differ by.
-NEAR_BITS, TABLES = 7, 2
+#: Documents are copies if they share so much of their five-word shingles (Jaccard).
+NEAR, SHINGLE_WORDS = 0.8, 5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +35,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id (then text hash); of repeated rows, one."""
-    marked = materialise(fingerprints(docs, words=3, tables=TABLES), "pipeline-simhash")
-    groups = materialise(near_duplicate_groups(marked, NEAR_BITS).withColumn("place", F.coalesce("component_id", "fp")), "pipeline-groups")
+    marked = materialise(signatures(docs, SHINGLE_WORDS), "pipeline-signatures")
+    groups = materialise(near_copy_places(marked, NEAR).select("doc_id", "text_hash", "place"), "pipeline-groups")
     # sums and minima of plain numbers, kept as a table, so that a large group is gathered within tasks and its join can be split
     first = materialise(groups.groupBy("place").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "pipeline-places")
     met = materialise(groups.join(first, "place").withColumn("least", F.col("doc_id").eqNullSafe(F.col("first_id"))), "pipeline-copies")

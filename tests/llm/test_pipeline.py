@@ -53,3 +53,38 @@ def test_empty(spark, corpus, tmp_path):
     docs = spark.read.parquet(corpus + "/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, corpus).count() == 0, name
+
+
+def _shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_near_copies_of_every_kind(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{k}" for k in range(3000)])
+    rows, want = [], set()
+    for k in range(0, 600, 2):
+        base = list(rng.choice(words, int(rng.integers(60, 400))))
+        n, kind = len(base), k // 2 % 4
+        extra = list(rng.choice(words, n))
+        share = rng.uniform(0.8, 0.9)
+        if kind == 0:  # a tail added
+            copy = base + extra[: int((n - 4) / share) - n + 4]
+        elif kind == 1:  # a tail cut off
+            copy = base[: int(np.ceil((n - 4) * share)) + 4]
+        elif kind == 2:  # words replaced
+            copy = list(base)
+            for at in rng.choice(n, max(1, int(n * (1 - share) / 10)), replace=False):
+                copy[at] = "other"
+        else:  # too little in common
+            copy = base[: n // 2] + extra[: n // 2]
+        a, b = " ".join(base), " ".join(copy)
+        rows += [(k, a), (k + 1, b)]
+        x, y = _shingles(a), _shingles(b)
+        if len(x & y) >= 0.8 * len(x | y):
+            want.add(k + 1)
+    assert len(want) > 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()}
+    assert set(range(600)) - kept == want
