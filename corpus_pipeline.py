@@ -17,6 +17,9 @@ from ledgerloom.llm.quality import classify_quality
 
 #: A document stays if its language is known at least so well.
 LEAST_LANGUAGE_SCORE = 0.5
+#: The score only tells which learnt language is the least bad: a document goes also if its log likelihood a byte is by so
+#: many nats under the median of the documents that its language was learnt from.
+FIT_BELOW = 0.8
 #: Documents are copies if they share so much of their five-word shingles (Jaccard).
 NEAR, SHINGLE_WORDS = 0.8, 5
 
@@ -28,9 +31,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters whose language is recognised."""
+    """Documents with letters whose language is recognised and that fit it about as well as the texts it was learnt from."""
     named = materialise(identify_languages(docs), "languages")
-    return without(docs, named.filter((F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE_SCORE)))
+    limits = named.filter("not held_out and lang = lang_pred").groupBy("lang_pred").agg((F.percentile_approx("fit", 0.5, 10_000) - FIT_BELOW).alias("least"))
+    named = named.join(F.broadcast(materialise(limits, "language-limits")), "lang_pred", "left")  # a row for each language
+    unfit = F.coalesce(F.col("fit") < F.col("least"), F.lit(False))
+    return without(docs, named.filter((F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE_SCORE) | unfit))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -207,8 +207,12 @@ def train(labelled: DataFrame, path: str, lang: str = "lang", text: str = "text"
 _worker: dict = {}
 
 
-def identify(docs: DataFrame, langs: list[str], p: np.ndarray, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_hash, lang_pred, score of every row: the most probable language (equal: the first by name) and its posterior under equal priors; `und` and 0 for a null text or one without letters."""
+def identify(docs: DataFrame, langs: list[str], p: np.ndarray, path: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """doc_id, text_hash, lang (as labelled), lang_pred, score, n_bytes, fit of every row.
+
+    The most probable language (equal: the first by name), its posterior under equal priors, the bytes that it is told
+    by and its log likelihood a byte; `und`, 0, 0 and null for a null text or one without letters.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(p * np.exp(SHIFT * pieces_of(path).length)[:, None] if langs else p)
     model = uuid.uuid4().hex  # a worker's cache is of one model
@@ -216,10 +220,10 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, path: str, doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = pieces_of(path)
         if _worker.get("of") != model:
-            _worker.update(of=model, place={}, logs=[])
+            _worker.update(of=model, place={}, logs=[], size=[])
         for batch in batches:
             if len(_worker["place"]) > CACHE_WORDS:
-                _worker.update(place={}, logs=[])
+                _worker.update(place={}, logs=[], size=[])
             place = _worker["place"]
             cut = [letter_words(t) for t in batch.column(1).to_pylist()]
             fresh = [w for w in set().union(*cut).difference(place)] if langs else []
@@ -231,35 +235,43 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, path: str, doc_id
                     np.add.at(logs, np.repeat(np.arange(len(fresh)), [len(r) for r in run_of]), tool.log_probabilities(flat, shared.value))
                 base = sum(map(len, _worker["logs"]))
                 _worker["logs"].append(logs)
+                _worker["size"] += [sum(map(len, r)) for r in run_of]
                 for k, (w, r) in enumerate(zip(fresh, run_of)):
                     place[w] = base + k if r else -1
                 if len(_worker["logs"]) > 1:
                     _worker["logs"] = [np.concatenate(_worker["logs"])]
-            predicted, scores = [], []
+            predicted, scores, sizes, fits = [], [], [], []
+            lengths = np.array(_worker["size"], dtype=np.int64)
             for words in cut:
                 at = np.array([place[w] for w in words], dtype=np.int64) if langs else np.zeros(0, np.int64)
                 at = at[at >= 0]
                 if not len(at):
                     predicted.append("und")
                     scores.append(0.0)
+                    sizes.append(0)
+                    fits.append(None)
                     continue
                 total = _worker["logs"][0][at].sum(0)
                 best = int(total.argmax())
                 predicted.append(langs[best])
                 scores.append(float(1 / np.exp(total - total[best]).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(predicted, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "text_hash", "lang_pred", "score"])
+                sizes.append(int(lengths[at].sum()))
+                fits.append(float(total[best]) / sizes[-1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(predicted, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64()), pa.array(fits, pa.float64())], names=["doc_id", "text_hash", "lang", "lang_pred", "score", "n_bytes", "fit"]
+            )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, lang_pred string, score double")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(lang).alias("lang"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, lang string, lang_pred string, score double, n_bytes long, fit double")
 
 
 def identify_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", pieces: str | None = None) -> DataFrame:
-    """Learns from the documents that aren't held out and have a language, and predicts every row: doc_id, text_hash, held_out, lang_pred, score.
+    """Learns from the documents that aren't held out and have a language, and predicts every row: doc_id, text_hash, held_out, lang, lang_pred, score, n_bytes, fit.
 
     Repeated rows each keep a row. An empty table gives an empty result; without anything to learn from all is `und`.
     Other columns are ignored.
     """
     path = pieces or default_pieces()
     langs, p = train(docs.filter(~is_held_out(F.col(doc_id))), path, lang, text, doc_id)
-    found = identify(docs, langs, p, path, doc_id, text)
-    return found.select("doc_id", "text_hash", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    found = identify(docs, langs, p, path, doc_id, text, lang)
+    return found.select("doc_id", "text_hash", is_held_out(F.col("doc_id")).alias("held_out"), "lang", "lang_pred", "score", "n_bytes", "fit")

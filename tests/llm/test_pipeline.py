@@ -88,3 +88,13 @@ def test_near_copies_of_every_kind(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()}
     assert set(range(600)) - kept == want
+
+
+def test_language_rejects_what_fits_no_learnt_language(spark, corpus, tmp_path):
+    rng = np.random.default_rng(6)
+    docs = spark.read.parquet(corpus + "/documents.parquet")
+    unlearnt = ["la mattina il vecchio pescatore usciva con la sua barca e tornava quando il sole era alto sopra le colline", "nessuno sapeva perché avesse scelto di vivere lontano dalla città dove erano nati i suoi figli"]
+    letters = [" ".join("".join(rng.choice(list(alphabet), 6)) for _ in range(40)) for alphabet in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя") for _ in range(5)]
+    rows = [(1000 + k, t, None, "s", len(t)) for k, t in enumerate(unlearnt + letters)]
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.union(spark.createDataFrame(rows, docs.schema)), corpus).collect()}
+    assert set(range(60)) <= kept and not kept & set(range(1000, 1012))
