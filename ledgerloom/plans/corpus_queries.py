@@ -607,4 +607,4 @@ def _issues(spark, d):
     c AS (SELECT *, len(w) AS size, {_phrase_sql("the")} AS tf FROM tokens), s AS (SELECT count(*) AS n, avg(size) AS mean, count(*) FILTER (WHERE tf > 0) AS df FROM c)
     SELECT prompt_id, round(-(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 9) AS rank FROM c, s WHERE tf > 0""")
 def _search_hits(spark, d):
-    return Z.search(B.prompts(spark, d), B.occurrences(spark, d), "the", size=500).select("prompt_id", F.round("rank", 9).alias("rank"))
+    return Z.search_hits(B.prompts(spark, d), B.occurrences(spark, d), "the").select("prompt_id", F.round("rank", 9).alias("rank"))

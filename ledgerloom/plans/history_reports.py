@@ -32,8 +32,8 @@ def listing(prompts: DataFrame, occurrences: DataFrame, condition: Column | None
     return N.page(found, PROMPT_KEYS, size, last)
 
 
-def search(prompts: DataFrame, occurrences: DataFrame, query: str, raw: bool = False, condition: Column | None = None, size: int = 50, last: list | None = None) -> DataFrame:
-    """A page of hits: prompts that may be searched and match, by rank, then time, each with a snippet (FTS-6, RPT-12, SRT-5).
+def search_hits(prompts: DataFrame, occurrences: DataFrame, query: str, raw: bool = False, condition: Column | None = None) -> DataFrame:
+    """Every hit: prompts that may be searched and match, each with its rank and a snippet (FTS-6, RPT-12).
 
     The words of a plain query stand together; a raw one may use the grammar of `search.parse`, and its rank counts
     each of its plain words and phrases.
@@ -52,8 +52,12 @@ def search(prompts: DataFrame, occurrences: DataFrame, query: str, raw: bool = F
         return base.withColumns({"rank": F.lit(0.0), "snippet": F.lit("")}).limit(0)
     scored = H.bm25(base, "prompt_id", "text", words) if not raw else H.bm25_any(base, "prompt_id", "text", words)
     hits = H.with_tokens(base, "text").filter(H.boolean(F.col("_words"), tree))
-    rows = hits.join(scored.withColumnRenamed("doc_id", "prompt_id"), "prompt_id").withColumn("snippet", H.snippet(F.col("_words"), H.fold_text(words[0]))).drop("_words")
-    return N.page(rows, SEARCH_KEYS, size, last)
+    return hits.join(scored.withColumnRenamed("doc_id", "prompt_id"), "prompt_id").withColumn("snippet", H.snippet(F.col("_words"), H.fold_text(words[0]))).drop("_words")
+
+
+def search(prompts: DataFrame, occurrences: DataFrame, query: str, raw: bool = False, condition: Column | None = None, size: int = 50, last: list | None = None) -> DataFrame:
+    """A page of hits by rank, then time (SRT-5)."""
+    return N.page(search_hits(prompts, occurrences, query, raw, condition), SEARCH_KEYS, size, last)
 
 
 def sample(units: DataFrame, unit_id: str, strategy: str, count: int, seed: str, group: str | None = None, session: str | None = None, least: int = 1) -> DataFrame:

@@ -44,6 +44,15 @@ def test_query_equals_oracle(spark, db, name):
     assert found == rows
 
 
+def test_search_hits_are_not_a_page(spark, monkeypatch):
+    from ledgerloom.plans import corpus_queries as Q
+
+    prompts = spark.range(700).selectExpr("id AS prompt_id", "id AS turn", "timestamp'2024-01-10' AS ts", "concat('the word ', id) AS text", "true AS searchable", "'user' AS role", "'human' AS kind", "'s' AS session_id")
+    monkeypatch.setattr(Q.B, "prompts", lambda spark, d: prompts)
+    monkeypatch.setattr(Q.B, "occurrences", lambda spark, d: prompts.selectExpr("prompt_id", "true AS available"))
+    assert entry.queries()["search_hits"](spark, "").count() == 700
+
+
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 90
 
