@@ -279,6 +279,11 @@ def _previews(spark, d):
     return docs.filter(F.octet_length(F.substring_index("text", "\n", 4)) <= 512).select("doc_id", T.preview(F.col("text")).alias("head"))
 
 
+@query("whole_previews")  # of all documents, with the cut at a whole character, which DuckDB can't express; previews has those that need no cut
+def _whole_previews(spark, d):
+    return B.table(spark, d, "documents").select("doc_id", T.preview(F.col("text")).alias("head"))
+
+
 @query("instant_keys", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.250000000Z' AS key FROM events")
 def _instants(spark, d):
     return B.table(spark, d, "events").select("event_id", times.instant_key(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".25Z"))).alias("key"))

@@ -53,6 +53,21 @@ def test_search_hits_are_not_a_page(spark, monkeypatch):
     assert entry.queries()["search_hits"](spark, "").count() == 700
 
 
+def test_whole_previews_cut_at_a_character(spark, tmp_path):
+    texts = [pad + c * 400 + tail for pad in ("", "a", "ab", "abc") for c in ("x", "é", "€", "😀") for tail in ("", "\nend")]
+    texts += ["l\n" * 9, "\n" + "é\n" * 300, "€" * 170 + "ab", "€" * 170 + "é", "€" * 170 + "abc", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(text):
+        raw, cut = "\n".join(text.split("\n")[:4]).encode(), 512
+        while cut < len(raw) and raw[cut] & 0xC0 == 0x80:
+            cut -= 1
+        return raw[:cut].decode()
+
+    got = {r.doc_id: r["head"] for r in entry.queries()["whole_previews"](spark, str(tmp_path)).collect()}
+    assert got == {k: None if t is None else brute(t) for k, t in enumerate(texts)}
+
+
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 90
 
