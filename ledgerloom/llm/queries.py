@@ -13,7 +13,8 @@ from ledgerloom.llm.common import table
 from ledgerloom.llm.langid import identify_languages
 from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.quality import classify_quality
-from ledgerloom.llm.search import exact_top_k, nearest_by_codes
+from ledgerloom.llm.neighbours import nearest_by_codes
+from ledgerloom.llm.search import exact_top_k
 from ledgerloom.llm.sharding import shard_by_bytes
 from ledgerloom.llm.simhash import simhash_near_duplicates
 

@@ -1,7 +1,7 @@
-"""Searches of a stated set of query vectors against all vectors: exact top k by norm-sorted inner products, and approximate nearest neighbours by one-bit codes.
+"""Exact top-k search of a stated set of query vectors against all vectors by norm-sorted inner products.
 
-Both deal the candidates out in blocks and the queries in chunks; a (chunk, block) pair is one group of a shuffle, of
-bounded size, and hands on at most k rows a query.
+Candidates are dealt out in blocks and queries in chunks; a (chunk, block) pair is one group of a shuffle, of bounded
+size, and hands on at most k rows a query.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ SAMPLE_ROWS = 20_000  # rows from which a rotation or centre is fitted; results
 FOUND = "query_id long, vec_id long, score {}"
 
 
-def _usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """vec_id, v (array of double) of the rows that take part: an id, no null, NaN or infinite component, and the table's most frequent length (ties: the smaller)."""
+def _usable(vectors: DataFrame, vec_id: str, embedding: str, kind: str = "array<double>") -> DataFrame:
+    """vec_id, v (of the type `kind`) of the rows that take part: an id, no null, NaN or infinite component, and the table's most frequent length (ties: the smaller)."""
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")).filter("vec_id is not null and size(v) > 0").filter(finite)
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(kind).alias("v")).filter("vec_id is not null and size(v) > 0").filter(finite)
     usual = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     return rows.filter(F.size("v") == (usual["d"] if usual else 0))
 
@@ -165,79 +165,3 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int =
     met = again.join(limits, bound * (1 + 1e-9) + 1 >= F.col("least"))
     later = _pair(met.drop("longest"), candidates.filter("block > 0"), run, FOUND.format("long"))
     return _ranked(first.union(later), k)
-
-
-def random_rotation(d: int, seed: int) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))
-    return q * np.sign(np.diag(r))
-
-
-def one_bit_index(rows: DataFrame, centre: np.ndarray, rotation: np.ndarray) -> DataFrame:
-    """rows (vec_id, v) with the packed sign bits of the rotated residual, its length, and the code's inner product with its direction."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                v = _matrix(pa.Table.from_batches([batch]), "v")
-                turned = (v - centre) @ rotation
-                length = np.sqrt((turned**2).sum(1))
-                met = np.abs(turned).sum(1) / np.sqrt(v.shape[1]) / np.where(length > 0, length, 1)
-                bits = np.packbits(turned > 0, axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(length), pa.array(np.where(length > 0, met, 1.0))], names=["vec_id", "v", "code", "length", "met"])
-
-    return rows.mapInArrow(run, "vec_id long, v array<double>, code binary, length double, met double")
-
-
-def nearest_by_codes(vectors: DataFrame, is_query: Column, k: int = 20, error: float = 2.5, seed: int = 42, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score (double): each query's k nearest found by inner product, ties to the smaller id.
-
-    Every vector is indexed by one bit a coordinate of its randomly rotated residual from a centre (fitted on at most
-    2 * SAMPLE_ROWS rows) and two correction scalars. An inner product is estimated from the bits; where the estimate
-    and `error` standard deviations of its error reach the k-th best exact product so far, the pair is ranked again by
-    its exact product, summed in order of the coordinates in double precision. Vectors that are null, zero or hold a
-    null or non-finite component, have no id or another length than most, take no part. Other columns are ignored.
-    """
-    rows = materialise(_usable(vectors, vec_id, embedding).filter(F.exists("v", lambda x: x != 0)), "vectors")
-    n = rows.count()
-    if not n:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    centre = _sample(rows, n).mean(0)
-    d = len(centre)
-    rotation = random_rotation(d, seed)
-    blocks = max(1, min(MOST_BLOCKS, -(-n // BLOCK_ROWS)))
-    index = one_bit_index(rows, centre, rotation).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(blocks)).cast("int"))
-    picked = materialise(rows.filter(is_query).dropDuplicates(["vec_id"]), "queries")
-    queries, chunks = _chunks(picked, picked.count())
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        if left.num_rows and right.num_rows:
-            order = np.argsort(right.column("vec_id").to_numpy(), kind="stable")
-            ids, c, length, met = (x[order] for x in (right.column("vec_id").to_numpy(), _matrix(right, "v"), right.column("length").to_numpy(), right.column("met").to_numpy()))
-            codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-            qs, q = left.column("vec_id").to_numpy(), _matrix(left, "v")
-            base, turned, size = q @ centre, (q @ rotation).astype(np.float32), np.sqrt((q * q).sum(1))
-            gain = (length / met / np.sqrt(d)).astype(np.float32)
-            doubt = (length * np.sqrt(np.maximum(0, 1 - met**2)) / met * error / np.sqrt(max(1, d - 1))).astype(np.float32)
-            for a in range(0, len(qs), PART):
-                part = slice(a, min(a + PART, len(qs)))
-                top = _Top(k, qs[part], np.full(part.stop - part.start, -np.inf))
-                for b in range(0, len(ids), PART):
-                    near = slice(b, b + PART)
-                    signs = np.unpackbits(codes[near], axis=1, count=d).astype(np.float32) * 2 - 1
-                    guess = (turned[part] @ signs.T) * gain[near] + base[part, None].astype(np.float32)
-                    wide = size[part, None].astype(np.float32) * doubt[near]
-                    least = top.least
-                    if guess.shape[1] > k + 1:  # one place more, since a query's own row doesn't count
-                        least = np.maximum(least, np.partition(guess - wide, -(k + 1), axis=1)[:, -(k + 1)])
-                    i, j = np.nonzero(guess + wide >= (least - 1e-5 * (1 + np.abs(least)))[:, None])
-                    x, y, scores = q[part], c[near], np.zeros(len(i))
-                    for dim in range(d):
-                        scores += x[i, dim] * y[j, dim]
-                    top.add(i, ids[near][j], scores)
-                out.append(top.table(pa.float64()))
-        return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-
-    candidates = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    spread = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return _ranked(_pair(spread, candidates, run, FOUND.format("double")), k)

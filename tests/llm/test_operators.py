@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, langid, licences, packing, quality, search, sharding, simhash, urls
+from ledgerloom.llm import bpe, langid, licences, neighbours, packing, quality, search, sharding, simhash, urls
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, fp long, component_id string, word string, key int, shard string"
 
@@ -216,25 +216,64 @@ def test_exact_top_k(spark, monkeypatch):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
 
 
-def test_nearest_by_codes(spark, monkeypatch):
-    monkeypatch.setattr(search, "BLOCK_ROWS", 64)
-    monkeypatch.setattr(search, "PART", 32)
-    rows = some_vectors()
-    got = search.nearest_by_codes(vectors_of(spark, rows), F.col("vec_id") % 20 == 0, k=10).collect()
-    good = {k: np.array(v, np.float64) for k, v in rows if k is not None and v is not None and len(v) == 16 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+def recall_of(got, rows, k, d):
+    """Recall at k against brute force; every score and order is checked."""
+    good = [(i, np.array(v, np.float64)) for i, v in rows if i is not None and v is not None and len(v) == d and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    ids, m = np.array([i for i, _ in good]), np.array([v for _, v in good])
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    queries = sorted({int(i) for i in ids if i % 20 == 0})
+    assert sorted(found) == queries
     hits = total = 0
-    for q in [k for k in good if k % 20 == 0]:
-        exact = sorted((-float(good[q] @ y), k) for k, y in good.items() if k != q)[:10]
-        own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
-        assert [r for r, _, _ in own] == list(range(1, 11))
-        assert all(abs(s - float(good[q] @ good[k])) < 1e-9 for _, k, s in own)
-        assert [(-s, k) for _, k, s in own] == sorted((-s, k) for _, k, s in own)
-        hits += len({k for _, k in exact} & {k for _, k, _ in own})
-        total += 10
-    assert hits >= 0.9 * total
-
-
-@pytest.mark.parametrize("f", [search.exact_top_k, search.nearest_by_codes])
+    for q in queries:
+        scores = m @ m[np.flatnonzero(ids == q)[0]]
+        order = [j for j in np.lexsort((ids, -scores)) if ids[j] != q][:k]
+        own = sorted(found[q])
+        assert [r for r, _, _ in own] == list(range(1, len(order) + 1))
+        assert [(-s, i) for _, i, s in own] == sorted((-s, i) for _, i, s in own)
+        assert all(any(np.isclose(s, x, rtol=1e-9, atol=1e-9 * max(1, abs(scores).max())) for x in scores[ids == i]) for _, i, s in own)
+        least = scores[order[-1]]
+        hits += sum(s >= least - 1e-9 * abs(least) for _, _, s in own)
+        total += len(order)
+    return hits / total
+
+
+@pytest.mark.parametrize("cells", [1, 6])
+def test_nearest_by_codes(spark, monkeypatch, cells):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(neighbours, "MOST_CELLS", cells)
+    monkeypatch.setattr(neighbours, "CHUNK_QUERIES", 8)
+    monkeypatch.setattr(neighbours, "QUERY_PART", 4)
+    monkeypatch.setattr(neighbours, "PART", 32)
+    rows = some_vectors()
+    rows += [(20, [float(np.float32(x * 1e22)) for x in rows[20][1]]), (21, rows[21][1]), (21, rows[21][1])]  # an id with two vectors, and a repeated row
+    rows = [(k, v) for k, v in rows if not (k == 20 and max(v) < 1e3)]
+    got = neighbours.nearest_by_codes(vectors_of(spark, rows), F.col("vec_id") % 20 == 0, k=10).collect()
+    assert recall_of(got, rows, 10, 16) >= 0.9
+
+
+def test_nearest_on_clusters(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 100)
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((12, 32))
+    points = centres[rng.integers(0, 12, 3000)] + 0.3 * rng.standard_normal((3000, 32))
+    rows = [(k, [float(np.float32(x)) for x in v]) for k, v in enumerate(points)]
+    got = neighbours.nearest_by_codes(vectors_of(spark, rows), F.col("vec_id") % 20 == 0, k=20).collect()
+    assert recall_of(got, rows, 20, 32) >= 0.9
+
+
+def test_counts_of_bits():
+    rng = np.random.default_rng(2)
+    turned = rng.standard_normal((5, 128))
+    low, step, planes = neighbours._planes(turned)
+    codes = rng.integers(0, 2**64, (7, 2), np.uint64)
+    signs = np.unpackbits(codes.view(np.uint8), axis=1, bitorder="little")
+    level = np.rint((turned - low[:, None]) / step[:, None])
+    assert (neighbours._counts(planes, codes) == level @ signs.T).all()
+
+
+@pytest.mark.parametrize("f", [search.exact_top_k, neighbours.nearest_by_codes])
 def test_search_of_few(spark, f):
     assert f(vectors_of(spark, []), F.col("vec_id") % 20 == 0).count() == 0
     assert f(vectors_of(spark, [(0, [1.0, 2.0])]), F.col("vec_id") % 20 == 0).count() == 0
