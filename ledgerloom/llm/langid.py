@@ -24,8 +24,9 @@ from ledgerloom.llm.common import materialise, small_batches
 SAMPLE_DOCS = 2_000  # of each language, about; the bound of what the model is fitted on
 ROUNDS = 3
 SMOOTHING = 0.05
-STRETCH = 64  # bytes; a longer run of letters is scored in stretches of this length
 SHIFT = 3.0  # nats a byte that keep products of probabilities within range
+STEP = 32  # bytes of a run of letters after which its sums are rescaled
+LONG_RUN = 1 << 14  # bytes of a run of letters that are looked at together; a longer one goes on from the sums so far
 CACHE_WORDS = 300_000
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 
@@ -60,6 +61,7 @@ class Pieces:
         self.keys, self.next = keys[order], np.array(list(nodes.values()), dtype=np.int64)[order]
         self.piece_at = np.array([piece_at.get(n, -1) for n in range(count)], dtype=np.int64)
         self.length = np.array([len(p) for p in self.pieces])
+        self.longest = int(self.length.max())
 
     def matches(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(bounds of the words in their concatenation; start, piece and end offset in the word of every piece that stands anywhere in a word), by end offset."""
@@ -85,44 +87,101 @@ class Pieces:
         order = np.argsort(offset, kind="stable")
         return bounds, start[order], piece[order], offset[order]
 
-    def forward(self, bounds, start, piece, offset, p: np.ndarray) -> np.ndarray:
-        """Sums over the segmentations of every word's first bytes. One more place than bytes for each word: word w's are bounds[w] + w and on."""
+    def forward(self, bounds, start, piece, offset, p: np.ndarray, first_sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Sums over the segmentations of every word's first bytes, and the logarithms by which they are scaled (None: all 0).
+
+        There is one more place than bytes for each word: word w's are bounds[w] + w and on. first_sums are what the
+        first places of a single word hold already.
+        """
+        size, words = np.diff(bounds), len(bounds) - 1
         word = np.searchsorted(bounds, start, "right") - 1
-        alpha = np.zeros((int(bounds[-1]) + len(bounds) - 1, p.shape[1]))
-        alpha[bounds[:-1] + np.arange(len(bounds) - 1)] = 1.0
+        alpha = np.zeros((int(bounds[-1]) + words, p.shape[1]))
+        begin = bounds[:-1] + np.arange(words)
+        alpha[begin] = 1.0
+        if first_sums is not None:
+            alpha[: len(first_sums)] = first_sums[: len(alpha)]
+        scale = np.zeros_like(alpha) if (size > STEP).any() else None
+        now = np.zeros((words, p.shape[1]))
+        word_at = np.repeat(np.arange(words), size + 1)
         a, b = start + word, start + word + self.length[piece]
         cuts = np.searchsorted(offset, np.arange(1, int(offset[-1]) + 2)) if len(offset) else []
-        for lo, hi in zip(cuts, cuts[1:]):
+        for t, (lo, hi) in enumerate(zip(cuts, cuts[1:]), 1):
             order = lo + np.argsort(b[lo:hi], kind="stable")
             ends = b[order]
-            first = np.flatnonzero(np.diff(ends, prepend=-1))
-            alpha[ends[first]] = np.add.reduceat(alpha[a[order]] * p[piece[order]], first, axis=0)
-        return alpha
+            heads = np.flatnonzero(np.diff(ends, prepend=-1))
+            if len(heads):
+                alpha[ends[heads]] += np.add.reduceat(alpha[a[order]] * p[piece[order]], heads, axis=0)
+                if scale is not None:
+                    scale[ends[heads]] = now[word_at[ends[heads]]]
+            if scale is not None and t % STEP == 0:
+                self._rescale(alpha, scale, now, np.flatnonzero(size > t), begin, size, t - self.longest + 1, t + self.longest)
+        return alpha, scale
+
+    @staticmethod
+    def _rescale(sums: np.ndarray, scale: np.ndarray, now: np.ndarray, words: np.ndarray, begin: np.ndarray, size: np.ndarray, lo: int, hi: int) -> None:
+        """Divide what these words' places lo to hi hold by the largest of it: no piece reaches from before lo to behind it."""
+        if len(words):
+            at = begin[words, None] + np.clip(np.arange(lo, hi + 1), 0, size[words, None])
+            most = sums[at].max(axis=1)
+            sums[at] = sums[at] / most[:, None]
+            now[words] += np.log(most)
+            scale[at] = now[words][:, None]
 
     def log_probabilities(self, words: list[bytes], p: np.ndarray) -> np.ndarray:
-        bounds, start, piece, offset = self.matches(words)
-        alpha = self.forward(bounds, start, piece, offset, p)
-        total = alpha[bounds[1:] + np.arange(len(words))]
-        return np.log(np.maximum(total, 1e-300)) - SHIFT * np.diff(bounds)[:, None]
+        """The logarithm of the sum over all segmentations of each word into pieces, whatever its length."""
+        out = np.zeros((len(words), p.shape[1]))
+        short = [k for k, w in enumerate(words) if len(w) <= LONG_RUN]
+        if short:
+            some = [words[k] for k in short]
+            bounds, *found = self.matches(some)
+            alpha, scale = self.forward(bounds, *found, p)
+            last = bounds[1:] + np.arange(len(some))
+            out[short] = np.log(alpha[last]) + (0 if scale is None else scale[last]) - SHIFT * np.diff(bounds)[:, None]
+        for k, w in enumerate(words):
+            if len(w) > LONG_RUN:
+                out[k] = self._long_log_probability(w, p) - SHIFT * len(w)
+        return out
+
+    def _long_log_probability(self, word: bytes, p: np.ndarray) -> np.ndarray:
+        """A block of starts at a time; the places that pieces of a block reach behind its end go on to the next one."""
+        sums, total = np.ones((1, p.shape[1])), np.zeros(p.shape[1])
+        for s in range(0, len(word), LONG_RUN):
+            n = min(LONG_RUN, len(word) - s)
+            bounds, start, piece, offset = self.matches([word[s : s + n + self.longest]])
+            own = start < n
+            alpha, scale = self.forward(bounds, start[own], piece[own], offset[own], p, sums)
+            behind = slice(n, n + self.longest + 1)
+            ahead = np.zeros_like(alpha[behind]) if scale is None else scale[behind]
+            sums = np.where(alpha[behind] > 0, alpha[behind] * np.exp(ahead - ahead[0]), 0.0)
+            total += ahead[0]
+        return np.log(sums[0]) + total
 
     def expected(self, words: list[bytes], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected number of times each piece is used, over all segmentations of the words (p: one language)."""
         bounds, start, piece, offset = self.matches(words)
-        alpha = self.forward(bounds, start, piece, offset, p[:, None])[:, 0]
+        alpha, scale = self.forward(bounds, start, piece, offset, p[:, None])
+        alpha, size = alpha[:, 0], np.diff(bounds)
         word = np.searchsorted(bounds, start, "right") - 1
         a = start + word
         b = a + self.length[piece]
-        beta = np.zeros(len(alpha))
-        last = bounds[1:] + np.arange(len(words))
+        beta = np.zeros((len(alpha), 1))
+        first, last = bounds[:-1] + np.arange(len(words)), bounds[1:] + np.arange(len(words))
         beta[last] = 1.0
+        back, now = np.zeros_like(beta), np.zeros((len(words), 1))
         begin = start - bounds[word]
         order = np.argsort(-begin, kind="stable")
-        cuts = np.searchsorted(-begin[order], np.arange(-int(begin.max(initial=0)), 2))
-        for lo, hi in zip(cuts, cuts[1:]):
+        most = int(begin.max(initial=0))
+        cuts = np.searchsorted(-begin[order], np.arange(-most, 2))
+        for s, (lo, hi) in zip(range(most, -1, -1), zip(cuts, cuts[1:])):
             part = order[lo:hi]
             if len(part):
-                np.add.at(beta, a[part], beta[b[part]] * p[piece[part]])
-        share = alpha[a] * p[piece] * beta[b] / np.maximum(alpha[last], 1e-300)[word] * counts[word]
+                np.add.at(beta[:, 0], a[part], beta[b[part], 0] * p[piece[part]])
+                back[a[part]] = now[word[part]]
+            if scale is not None and s and s % STEP == 0:
+                self._rescale(beta, back, now, np.flatnonzero(size > s), first, size, s - self.longest, s + self.longest - 1)
+        share = alpha[a] * p[piece] * beta[b, 0] / alpha[last][word] * counts[word]
+        if scale is not None:
+            share = share * np.exp(scale[a, 0] + back[b, 0] - scale[last, 0][word])
         return np.bincount(piece, share, len(self.pieces))
 
 
@@ -136,9 +195,8 @@ def letter_words(text: str | None) -> list[str]:
     return _LETTERS(text.lower()) if text else []
 
 
-def _stretches(word: str) -> list[bytes]:
-    raw = b" " + word.encode("utf-8", "surrogatepass")
-    return [raw[k : k + STRETCH] for k in range(0, len(raw), STRETCH)]
+def _bytes_of(word: str) -> bytes:
+    return b" " + word.encode("utf-8", "surrogatepass")
 
 
 def _letters_only(word: str) -> str:
@@ -175,8 +233,8 @@ def train(labelled: DataFrame, path: str, lang: str = "lang", text: str = "text"
     p = np.full((size, len(langs)), 1.0 / size)
     spark = rows.sparkSession
     rows_a_batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     for _ in range(ROUNDS):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
         shared = spark.sparkContext.broadcast(p * np.exp(SHIFT * pieces_of(path).length)[:, None])
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -186,7 +244,8 @@ def train(labelled: DataFrame, path: str, lang: str = "lang", text: str = "text"
                 for k, w, n in zip(*(c.to_pylist() for c in batch.columns)):
                     own.setdefault(k, []).append((w, n))
                 for k, pairs in own.items():
-                    cut = [(s, n) for w, n in pairs if (only := _letters_only(w)) for s in _stretches(only)]
+                    # to learn from, a run of letters of many kilobytes counts by its stretches
+                    cut = [(raw[at : at + LONG_RUN], n) for w, n in pairs if (only := _letters_only(w)) for raw in [_bytes_of(only)] for at in range(0, len(raw), LONG_RUN)]
                     if cut:
                         found = tool.expected([s for s, _ in cut], np.array([n for _, n in cut], float), shared.value[:, langs.index(k)])
                         total[k] = total.get(k, 0.0) + found
@@ -194,13 +253,15 @@ def train(labelled: DataFrame, path: str, lang: str = "lang", text: str = "text"
                 used = np.flatnonzero(found)
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(used), pa.string()), pa.array(used), pa.array(found[used])], names=["lang", "piece", "n"])
 
-        found = words.mapInArrow(expect, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()  # at most pieces x languages
+        try:
+            found = words.mapInArrow(expect, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()  # at most pieces x languages
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
         p = np.full((size, len(langs)), SMOOTHING)
         for r in found:
             p[r["piece"], langs.index(r["lang"])] += r["n"]
         p /= p.sum(0)
         shared.unpersist()
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
     return langs, p
 
 
@@ -228,15 +289,15 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, path: str, doc_id
             cut = [letter_words(t) for t in batch.column(1).to_pylist()]
             fresh = [w for w in set().union(*cut).difference(place)] if langs else []
             if fresh:
-                run_of = [[s for s in _stretches(_letters_only(w))] if _letters_only(w) else [] for w in fresh]
-                flat = [s for r in run_of for s in r]
+                raws = [_bytes_of(only) if (only := _letters_only(w)) else b"" for w in fresh]
+                some = [k for k, r in enumerate(raws) if r]
                 logs = np.zeros((len(fresh), len(langs)))
-                if flat:
-                    np.add.at(logs, np.repeat(np.arange(len(fresh)), [len(r) for r in run_of]), tool.log_probabilities(flat, shared.value))
+                if some:
+                    logs[some] = tool.log_probabilities([raws[k] for k in some], shared.value)
                 base = sum(map(len, _worker["logs"]))
                 _worker["logs"].append(logs)
-                _worker["size"] += [sum(map(len, r)) for r in run_of]
-                for k, (w, r) in enumerate(zip(fresh, run_of)):
+                _worker["size"] += [len(r) for r in raws]
+                for k, (w, r) in enumerate(zip(fresh, raws)):
                     place[w] = base + k if r else -1
                 if len(_worker["logs"]) > 1:
                     _worker["logs"] = [np.concatenate(_worker["logs"])]
@@ -268,8 +329,9 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, path: str, doc_id
 def identify_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", pieces: str | None = None) -> DataFrame:
     """Learns from the documents that aren't held out and have a language, and predicts every row: doc_id, text_hash, held_out, lang, lang_pred, score, n_bytes, fit.
 
-    Repeated rows each keep a row. An empty table gives an empty result; without anything to learn from all is `und`.
-    Other columns are ignored.
+    A text that is null, empty or without letters is `und` with score 0; a run of letters of any length counts whole,
+    by the sum over all its segmentations. Repeated rows each keep a row. An empty table gives an empty result; without
+    anything to learn from all is `und`. Other columns are ignored.
     """
     path = pieces or default_pieces()
     langs, p = train(docs.filter(~is_held_out(F.col(doc_id))), path, lang, text, doc_id)
