@@ -271,15 +271,15 @@ def near_duplicate_groups(marked: DataFrame, budget: int = 3) -> DataFrame:
     """marked (doc_id, fp, ...) with component_id: the smallest doc_id that links of at most `budget` bits reach.
 
     Where marked has further tables of fingerprints (fp1, ...), a link in any table counts. A row with a null doc_id
-    keeps its row and takes its fingerprint's component, but links of fingerprints that only such rows hold don't
-    count. Repeated rows each keep a row. An empty table gives an empty result.
+    links like any other and takes its component's id, which is null only where no row of the component has an id.
+    Repeated rows each keep a row. An empty table gives an empty result.
     """
     further = [c for c in marked.columns if re.fullmatch(r"fp[0-9]+", c)]
     whole = materialise(marked.groupBy("fp", *further).agg(F.min("doc_id").alias("doc_id")), "simhash-distinct")
     first = materialise(whole.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "simhash-first") if further else whole
-    links = fingerprint_links(first.filter("doc_id is not null"), budget)
+    links = fingerprint_links(first, budget)
     for column in further:
-        known = whole.filter("doc_id is not null").select("fp", F.col(column).alias("own"))
+        known = whole.select("fp", F.col(column).alias("own"))
         # each fingerprint of this table stands for the smallest of the first table that it comes with
         stands = materialise(known.groupBy("own").agg(F.min("fp").alias("rep")), "simhash-stands")
         found = materialise(fingerprint_links(stands.select(F.col("own").alias("fp")), budget), "simhash-links")
@@ -296,7 +296,12 @@ def near_duplicate_groups(marked: DataFrame, budget: int = 3) -> DataFrame:
 
 
 def simhash_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, budget: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id. Other columns of docs are ignored, whatever their names."""
+    """doc_id, fingerprint (16 hex digits), component_id of every row.
+
+    A null, empty or blank text has fingerprint zero and links like any other; a text of fewer words than a shingle is
+    one shingle; a long text goes in blocks. Repeated rows each keep a row, and so do rows without an id, which link
+    too. An empty table gives an empty result. Other columns of docs are ignored, whatever their names.
+    """
     marked = materialise(fingerprints(docs, doc_id, text, words), "simhash")
     found = near_duplicate_groups(marked, budget)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

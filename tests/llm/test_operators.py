@@ -61,14 +61,18 @@ def test_simhash_matches_brute_force(spark):
     got = simhash.simhash_near_duplicates(docs_of(spark, texts)).collect()
     fps = [brute_fingerprint(t) for _, t in texts]
     assert sorted((r.doc_id or -1, r.fingerprint) for r in got) == sorted((k or -1, f"{f:016x}") for (k, _), f in zip(texts, fps))
-    known = [(k, f) for (k, _), f in zip(texts, fps) if k is not None]
-    roots = components([f for _, f in known], lambda a, b: bin(a ^ b).count("1") <= 3)
+    roots = components(fps, lambda a, b: bin(a ^ b).count("1") <= 3)
     least = {}
-    for (k, _), r in zip(known, roots):
-        least[r] = min(k, least.get(r, k))
-    want = {k: least[r] for (k, _), r in zip(known, roots)}
-    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
-    assert [r.component_id for r in got if r.doc_id is None] == [want[4]]
+    for (k, _), r in zip(texts, roots):
+        if k is not None:
+            least[r] = min(k, least.get(r, k))
+    assert {(r.doc_id, r.component_id) for r in got} == {(k, least[r]) for (k, _), r in zip(texts, roots)}
+
+
+def test_rows_without_an_id_link(spark):
+    rows = [(5, 0), (None, 0b111), (3, 0b111111), (8, 1 << 40 | 2**30 - 1), (None, -1)]
+    got = simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, fp long"), 3).collect()
+    assert {(r.doc_id, r.fp): r.component_id for r in got} == {(5, 0): 3, (None, 0b111): 3, (3, 0b111111): 3, (8, 1 << 40 | 2**30 - 1): 8, (None, -1): None}
 
 
 @pytest.mark.parametrize("budget", [0, 3, 5, 7])
@@ -299,6 +303,32 @@ def test_segmentations_are_summed():
     assert np.isclose((found * tool.length).sum(), sum(map(len, words)))
 
 
+def test_long_runs_of_letters_count_whole(monkeypatch):
+    tool = langid.pieces_of(langid.default_pieces())
+    rng = np.random.default_rng(1)
+    p = rng.random((len(tool.pieces), 2)) ** 3
+    p /= p.sum(0)
+    number = {b: k for k, b in enumerate(tool.pieces)}
+
+    def brute(word):
+        """The logarithm of the sum over all segmentations, with big exponents kept apart."""
+        sums = [np.zeros(2)] + [None] * len(word)
+        for end in range(1, len(word) + 1):
+            terms = [sums[a] + np.log(p[number[word[a:end]]]) for a in range(max(0, end - tool.longest), end) if word[a:end] in number]
+            sums[end] = np.logaddexp.reduce(terms)
+        return sums[-1]
+
+    words = [b" " + b"internationalization" * 20, b" the", ("\u6771\u4eac\u90fd" * 60).encode(), b" " + bytes(rng.integers(97, 123, 300).tolist()), b" a"]
+    weights = p * np.exp(langid.SHIFT * tool.length)[:, None]
+    want = np.array([brute(w) for w in words])
+    assert np.allclose(tool.log_probabilities(words, weights), want, rtol=1e-9)
+    # pieces cover every byte once, in words of every length
+    found = tool.expected(words, np.array([1.0, 2, 1, 1, 3]), weights[:, 0])
+    assert np.isclose((found * tool.length).sum(), np.array([1.0, 2, 1, 1, 3]) @ [len(w) for w in words])
+    monkeypatch.setattr(langid, "LONG_RUN", 70)
+    assert np.allclose(tool.log_probabilities(words, weights), want, rtol=1e-9)
+
+
 def test_language(spark):
     english = "the house and the garden are where they were when we came with those who know this"
     german = "das haus und der garten sind dort wo sie waren als wir mit denen kamen die das wissen"
