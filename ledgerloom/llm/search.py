@@ -70,7 +70,7 @@ class _Top:
         self.least = np.where(full, np.maximum(self.least, last), self.least)
 
     def table(self, kind: pa.DataType) -> pa.Table:
-        return pa.table({"query_id": pa.array(self.query_ids[self.q]), "vec_id": pa.array(self.ids), "score": pa.array(self.scores).cast(kind)})
+        return pa.table({"query_id": pa.array(self.query_ids[self.q]), "vec_id": pa.array(self.ids), "score": pa.array(self.scores if kind == pa.float64() else np.clip(self.scores, -(2.0**63), 2.0**63 - 1024)).cast(kind)})
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -95,10 +95,11 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int =
     a later block meets only the queries for which the product of lengths can reach it. In a block, coordinates are
     rotated by a singular value decomposition, products of the leading ones are summed in steps, and a pair is dropped
     once the sum and the product of the residual lengths (Cauchy-Schwarz) stay below the k-th best. Results are exact
-    as long as sums stay below 2^53.
+    as long as sums stay below 2^53; a sum beyond 63 bits counts as the largest or smallest number of them.
 
     Rows with a null id or a null, NaN or infinite component, and of another length than most, take no part. A row
-    repeated under one id counts each time as a candidate and once as a query. Other columns are ignored.
+    repeated under one id counts each time as a candidate and once as a query. An empty table, or one without queries,
+    gives an empty result; fewer candidates than k give as many rows as there are. Other columns are ignored.
     """
     usable = _usable(vectors, vec_id, embedding)
     whole = usable.select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
@@ -114,8 +115,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int =
     queries, chunks = _chunks(picked, picked.count())
     some = _sample(rows, n)
     # the right singular vectors, from the d x d matrix of products; the left ones would have a row and column for each vector
-    rotation = np.linalg.eigh(some.T @ some)[1][:, ::-1]
-    d = len(rotation)
+    d = len(rows.first()["v"])
+    rotation = np.linalg.eigh(some.T @ some)[1][:, ::-1] if len(some) else np.eye(d)
     steps = sorted({max(1, d // 4), max(1, d // 2), max(1, 3 * d // 4)})
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -155,13 +156,28 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int =
             out.append(top.table(pa.int64()))
         return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
 
-    candidates = rows.select("vec_id", "v", "shorter", "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    candidates = rows.filter("block = 0").select("vec_id", "v", "shorter", "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     longest = queries.withColumns({"block": F.lit(0), "least": F.lit(-math.inf)})
-    first = materialise(_pair(longest, candidates.filter("block = 0"), run, FOUND.format("long")), "top-first")
+    first = materialise(_pair(longest, candidates, run, FOUND.format("long")), "top-first")
     reached = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).drop("n")
-    limits = F.broadcast(rows.filter("block > 0").groupBy("block").agg(F.min("shorter").alias("longest")))  # at most MOST_BLOCKS rows
     again = queries.join(reached, "vec_id", "left").withColumn("least", F.coalesce(F.col("least").cast("double"), F.lit(-math.inf)))
-    bound = F.sqrt(-F.col("shorter")) * F.sqrt(-F.col("longest"))
-    met = again.join(limits, bound * (1 + 1e-9) + 1 >= F.col("least"))
-    later = _pair(met.drop("longest"), candidates.filter("block > 0"), run, FOUND.format("long"))
+    # blocks are sorted by length, so a query reaches the first few: how many, by a search in the lengths of their longest (at most MOST_BLOCKS)
+    limits = rows.groupBy("block").agg(F.min("shorter").alias("longest")).orderBy("block").collect()
+    shortest_first = np.sqrt([-r["longest"] for r in limits])[::-1]
+
+    def reach(batches):
+        for batch in batches:
+            length, least = np.sqrt(-batch.column(2).to_numpy()), batch.column(4).to_numpy()
+            with np.errstate(divide="ignore", invalid="ignore"):
+                needed = np.where(length > 0, (least - 1) / length * (1 - 1e-9), np.where(least > 1, np.inf, -np.inf))
+            last = len(shortest_first) - np.searchsorted(shortest_first, needed, "left")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(last.astype(np.int32))], names=[*batch.schema.names, "blocks"])
+
+    told = again.select("vec_id", "v", "shorter", "chunk", "least").mapInArrow(reach, "vec_id long, v array<double>, shorter double, chunk int, least double, blocks int")
+    told = materialise(told.filter("blocks > 1"), "top-reach")
+    met = told.withColumn("block", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)))
+    # a candidate goes to those chunks only of which a query reaches its block
+    wanted = told.groupBy("chunk").agg(F.max("blocks").alias("blocks")).select("chunk", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("block"))
+    far = rows.filter("block > 0").select("vec_id", "v", "shorter", "block").join(materialise(wanted, "top-chunks"), "block")
+    later = _pair(met.drop("blocks"), far, run, FOUND.format("long"))
     return _ranked(first.union(later), k)

@@ -209,8 +209,10 @@ def test_exact_top_k(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK_ROWS", 64)
     monkeypatch.setattr(search, "PART", 16)
     monkeypatch.setattr(search, "CHUNK_QUERIES", 8)
-    rows = some_vectors()
-    got = search.exact_top_k(vectors_of(spark, rows), F.col("vec_id") % 20 == 0, k=7).collect()
+    rows = some_vectors() + [(41, [0.5] * 16), (41, [0.5] * 16)]
+    plan = search.exact_top_k(vectors_of(spark, rows), F.col("vec_id") % 20 == 0, k=7)
+    assert "NestedLoop" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = plan.collect()
     good = [(k, np.floor(np.array(v, np.float64) * 64).astype(int)) for k, v in rows if k is not None and v is not None and len(v) == 16 and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for q, x in good:
