@@ -1,17 +1,18 @@
 """Near duplicates by SimHash: fingerprints of word shingles, linked by a binary trie joined with itself.
 
 The trie is walked in pairs of nodes: a pair keeps the number of bits in which its two prefixes differ and is given
-up as soon as that exceeds the budget. The top of the trie is walked by Spark (a node at depth d meets the nodes whose
-prefix differs in few enough bits; each such pair of nodes is one group of a shuffle), the rest inside the tasks,
-whole frontiers of node pairs at a time. Inside a task, pairs of nodes that are wholly in one component already are
-given up as well, so a dense cluster is not compared all against all, and what leaves a task is a spanning forest.
+up as soon as that exceeds the budget. The top of the trie is walked on counts alone: a node of many fingerprints is
+parted into its two halves, and so are they, until each leaf is small enough for a task; each pair of leaves within the
+budget is one group of a shuffle. The rest is walked inside the tasks, whole frontiers of node pairs at a time. There,
+pairs of nodes that are wholly in one component already are given up as well, so a dense cluster is not compared all
+against all, and what leaves a task is a forest of its closest links.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,9 @@ from ledgerloom.llm.common import materialise, small_batches
 from ledgerloom.llm.components import connected_components
 
 SEED = 42
-NODE_ROWS = 65_536  # fingerprints that a node at the dealing depth holds on average, at most
-MIN_DEPTH = 6
+NODE_ROWS = 65_536  # fingerprints that a leaf of the dealt trie holds, at most, unless they share DEEPEST bits
+DEEPEST = 16
+LEAST_LEAVES = 8  # so that few fingerprints are dealt out too
 PAIR_BLOCK = 1 << 20  # fingerprint pairs or node pairs looked at together in a task
 LEAF = 64  # a node pair of at most so many fingerprint pairs is compared directly
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -40,25 +42,16 @@ def _word_blocks(raw: bytes, size: int = 1 << 22) -> Iterator[list[bytes]]:
         start = end
 
 
-def _remixed(hashes: np.ndarray, table: int) -> np.ndarray:
-    """Independent hashes for a further table of fingerprints, from the first table's."""
-    z = hashes + np.uint64(0x9E3779B97F4A7C15 * table & (2**64 - 1))
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def fingerprint_tables(text: str | None, words: int = 3, tables: int = 1) -> list[int]:
-    """SimHashes of the text's word shingles as signed 64-bit integers, one a table; null or without words: 0. Long texts go in blocks."""
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """SimHash of the text's word shingles as a signed 64-bit integer; null or without words: 0. Long texts go in blocks."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    ones, total, carry = np.zeros((tables, 64), np.int64), 0, []
+    ones, total, carry = np.zeros(64, np.int64), 0, []
 
     def count(hashes: np.ndarray) -> None:
-        for table in range(tables):
-            mixed = _remixed(hashes, table) if table else hashes
-            ones[table] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        nonlocal ones
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
     for block in _word_blocks((text or "").encode("utf-8", "surrogatepass").lower()):
         run = carry + block
@@ -73,28 +66,23 @@ def fingerprint_tables(text: str | None, words: int = 3, tables: int = 1) -> lis
         carry = run
     if not total:
         if not carry:
-            return [0] * tables
+            return 0
         count(np.array([digest(b" ".join(carry), SEED)], dtype="<u8"))
         total = 1
-    return np.packbits(ones * 2 > total, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
-
-
-def fingerprint(text: str | None, words: int = 3) -> int:
-    return fingerprint_tables(text, words)[0]
+    return int(np.packbits(ones * 2 > total, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, tables: int = 1) -> DataFrame:
-    """doc_id, text_hash, fp (long), and fp1, fp2, ... for further tables. Null and empty texts have fingerprint 0; every row has its own output row."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
+    """doc_id, text_hash, fp (long). Null and empty texts have fingerprint 0; every row has its own output row."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
-    names = ["fp", *[f"fp{k}" for k in range(1, tables)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([fingerprint_tables(t.as_py(), words, tables) for t in batch.column(2)], dtype=np.int64).reshape(-1, tables)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(made[:, k]) for k in range(tables)]], names=["doc_id", "text_hash", *names])
+            made = np.array([fingerprint(t.as_py(), words) for t in batch.column(2)], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made)], names=["doc_id", "text_hash", "fp"])
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{n} long" for n in names))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _labels(n: int, x: np.ndarray, y: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -113,28 +101,49 @@ def _labels(n: int, x: np.ndarray, y: np.ndarray, labels: np.ndarray) -> np.ndar
             labels = down
 
 
-def trie_links(left: np.ndarray, right: np.ndarray | None, depth: int, prefix_bits: int, prefix_budget: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of {left} and {right} (sorted, distinct uint64; right None: left with itself).
-
-    Two values are linked if at most prefix_budget of their first prefix_bits bits and at most budget of all bits
-    differ. Each side shares its first `depth` bits.
+def _closest(x: np.ndarray, y: np.ndarray, differ: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs x[i], y[i] those of a spanning forest of the fewest differing bits over the classes `labels`, and the classes merged by them."""
+    order = np.argsort(differ, kind="stable")
+    x, y = x[order], y[order]
+    xs, ys = [x[:0]], [y[:0]]
+    while True:
+        a, b = labels[x], labels[y]
+        apart = a != b
+        if not apart.any():
+            return np.concatenate(xs), np.concatenate(ys), labels
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        best = np.full(len(labels), len(x))
+        place = np.arange(len(x))
+        np.minimum.at(best, a, place)
+        np.minimum.at(best, b, place)
+        pick = np.unique(best[best < len(x)])
+        xs.append(x[pick])
+        ys.append(y[pick])
+        labels = _labels(len(labels), x[pick], y[pick], labels)
+
+
+def trie_links(keys: np.ndarray, split: int | None, prefix_bits: int = 64, prefix_budget: int = 3, budget: int = 3, checks: np.ndarray | None = None, labels: np.ndarray | None = None, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of linked keys (uint64): of keys[:split] with keys[split:], each part sorted, or of all with each other (split None).
+
+    Two are linked if at most prefix_budget of their first prefix_bits bits differ and at most budget of all bits, those
+    of `checks` included where given. What is returned is a spanning forest of the closest links, over the classes
+    `labels` (default: each key its own); or with `every` all links between different classes.
     """
-    own = right is None
-    b = left if own else right
-    shift = 0 if own else len(left)
-    every = left if own else np.concatenate([left, b])
-    nothing = np.zeros(0, np.uint64)
+    own = split is None
+    left, b = (keys, keys) if own else (keys[:split], keys[split:])
+    shift = 0 if own else split
+    none = np.zeros(0, np.int64)
     if not len(left) or not len(b):
-        return nothing, nothing
-    labels = np.arange(len(every))
-    turns = np.arange(len(every) + 1)  # number of label changes before each place
+        return none, none
+    labels = np.arange(len(keys)) if labels is None else labels
+    turns = np.concatenate([[0], np.cumsum(labels[1:] != labels[:-1])])  # number of label changes before each place
     ones: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    xs, ys = [none], [none]
 
     def bits(values: np.ndarray, t: int) -> np.ndarray:
         return np.concatenate([[0], np.cumsum((values >> np.uint64(63 - t)) & np.uint64(1), dtype=np.int64)])
 
-    first = int(np.bitwise_count((left[0] ^ b[0]) >> np.uint64(64 - depth))) if depth else 0
-    stack = [(depth, *(np.array([v]) for v in (0, len(left), 0, len(b), first)))]
+    stack = [(0, *(np.array([v]) for v in (0, len(left), 0, len(b), 0)))]
     while stack:
         t, alo, ahi, blo, bhi, err = stack.pop()
         if len(alo) > PAIR_BLOCK:
@@ -145,9 +154,16 @@ def trie_links(left: np.ndarray, right: np.ndarray | None, depth: int, prefix_bi
         small = ((ahi - alo) * (bhi - blo) <= LEAF) | (t == prefix_bits)
         ripe = small & ~joined
         if ripe.any():
-            x, y = _compare(left, b, alo[ripe], ahi[ripe], blo[ripe], bhi[ripe], own, prefix_bits, prefix_budget, budget)
-            if len(x):
-                labels = _labels(len(every), x, y + shift, labels)
+            for x, y, differ in _compare(keys, shift, alo[ripe], ahi[ripe], blo[ripe], bhi[ripe], own, prefix_bits, prefix_budget, budget, checks):
+                if every:
+                    apart = labels[x] != labels[y]
+                    xs.append(x[apart])
+                    ys.append(y[apart])
+                elif len(x):
+                    x, y, labels = _closest(x, y, differ, labels)
+                    xs.append(x)
+                    ys.append(y)
+            if not every:
                 turns = np.concatenate([[0], np.cumsum(labels[1:] != labels[:-1])])
         more = ~small & ~joined
         if not more.any():
@@ -166,14 +182,12 @@ def trie_links(left: np.ndarray, right: np.ndarray | None, depth: int, prefix_bi
                 good &= keep
             found.append([v[good] for v in (al, ah, bl, bh, e)])
         stack.append((t + 1, *(np.concatenate(v) for v in zip(*found))))
-    moved = np.flatnonzero(labels != np.arange(len(every)))
-    return every[moved], every[labels[moved]]
+    return np.concatenate(xs), np.concatenate(ys)
 
 
-def _compare(left, b, alo, ahi, blo, bhi, own, prefix_bits, prefix_budget, budget):
-    """Indices of the linked values in pairs of ranges, compared directly in blocks of bounded size."""
+def _compare(keys, shift, alo, ahi, blo, bhi, own, prefix_bits, prefix_budget, budget, checks):
+    """Places of the linked keys in pairs of ranges and the bits in which they differ, compared directly in blocks of bounded size."""
     na, nb = ahi - alo, bhi - blo
-    xs, ys = [], []
     size = np.cumsum(na * nb)
     cuts = [0, *np.searchsorted(size, np.arange(PAIR_BLOCK, int(size[-1]), PAIR_BLOCK), "right").tolist(), len(na)]
     for lo, hi in zip(cuts, cuts[1:]):
@@ -186,107 +200,138 @@ def _compare(left, b, alo, ahi, blo, bhi, own, prefix_bits, prefix_budget, budge
         step = max(1, PAIR_BLOCK // max(1, int(nb[lo:hi].max())))
         for at in range(0, len(i), step) if len(i) * int(nb[lo:hi].max()) > 4 * PAIR_BLOCK else [0]:
             part = slice(at, at + step) if len(i) * int(nb[lo:hi].max()) > 4 * PAIR_BLOCK else slice(None)
-            ii, wide, base = i[part], nb[rows_of[part]], blo[rows_of[part]]
+            ii, wide, base = i[part], nb[rows_of[part]], blo[rows_of[part]] + shift
             ends = np.cumsum(wide)
             j = np.arange(int(ends[-1])) + np.repeat(base - (ends - wide), wide)
-            differ = np.repeat(left[ii], wide) ^ b[j]
-            hit = np.bitwise_count(differ) <= budget
-            if prefix_bits < 64:
-                hit &= np.bitwise_count(differ >> np.uint64(64 - prefix_bits)) <= prefix_budget
+            both = np.repeat(keys[ii], wide) ^ keys[j]
+            hit = np.bitwise_count(both >> np.uint64(64 - prefix_bits)) <= prefix_budget
             at_hit = np.flatnonzero(hit)
-            if len(at_hit):
-                x, y = ii[np.searchsorted(ends, at_hit, "right")], j[at_hit]
-                if own:
-                    keep = x < y
-                    x, y = x[keep], y[keep]
-                xs.append(x)
-                ys.append(y)
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(xs), np.concatenate(ys)) if xs else (none, none)
+            x, y = ii[np.searchsorted(ends, at_hit, "right")], j[at_hit]
+            differ = np.bitwise_count(both[at_hit]).astype(np.int64)
+            if checks is not None:
+                differ += np.bitwise_count(checks[x] ^ checks[y])
+            good = differ <= budget
+            if own:
+                good &= x < y
+            yield x[good], y[good], differ[good]
+
+
+def trie_leaves(counts: dict[int, int], depth: int) -> list[tuple[int, int]]:
+    """Leaves (prefix, bits) of the trie over prefixes of `depth` bits: a node is parted while it holds more than NODE_ROWS or there are few leaves."""
+    per_node = max(1, min(NODE_ROWS, sum(counts.values()) // LEAST_LEAVES))
+    nodes, leaves = [(0, 0, sorted(counts.items()))], []
+    while nodes:
+        prefix, bits, held = nodes.pop()
+        if not held:
+            continue
+        if bits == depth or sum(n for _, n in held) <= per_node:
+            leaves += [(prefix, bits)]
+            continue
+        for bit in (0, 1):
+            nodes.append((prefix * 2 + bit, bits + 1, [(p, n) for p, n in held if p >> (depth - bits - 1) & 1 == bit]))
+    return sorted(leaves, key=lambda v: v[0] << (depth - v[1]))
+
+
+def leaf_pairs(leaves: list[tuple[int, int]], budget: int) -> list[tuple[int, int]]:
+    """Pairs of leaves whose common prefix lengths differ in at most `budget` bits, each with itself too."""
+    prefix, bits = (np.array(v, np.int64) for v in zip(*leaves))
+    out = []
+    for i in range(len(leaves)):
+        common = np.minimum(bits[i], bits[i:])
+        differ = (prefix[i] >> (bits[i] - common)) ^ (prefix[i:] >> (bits[i:] - common))
+        out += [(i, int(j)) for j in i + np.flatnonzero(np.bitwise_count(differ) <= budget)]
+    return out
 
 
-def _node_chunks(depth: int, turn: int):
-    """Per task: the fingerprints (turned left by `turn` bits) of each node at the dealing depth, packed."""
+def linked_rows(entries: DataFrame, prefix_bits: int, prefix_budget: int, budget: int, every: bool = False) -> DataFrame:
+    """Links (u, v) of the rows of entries (trie int, key long, check long, id long, label long), each trie by itself.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(values: np.ndarray) -> pa.RecordBatch:
-            values = np.sort(values)
-            node = (values >> np.uint64(64 - depth)).astype(np.int64)
-            cut = np.flatnonzero(np.diff(node, prepend=-1))
-            return pa.RecordBatch.from_arrays([pa.array(node[cut]), pa.array([v.tobytes() for v in np.split(values, cut[1:])], pa.binary())], names=["node", "values"])
-
-        kept, held = [], 0
+    Two ids are linked as in trie_links, the key's bits first. A forest of each pair of leaves, so all forests together
+    connect what the links connect; or with `every` all links between different labels.
+    """
+    spark = entries.sparkSession
+    tries = {r["trie"]: r["n"] for r in entries.groupBy("trie").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a trie
+    if not tries:
+        return spark.createDataFrame([], "u long, v long")
+    depth = max(4, min(DEEPEST, int(np.ceil(np.log2(max(tries.values()) / NODE_ROWS + 1))) + 4))
+    top = F.shiftrightunsigned("key", 64 - depth)
+    held: dict[int, dict[int, int]] = {}
+    for r in entries.groupBy("trie", top.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect():  # at most 2^depth rows a trie
+        held.setdefault(r["trie"], {})[r["p"]] = r["n"]
+    starts, first_leaf, met = {}, 0, []
+    for k, counts in sorted(held.items()):
+        leaves = trie_leaves(counts, depth)
+        starts[k] = np.array([p << (depth - b) for p, b in leaves]), first_leaf
+        for i, j in leaf_pairs(leaves, prefix_budget):
+            met += [(first_leaf + i, len(met), 0), (first_leaf + j, len(met), 1)][: 1 + (i != j)]
+        first_leaf += len(leaves)
+    order = np.dtype([("key", "<u8"), ("check", "<u8"), ("id", "<i8"), ("label", "<i8")])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each leaf that a task holds: its entries in a string of bytes."""
+
+        def rows(tables: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trie, *columns = (np.concatenate([t.column(k).to_numpy(zero_copy_only=False) for t in tables]) for k in range(5))
+            made = np.zeros(len(trie), order)
+            for name, c in zip(order.names, columns):
+                made[name] = c.view(order[name])
+            leaf = np.zeros(len(trie), np.int64)
+            for k in np.unique(trie):
+                own = trie == k
+                low, first = starts[k]
+                leaf[own] = first + np.searchsorted(low, (made["key"][own] >> np.uint64(64 - depth)).astype(np.int64), "right") - 1
+            by = np.argsort(leaf, kind="stable")
+            cut = np.flatnonzero(np.diff(leaf[by], prepend=-1))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf[by][cut]), pa.array([v.tobytes() for v in np.split(made[by], cut[1:])], pa.binary())], names=["leaf", "packed"])
+
+        kept, n = [], 0
         for batch in batches:
-            v = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            if turn:
-                v = (v << np.uint64(turn)) | (v >> np.uint64(64 - turn))
-            kept.append(v)
-            held += len(v)
-            if held >= 1 << 20:
-                yield packed(np.concatenate(kept))
-                kept, held = [], 0
-        if held:
-            yield packed(np.concatenate(kept))
-
-    return run
-
-
-def _block_links(depth: int, turn: int, prefix_bits: int, prefix_budget: int, budget: int):
-    def run(block: pa.Table) -> pa.Table:
-        side = np.asarray(block.column("side").to_pylist())
-        values = block.column("values").to_pylist()
-        one, two = (np.sort(np.frombuffer(b"".join(v for v, s in zip(values, side) if s == k), np.uint64)) for k in (0, 1))
-        self_pair = block.column("lo")[0].as_py() == block.column("hi")[0].as_py()
-        u, v = trie_links(one, None if self_pair else two, depth, prefix_bits, prefix_budget, budget)
-        if turn:
-            u, v = ((w >> np.uint64(turn)) | (w << np.uint64(64 - turn)) for w in (u, v))
-        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
-
-    return run
+            if batch.num_rows:
+                kept.append(batch)
+                n += batch.num_rows
+            if n >= 1 << 18:
+                yield from rows(kept)
+                kept, n = [], 0
+        if n:
+            yield from rows(kept)
+
+    def links(block: pa.Table) -> pa.Table:
+        side = block.column("side").to_numpy()
+        parts = []
+        for k in (0, 1):
+            raw = [v for v, s in zip(block.column("packed").to_pylist(), side) if s == k]
+            parts.append(np.sort(np.frombuffer(b"".join(raw), order), order=("key", "id")))
+        one = np.concatenate(parts)
+        labels = np.unique(one["label"], return_inverse=True)[1]
+        # labels are smallest places, so that a merged class keeps its smallest
+        least = np.full(labels.max(initial=-1) + 1, len(one))
+        np.minimum.at(least, labels, np.arange(len(one)))
+        i, j = trie_links(np.ascontiguousarray(one["key"]), len(parts[0]) if len(parts[1]) else None, prefix_bits, prefix_budget, budget, np.ascontiguousarray(one["check"]), least[labels], every)
+        u, v = one["id"][i], one["id"][j]
+        apart = u != v
+        return pa.table({"u": pa.array(u[apart]), "v": pa.array(v[apart])})
+
+    pairs = spark.createDataFrame(met, "leaf long, pair int, side int")  # bounded by the leaves, which are at most 2^depth a trie
+    dealt = entries.select("trie", "key", "check", "id", "label").mapInArrow(packed, "leaf long, packed binary")
+    return dealt.join(F.broadcast(pairs), "leaf").select("pair", "side", "packed").groupBy("pair").applyInArrow(links, "u long, v long")
 
 
 def fingerprint_links(distinct: DataFrame, budget: int) -> DataFrame:
-    """Links (u, v) that connect exactly the fingerprints (column fp, distinct) with at most `budget` differing bits, directly or in turn.
-
-    Up to 3 bits: one trie over 64 bits. Up to 7: two tries, each led by one half of the bits, since one half then
-    differs in at most half the budget. Exact in both cases.
-    """
-    if not 0 <= budget <= 7:
-        raise ValueError("budget must be 0 to 7")
-    turns, prefix_bits, prefix_budget = ((0,), 64, budget) if budget <= 3 else ((0, 32), 32, budget // 2)
-    rows = distinct.count()
-    depth = max(MIN_DEPTH, min(24, int(np.ceil(np.log2(max(1, rows) / NODE_ROWS)))))
-    masks = [sum(1 << k for k in c) for n in range(min(prefix_budget, depth) + 1) for c in combinations(range(depth), n)]
-    out = None
-    for turn in turns:
-        chunks = distinct.select("fp").mapInArrow(_node_chunks(depth, turn), "node long, values binary")
-        met = chunks.withColumn("other", F.explode(F.array(*[F.lit(m) for m in masks]))).withColumn("other", F.col("node").bitwiseXOR(F.col("other").cast("long")))
-        met = met.select(F.least("node", "other").alias("lo"), F.greatest("node", "other").alias("hi"), (F.col("node") > F.col("other")).cast("int").alias("side"), "values")
-        links = met.groupBy("lo", "hi").applyInArrow(_block_links(depth, turn, prefix_bits, prefix_budget, budget), "u long, v long")
-        out = links if out is None else out.union(links)
-    return out
+    """Links (u, v) that connect exactly the fingerprints (column fp, distinct) with at most `budget` differing bits, directly or in turn. One trie over all 64 bits."""
+    if not 0 <= budget <= 64:
+        raise ValueError("budget must be 0 to 64")
+    entries = distinct.select(F.lit(0).alias("trie"), F.col("fp").alias("key"), F.lit(0).cast("long").alias("check"), F.col("fp").alias("id"), F.col("fp").alias("label"))
+    return linked_rows(entries, 64, budget, budget)
 
 
 def near_duplicate_groups(marked: DataFrame, budget: int = 3) -> DataFrame:
     """marked (doc_id, fp, ...) with component_id: the smallest doc_id that links of at most `budget` bits reach.
 
-    Where marked has further tables of fingerprints (fp1, ...), a link in any table counts. A row with a null doc_id
-    links like any other and takes its component's id, which is null only where no row of the component has an id.
-    Repeated rows each keep a row. An empty table gives an empty result.
+    A row with a null doc_id links like any other and takes its component's id, which is null only where no row of the
+    component has an id. Repeated rows each keep a row. An empty table gives an empty result.
     """
-    further = [c for c in marked.columns if re.fullmatch(r"fp[0-9]+", c)]
-    whole = materialise(marked.groupBy("fp", *further).agg(F.min("doc_id").alias("doc_id")), "simhash-distinct")
-    first = materialise(whole.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "simhash-first") if further else whole
-    links = fingerprint_links(first, budget)
-    for column in further:
-        known = whole.select("fp", F.col(column).alias("own"))
-        # each fingerprint of this table stands for the smallest of the first table that it comes with
-        stands = materialise(known.groupBy("own").agg(F.min("fp").alias("rep")), "simhash-stands")
-        found = materialise(fingerprint_links(stands.select(F.col("own").alias("fp")), budget), "simhash-links")
-        left, right = stands.toDF("u", "rep_u"), stands.toDF("v", "rep_v")
-        links = links.union(found.join(left, "u").join(right, "v").select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v")))
-        links = links.union(known.join(stands, "own").filter("fp <> rep").select(F.col("fp").alias("u"), F.col("rep").alias("v")))
-    root = connected_components(links)
+    first = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "simhash-distinct")
+    root = connected_components(fingerprint_links(first, budget))
     first = first.join(root, first.fp == root.node, "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     first = materialise(first, "simhash-roots")
     # tables of their own on both sides of a join, so that the rows of a large component or fingerprint can be split
