@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import materialise, table, without
 from ledgerloom.llm.langid import identify_languages
-from ledgerloom.llm.minhash import near_copy_places, signatures
+from ledgerloom.llm.near_copies import near_copy_places, signatures
 from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.quality import classify_quality
 
