@@ -380,7 +380,7 @@ def brute_kn(grams, trained, order):
     for k in range(order - 1, 0, -1):
         counts[k] = {}
         for g in counts[k + 1]:
-            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + (counts[k + 1][g] if g[1] == "\x02" else 1)
 
     def discounts(c):
         n = {k: sum(1 for v in c.values() if v == k) for k in (1, 2, 3, 4)}
@@ -405,9 +405,10 @@ def brute_kn(grams, trained, order):
 def test_kneser_ney(spark):
     rng = np.random.default_rng(0)
     words = ["".join(rng.choice(list("abcd"), int(rng.integers(1, 6)))) for _ in range(200)]
-    trained = quality.gram_counts(docs_of(spark, [(1, " ".join(words)), (2, None), (3, "")]), 3)
+    texts = [(1, "  ".join(words)), (2, None), (3, ""), (4, "ab"), (5, "ab")]
+    trained = quality.gram_counts(docs_of(spark, texts), 3)
     counts = {r.gram: r.n for r in trained.collect()}
-    padded = ["\x02\x02" + w + "\x03" for w in words]
+    padded = ["\x02\x02" + " ".join(t.split()) + "\x03" for _, t in texts if t]
     want = {}
     for w in padded:
         for i in range(len(w) - 2):
@@ -420,14 +421,22 @@ def test_kneser_ney(spark):
     assert found.keys() == brute.keys() and all(abs(found[g] - brute[g]) < 1e-9 for g in asked)
 
 
-def test_perplexities_with_and_without_head(spark):
-    grams = {"\x02\x02a": -1.0, "\x02a\x03": -2.0, "\x02ab": -3.0, "ab\x03": -4.0}
-    table = spark.createDataFrame([(g, 1, v) for g, v in grams.items()], "gram string, n long, logp double")
-    texts = [(1, "a ab a"), (2, None), (3, ""), (None, "ab"), (1, "a ab a")]
-    for head in (0, 2, 100):
-        got = quality.perplexities(docs_of(spark, texts), table, 3, head=head).collect()
-        assert sorted(((r.doc_id or -1), r.n_grams, r.perplexity and round(r.perplexity, 9)) for r in got) == sorted(
-            [(1, 7, round(float(np.exp(14 / 7)), 9))] * 2 + [(2, 0, None), (3, 0, None), (-1, 3, round(float(np.exp(8 / 3)), 9))], key=lambda t: (t[0], t[1]))
+@pytest.mark.parametrize("head", [0, 2, 100])
+def test_perplexities_with_and_without_head(spark, monkeypatch, head):
+    monkeypatch.setattr(quality, "BLOCK_CHARS", 7)
+    grams = {"\x02\x02a": -1.0, "\x02a ": -2.0, "a a": -3.0, " ab": -4.0, "ab\x03": -5.0, "\x02ab": -6.0, "a\x03": -9.0, " a ": -0.5, "\ufffda ": -7.0, "\x02\x02\ufffd": -8.0, "\x02\ufffda": -1.5, "a\x03\x03": -9.0}
+    grams = {g: v for g, v in grams.items() if len(g) == 3}
+    table = spark.createDataFrame([(g, k, v) for k, (g, v) in enumerate(grams.items())], "gram string, n long, logp double")
+    texts = [(1, "a  a a ab\n"), (2, None), (3, " "), (None, "ab"), (1, "a  a a ab\n")]
+
+    def brute(t):
+        p = "\x02\x02" + " ".join(t.split()) + "\x03"
+        return len(p) - 2, float(np.exp(-np.mean([grams[p[i : i + 3]] for i in range(len(p) - 2)])))
+
+    got = quality.perplexities(docs_of(spark, texts), table, 3, head=head).collect()
+    want = [(k or -1, *((0, None) if not (t or "").strip() else brute(t))) for k, t in texts]
+    key = lambda v: (v[0], v[1])
+    assert [(a, n, p and round(p, 9)) for a, n, p in sorted([(r.doc_id or -1, r.n_grams, r.perplexity) for r in got], key=key)] == [(a, n, p and round(p, 9)) for a, n, p in sorted(want, key=key)]
 
 
 def test_quality_keeps_clean_and_rejects_noise(spark):
