@@ -456,6 +456,9 @@ LICENCE_DOCS = [
     (1, None), (2, ""), (3, "Released under the MIT License.\nthe mit license, the MIT-license"), (4, "THE\nMIT license"), (5, "Licensed under the Apache License, Version 2.0."), (6, "cc by-nc 4.0 and Licensed under CC BY-NC 4.0."),
     (7, "mit license"), (8, "This work is licensed under the GNU General Public License, version 3."), (9, "work licensed under the GNU General Public License, version"), (10, "ithe mit licenses the éMIT license"), (11, "a b c " * 20_000 + "the mit license"),
     (12, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"), (3, "Released under the MIT License.\nthe mit license, the MIT-license"), (None, "the mit license"),
+    (13, "Copyright 2020\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software"),
+    (14, " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"), (15, "released under the BSD license"), (16, "Licensed under CC BY 4.0"),
+    (17, "you may not use this file except in " + "filler " * 40 + "compliance with the License. You may obtain a copy of the License at"), (18, "x " * 300 + "released\nunder\nthe\nMIT\n\nterms and license " + "y " * 300), (19, "licensed by apache and under version 2, by license 0 of the tribe"),
 ]
 
 
@@ -469,16 +472,18 @@ def test_licences(spark):
         words = word.findall(t)
         base = [(i, label) for phrase, label in licences.PHRASES for p in [phrase.split()] for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
         share = {}
-        for line in t.split("\n"):
-            held = set(word.findall(line))
-            for label, template in licences.TEMPLATES:
-                s = set(template.split())
-                x = len(held & s) / len(s)
-                if x >= licences.THRESHOLD:
+        for label, template, must in licences.TEMPLATES:
+            held, width = set(template.split()), int(np.ceil(len(template.split()) / licences.THRESHOLD - 1e-9))
+            for at in range(max(1, len(words) - width + 1) if len(words) < 5000 else 0):
+                block = set(words[at : at + width])
+                x = len(block & held) / len(held)
+                if x >= licences.THRESHOLD and set(must.split()) <= block:
                     share[label] = max(x, share.get(label, 0))
         own = sorted({label for _, label in base})
         want.append((k or -1, len(words), len(base), min((i for i, _ in base), default=None), max((i for i, _ in base), default=None), ",".join(own), ",".join(sorted({*own, *share})), 1.0 if base else max(share.values(), default=0.0)))
     assert sorted(map(str, want)) == sorted(str((r.doc_id or -1, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score)) for r in got)
+    by = {k: v[6] for k, *v in [(w[0], *w) for w in want]}
+    assert by[13] == "mit" and by[14] == "bsd-3" and by[15] == by[16] == by[17] == "" and by[18] == "mit"
     assert licences.scan_licences(docs_of(spark, [])).count() == 0
 
 
