@@ -491,6 +491,7 @@ def test_urls(spark):
     pages = [
         (1, None), (2, ""), (3, "no scheme example.org/es/"), (4, "https://EXAMPLE.org/es/x?y#z"), (5, "http://a.example.org/en/1"), (6, "http://a.example.org/en/123"), (7, "http://example.org"), (8, "http://shop.com/fr/2"), (9, "http://shop.com/de/2"),
         (10, "http://org/es/"), (11, "http://notorg/"), (12, "http://example.orgs/"), (13, "http://cheap-pills.example.com/en/1"), (14, "http://www.spam-farm.net/"), (15, "ftp://x.com/FR/"), (16, "http://h?x/y"), (17, "http://com/fr/#a"), (4, "https://EXAMPLE.org/es/x?y#z"), (None, "http://a.org/"), (18, "http://a.example.org/es/" + "x" * 5000),
+        (19, "http://best-casino.net/x"), (20, "http://www.casino-city.museum.net/x"), (21, "http://casinos.net/"), (22, "http://adult-education.net/a"), (23, "http://casino.net"),
     ]
     frame = spark.createDataFrame([(k, u, "h", "t", "r") for k, u in pages], "page_id long, url string, host string, target string, rule string")
     got = urls.judge_urls(frame).collect()
@@ -506,7 +507,8 @@ def test_urls(spark):
             return (host == h or host.endswith("." + h)) and path.startswith("/" + p)
 
         own = max(((len(r), r, v) for v, r in urls.LISTED_RULES if fits(r)), default=None)
-        spam = any(re.match(urls.rule_pattern(r), host + path) for _, r in urls.PATTERN_RULES)
+        held = re.split("[^a-z0-9]+", host)
+        spam = path and set(held) & set(urls.HOST_WORDS) and not any(a in held and b in held[held.index(a) + 1 :] for a, b in [re.findall("[a-z]+", r) for r in urls.EXCEPTIONS])
         want.append((k or -1, host, path, own and own[1], own[2] if own else "block" if spam else "allow"))
     assert sorted(map(str, want)) == sorted(str((r.page_id or -1, r.host, r.path, r.rule, r.verdict)) for r in got)
     with pytest.raises(ValueError):
@@ -515,6 +517,28 @@ def test_urls(spark):
     assert urls.judge_urls(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rule,good,bad", [
+    ("example.org/a*z/", ["example.org/abcz/", "x.example.org/az/q"], ["example.org/abc/", "example.orgs/az/"]), ("shop.*.net/", ["shop.x.net/", "a.shop.b.c.net/y"], ["shops.x.net/", "shop.x.org/net/"]),
+    ("*^ads^*/", ["ads.x/", "my-ads.x/", "x.ads/q"], ["loads.x/", "x.org/ads/"]), ("x.org/a/^id^", ["x.org/a/id", "x.org/a/id=3", "x.org/a/id/"], ["x.org/a/ids"]), ("x.org/end|", ["x.org/end", "y.x.org/end"], ["x.org/ending", "x.org/end/"]),
+])
+def test_rule_language(rule, good, bad):
+    assert all(re.match(urls.rule_pattern(rule), g) for g in good) and not any(re.match(urls.rule_pattern(rule), b) for b in bad)
+
+
+def test_index_fetches_few_candidates(spark):
+    rng = np.random.default_rng(3)
+    rules = [("block" if k % 2 else "allow", f"host{k % 700}.com/p{k}/") for k in range(3000)] + [("block", f"*^word{k}^*/") for k in range(1000)]
+    targets = [f"{'www.' * (k % 2)}host{rng.integers(800)}.com/p{rng.integers(3500)}/x" for k in range(300)] + [f"a-word{k * 7}.net/" for k in range(100)]
+    frame = spark.createDataFrame([(k, "http://" + t) for k, t in enumerate(targets)], "page_id long, url string")
+    found = urls.candidate_rules(frame.select(F.substring("url", 8, 1000).alias("target")).distinct(), [(v, r, 1) for v, r in rules])
+    assert found.count() <= 2 * len(targets)  # of 4000 rules
+    got = {r.page_id: r.verdict for r in urls.judge_urls(frame, listed=rules[:3000], patterns=rules[3000:]).collect()}
+    compiled = [(len(r), r, v, re.compile(urls.rule_pattern(r))) for v, r in rules]
+    for k, t in enumerate(targets):
+        own = max(((n, r, v) for n, r, v, p in compiled if p.match(t)), default=None)
+        assert got[k] == (own[2] if own else "allow")
+
+
 @pytest.mark.parametrize("f", [simhash.simhash_near_duplicates, bpe.encode_decode, packing.pack_documents, sharding.shard_by_bytes])
 def test_empty_tables(spark, f):
     assert f(docs_of(spark, [])).count() == 0
