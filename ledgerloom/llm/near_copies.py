@@ -2,8 +2,9 @@
 
 A text has several independent fingerprints over its set of shingles. Each half of each leads a trie that is joined
 with itself (see simhash); two texts are candidates if one of the halves differs in few bits, and its whole fingerprint
-and the next one in no more than similar texts do. The shingles themselves decide: candidates are copies if their
-Jaccard similarity is at least that asked for. Texts with the same set of shingles are one class, compared once.
+and the next one in no more than similar texts do. Over all bits of all fingerprints a pair is then a sure copy, none,
+or one for the shingles themselves to decide: copies have a Jaccard similarity of at least that asked for. Texts with
+the same set of shingles are one class, compared once.
 
 First the tries give a forest of the closest candidates. Where all of its links hold, its classes are one group. Only
 among classes that a failed link keeps apart are all candidates of different groups compared.
@@ -12,7 +13,9 @@ among classes that a failed link keeps apart are all candidates of different gro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,8 @@ FINGERPRINTS = 8
 HALF_BUDGET = 3
 #: Of the 128 bits of two fingerprints about 19 differ at a similarity of 0.8; so many are 3.6 standard deviations more.
 BUDGET = 34
+#: Of all 512 bits 77 differ at a similarity of 0.8, give or take 8: four standard deviations less are a copy for sure (1 in 30,000 such pairs is less similar), four more are none.
+SURE, FAR = 45, 110
 _LANES = np.array([sum(1 << 8 * b for b in range(8) if v >> b & 1) for v in range(256)], np.uint64)  # a byte's bits, a lane of 8 bits each
 
 
@@ -114,29 +119,45 @@ def near_copy_places(marked: DataFrame, least: float = 0.8) -> DataFrame:
         one = [F.element_at("sketch", k % FINGERPRINTS + 1) for k in range(FINGERPRINTS + 1)]
         turned = [F.shiftleft(x, 32).bitwiseOR(F.shiftrightunsigned(x, 32)) for x in one]
         tries = [F.struct(F.lit(2 * k + h).alias("trie"), (one, turned)[h][k].alias("key"), one[k + 1].alias("check")) for k in range(FINGERPRINTS) for h in (0, 1)]
-        return rows.select(F.explode(F.array(*tries)).alias("t"), "class", "label").select("t.trie", "t.key", "t.check", F.col("class").alias("id"), "label")
+        label = ["label"] if "label" in rows.columns else []
+        return rows.select(F.explode(F.array(*tries)).alias("t"), "class", *label).select("t.trie", "t.key", "t.check", F.col("class").alias("id"), *label)
 
-    def judged(pairs: DataFrame) -> DataFrame:
+    def measured(pairs: DataFrame) -> DataFrame:
+        """Distinct pairs and the bits in which all their fingerprints differ, as far as they can be copies."""
         pairs = materialise(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "copies-pairs")
+        both = pairs.join(sketches.toDF("u", "one"), "u").join(sketches.toDF("v", "two"), "v")
+        differ = reduce(add, [F.bit_count(F.element_at("one", k).bitwiseXOR(F.element_at("two", k))) for k in range(1, FINGERPRINTS + 1)])
+        return materialise(both.select("u", "v", differ.alias("differ")).filter(F.col("differ") <= FAR), "copies-measured")
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        """Pairs with alike, by their shingles."""
+        pairs = materialise(pairs.select("u", "v"), "copies-open")
         near = of_class.select("class", "shingles").join(pairs.select("u").union(pairs.select("v")).toDF("class").distinct(), "class", "left_semi")
         near = materialise(near, "copies-shingles")
         both = pairs.join(near.toDF("u", "one"), "u").join(near.toDF("v", "two"), "v").select("u", "v", "one", "two")
         return materialise(both.mapInArrow(_alike(least), "u long, v long, alike boolean"), "copies-judged")
 
-    first = judged(linked_rows(entries(sketches.withColumn("label", F.col("class"))), 32, HALF_BUDGET, BUDGET))
-    links = first.filter("alike").select("u", "v")
-    root = materialise(connected_components(links), "copies-roots")
+    def apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
+        """Pairs of different groups, with these."""
+        met = pairs.join(root.toDF("u", "ru"), "u", "left").join(root.toDF("v", "rv"), "v", "left")
+        return met.withColumns({"ru": F.coalesce("ru", "u"), "rv": F.coalesce("rv", "v")}).filter("ru <> rv")
+
+    def groups(links: DataFrame) -> DataFrame:
+        return materialise(connected_components(links), "copies-roots")
+
+    first = measured(linked_rows(entries(sketches), 32, HALF_BUDGET, BUDGET))
+    links = first.filter(F.col("differ") <= SURE).select("u", "v")
+    open_ = judged(apart(first.filter(F.col("differ") > SURE), groups(links)))
+    links = links.union(open_.filter("alike").select("u", "v"))
+    root = groups(links)
 
     # groups that a link which didn't hold would have joined: only there can another candidate still do so
-    failed = first.filter("not alike").select("u", "v")
-    near_u, near_v = root.toDF("u", "ru"), root.toDF("v", "rv")
-    apart = failed.join(near_u, "u", "left").join(near_v, "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")).filter("u <> v")
-    apart = materialise(apart.distinct(), "copies-apart")
-    still = materialise(apart.select("u").union(apart.select("v")).distinct().toDF("label"), "copies-still")
+    failed = open_.filter("not alike").select("u", "v")
+    parted = materialise(apart(failed, root).select("ru", "rv").distinct(), "copies-apart")
+    still = materialise(parted.select("ru").union(parted.select("rv")).distinct().toDF("label"), "copies-still")
     grouped = sketches.join(root.toDF("class", "root"), "class", "left").select("class", "sketch", F.coalesce("root", "class").alias("label"))
     grouped = materialise(grouped.join(still, "label", "left_semi"), "copies-grouped")
-    second = judged(linked_rows(entries(grouped), 32, HALF_BUDGET, BUDGET, every=True).join(failed, ["u", "v"], "left_anti"))
-    links = links.union(second.filter("alike").select("u", "v"))
-    root = materialise(connected_components(links).withColumnRenamed("node", "class"), "copies-components")
-    places = materialise(classes.select("class").join(root, "class", "left").select("class", F.coalesce("root", "class").alias("place")), "copies-places")
+    second = measured(linked_rows(entries(grouped), 32, HALF_BUDGET, BUDGET, every=True)).join(failed, ["u", "v"], "left_anti")
+    links = links.union(judged(second).filter("alike").select("u", "v"))
+    places = materialise(classes.select("class").join(groups(links).toDF("class", "root"), "class", "left").select("class", F.coalesce("root", "class").alias("place")), "copies-places")
     return marked.join(places, "class")

@@ -25,8 +25,8 @@ from ledgerloom.llm.components import connected_components
 SEED = 42
 NODE_ROWS = 65_536  # fingerprints that a leaf of the dealt trie holds, at most, unless they share DEEPEST bits
 DEEPEST = 16
-LEAST_LEAVES = 8  # so that few fingerprints are dealt out too
-PAIR_BLOCK = 1 << 20  # fingerprint pairs or node pairs looked at together in a task
+LEAST_LEAVES = 8  # so that few fingerprints are dealt out too; shared by all tries
+PAIR_BLOCK = 1 << 18  # fingerprint pairs or node pairs looked at together in a task
 LEAF = 64  # a node pair of at most so many fingerprint pairs is compared directly
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -216,9 +216,9 @@ def _compare(keys, shift, alo, ahi, blo, bhi, own, prefix_bits, prefix_budget, b
             yield x[good], y[good], differ[good]
 
 
-def trie_leaves(counts: dict[int, int], depth: int) -> list[tuple[int, int]]:
+def trie_leaves(counts: dict[int, int], depth: int, least: int = LEAST_LEAVES) -> list[tuple[int, int]]:
     """Leaves (prefix, bits) of the trie over prefixes of `depth` bits: a node is parted while it holds more than NODE_ROWS or there are few leaves."""
-    per_node = max(1, min(NODE_ROWS, sum(counts.values()) // LEAST_LEAVES))
+    per_node = max(1, min(NODE_ROWS, sum(counts.values()) // least))
     nodes, leaves = [(0, 0, sorted(counts.items()))], []
     while nodes:
         prefix, bits, held = nodes.pop()
@@ -244,7 +244,7 @@ def leaf_pairs(leaves: list[tuple[int, int]], budget: int) -> list[tuple[int, in
 
 
 def linked_rows(entries: DataFrame, prefix_bits: int, prefix_budget: int, budget: int, every: bool = False) -> DataFrame:
-    """Links (u, v) of the rows of entries (trie int, key long, check long, id long, label long), each trie by itself.
+    """Links (u, v) of the rows of entries (trie int, key long, check long, id long, and label long if classes are given), each trie by itself.
 
     Two ids are linked as in trie_links, the key's bits first. A forest of each pair of leaves, so all forests together
     connect what the links connect; or with `every` all links between different labels.
@@ -260,18 +260,19 @@ def linked_rows(entries: DataFrame, prefix_bits: int, prefix_budget: int, budget
         held.setdefault(r["trie"], {})[r["p"]] = r["n"]
     starts, first_leaf, met = {}, 0, []
     for k, counts in sorted(held.items()):
-        leaves = trie_leaves(counts, depth)
+        leaves = trie_leaves(counts, depth, max(2, LEAST_LEAVES // len(held)))  # several tries are dealt out together
         starts[k] = np.array([p << (depth - b) for p, b in leaves]), first_leaf
         for i, j in leaf_pairs(leaves, prefix_budget):
             met += [(first_leaf + i, len(met), 0), (first_leaf + j, len(met), 1)][: 1 + (i != j)]
         first_leaf += len(leaves)
-    order = np.dtype([("key", "<u8"), ("check", "<u8"), ("id", "<i8"), ("label", "<i8")])
+    names = ["key", "check", "id", *(["label"] if "label" in entries.columns else [])]
+    order = np.dtype([(c, "<u8" if c in ("key", "check") else "<i8") for c in names])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each leaf that a task holds: its entries in a string of bytes."""
 
         def rows(tables: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trie, *columns = (np.concatenate([t.column(k).to_numpy(zero_copy_only=False) for t in tables]) for k in range(5))
+            trie, *columns = (np.concatenate([t.column(k).to_numpy(zero_copy_only=False) for t in tables]) for k in range(1 + len(names)))
             made = np.zeros(len(trie), order)
             for name, c in zip(order.names, columns):
                 made[name] = c.view(order[name])
@@ -302,17 +303,18 @@ def linked_rows(entries: DataFrame, prefix_bits: int, prefix_budget: int, budget
             raw = [v for v, s in zip(block.column("packed").to_pylist(), side) if s == k]
             parts.append(np.sort(np.frombuffer(b"".join(raw), order), order=("key", "id")))
         one = np.concatenate(parts)
-        labels = np.unique(one["label"], return_inverse=True)[1]
-        # labels are smallest places, so that a merged class keeps its smallest
-        least = np.full(labels.max(initial=-1) + 1, len(one))
-        np.minimum.at(least, labels, np.arange(len(one)))
-        i, j = trie_links(np.ascontiguousarray(one["key"]), len(parts[0]) if len(parts[1]) else None, prefix_bits, prefix_budget, budget, np.ascontiguousarray(one["check"]), least[labels], every)
+        labels = None
+        if "label" in names:
+            # labels are smallest places, so that a merged class keeps its smallest
+            _, first, labels = np.unique(one["label"], return_index=True, return_inverse=True)
+            labels = first[labels]
+        i, j = trie_links(np.ascontiguousarray(one["key"]), len(parts[0]) if len(parts[1]) else None, prefix_bits, prefix_budget, budget, np.ascontiguousarray(one["check"]), labels, every)
         u, v = one["id"][i], one["id"][j]
         apart = u != v
         return pa.table({"u": pa.array(u[apart]), "v": pa.array(v[apart])})
 
     pairs = spark.createDataFrame(met, "leaf long, pair int, side int")  # bounded by the leaves, which are at most 2^depth a trie
-    dealt = entries.select("trie", "key", "check", "id", "label").mapInArrow(packed, "leaf long, packed binary")
+    dealt = entries.select("trie", *names).mapInArrow(packed, "leaf long, packed binary")
     return dealt.join(F.broadcast(pairs), "leaf").select("pair", "side", "packed").groupBy("pair").applyInArrow(links, "u long, v long")
 
 
@@ -320,7 +322,7 @@ def fingerprint_links(distinct: DataFrame, budget: int) -> DataFrame:
     """Links (u, v) that connect exactly the fingerprints (column fp, distinct) with at most `budget` differing bits, directly or in turn. One trie over all 64 bits."""
     if not 0 <= budget <= 64:
         raise ValueError("budget must be 0 to 64")
-    entries = distinct.select(F.lit(0).alias("trie"), F.col("fp").alias("key"), F.lit(0).cast("long").alias("check"), F.col("fp").alias("id"), F.col("fp").alias("label"))
+    entries = distinct.select(F.lit(0).alias("trie"), F.col("fp").alias("key"), F.lit(0).cast("long").alias("check"), F.col("fp").alias("id"))
     return linked_rows(entries, 64, budget, budget)
 
 
