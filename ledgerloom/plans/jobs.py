@@ -1,4 +1,16 @@
-"""Batch jobs over a store of generations: each run reads one, writes the next (ING-15, ING-22, ING-24, STR-6, STR-9, STR-10, DML-8, RPT-8, RPT-10)."""
+"""Batch jobs over a store of generations: each run reads one, writes the next (ING-13..18, ING-22, STR-1..2, STR-6, STR-9, DML-8, DML-11, RPT-8).
+
+A run lists the files and compares sizes and times with what it knows; only files that differ are read, and of one that
+has only grown only the new bytes are booked. Who owns a contribution is derived anew in each run from content hashes:
+
+* of files with equal content the first path contributes, and a present one before a vanished one;
+* a new path whose first bytes are those of exactly one vanished file is that file, moved;
+* a file that goes on from the whole of another one contributes what comes after that;
+* a vanished file keeps its contribution.
+
+So nothing has to be handed over: a file that comes to own its content is booked then, and one that no longer does isn't
+part of the ledger. Provider B's messages are kept by id, whatever file brought them.
+"""
 
 from __future__ import annotations
 
@@ -11,42 +23,140 @@ from ledgerloom.operators.cube import KEY, cube, sums
 from ledgerloom.sources import jsonl as J
 
 LEDGER = "path string, date string, provider string, model string, input long, cache_read long, cache_write_5m long, cache_write_1h long, cache_write_unclassified long, output long, reasoning long"
-CHECKPOINTS = "path string, size long, mtime timestamp, byte_offset long, tail_hash string, missing boolean, settled boolean"
+FILES = "path string, provider string, size long, mtime timestamp, byte_offset long, lines long, content_sha string, complete_sha string, head_hash string, model string, owner string, base string, base_lines long, missing boolean, settled boolean"
+MESSAGES = "message_id string, generation long, path string, line_no long, ts timestamp, iterations array<struct<model: string, raw_input: long, cache_read: long, cache_creation: long, w5m: long, w1h: long, unclassified: long, output: long>>, score long"
+PROVIDERS = ("codex", "claude")
 
 
 def _table(spark: SparkSession, store: str, generation: int, name: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{store}/generation={generation}/{name}") if generation else spark.createDataFrame([], schema)
 
 
-def sync(spark: SparkSession, root: str, store: str, generation: int, zone: str = "UTC") -> tuple[int, dict]:
+def sync(spark: SparkSession, roots: str | dict[str, str], store: str, generation: int, zone: str = "UTC") -> tuple[int, dict]:
     """Reads generation `generation` (0: none), writes the next one whole, and counts what it met.
 
-    A generation is never changed, so a run that fails leaves the last one as it was and can be run again; two writers
-    can't mix. Files that vanished keep their contribution. Of files with equal content one contributes.
+    roots: provider -> folder, or provider A's folder alone. A generation is never changed, so a run that fails leaves
+    the last one as it was and can be run again; two writers can't mix. A file that can't be read is counted as failed
+    and keeps what is known of it.
     """
+    roots = {PROVIDERS[0]: roots} if isinstance(roots, str) else roots
+    out, schemas = f"{store}/generation={generation + 1}", {}
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{out}/{name}")
+        schemas[name] = df.schema
+        return spark.read.schema(df.schema).parquet(f"{out}/{name}")
+
+    known = _table(spark, store, generation, "files", FILES)
+    listed = None
+    for provider, root in roots.items():
+        one = J.listing(spark, root).withColumn("provider", F.lit(provider))
+        listed = one if listed is None else listed.unionByName(one)
+    listed = keep(listed, "listed")
+
+    # what is new or differs in size or time is read; what is known of it goes with it
+    old = known.select("path", *[F.col(c).alias(f"old_{c}") for c in known.columns if c != "path"])
+    met = listed.join(old, "path", "full_outer")
+    same = (F.col("size") == F.col("old_size")) & (F.col("mtime") == F.col("old_mtime")) & ~F.col("old_missing")
+    first = F.when(F.col("size").isNull(), "missing").when(F.col("old_size").isNull(), "new").when(same, "unchanged").otherwise("changed")
+    met = keep(met.withColumn("first", first), "met")
+    changed = met.filter("first in ('new', 'changed')")
+    paths = [r["path"] for r in changed.select("path").collect()]  # names of changed files, as Spark's readers take them
+    offsets = changed.select("path", F.when(F.col("old_byte_offset").isNotNull(), F.array("old_byte_offset")).otherwise(F.array().cast("array<long>")).alias("offsets"))
+    facts = keep(J.file_facts(J.contents_of(spark, paths).join(offsets, "path")), "facts")
+    names = ("byte_offset", "lines", "content_sha", "complete_sha", "head_hash")
+    now = met.join(facts.select("path", *[F.col(c).alias(f"new_{c}") for c in names], "prefixes"), "path", "left")
+    grown = (F.col("new_byte_offset") >= F.col("old_byte_offset")) & (F.get("prefixes", 0) == F.col("old_complete_sha"))
+    kind = F.when(F.col("first") != "changed", F.col("first")).when(grown, "appended").otherwise("rewritten")
+    kind = F.when(F.col("first").isin("new", "changed") & F.col("new_byte_offset").isNull(), "failed").otherwise(kind)
+    now = now.withColumn("kind", kind).filter("not (kind = 'failed' and old_size is null)")
+    now = now.withColumns({c: F.coalesce(F.col(f"new_{c}"), F.col(f"old_{c}")) for c in names}).withColumn("provider", F.coalesce("provider", "old_provider"))
+    now = keep(now.drop("prefixes", *[f"new_{c}" for c in names]), "now")
+
+    # new files of provider A against files with the same first record: moved from a vanished one, or going on from one
+    fresh = now.filter((F.col("kind") == "new") & (F.col("provider") == PROVIDERS[0])).select("path", "head_hash", "byte_offset")
+    other = now.filter((F.col("provider") == PROVIDERS[0]) & (F.col("kind") != "rewritten") & (F.col("byte_offset") > 0)).select(
+        "head_hash", F.col("path").alias("other"), F.col("byte_offset").alias("other_offset"), F.col("lines").alias("other_lines"), F.col("complete_sha").alias("other_sha"), (F.col("kind") == "missing").alias("gone"), (F.col("kind") == "new").alias("other_new")
+    )
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    # of two new files one goes on from the other only under the same name
+    likely = ~F.col("other_new") | (last("path") == last("other"))
+    near = keep(fresh.join(other, "head_hash").filter("path <> other and other_offset <= byte_offset").filter(likely), "near")
+    read = [r["path"] for r in near.select("path").distinct().collect()]
+    wanted = near.groupBy("path").agg(F.array_sort(F.collect_set("other_offset")).alias("offsets"))  # an offset for each file of one first record
+    prefixes = J.file_facts(J.contents_of(spark, read).join(wanted, "path")).select("path", "prefixes").join(wanted, "path")
+    prefixes = prefixes.select("path", F.explode(F.arrays_zip("offsets", "prefixes")).alias("z")).select("path", F.col("z.offsets").alias("other_offset"), F.col("z.prefixes").alias("other_sha"))
+    near = keep(near.join(prefixes, ["path", "other_offset", "other_sha"], "left_semi"), "prefixes")
+    gone = near.filter("gone").groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("other").alias("moved_from")).filter("n = 1").drop("n")
+    # one vanished file moves to one path, the first; further copies of it are copies
+    gone = keep(gone.groupBy("moved_from").agg(F.min("path").alias("path")), "moves")
+    base = near.filter("not gone and other_offset < byte_offset").groupBy("path").agg(F.max_by(F.struct("other", "other_lines"), F.struct("other_offset", "other")).alias("b"))
+    now = now.join(gone, "path", "left").join(base, "path", "left")
+    # a moved file goes on where the vanished one ended
+    before = known.select(F.col("path").alias("moved_from"), *[F.col(c).alias(f"was_{c}") for c in ("byte_offset", "lines", "model", "base", "base_lines")])
+    now = now.join(before, "moved_from", "left").join(gone.select(F.col("moved_from").alias("path"), F.lit(True).alias("left_here")), "path", "left").filter("left_here is null")
+    moved = F.col("moved_from").isNotNull()
+    now = now.withColumns({"kind": F.when(moved, "moved").otherwise(F.col("kind")), **{f"old_{c}": F.when(moved, F.col(f"was_{c}")).otherwise(F.col(f"old_{c}")) for c in ("byte_offset", "lines", "model", "base", "base_lines")}})
+    gone_to = gone.select(F.col("moved_from").alias("old_base"), F.col("path").alias("base_now"))
+    rewritten = now.filter("kind = 'rewritten'").select(F.col("path").alias("old_base"), F.lit(True).alias("base_gone"))
+    now = now.join(gone_to, "old_base", "left").join(rewritten, "old_base", "left")
+    kept_base = F.when(F.col("base_gone").isNull() & (F.col("kind") != "rewritten"), F.coalesce("base_now", "old_base"))
+    now = now.withColumn("base", F.coalesce("b.other", kept_base)).withColumn("base_lines", F.when(F.col("base").isNotNull(), F.coalesce("b.other_lines", "old_base_lines")))
+    now = keep(now.drop("b", "left_here", "base_now", "base_gone", *[f"was_{c}" for c in ("byte_offset", "lines", "model", "base", "base_lines")]), "owned")
+    owners = now.groupBy("provider", "content_sha").agg(F.min_by("path", F.struct(F.col("size").isNull(), "path")).alias("owner"))
+    now = keep(now.join(owners, ["provider", "content_sha"]), "roles")
+
+    # provider A: what has to be booked, whole or from where it was
+    owned = (F.col("provider") == PROVIDERS[0]) & (F.col("owner") == F.col("path"))
+    held = F.coalesce(F.when(moved, True).otherwise(F.col("old_owner") == F.col("path")), F.lit(False))
+    goes_on = held & F.col("kind").isin("appended", "moved") & F.col("old_model").isNotNull() & F.col("base").eqNullSafe(F.col("old_base"))
+    turned = (~held | ~F.col("base").eqNullSafe(F.col("old_base"))) & F.col("size").isNotNull() & (F.col("kind") != "failed")
+    stale = F.col("kind").isin("new", "rewritten") | turned | (F.col("kind").isin("appended", "moved") & ~goes_on)
+    plan = now.withColumn("booking", F.when(owned & goes_on & (F.col("byte_offset") > F.col("old_byte_offset")), "more").when(owned & stale, "whole"))
+    plan = keep(plan.select("path", "booking", "old_byte_offset", "old_lines", "old_model", "base_lines"), "plan")
+    todo = plan.filter("booking is not null")
+    files = J.contents_of(spark, [r["path"] for r in todo.select("path").collect()]).join(todo, "path")
+    at = F.when(F.col("booking") == "more", F.col("old_byte_offset"))
+    lines = J.positioned_lines(files.select("path", "content", at.alias("start"), F.when(at.isNotNull(), F.col("old_lines")).alias("before")), start="start", lines="before")
+    marks = todo.filter("booking = 'more'").select("path", F.col("old_model").alias("model"))
+    events = M.resumed_events_a(lines, marks).join(todo.select("path", "base_lines"), "path").filter("line_no > coalesce(base_lines, 0)")
+    booked = keep(X.to_cube_rows(events, zone).groupBy("path", *KEY).agg(*sums()), "booked")
+    models = X.decode_a(lines).groupBy("path").agg(F.max_by("context_model", F.when(F.col("context_model").isNotNull(), F.col("line_no"))).alias("now_model"))
+    models = keep(models, "models")
+
     ledger = _table(spark, store, generation, "ledger", LEDGER)
-    checkpoints = _table(spark, store, generation, "checkpoints", CHECKPOINTS)
-    files = J.contents(spark, root)
-    prints = J.fingerprints(files)
-    kinds = J.classify_files(files.select("path", "size", "mtime"), checkpoints, files)
-    out = f"{store}/generation={generation + 1}"
-    kinds.write.mode("overwrite").parquet(f"{out}/kinds")
-    kinds = spark.read.parquet(f"{out}/kinds")
-    changed = kinds.filter("kind in ('new', 'appended', 'rewritten')")
-    owned = files.join(changed, "path", "left_semi").join(J.content_owners(files).filter("path = owner"), "path", "left_semi")
-    events = X.to_cube_rows(X.events_a(J.positioned_lines(owned)), zone)
-    fresh = events.groupBy("path", *KEY).agg(*sums())
-    kept = ledger.join(changed.select("path"), "path", "left_anti")
-    kept.unionByName(fresh).write.mode("overwrite").parquet(f"{out}/ledger")
-    seen = prints.select("path", "size", "mtime", F.col("size").alias("byte_offset"), "tail_hash", F.lit(False).alias("missing"), F.lit(False).alias("settled"))
-    gone = M.mark_missing(checkpoints, files.select("path")).filter("missing")
-    seen.unionByName(gone.select(*seen.columns)).write.mode("overwrite").parquet(f"{out}/checkpoints")
-    counts = {r["kind"]: r["n"] for r in kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ledger = ledger.join(gone.select(F.col("moved_from").alias("path"), F.col("path").alias("moved_to")), "path", "left").withColumn("path", F.coalesce("moved_to", "path")).drop("moved_to")
+    staying = now.filter(owned).select("path").join(plan.filter("booking = 'whole'").select("path"), "path", "left_anti")
+    keep(ledger.join(staying, "path", "left_semi").unionByName(booked), "ledger")
+
+    # provider B: messages by id
+    from_b = now.filter((F.col("provider") == PROVIDERS[1]) & F.col("kind").isin("new", "appended", "rewritten", "moved")).select("path", F.when(F.col("kind") == "appended", F.col("old_byte_offset")).alias("start"), F.when(F.col("kind") == "appended", F.col("old_lines")).alias("before"))
+    from_b = keep(from_b, "changed-b")
+    files_b = J.contents_of(spark, [r["path"] for r in from_b.select("path").collect()]).join(from_b, "path")
+    snapshots = X.candidates_b(J.positioned_lines(files_b, start="start", lines="before")).withColumn("generation", F.lit(generation + 1).cast("long"))
+    messages = _table(spark, store, generation, "messages", MESSAGES)
+    every = messages.unionByName(snapshots.select(*messages.columns))
+    keep(X.progressive(every, "message_id", ["generation", "path", "line_no"]), "messages")
+
+    settled = F.col("size").isNull() & F.coalesce("old_settled", F.lit(False))
+    unread = F.col("kind") == "failed"
+    state = now.join(models, "path", "left").select(
+        "path", "provider", F.when(unread | F.col("size").isNull(), F.col("old_size")).otherwise(F.col("size")).alias("size"), F.when(unread | F.col("size").isNull(), F.col("old_mtime")).otherwise(F.col("mtime")).alias("mtime"),
+        "byte_offset", "lines", "content_sha", "complete_sha", "head_hash", F.coalesce("now_model", F.when(F.col("kind") != "rewritten", F.col("old_model"))).alias("model"), "owner", "base", "base_lines", F.col("size").isNull().alias("missing"), settled.alias("settled"),
+    )
+    keep(state, "files")
+    counts = {r["kind"]: r["n"] for r in now.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     return generation + 1, counts
 
 
-def usage(spark: SparkSession, store: str, generation: int) -> DataFrame:
-    """The cube of a generation (SRC-12)."""
-    return cube(_table(spark, store, generation, "ledger", LEDGER))
+def usage(spark: SparkSession, store: str, generation: int, zone: str = "UTC") -> DataFrame:
+    """The cube of a generation, of both providers (SRC-12)."""
+    messages = X.to_cube_rows(X.events_b(_table(spark, store, generation, "messages", MESSAGES)), zone)
+    rows = _table(spark, store, generation, "ledger", LEDGER).drop("path")
+    return cube(rows.unionByName(messages.select(*rows.columns)))
 
 
+def issues(spark: SparkSession, store: str, generation: int) -> DataFrame:
+    """Files of a run that couldn't be read, as path and message (DML-8)."""
+    now = spark.read.parquet(f"{store}/generation={generation}/roles")
+    return now.filter("kind = 'failed'").select("path", F.lit("the file couldn't be read").alias("message"))

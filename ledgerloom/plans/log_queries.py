@@ -1,0 +1,403 @@
+"""Queries on logs: the driver's tables written as the JSON lines of both providers, read back by the extraction operators; the oracles state the results on the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import text as T
+from ledgerloom.operators import attribution as A
+from ledgerloom.operators import extraction as X
+from ledgerloom.operators import graph as G
+from ledgerloom.operators import history as Y
+from ledgerloom.operators import maintenance as D
+from ledgerloom.operators import vault as V
+from ledgerloom.plans import bindings as B
+from ledgerloom.plans.corpus_queries import query
+from ledgerloom.sources import jsonl as J
+from ledgerloom.sources import sinks as S
+
+
+def _json(**fields) -> Column:
+    return F.to_json(_struct(**fields))
+
+
+def _struct(**fields) -> Column:
+    return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in fields.items()])
+
+
+def _div(x: Column, n: int) -> Column:
+    return F.call_function("div", x, F.lit(n).cast("long"))
+
+
+def _iso(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+# --- provider A: a user of events is a file; a signup sets the model, a purchase counts tokens, an error is a broken line
+
+
+def log_a(spark: SparkSession, d: str) -> DataFrame:
+    """path, line_no, raw."""
+    k, v = F.get_json_object("props", "$.k").cast("int"), F.floor("value")
+    at = F.when(k % 9 == 0, F.lit("no time")).otherwise(_iso(F.col("ts")))
+    last = _struct(input_tokens=v, cached_input_tokens=_div(v, 3), cache_write_input_tokens=_div(v, 10), output_tokens=v % 7, reasoning_output_tokens=_div(v % 7, 2), total_tokens=v + v % 7 + k % 2)
+    usage = F.when(F.col("value").isNotNull(), _struct(total_token_usage=_struct(input_tokens=F.floor(F.col("value") * 3)), last_token_usage=last))
+    kind = F.col("event_type")
+    raw = (
+        F.when(kind == "signup", _json(timestamp=at, type="turn_context", payload=_struct(model=F.when(k % 10 == 0, " ").otherwise(F.concat(F.lit("m"), k)))))
+        .when(kind == "purchase", _json(timestamp=at, type="event_msg", payload=_struct(type="token_count", info=usage)))
+        .when(kind == "error", F.concat(F.lit('{"type":"event_msg","payload":{"type":"token_count","n":'), F.col("event_id")))
+        .otherwise(_json(timestamp=at, type="response_item", payload=_struct(type="message", text="the model of a turn_context")))
+    )
+    return B.table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id")).alias("path"), F.col("event_id").alias("line_no"), raw.alias("raw"))
+
+
+LOG_A_SQL = """e AS (SELECT 'u' || user_id AS path, event_id AS line_no, ts, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, value, CAST(floor(value) AS BIGINT) AS v FROM events),
+    a AS (SELECT *, CASE WHEN event_type = 'signup' THEN CASE WHEN k % 10 = 0 THEN 'unknown' ELSE 'm' || k END END AS context_model, event_type = 'purchase' AND value IS NOT NULL AS is_count FROM e),
+    m AS (SELECT *, last_value(context_model IGNORE NULLS) OVER w AS before, first_value(context_model IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS later
+          FROM a WINDOW w AS (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+@query("decoded_records_a", f"WITH {LOG_A_SQL} SELECT path, line_no, event_type = 'error' AS broken, context_model, is_count, CASE WHEN k % 9 <> 0 AND event_type <> 'error' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS at, CASE WHEN is_count THEN v END AS input FROM a WHERE event_type IN ('signup', 'purchase', 'error')")
+def _decoded(spark, d):
+    r = X.decode_a(log_a(spark, d))
+    # a line of another kind can hold the looked-for bytes within its text; it decodes to nothing
+    return r.filter("broken or context_model is not null or is_count or u is not null or ts is not null").join(_kinds(spark, d), ["path", "line_no"], "left_semi").select("path", "line_no", "broken", "context_model", "is_count", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), F.when(F.col("is_count"), F.col("u.input_tokens")).alias("input"))
+
+
+def _kinds(spark, d):
+    return B.table(spark, d, "events").filter("event_type in ('signup', 'purchase', 'error')").select(F.concat(F.lit("u"), F.col("user_id")).alias("path"), F.col("event_id").alias("line_no"))
+
+
+_USAGE_A = "v AS input, v // 3 AS cache_read, v // 10 AS cache_write_5m, v % 7 AS output, (v % 7) // 2 AS reasoning"
+
+
+@query("usage_events_a", f"WITH {LOG_A_SQL} SELECT path, line_no, before IS NULL AS buffered, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, coalesce(before, later, 'unknown') AS model, {_USAGE_A} FROM m WHERE is_count AND v + v % 7 > 0 AND k % 9 <> 0")
+def _usage_a(spark, d):
+    return X.events_a(log_a(spark, d)).select("path", "line_no", "buffered", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "model", "input", "cache_read", "cache_write_5m", "output", "reasoning")
+
+
+@query("log_diagnostics_a", f"""WITH {LOG_A_SQL}, c AS (SELECT *, v + v % 7 > 0 AS positive, coalesce(before, later, 'unknown') AS model, CAST(floor(value * 3) AS BIGINT) AS t FROM m WHERE is_count), l AS (SELECT *, lag(t) OVER (PARTITION BY path ORDER BY line_no) AS t0 FROM c)
+    SELECT count(*) AS token_events, count(*) FILTER (WHERE k % 2 = 1) AS last_usage_mismatches, count(*) FILTER (WHERE t < t0) AS counter_resets, count(*) FILTER (WHERE t = t0) AS duplicate_snapshots, count(*) FILTER (WHERE positive AND k % 9 <> 0 AND before IS NULL) AS buffered_before_model,
+           count(*) FILTER (WHERE positive AND k % 9 <> 0 AND before IS NULL AND model = 'unknown') AS unknown_model_events, count(*) FILTER (WHERE positive AND k % 9 = 0) + (SELECT count(*) FROM e WHERE event_type = 'error') AS malformed FROM l""")
+def _diagnostics_a(spark, d):
+    return X.diagnostics_a(log_a(spark, d))
+
+
+@query("resumed_usage_a", f"""WITH {LOG_A_SQL}, half AS (SELECT path, CAST(floor(avg(line_no)) AS BIGINT) AS cut FROM a GROUP BY path), carried AS (SELECT m.path, arg_max(before, line_no) AS model FROM m JOIN half USING (path) WHERE line_no <= cut GROUP BY m.path),
+    rest AS (SELECT a.*, model, last_value(context_model IGNORE NULLS) OVER (PARTITION BY a.path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS own, first_value(context_model IGNORE NULLS) OVER (PARTITION BY a.path ORDER BY line_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS later FROM a JOIN half USING (path) LEFT JOIN carried USING (path) WHERE line_no > cut)
+    SELECT path, line_no, coalesce(own, model, later, 'unknown') AS model, v AS input FROM rest WHERE is_count AND v + v % 7 > 0 AND k % 9 <> 0""")
+def _resumed(spark, d):
+    lines = log_a(spark, d)
+    half = lines.groupBy("path").agg(F.floor(F.avg("line_no")).alias("cut"))
+    at = lines.join(half, "path")
+    known = X.attribute_models(X.decode_a(at.filter("line_no <= cut")), ["path"], ["line_no"]).filter("not buffered")
+    checkpoints = known.groupBy("path").agg(F.max_by("model", "line_no").alias("model"))
+    return D.resumed_events_a(at.filter("line_no > cut"), checkpoints).select("path", "line_no", "model", "input")
+
+
+# --- provider B: an event with a value is a snapshot of the message of its user's hour
+
+
+def log_b(spark: SparkSession, d: str) -> DataFrame:
+    """path, line_no, raw."""
+    k, v = F.get_json_object("props", "$.k").cast("int"), F.floor("value")
+    zero = F.lit(0).cast("long")
+    one = _struct(model=F.when(k % 2 == 1, "").otherwise(F.concat(F.lit("it"), k % 4)), input_tokens=v, cache_read_input_tokens=F.lit(1).cast("long"), output_tokens=F.lit(2).cast("long"))
+    two = _struct(model=F.lit(None).cast("string"), input_tokens=zero + 3, cache_read_input_tokens=zero, output_tokens=v % 7)
+    creation = _struct(ephemeral_5m_input_tokens=v % 5, ephemeral_1h_input_tokens=F.when(k % 4 == 0, v % 3))
+    usage = _struct(input_tokens=v, cache_read_input_tokens=v % 11, cache_creation_input_tokens=v % 13, output_tokens=v % 7, cache_creation=creation, iterations=F.when(k % 3 == 0, F.array(one, two)))
+    message = F.when(k % 17 == 0, "").otherwise(F.concat(F.col("user_id"), F.lit("/"), F.date_format("ts", "yyyy-MM-dd-HH")))
+    raw = _json(timestamp=F.when(k % 9 == 0, "no time").otherwise(_iso(F.col("ts"))), type=F.when(F.col("event_type") == "error", "user").otherwise("assistant"), message=_struct(id=message, model=F.concat(F.lit("b"), k % 5), usage=usage))
+    return B.table(spark, d, "events").filter("value is not null").select(F.concat(F.lit("u"), F.col("user_id")).alias("path"), F.col("event_id").alias("line_no"), raw.alias("raw"))
+
+
+LOG_B_SQL = """e AS (SELECT 'u' || user_id AS path, event_id AS line_no, ts, user_id || '/' || strftime(ts, '%Y-%m-%d-%H') AS message_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(floor(value) AS BIGINT) AS v FROM events WHERE value IS NOT NULL AND event_type <> 'error'),
+    b AS (SELECT *, CASE WHEN k % 3 = 0 THEN v + 6 + v % 7 ELSE v + v % 11 + v % 13 + v % 7 END AS score FROM e WHERE k % 9 <> 0 AND k % 17 <> 0)"""
+
+
+@query("message_snapshots_b", f"WITH {LOG_B_SQL} SELECT path, line_no, message_id, CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END AS iterations, score FROM b")
+def _snapshots_b(spark, d):
+    return X.candidates_b(log_b(spark, d)).select("path", "line_no", "message_id", F.size("iterations").alias("iterations"), "score")
+
+
+@query("usage_events_b", f"""WITH {LOG_B_SQL}, r AS (SELECT *, max(score) OVER (PARTITION BY message_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM b),
+    records AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY line_no DESC) AS place, min(ts) OVER (PARTITION BY message_id) AS first FROM r WHERE best IS NULL OR score > best), kept AS (SELECT *, strftime(first, '%Y-%m-%d %H:%M:%S') AS "at" FROM records WHERE place = 1),
+    made AS (SELECT "at", 'b' || (k % 5) AS model, v + v % 11 + v % 13 AS input, v % 11 AS cache_read, v % 5 AS cache_write_5m, CASE WHEN k % 4 = 0 THEN v % 3 ELSE 0 END AS cache_write_1h, greatest(0, v % 13 - v % 5 - CASE WHEN k % 4 = 0 THEN v % 3 ELSE 0 END) AS cache_write_unclassified, v % 7 AS output FROM kept WHERE k % 3 <> 0
+             UNION ALL SELECT "at", CASE WHEN k % 2 = 1 THEN 'b' || (k % 5) ELSE 'it' || (k % 4) END, v + 1, 1, 0, 0, 0, 2 FROM kept WHERE k % 3 = 0 UNION ALL SELECT "at", 'b' || (k % 5), 3, 0, 0, 0, 0, v % 7 FROM kept WHERE k % 3 = 0)
+    SELECT "at", model, CAST(input AS BIGINT) AS input, CAST(cache_read AS BIGINT) AS cache_read, CAST(cache_write_5m AS BIGINT) AS cache_write_5m, CAST(cache_write_1h AS BIGINT) AS cache_write_1h, CAST(cache_write_unclassified AS BIGINT) AS cache_write_unclassified, CAST(output AS BIGINT) AS output FROM made WHERE input + output > 0""")
+def _usage_b(spark, d):
+    kept = X.progressive(X.candidates_b(log_b(spark, d)), "message_id", ["line_no"])
+    return X.events_b(kept).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "model", "input", "cache_read", "cache_write_5m", "cache_write_1h", "cache_write_unclassified", "output")
+
+
+# --- conversations as rollouts of both providers; every eighth text of a user has one of the forms that tools write
+
+
+def _said() -> Column:
+    f, x = (F.col("conv_id") + F.col("turn")) % 8, F.col("text")
+    forms = (
+        F.when(f == 0, F.lit("<environment_context>x</environment_context>")).when(f == 1, F.concat(F.lit("<command-name>/x</command-name>\n  <command-args>"), x, F.lit("</command-args>")))
+        .when(f == 2, F.concat(F.lit("Message Type: NEW_TASK\nTask name: a\nSender: b\nPayload:\n"), x)).when(f == 3, F.concat(F.lit("<bash-input>ls</bash-input><bash-stdout>"), x, F.lit("</bash-stdout>")))
+        .when(f == 4, F.lit("<system-reminder>x</system-reminder>")).when(f == 5, F.concat(F.lit("  "), x, F.lit("\r\n"))).otherwise(x)
+    )
+    return F.when(F.col("role") == "user", forms).otherwise(x)
+
+
+_TRIMMED = "regexp_replace(regexp_replace({}, '^\\s+', ''), '\\s+$', '')"
+SAID_SQL = f"""c AS (SELECT *, (conv_id + turn) % 8 AS f, strftime(TIMESTAMP '2024-01-01' + to_minutes(CAST(conv_id * 97 + turn * 11 AS BIGINT)), '%Y-%m-%dT%H:%M:%SZ') AS ts FROM conversations),
+    s AS (SELECT *, {_TRIMMED.format("CASE WHEN role <> 'user' OR f > 5 THEN text WHEN f = 0 THEN '<environment_context>x</environment_context>' WHEN f = 1 THEN '<command-name>/x</command-name>' || chr(10) || '  <command-args>' || text || '</command-args>' WHEN f = 2 THEN 'Message Type: NEW_TASK' || chr(10) || 'Task name: a' || chr(10) || 'Sender: b' || chr(10) || 'Payload:' || chr(10) || text WHEN f = 3 THEN '<bash-input>ls</bash-input><bash-stdout>' || text || '</bash-stdout>' WHEN f = 4 THEN '<system-reminder>x</system-reminder>' ELSE text END")} AS said FROM c),
+    p AS (SELECT *, CASE WHEN role <> 'user' THEN 'assistant' WHEN f = 0 THEN 'system_injected' WHEN f = 4 THEN 'agent_instruction' ELSE 'human' END AS classification,
+                 CASE WHEN role <> 'user' OR f IN (0, 4) THEN 'unknown' WHEN f IN (1, 3) THEN 'command' WHEN f = 2 THEN 'delegation' ELSE 'human' END AS kind FROM s WHERE coalesce(said, '') <> '')"""
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    at = F.timestamp_seconds(F.lit(1704067200) + (F.col("conv_id") * 97 + F.col("turn") * 11) * 60)
+    return B.table(spark, d, "conversations").select("conv_id", "turn", "role", _said().alias("said"), _iso(at).alias("ts"))
+
+
+def rollouts_a(spark: SparkSession, d: str) -> DataFrame:
+    """path, line_no, raw: a session record, then items of all turns and messages of the users' turns, three or six lines after the turn's first."""
+    t = _turns(spark, d).withColumn("path", F.concat(F.lit("c"), F.col("conv_id")))
+    i = F.col("conv_id")
+    payload = _struct(
+        id=F.concat(F.lit("n"), i), cwd=F.when(i % 7 == 0, F.lit("/tmp/x")).otherwise(F.concat(F.lit("/work/Team"), i % 6)), cli_version=F.when(i % 2 == 0, F.lit("0.93.0")).otherwise(F.lit("0.92.9")), source=F.lit("cli"),
+        thread_source=F.when(i % 5 == 0, F.lit("subagent")), parent_thread_id=F.when(i % 5 == 0, F.concat(F.lit("n"), i - 1)), git=_struct(branch=F.concat(F.lit("b"), i % 3), repository_url=F.when(i % 4 == 0, F.concat(F.lit("git@Host.com:team/Repo"), i % 5, F.lit(".git")))),
+    )
+    meta = t.select("path", "conv_id").distinct().select("path", F.lit(0).cast("long").alias("line_no"), _json(timestamp="2024-01-01T00:00:00Z", type="session_meta", payload=payload).alias("raw"))
+    kind = F.when(F.col("role") == "assistant", "output_text").otherwise("input_text")
+    items = t.select("path", (F.col("turn") * 10 + 1).alias("line_no"), _json(timestamp=F.col("ts"), type="response_item", payload=_struct(type="message", role=F.col("role"), content=F.array(_struct(type=kind, text=F.col("said"))))).alias("raw"))
+    told = t.filter("role = 'user'").select("path", (F.col("turn") * 10 + F.when(F.col("turn") % 4 == 0, 3).otherwise(6)).alias("line_no"), _json(timestamp=F.col("ts"), type="event_msg", payload=_struct(type="user_message", message=F.col("said"))).alias("raw"))
+    return meta.unionByName(items).unionByName(told)
+
+
+_ROWS_A = """r AS (SELECT 'c' || conv_id AS path, turn * 10 + CASE WHEN turn % 4 = 0 THEN 3 ELSE 6 END AS line_no, role, said, true AS confirmed, classification IN ('human', 'assistant') AS searchable, classification, kind FROM p WHERE role = 'user'
+    UNION ALL SELECT 'c' || conv_id, turn * 10 + 1, role, said, false, role = 'assistant', classification, kind FROM p WHERE role = 'assistant' OR (role = 'user' AND turn % 4 <> 0))"""
+
+
+@query("prompts_of_rollouts_a", f"WITH {SAID_SQL}, {_ROWS_A} SELECT path, line_no, role, sha256(said) AS text, confirmed, searchable, classification, kind FROM r")
+def _prompts_a(spark, d):
+    return Y.prompts_a(rollouts_a(spark, d), assistant=True).select("path", "line_no", "role", F.sha2("text", 256).alias("text"), "confirmed", "searchable", "classification", "kind")
+
+
+@query("excluded_prompts_a", f"WITH {SAID_SQL}, {_ROWS_A} SELECT classification, CASE WHEN classification IN ('human', 'assistant') THEN 'metadata' ELSE 'wrapper' END AS reason, count(*) AS n FROM r WHERE NOT searchable GROUP BY 1, 2")
+def _excluded_a(spark, d):
+    return Y.exclusions(Y.prompts_a(rollouts_a(spark, d), assistant=True))
+
+
+@query("sessions_of_rollouts_a", """WITH i AS (SELECT DISTINCT conv_id AS i FROM conversations), x AS (SELECT i, CASE WHEN i % 4 = 0 THEN 'Repo' || (i % 5) END AS repository, CASE WHEN i % 7 = 0 THEN '/tmp/x' ELSE '/work/Team' || (i % 6) END AS cwd FROM i)
+    SELECT 'c' || i AS path, 'n' || i AS native_id, CASE WHEN i % 5 = 0 THEN 'n' || (i - 1) END AS parent_native, cwd, 'b' || (i % 3) AS branch, repository, CASE WHEN i % 5 = 0 THEN 'subagent' WHEN i % 2 = 0 THEN 'root' ELSE 'unknown' END AS thread_kind,
+           CASE WHEN i % 4 = 0 THEN lower(repository) WHEN i % 7 <> 0 THEN 'team' || (i % 6) END AS project, CASE WHEN i % 4 = 0 THEN 'git' WHEN i % 7 <> 0 THEN 'cwd' END AS project_source, 'native:n' || i AS identity FROM x""")
+def _sessions_a(spark, d):
+    return Y.sessions_a(rollouts_a(spark, d)).select("path", "native_id", "parent_native", "cwd", "branch", "repository", "thread_kind", "project", "project_source", "identity")
+
+
+@query("transcripts_a", f"""WITH {SAID_SQL} SELECT 'c' || conv_id AS path, CAST(0 AS BIGINT) AS line_no, 'metadata' AS kind, NULL AS role, NULL AS said FROM (SELECT DISTINCT conv_id FROM c) UNION ALL
+    SELECT 'c' || conv_id, turn * 10 + 1, 'message', role, length(CASE WHEN role = 'user' AND f = 5 THEN '  ' || text || chr(13) || chr(10) WHEN role = 'user' AND f < 5 THEN said ELSE text END) FROM s UNION ALL
+    SELECT 'c' || conv_id, turn * 10 + CASE WHEN turn % 4 = 0 THEN 3 ELSE 6 END, 'message', 'user', length(CASE WHEN f = 5 THEN '  ' || text || chr(13) || chr(10) WHEN f < 5 THEN said ELSE text END) FROM s WHERE role = 'user'""")
+def _transcripts_a(spark, d):
+    r = Y.transcript_a(rollouts_a(spark, d))
+    return r.select("path", "line_no", "kind", "role", F.when(F.col("kind") != "metadata", F.length("text")).cast("long").alias("said"))
+
+
+def rollouts_b(spark: SparkSession, d: str) -> DataFrame:
+    """path, line_no, raw: a line a turn, of text or of blocks; every twelfth conversation is a subagent's."""
+    i, n = F.col("conv_id"), F.col("turn")
+    path = F.when(i % 12 == 0, F.concat(F.lit("/logs/projects/p/s"), i, F.lit("/subagents/a"), i, F.lit(".jsonl"))).otherwise(F.concat(F.lit("/logs/projects/p/s"), i, F.lit(".jsonl")))
+    none = F.lit(None).cast("string")
+    block = lambda **x: _struct(**({"type": none, "text": none, "thinking": none, "name": none, "id": none, "tool_use_id": none, "content": none} | {k: v if isinstance(v, Column) else F.lit(v) for k, v in x.items()}))
+    blocks = F.array_compact(F.array(
+        block(type="text", text=F.col("said")), F.when(n % 3 == 0, block(type="thinking", thinking="so")),
+        F.when((F.col("role") == "assistant") & (n % 4 == 1), block(type="tool_use", name="grep", id=F.concat(F.lit("t"), n))), F.when((F.col("role") == "user") & (n % 3 == 1), block(type="tool_result", tool_use_id=F.concat(F.lit("t"), n - 1), content="found")),
+    ))
+    common = dict(timestamp=F.col("ts"), type=F.col("role"), uuid=F.concat(F.lit("m"), i, F.lit("-"), n), isSidechain=n % 7 == 3, isMeta=n % 5 == 4)
+    whole = _json(**common, message=_struct(role=F.col("role"), content=F.col("said")))
+    parts = _json(**common, message=_struct(role=F.col("role"), content=blocks))
+    return _turns(spark, d).select(path.alias("path"), (n + 1).alias("line_no"), F.when(n % 2 == 1, parts).otherwise(whole).alias("raw"))
+
+
+_PATH_B = "'/logs/projects/p/s' || conv_id || CASE WHEN conv_id % 12 = 0 THEN '/subagents/a' || conv_id ELSE '' END || '.jsonl'"
+
+
+@query("prompts_of_rollouts_b", f"""WITH {SAID_SQL} SELECT {_PATH_B} AS path, turn + 1 AS line_no, role, sha256(said) AS text, 'm' || conv_id || '-' || turn AS message_id, turn % 5 <> 4 AND NOT (turn % 2 = 1 AND role = 'user' AND turn % 3 = 1) AND classification IN ('human', 'assistant') AS searchable, classification, kind
+    FROM p WHERE role IN ('user', 'assistant') AND (turn % 7 <> 3 OR conv_id % 12 = 0)""")
+def _prompts_b(spark, d):
+    return Y.prompts_b(rollouts_b(spark, d), assistant=True).select("path", "line_no", "role", F.sha2("text", 256).alias("text"), "message_id", "searchable", "classification", "kind")
+
+
+_BLOCKS_B = """b AS (SELECT conv_id, turn, role, 0 AS k, 'message' AS kind, NULL AS tool, NULL AS call_id FROM c WHERE text IS NOT NULL OR turn % 2 = 1 UNION ALL SELECT conv_id, turn, role, 1, 'thinking', NULL, NULL FROM c WHERE turn % 2 = 1 AND turn % 3 = 0
+    UNION ALL SELECT conv_id, turn, role, 2, 'tool_call', 'grep', 't' || turn FROM c WHERE turn % 2 = 1 AND role = 'assistant' AND turn % 4 = 1 UNION ALL SELECT conv_id, turn, role, 3, 'tool_result', NULL, 't' || (turn - 1) FROM c WHERE turn % 2 = 1 AND role = 'user' AND turn % 3 = 1)"""
+
+
+@query("transcripts_b", f"WITH {SAID_SQL}, {_BLOCKS_B} SELECT {_PATH_B} AS path, turn + 1 AS line_no, row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) - 1 AS block_no, kind, role, tool, call_id FROM b")
+def _transcripts_b(spark, d):
+    return Y.transcript_b(rollouts_b(spark, d)).select("path", "line_no", F.col("block_no").cast("long").alias("block_no"), "kind", "role", "tool", "call_id")
+
+
+@query("kinds_of_transcripts", f"WITH {SAID_SQL}, {_BLOCKS_B} SELECT kind, kind IN ('thinking', 'tool_call', 'tool_result') AND kind <> 'tool_call' AS omitted, count(*) AS n FROM b GROUP BY 1, 2")
+def _volume(spark, d):
+    records = S.volume_policy(Y.transcript_b(rollouts_b(spark, d)))
+    return records.groupBy("kind", "omitted").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("thread_facts", f"""SELECT DISTINCT {_PATH_B} AS path, CASE WHEN conv_id % 12 = 0 THEN 'subagent' ELSE 'root' END AS thread_kind, CASE WHEN conv_id % 12 = 0 THEN 'a' || conv_id ELSE 's' || conv_id END AS native_id, CASE WHEN conv_id % 12 = 0 THEN 's' || conv_id END AS parent_id FROM conversations""")
+def _thread_facts(spark, d):
+    paths = rollouts_b(spark, d).select("path").distinct()
+    return paths.select("path", T.thread_facts(F.col("path")).alias("f")).select("path", "f.thread_kind", "f.native_id", "f.parent_id")
+
+
+# --- files: a user of events is a file of lines; a customer is one of repeated names
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """path, size, mtime, content; every third file ends without a line end."""
+    e = B.table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", _json(timestamp=_iso(F.col("ts")), n=F.col("event_id")).alias("raw")))).alias("l"))
+    text = F.concat(F.array_join(F.transform("l", lambda x: x["raw"]), "\n"), F.when(F.col("user_id") % 3 == 0, "").otherwise("\n"))
+    return e.select(F.concat(F.lit("u"), F.col("user_id")).alias("path"), F.octet_length(text).cast("long").alias("size"), F.lit("2024-02-01").cast("timestamp").alias("mtime"), text.cast("binary").alias("content"))
+
+
+_LINES = """l AS (SELECT user_id, event_id, ts, '{"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","n":' || event_id || '}' AS raw, row_number() OVER w AS line_no, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    x AS (SELECT *, CAST(sum(strlen(raw) + CASE WHEN back = 1 AND user_id % 3 = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY line_no) AS BIGINT) AS end_offset, strlen(raw) + CASE WHEN back = 1 AND user_id % 3 = 0 THEN 0 ELSE 1 END AS size FROM l)"""
+
+
+@query("positioned_lines", f"WITH {_LINES} SELECT 'u' || user_id AS path, line_no, end_offset - size AS start_offset, end_offset, raw FROM x WHERE NOT (back = 1 AND user_id % 3 = 0)")
+def _positioned(spark, d):
+    return J.positioned_lines(_files(spark, d).select("path", "content"))
+
+
+@query("archived_lines", f"WITH {_LINES} SELECT 'u' || user_id AS path, line_no, end_offset FROM x")
+def _archived_lines(spark, d):
+    return J.positioned_lines(_files(spark, d).select("path", "content"), complete_only=False).select("path", "line_no", "end_offset")
+
+
+@query("lines_from_a_checkpoint", f"WITH {_LINES}, s AS (SELECT user_id, max(end_offset) FILTER (WHERE line_no <= 5) AS start, max(line_no) FILTER (WHERE line_no <= 5) AS n FROM x GROUP BY user_id) SELECT 'u' || user_id AS path, line_no, end_offset - size AS start_offset FROM x JOIN s USING (user_id) WHERE line_no > n AND NOT (back = 1 AND user_id % 3 = 0)")
+def _from_checkpoint(spark, d):
+    files = _files(spark, d)
+    first = J.positioned_lines(files.select("path", "content")).filter("line_no <= 5").groupBy("path").agg(F.max("end_offset").alias("start"), F.max("line_no").alias("lines"))
+    whole = J.positioned_lines(files.select("path", "content"), complete_only=False).filter("line_no <= 5").groupBy("path").agg(F.max("end_offset").alias("_s"), F.max("line_no").alias("_l"))
+    at = files.join(first, "path", "left").join(whole, "path").select("path", "content", F.coalesce("start", "_s").alias("start"), F.coalesce("lines", "_l").alias("lines"))
+    return J.positioned_lines(at, start="start", lines="lines").select("path", "line_no", "start_offset")
+
+
+@query("line_statistics", "SELECT 'u' || user_id AS path, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, count(*) AS line_count FROM events GROUP BY user_id")
+def _line_statistics(spark, d):
+    f = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return J.line_statistics(J.positioned_lines(_files(spark, d).select("path", "content"), complete_only=False)).select("path", f("first_ts"), f("last_ts"), "line_count")
+
+
+def _contents(spark: SparkSession, d: str) -> DataFrame:
+    """A customer's file repeats its nation's key, so files have equal contents; ASCII only."""
+    c = B.table(spark, d, "customer")
+    text = F.repeat(F.concat(F.lit("nation "), F.col("c_nationkey"), F.lit("\n")), (F.col("c_nationkey") * 40 + 1).cast("int"))
+    return c.select(F.concat(F.lit("p"), F.col("c_custkey")).alias("path"), F.octet_length(text).cast("long").alias("size"), F.lit("2024-02-01").cast("timestamp").alias("mtime"), text.cast("binary").alias("content"))
+
+
+_CONTENTS = "f AS (SELECT 'p' || c_custkey AS path, c_custkey, c_nationkey, c_mktsegment, repeat('nation ' || c_nationkey || chr(10), c_nationkey * 40 + 1) AS content FROM customer)"
+
+
+@query("file_fingerprints", f"WITH {_CONTENTS} SELECT path, length(content) AS size, sha256(content) AS content_sha256, sha256(left(content, 4096)) AS prefix_hash, sha256(right(content, 4096)) AS tail_hash FROM f")
+def _fingerprints(spark, d):
+    return J.fingerprints(_contents(spark, d)).select("path", "size", "content_sha256", "prefix_hash", "tail_hash")
+
+
+@query("content_owners", f"WITH {_CONTENTS} SELECT path, min(path) OVER (PARTITION BY content) AS owner FROM f")
+def _content_owners(spark, d):
+    return J.content_owners(_contents(spark, d))
+
+
+@query("appended_and_rewritten", f"WITH {_CONTENTS} SELECT path, CASE WHEN c_nationkey = 0 THEN 'unchanged' WHEN c_mktsegment = 'BUILDING' THEN 'rewritten' ELSE 'appended' END AS kind FROM f")
+def _appended(spark, d):
+    files = _contents(spark, d).join(B.table(spark, d, "customer").select(F.concat(F.lit("p"), F.col("c_custkey")).alias("path"), "c_nationkey", "c_mktsegment"), "path")
+    half = F.octet_length(F.concat(F.lit("nation "), F.col("c_nationkey"), F.lit("\n"))).cast("long")
+    old = F.when(F.col("c_nationkey") == 0, F.col("size")).otherwise(half)
+    tail = F.when((F.col("c_nationkey") > 0) & (F.col("c_mktsegment") == "BUILDING"), F.lit("another")).otherwise(T.tail_fingerprint(F.col("content"), old))
+    return J.classify_files(files.select("path", "size", "mtime"), files.select("path", old.alias("size"), "mtime", old.alias("byte_offset"), tail.alias("tail_hash")), files)
+
+
+@query("contents_once", f"WITH {_CONTENTS} SELECT c_mktsegment AS provider, sha256(content) AS content_sha256 FROM f GROUP BY 1, 2")
+def _once(spark, d):
+    files = _contents(spark, d).join(B.table(spark, d, "customer").select(F.concat(F.lit("p"), F.col("c_custkey")).alias("path"), F.col("c_mktsegment").alias("provider")), "path")
+    return V.deduplicated(files.select("provider", F.sha2("content", 256).alias("content_sha256")))
+
+
+@query("verified_members", f"WITH {_CONTENTS} SELECT path AS source_path, CAST(1 AS BIGINT) AS version, CASE WHEN c_mktsegment = 'BUILDING' THEN 'corrupt' WHEN c_mktsegment = 'MACHINERY' THEN 'absent' ELSE 'ok' END AS state FROM f")
+def _verified(spark, d):
+    c = B.table(spark, d, "customer").select(F.concat(F.lit("p"), F.col("c_custkey")).alias("path"), "c_mktsegment")
+    files = _contents(spark, d).join(c, "path").withColumn("version", F.lit(1).cast("long"))
+    manifest = files.select(F.col("path").alias("source_path"), "version", F.sha2("content", 256).alias("content_sha256"))
+    bytes_ = F.when(F.col("c_mktsegment") == "BUILDING", F.lit("other").cast("binary")).otherwise(F.col("content"))
+    return V.verify(manifest, files.filter("c_mktsegment <> 'MACHINERY'").select(F.col("path").alias("source_path"), "version", bytes_.alias("content")))
+
+
+@query("archived_versions", "SELECT 'c' || o_custkey AS source_path, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version FROM orders")
+def _versions(spark, d):
+    o = B.table(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("source_path"), "o_orderkey", "o_orderdate")
+    return V.versioned(o, "source_path", ["o_orderdate", "o_orderkey"]).select("source_path", "o_orderkey", "version")
+
+
+@query("vaulted_copies", f"WITH {_CONTENTS} SELECT path, CAST(c_nationkey AS BIGINT) AS session_id FROM f WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey)")
+def _vaulted(spark, d):
+    c = B.table(spark, d, "customer").select(F.concat(F.lit("p"), F.col("c_custkey")).alias("path"), F.col("c_nationkey").cast("long").alias("session_id"))
+    live = _contents(spark, d).join(c, "path").select("path", "session_id", F.sha2("content", 256).alias("content_sha256"))
+    held = B.table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("session_id"))
+    kept = F.repeat(F.concat(F.lit("nation "), F.col("session_id"), F.lit("\n")), (F.col("session_id") * 40 + 1).cast("int"))
+    return A.same_content(live, held.select("session_id", F.sha2(kept, 256).alias("content_sha256"))).select("path", "session_id")
+
+
+# --- graph, upkeep and state of sources
+
+
+@query("supported_edges", """SELECT o_orderkey AS child, o_custkey AS parent FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""")
+def _supported(spark, d):
+    o = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("child"), F.col("o_custkey").alias("parent"))
+    return G.supported(o, B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("child")), ["child"])
+
+
+@query("missing_heads", "SELECT o_custkey AS session_id, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS settled, count(*) FILTER (WHERE o_orderpriority <> '1-URGENT') AS unsettled FROM orders GROUP BY 1 HAVING count(*) FILTER (WHERE o_orderstatus = 'F') = 0")
+def _missing_heads(spark, d):
+    o = B.table(spark, d, "orders")
+    return A.missing_state(o.select(F.col("o_custkey").alias("session_id"), (F.col("o_orderstatus") == "F").alias("available"), (F.col("o_orderpriority") == "1-URGENT").alias("settled")))
+
+
+@query("settled_sources", "SELECT 'p' || c_custkey AS path, c_acctbal < 0 AS missing, c_mktsegment = 'BUILDING' OR c_acctbal < 0 AS settled FROM customer")
+def _settled(spark, d):
+    c = B.table(spark, d, "customer")
+    return D.settle(c.select(F.concat(F.lit("p"), F.col("c_custkey")).alias("path"), (F.col("c_acctbal") < 0).alias("missing"), (F.col("c_mktsegment") == "BUILDING").alias("settled")))
+
+
+@query("newest_tombstones", "SELECT o_custkey AS source, o_orderkey AS id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n <= 4")
+def _tombstones(spark, d):
+    o = B.table(spark, d, "orders").select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("deleted_at"))
+    return D.newest_tombstones(o, 4).select("source", "id")
+
+
+@query("sources_due", "SELECT o_orderkey, o_orderstatus = 'P' OR date_diff('second', o_orderdate, TIMESTAMP '1998-06-01') >= 86400 AS due FROM orders")
+def _due(spark, d):
+    o = B.table(spark, d, "orders")
+    return o.select("o_orderkey", A.due(F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")), F.lit("1998-06-01").cast("timestamp"), 24).alias("due"))
+
+
+@query("usage_in_a_window", "SELECT event_id, CAST(floor(value) AS BIGINT) AS input FROM events WHERE value IS NOT NULL AND event_type <> 'error' AND ts >= '2024-01-05' AND ts <= '2024-01-15'")
+def _window(spark, d):
+    e = B.table(spark, d, "events").filter("value is not null").select("event_id", F.when(F.col("event_type") != "error", F.col("ts")).alias("ts"), F.floor("value").alias("input"), F.lit(0).cast("long").alias("output"))
+    return A.in_window(e, "2024-01-05", "2024-01-15")[0].select("event_id", "input")
+
+
+@query("freshness_of_sources", """WITH o AS (SELECT o_custkey AS k, CAST(floor(max(o_totalprice)) AS BIGINT) AS size, max(o_orderdate) AS mtime FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1), c AS (SELECT o_custkey AS k, CAST(floor(max(o_totalprice)) AS BIGINT) AS size, max(o_orderdate) AS mtime FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)
+    SELECT count(*) FILTER (WHERE c.k IS NULL) AS new, count(*) FILTER (WHERE c.size <> o.size OR c.mtime <> o.mtime) AS changed, count(*) FILTER (WHERE o.k IS NULL) AS missing, count(*) FILTER (WHERE (c.k IS NULL OR c.size <> o.size OR c.mtime <> o.mtime) AND date_diff('second', o.mtime, TIMESTAMP '2000-01-01') < 14400 * 60) AS active FROM o FULL JOIN c ON o.k = c.k""")
+def _fresh(spark, d):
+    o = B.table(spark, d, "orders").select(F.col("o_custkey").alias("path"), "o_orderstatus", "o_totalprice", "o_orderdate")
+    made = lambda rows: rows.groupBy("path").agg(F.floor(F.max("o_totalprice")).alias("size"), F.max("o_orderdate").alias("mtime"))
+    return D.freshness(made(o.filter("o_orderstatus <> 'P'")), made(o.filter("o_orderstatus <> 'F'")), "2000-01-01", 14400)
+
+
+@query("stable_ids", "SELECT o_orderkey, sha256(CAST(o_custkey AS VARCHAR) || chr(31) || coalesce(o_orderstatus, chr(0))) AS id FROM orders")
+def _stable(spark, d):
+    return B.table(spark, d, "orders").select("o_orderkey", D.stable_id("o_custkey", "o_orderstatus").alias("id"))
+
+
+@query("backfilled_sessions", f"""WITH {B.CORPUS_SQL} SELECT session_id, CASE WHEN provider <> 'codex' THEN project WHEN coalesce(trim(repository), '') <> '' THEN lower(repository) ELSE 'team' || (session_id % 6) END AS project, CAST(CASE WHEN provider = 'codex' THEN 3 ELSE 5 END AS INTEGER) AS rule_version FROM sessions""")
+def _backfilled(spark, d):
+    s = B.sessions(spark, d).withColumn("rule_version", F.when(F.col("provider") == "codex", F.lit(None).cast("int")).otherwise(F.lit(5)))
+    return D.backfill(s, 3).select("session_id", "project", "rule_version")

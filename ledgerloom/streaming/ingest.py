@@ -11,37 +11,54 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerloom.operators import extraction as X
-from ledgerloom.operators.cube import KEY, cube, sums
+from ledgerloom.operators.cube import BUCKETS, KEY, cube, sums
 
 
 def read_new_files(spark: SparkSession, root: str) -> DataFrame:
-    """path and content of log files as they come; each file version is read once, the checkpoint remembers which (STR-1)."""
+    """path and content of log files as they come; each path is read once, the checkpoint remembers which. For logs that grow in place see plans.jobs.sync (STR-1)."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).load(root).select("path", "content")
 
 
-def ledger_writer(out: str, zone: str = "UTC"):
-    """For foreachBatch: a file's contribution, in a folder named by the batch, so that a batch that runs again replaces itself (STR-6)."""
+def ledger_writer(out: str, zone: str = "UTC", provider: str = "codex"):
+    """For foreachBatch: the batch's files, their contributions and their messages, in folders named by provider and batch, so that a batch that runs again replaces itself (STR-6). A file without events is among the files too, so that what it held before no longer counts."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         from ledgerloom.sources.jsonl import positioned_lines
 
-        rows = X.to_cube_rows(X.events_a(positioned_lines(batch)), zone)
-        rows.groupBy("path", *KEY).agg(*sums()).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch = batch.persist()
+        at = f"provider_of={provider}/batch={batch_id}"
+        try:
+            batch.select("path").write.mode("overwrite").parquet(f"{out}/files/{at}")
+            lines = positioned_lines(batch)
+            if provider == "codex":
+                rows = X.to_cube_rows(X.events_a(lines), zone)
+                rows.groupBy("path", *KEY).agg(*sums()).write.mode("overwrite").parquet(f"{out}/ledger/{at}")
+            else:
+                X.candidates_b(lines).write.mode("overwrite").parquet(f"{out}/messages/{at}")
+        finally:
+            batch.unpersist()
 
     return write
 
 
-def ingest(spark: SparkSession, root: str, out: str, checkpoint: str, zone: str = "UTC") -> StreamingQuery:
-    """All files that are new since the last call, then an end (ING-22, RPT-8)."""
-    return read_new_files(spark, root).writeStream.foreachBatch(ledger_writer(out, zone)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest(spark: SparkSession, root: str, out: str, checkpoint: str, zone: str = "UTC", provider: str = "codex") -> StreamingQuery:
+    """All files of a provider that are new since the last call, then an end (ING-22, RPT-8)."""
+    return read_new_files(spark, root).writeStream.foreachBatch(ledger_writer(out, zone, provider)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def cube_of(spark: SparkSession, out: str) -> DataFrame:
-    """The cube of the ledger: a file seen again counts as it was last; a vanished one stays (ING-18, ING-21)."""
-    ledger = spark.read.parquet(out)
-    last = ledger.groupBy("path").agg(F.max("batch").alias("batch"))
-    return cube(ledger.join(last, ["path", "batch"]))
+def cube_of(spark: SparkSession, out: str, zone: str = "UTC", providers: tuple[str, ...] = ("codex",)) -> DataFrame:
+    """The cube of what the named providers' streams have written: a file seen again counts as it was last, a message as its best snapshot; a vanished file stays (ING-18, ING-19, ING-21)."""
+    rows = None
+    for provider in providers:
+        if provider == "codex":
+            last = spark.read.parquet(f"{out}/files").filter(F.col("provider_of") == provider).groupBy("path").agg(F.max("batch").alias("batch"))
+            found = spark.read.parquet(f"{out}/ledger").join(last, ["path", "batch"])
+        else:
+            found = X.to_cube_rows(X.events_b(X.progressive(spark.read.parquet(f"{out}/messages"), "message_id", ["batch", "path", "line_no"])), zone)
+        found = found.select(*KEY, *BUCKETS)
+        rows = found if rows is None else rows.unionByName(found)
+    return cube(rows)
 
 
 MESSAGE_STATE = "best long, first timestamp"
@@ -52,9 +69,11 @@ def _beat(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
     best, first = state.get if state.exists else (None, None)
     old = best, first
     for frame in frames:
-        for _, row in frame.sort_values("line_no").iterrows():
-            if best is None or row["score"] > best:
-                best, first = int(row["score"]), row["ts"] if first is None else min(first, row["ts"])
+        rows = frame.sort_values("line_no")
+        beaten = rows["score"].cummax().shift().fillna(-1 if best is None else best).clip(lower=-1 if best is None else best)
+        records = rows[rows["score"] > beaten]
+        if len(records):
+            best, first = int(records["score"].max()), records["ts"].min() if first is None else min(first, records["ts"].min())
     if (best, first) != old:
         state.update((best, first))
         yield pd.DataFrame({"message_id": [key[0]], "score": [best], "ts": [first], "old_score": pd.array([old[0]], dtype="Int64"), "old_ts": pd.to_datetime([old[1]])})

@@ -10,7 +10,7 @@ from ledgerloom.operators import search as H
 from ledgerloom.plans import bindings as B
 from ledgerloom.plans import history_reports as Z
 from ledgerloom.plans import jobs
-from tests.test_extraction import context, count, lines_of
+from tests.test_extraction import context, count, lines_of, message
 
 ONE = count("2026-01-01T01:00:00Z", (4, 2, 0, 1, 0))
 SF = "/root/testdata/sf0.001"
@@ -39,6 +39,105 @@ def test_sync_over_generations(spark, tmp_path):
     assert counts["rewritten"] == 1 and total(spark, store, 4) == 4 + 50 + 16
 
 
+def counted(n):
+    return count("2026-01-01T01:00:00Z", (n, 0, 0, 1, 0))
+
+
+def reply(mid, raw, output):
+    return message(mid, "2026-01-01T01:00:00Z", raw=raw, output=output)
+
+
+def log(*counts, model="m"):
+    return "".join(line + "\n" for line in [context(model), *map(counted, counts)])
+
+
+def test_a_copy_counts_once_its_owner_differs(spark, tmp_path):
+    root, store = tmp_path / "logs", str(tmp_path / "store")
+    root.mkdir()
+    (root / "a.jsonl").write_text(log(100))
+    (root / "b.jsonl").write_text(log(100))
+    jobs.sync(spark, str(root), store, 0)
+    assert total(spark, store, 1) == 100
+    (root / "a.jsonl").write_text(log(15))
+    assert jobs.sync(spark, str(root), store, 1)[1] == {"rewritten": 1, "unchanged": 1} and total(spark, store, 2) == 115
+    (root / "a.jsonl").write_text(log(100) + log(7))  # it goes on from its copy again, under another first count
+    jobs.sync(spark, str(root), store, 2)
+    (root / "b.jsonl").write_text(log(100) + log(7))
+    jobs.sync(spark, str(root), store, 3)
+    assert total(spark, store, 4) == 107
+
+
+def test_moves_and_files_that_go_on_from_another(spark, tmp_path):
+    root, store = tmp_path / "logs", str(tmp_path / "store")
+    root.mkdir()
+    (root / "a.jsonl").write_text(log(10, 20))
+    jobs.sync(spark, str(root), store, 0)
+    os.rename(root / "a.jsonl", root / "z.jsonl")
+    (root / "z.jsonl").write_text(log(10, 20, 5))  # moved, and written on
+    assert jobs.sync(spark, str(root), store, 1)[1] == {"moved": 1} and total(spark, store, 2) == 35
+    (root / "longer.jsonl").write_text(log(10, 20, 5, 100))  # holds all of z, and more
+    assert jobs.sync(spark, str(root), store, 2)[1] == {"unchanged": 1, "new": 1} and total(spark, store, 3) == 135
+    (root / "longer.jsonl").write_text(log(10, 20, 5, 100, 1000))
+    assert jobs.sync(spark, str(root), store, 3)[1] == {"unchanged": 1, "appended": 1} and total(spark, store, 4) == 1135
+    (root / "z.jsonl").write_text(log(3))  # what longer went on from is another file now
+    jobs.sync(spark, str(root), store, 4)
+    assert total(spark, store, 5) == 1138
+    os.remove(root / "z.jsonl")
+    assert jobs.sync(spark, str(root), store, 5)[1]["missing"] == 1 and total(spark, store, 6) == 1138
+
+
+def test_only_new_bytes_are_booked(spark, tmp_path, monkeypatch):
+    root, store = tmp_path / "logs", str(tmp_path / "store")
+    root.mkdir()
+    (root / "a.jsonl").write_text(log(1, 2) + counted(4)[:20])  # the last record isn't whole
+    jobs.sync(spark, str(root), store, 0)
+    assert total(spark, store, 1) == 3
+    seen = []
+    booked = jobs.J.positioned_lines
+    monkeypatch.setattr(jobs.J, "positioned_lines", lambda files, **k: seen.append([tuple(r) for r in booked(files, **k).select("path", "line_no").collect()]) or booked(files, **k))
+    (root / "a.jsonl").write_text(log(1, 2) + counted(4) + "\n" + counted(8) + "\n")
+    jobs.sync(spark, str(root), store, 1)
+    assert [n for _, n in seen[0]] == [4, 5] and total(spark, store, 2) == 15
+    assert jobs.usage(spark, store, 2).select("model").distinct().collect()[0][0] == "m"
+    seen.clear()
+    jobs.sync(spark, str(root), store, 2)
+    assert seen[0] == [] and total(spark, store, 3) == 15
+
+
+def test_both_providers(spark, tmp_path):
+    a, b, store = tmp_path / "a", tmp_path / "b", str(tmp_path / "store")
+    a.mkdir(), b.mkdir()
+    (a / "x.jsonl").write_text(log(10))
+    (b / "y.jsonl").write_text(reply("m1", 5, 1) + "\n" + reply("m1", 7, 2) + "\n")
+    roots = {"codex": str(a), "claude": str(b)}
+    jobs.sync(spark, roots, store, 0)
+    assert {r.provider: r.input for r in jobs.usage(spark, store, 1).groupBy("provider").agg(F.sum("input").alias("input")).collect()} == {"codex": 10, "claude": 7}
+    (b / "copy.jsonl").write_text(reply("m1", 7, 2) + "\n" + reply("m2", 1, 1) + "\n")
+    (b / "y.jsonl").write_text(reply("m1", 5, 1) + "\n" + reply("m1", 7, 2) + "\n" + reply("m1", 9, 2) + "\n")
+    assert jobs.sync(spark, roots, store, 1)[1] == {"unchanged": 1, "appended": 1, "new": 1}
+    assert {r.provider: r.input for r in jobs.usage(spark, store, 2).groupBy("provider").agg(F.sum("input").alias("input")).collect()} == {"codex": 10, "claude": 10}
+    assert jobs.issues(spark, store, 2).count() == 0
+
+
+def test_stream_forgets_what_is_gone(spark, tmp_path):
+    from ledgerloom.streaming.ingest import cube_of, ingest, ledger_writer
+
+    root, out = tmp_path / "logs", str(tmp_path / "out")
+    root.mkdir()
+    (root / "a.jsonl").write_text(log(50))
+    ingest(spark, str(root), out, str(tmp_path / "mark")).awaitTermination()
+    assert cube_of(spark, out).agg(F.sum("input")).first()[0] == 50
+    # another version of the file, without events
+    gone = spark.createDataFrame([((root / "a.jsonl").as_uri(), bytearray((context("m") + "\n").encode()))], "path string, content binary")
+    ledger_writer(out)(gone, 7)
+    assert cube_of(spark, out).count() == 0
+    other = tmp_path / "b"
+    other.mkdir()
+    (other / "y.jsonl").write_text(reply("m1", 5, 1) + "\n" + reply("m1", 7, 2) + "\n")
+    ingest(spark, str(other), out, str(tmp_path / "mark-b"), provider="claude").awaitTermination()
+    assert cube_of(spark, out, providers=("codex", "claude")).agg(F.sum("input")).first()[0] == 7
+
+
 def test_resumed_log(spark):
     lines = lines_of(spark, {"f": [ONE, context("next"), ONE], "g": [ONE]})
     marks = spark.createDataFrame([("f", "before"), ("h", "x")], "path string, model string")
