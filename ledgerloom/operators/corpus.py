@@ -126,9 +126,7 @@ def grouped_statistics(sessions: DataFrame, prompts: DataFrame, counts: DataFram
 def top_and_other(rows: DataFrame, key: str, session: str, top: int, protected: tuple[str, ...] = ("unknown",)) -> DataFrame:
     """The top groups by distinct sessions, `unknown` kept in sight in place of the last, and the rest as 'other' with its sessions counted anew (AGG-17, SET-7)."""
     sizes = rows.groupBy(key).agg(F.count_distinct(session).alias("sessions"))
-    w = Window.orderBy(F.desc(F.col(key).isin(*protected)), F.desc("sessions"), F.lower(key), key)
     kept = sizes.orderBy(F.desc(F.col(key).isin(*protected)), F.desc("sessions"), F.lower(key), key).limit(top).select(key)  # at most `top` rows
-    del w
     label = F.when(F.col("_kept"), F.col(key)).otherwise("other")
     marked = rows.join(F.broadcast(kept.withColumn("_kept", F.lit(True))), key, "left").withColumn("_kept", F.coalesce("_kept", F.lit(False))).withColumn("label", label)
     return marked.groupBy("label").agg(F.count_distinct(session).alias("sessions"), F.count(F.lit(1)).alias("rows"))
@@ -182,6 +180,22 @@ def around(prompts: DataFrame, session: str, order: list[Column], target: Column
     return near.filter(F.abs(F.col("_n") - F.col("_at")) <= radius).withColumn("offset", (F.col("_n") - F.col("_at")).cast("long")).drop("_n", "_s", "_at")
 
 
+def long_enough(rows: DataFrame, text: str, least: int) -> DataFrame:
+    """Rows whose text has at least so many characters (FLT-18)."""
+    return rows.filter(F.length(text) >= least)
+
+
+def labels(rows: DataFrame, name: str) -> DataFrame:
+    """Distinct names that aren't blank with the key that they are listed by, in its order (SRT-12)."""
+    return rows.filter(F.coalesce(F.trim(name), F.lit("")) != "").select(name, F.lower(name).alias("k")).distinct().orderBy("k", name)
+
+
+def units(sessions: DataFrame, prompts: DataFrame) -> DataFrame:
+    """unit, id, provider of both kinds of units that can be sampled (SET-1)."""
+    one = lambda rows, unit: rows.select(F.lit(unit).alias("unit"), F.col(f"{unit}_id").alias("id"), "provider")
+    return one(sessions, "session").unionByName(one(prompts, "prompt"))
+
+
 def roles_disagree(a: Column, b: Column, hours: Column) -> Column:
     """Counts more than a fifth apart or bounds more than a day apart (AGG-33)."""
     return (F.abs(a - b) > 0.2 * F.greatest(a, b)) | (hours > 24)

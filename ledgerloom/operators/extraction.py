@@ -51,6 +51,13 @@ def events_a(lines: DataFrame, provider: str = "codex") -> DataFrame:
     return counted.select("path", "line_no", "buffered", "ts", F.lit(provider).alias("provider"), "model", n("input_tokens").alias("input"), n("cached_input_tokens").alias("cache_read"), n("cache_write_input_tokens").alias("cache_write_5m"), zero.alias("cache_write_1h"), zero.alias("cache_write_unclassified"), n("output_tokens").alias("output"), n("reasoning_output_tokens").alias("reasoning"))
 
 
+def counter_changes(rows: DataFrame, partition: str, order: str, value: str) -> DataFrame:
+    """Per file, how often its counter fell and how often it stood still (AGG-37)."""
+    w = Window.partitionBy(partition).orderBy(order)
+    before = rows.withColumn("_before", F.lag(value).over(w))
+    return before.groupBy(partition).agg(F.count_if(F.col(value) < F.col("_before")).alias("resets"), F.count_if(F.col(value) == F.col("_before")).alias("repeats"))
+
+
 def diagnostics_a(lines: DataFrame) -> DataFrame:
     """One row: token_events, last_usage_mismatches, counter_resets, duplicate_snapshots, buffered_before_model, unknown_model_events, malformed (AGG-37, WIN-16)."""
     rows = attribute_models(decode_a(lines), ["path"], ["line_no"])

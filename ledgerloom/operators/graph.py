@@ -37,14 +37,25 @@ def tree(links: DataFrame, roots: DataFrame, order: Column, depth: int = MOST_DE
         level = level.join(step, F.col("node") == F.col("parent")).filter(~F.array_contains("seen", F.col("child"))).select(
             F.col("child").alias("node"), "root", F.lit(d).alias("depth"), F.array_append("seen", F.col("child")).alias("seen"), F.array_append("path", F.col("key")).alias("path")
         )
+        level = level.persist()  # a level is joined once, however many come after it
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
     return out
 
 
 def preorder(nodes: DataFrame, root: str = "root") -> DataFrame:
-    """place of every node in its root's preorder, from 0."""
-    w = Window.partitionBy(root).orderBy("path")
-    return nodes.withColumn("place", F.row_number().over(w) - 1)
+    """place of every node in its root's preorder, from 0.
+
+    One range shuffle deals the nodes out however large a tree is; a partition numbers its own, and what stands before
+    them in their tree is a running sum over a row for each partition and tree.
+    """
+    at = F.monotonically_increasing_id()
+    dealt = nodes.repartitionByRange(root, "path").sortWithinPartitions(root, "path").withColumn("_at", at).withColumn("_part", F.shiftright("_at", 33)).persist()
+    ends = dealt.groupBy(root, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(root).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(root, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return dealt.join(ends, [root, "_part"]).withColumn("place", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
 
 
 def canonical_ids(ids: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -53,6 +64,11 @@ def canonical_ids(ids: DataFrame, aliases: DataFrame) -> DataFrame:
     return ids.join(a, F.col("id") == F.col("_a"), "left").withColumn("canonical", F.coalesce("_c", "id")).drop("_a", "_c")
 
 
+def unsupported(edges_: DataFrame, supports: DataFrame, key: list[str]) -> DataFrame:
+    """Edges that no source supports any more (JN-4)."""
+    return edges_.join(supports.select(*key), key, "left_anti")
+
+
 def supported(edges_: DataFrame, supports: DataFrame, key: list[str]) -> DataFrame:
-    """Edges that some source still supports (GR-2, JN-4: the others are the anti-join)."""
+    """Edges that some source still supports (GR-2)."""
     return edges_.join(supports.select(*key), key, "left_semi")

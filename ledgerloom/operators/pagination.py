@@ -45,6 +45,15 @@ def after(keys: list[tuple[str, bool]], last: list[Any]) -> Column:
     return out
 
 
+def beyond(rows: DataFrame, keys: list[tuple[str, bool]], keep: int) -> DataFrame:
+    """The rows after the first `keep` in the order of keys (column, descending): what a retention of so many would remove (SRT-10).
+
+    The keys name each row; the rows kept are a bounded top-n, and the others are found by an anti-join with them.
+    """
+    first = rows.orderBy(*[F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in keys]).limit(keep).select(*[c for c, _ in keys])
+    return rows.join(F.broadcast(first), [c for c, _ in keys], "left_anti")
+
+
 def page(rows: DataFrame, keys: list[tuple[str, bool]], size: int, last: list[Any] | None = None) -> DataFrame:
     """One page and a row to look ahead: a seek predicate and a bounded top-n."""
     if not 1 <= size <= 500:

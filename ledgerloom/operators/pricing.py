@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
+from operator import add
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import checked_product, weighted_rate
@@ -75,13 +77,13 @@ def row_cost(rated: DataFrame) -> DataFrame:
         (base, "rate_base_input"), (F.col("cache_read"), "rate_cache_read"), (F.col("cache_write_5m"), "rate_write_5m"),
         (F.col("cache_write_1h"), "rate_write_1h"), (F.col("cache_write_unclassified"), "rate_write_1h"), (F.col("output"), "rate_output"),
     ]
-    cost, priced, unpriced = F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long")
-    for tokens, rate in buckets:
-        money = checked_product(tokens, F.col(rate))
-        cost = cost + F.coalesce(money, F.lit(0))
-        priced = priced + F.when(money.isNotNull() & (tokens != 0), tokens).otherwise(0)
-        unpriced = unpriced + F.when(money.isNull() & (tokens != 0), tokens).otherwise(0)
-    out = rated.withColumns({"cost": cost, "priced_tokens": priced, "unpriced_tokens": unpriced})
+    money = [checked_product(tokens, F.col(rate)) for tokens, rate in buckets]
+    whole = reduce(add, [F.coalesce(m, F.lit(0)).cast("decimal(38,0)") for m in money])
+    fits = whole <= 9223372036854775807  # a row whose sum passes 64 bits is unpriced
+    zero = F.lit(0).cast("long")
+    priced = reduce(add, [F.when(m.isNotNull() & fits & (t != 0), t).otherwise(zero) for m, (t, _) in zip(money, buckets)])
+    unpriced = reduce(add, [F.when((m.isNull() | ~fits) & (t != 0), t).otherwise(zero) for m, (t, _) in zip(money, buckets)])
+    out = rated.withColumns({"cost": F.when(fits, whole.cast("long")).otherwise(zero), "priced_tokens": priced, "unpriced_tokens": unpriced})
     return out.withColumn("provenance", F.when(F.col("priced_tokens") > 0, F.col("status")))
 
 
@@ -119,7 +121,13 @@ def cost_rollup(priced: DataFrame) -> DataFrame:
 def provenance_rollup(priced: DataFrame) -> DataFrame:
     """Models, cost and tokens of each status (AGG-24)."""
     rows = priced.filter("priced_tokens > 0")
-    return rows.groupBy("provenance").agg(F.count_distinct("provider", "model").alias("models"), F.sum("cost").alias("cost"), F.sum("priced_tokens").alias("tokens"))
+    return rows.groupBy("provenance").agg(F.count_distinct("provider", "model").alias("models"), checked_sum(F.col("cost")).alias("cost"), F.sum("priced_tokens").alias("tokens"))
+
+
+def listing(rates: DataFrame) -> DataFrame:
+    """The entries of each model in order of their first day, numbered from 1 (PRC-8)."""
+    w = Window.partitionBy("model").orderBy(F.coalesce("effective_from", F.lit("")))
+    return rates.withColumn("place", F.row_number().over(w).cast("long"))
 
 
 def unpriced_models(priced: DataFrame) -> DataFrame:
@@ -129,7 +137,7 @@ def unpriced_models(priced: DataFrame) -> DataFrame:
 
 def weighted_rates(priced: DataFrame) -> DataFrame:
     """Average rate by model over what is priced (FN-6)."""
-    g = priced.groupBy("provider", "model").agg(F.sum("cost").alias("cost"), F.sum("priced_tokens").alias("priced_tokens"))
+    g = priced.groupBy("provider", "model").agg(checked_sum(F.col("cost")).alias("cost"), F.sum("priced_tokens").alias("priced_tokens"))
     return g.withColumn("rate", weighted_rate(F.col("cost"), F.col("priced_tokens")))
 
 
@@ -141,8 +149,6 @@ def nearest_models(name: str, models: DataFrame, k: int = 3, distance: int = 2)
 
 def cap_models(session_models: DataFrame, cap: int = 32) -> DataFrame:
     """The costliest rows of each session (PRC-11)."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("session_id").orderBy(F.desc("cost"), "date", "provider", "model")
     return session_models.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap)
 

@@ -41,6 +41,51 @@ def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def positions(docs: DataFrame, doc_id: str, text: str, buckets: int = 64) -> DataFrame:
+    """term, doc_id, positions, length, bucket: the inverted index with the places of each term, its document's number of tokens, and the bucket of the term by which a stored index is parted (FTS-1)."""
+    words = with_tokens(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text")
+    each = words.select("doc_id", F.size("_words").cast("long").alias("length"), F.posexplode("_words").alias("at", "term"))
+    found = each.groupBy("term", "doc_id", "length").agg(F.array_sort(F.collect_list("at")).alias("positions"))  # of one document's term
+    return found.withColumn("bucket", bucket_of(F.col("term"), buckets))
+
+
+def bucket_of(term: Column, buckets: int = 64) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_index(index: DataFrame, docs: DataFrame, doc_id: str, text: str, path: str) -> None:
+    """The index in folders by bucket, and one row of how many documents and tokens it stands for; a search reads the buckets of its terms only."""
+    index.repartition("bucket").sortWithinPartitions("term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/positions")
+    corpus_size(docs, text).write.mode("overwrite").parquet(f"{path}/size")
+
+
+def corpus_size(docs: DataFrame, text: str) -> DataFrame:
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tokens(F.col(text)))).alias("mean_length"))
+
+
+def indexed_phrase(index: DataFrame, phrase: str, buckets: int = 64) -> DataFrame:
+    """doc_id, length, tf of the documents that hold the phrase, from the index alone: the places of its k-th word less k meet where it begins (FTS-2)."""
+    words = fold_text(phrase)
+    if not words:
+        return index.select("doc_id", "length", F.lit(0).cast("long").alias("tf")).limit(0)
+    hashes = index.sparkSession.range(1).select(*[bucket_of(F.lit(w), buckets).alias(f"b{k}") for k, w in enumerate(words)]).first()
+    own = index.filter(F.col("bucket").isin(sorted(set(hashes))) & F.col("term").isin(words))
+    places = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in enumerate(words)])
+    starts = own.select("doc_id", "length", "term", "positions", F.explode(places).alias("p")).filter("term = p.w").select("doc_id", "length", F.explode(F.transform("positions", lambda x: x - F.col("p.k"))).alias("start"))
+    whole = starts.groupBy("doc_id", "length", "start").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(words))
+    return whole.groupBy("doc_id", "length").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def indexed_bm25(index: DataFrame, size: DataFrame, terms: list[str], buckets: int = 64) -> DataFrame:
+    """As bm25 for the documents that hold all terms, from the index and the corpus's size (one row)."""
+    held = None
+    for k, t in enumerate(terms):
+        one = indexed_phrase(index, t, buckets).withColumnRenamed("tf", f"tf{k}")
+        counted = one.join(F.broadcast(one.agg(F.count(F.lit(1)).alias(f"df{k}"))))  # one row
+        held = counted if held is None else held.join(counted.drop("length"), "doc_id")
+    return _ranked(held.join(F.broadcast(size)), len(terms))
+
+
 def let(value: Column, f) -> Column:
     """f of a value that is worked out once, however often f uses it and wherever the optimizer moves it."""
     return F.get(F.transform(F.array(value), f), 0)
@@ -88,15 +133,20 @@ def bm25(docs: DataFrame, doc_id: str, text: str, terms: list[str], every: bool
 
     One pass counts documents and tokens, one finds the matches; term statistics are as many rows as the query has terms.
     """
-    lengths = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tokens(F.col(text)))).alias("mean_length"))
+    lengths = corpus_size(docs, text)
     words = with_tokens(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text")
     counts = words.select("doc_id", F.size("_words").alias("length"), *[phrase_count(F.col("_words"), fold_text(t)).alias(f"tf{k}") for k, t in enumerate(terms)])
     any_ = counts.filter(" or ".join(f"tf{k} > 0" for k in range(len(terms))))
     df = any_.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
     held = any_.filter(" and ".join(f"tf{k} > 0" for k in range(len(terms)))) if every else any_
     rows = held.join(F.broadcast(df)).join(F.broadcast(lengths))  # one row each
+    return _ranked(rows, len(terms))
+
+
+def _ranked(rows: DataFrame, terms: int) -> DataFrame:
+    """doc_id, rank of rows with tf and df of each term, length, n_docs and mean_length."""
     total = F.lit(0.0)
-    for k in range(len(terms)):
+    for k in range(terms):
         tf, n = F.col(f"tf{k}"), F.col(f"df{k}")
         idf = F.greatest(F.log((F.col("n_docs") - n + 0.5) / (n + 0.5)), F.lit(LEAST_IDF))
         total = total + idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))

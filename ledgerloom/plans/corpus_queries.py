@@ -20,6 +20,7 @@ from ledgerloom.operators import search as H
 from ledgerloom.operators import vault as V
 from ledgerloom.plans import bindings as B
 from ledgerloom.plans import history_reports as Z
+from ledgerloom.sources.jsonl import content_owners, line_statistics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,37 +76,34 @@ def _snapshot_diagnostics(spark, d):
 
 @query("counter_resets", "WITH x AS (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events WHERE event_type = 'purchase') SELECT user_id, count(*) FILTER (WHERE value < before) AS resets, count(*) FILTER (WHERE value = before) AS repeats FROM x GROUP BY user_id")
 def _resets(spark, d):
-    from pyspark.sql import Window
+    return X.counter_changes(B.table(spark, d, "events").filter("event_type = 'purchase'"), "user_id", "event_id", "value")
 
-    e = B.table(spark, d, "events").filter("event_type = 'purchase'").withColumn("before", F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id")))
-    return e.groupBy("user_id").agg(F.count_if(F.col("value") < F.col("before")).alias("resets"), F.count_if(F.col("value") == F.col("before")).alias("repeats"))
 
-
-@query("listing_against_checkpoints", """WITH c AS (SELECT 'p' || c_custkey AS path, CAST(floor(c_acctbal) AS BIGINT) AS size FROM customer WHERE c_custkey % 7 <> 0), o AS (SELECT 'p' || o_custkey AS path, CAST(floor(max(o_totalprice)) AS BIGINT) AS size FROM orders GROUP BY 1)
+@query("listing_against_checkpoints", """WITH c AS (SELECT 'p' || c_custkey AS path, CAST(floor(c_acctbal) AS BIGINT) AS size FROM customer WHERE c_mktsegment <> 'BUILDING'), o AS (SELECT 'p' || o_custkey AS path, CAST(floor(max(o_totalprice)) AS BIGINT) AS size FROM orders GROUP BY 1)
     SELECT coalesce(o.path, c.path) AS path, CASE WHEN o.path IS NULL THEN 'missing' WHEN c.path IS NULL THEN 'new' WHEN o.size = c.size THEN 'unchanged' ELSE 'rewritten' END AS kind FROM o FULL JOIN c ON o.path = c.path""")
 def _freshness(spark, d):
     from ledgerloom.sources.jsonl import classify_files
 
-    c = B.table(spark, d, "customer").filter("c_custkey % 7 <> 0").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("path"), F.floor("c_acctbal").alias("size"), F.lit(0).alias("mtime"))
+    c = B.table(spark, d, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("path"), F.floor("c_acctbal").alias("size"), F.lit(0).alias("mtime"))
     o = B.table(spark, d, "orders").groupBy(F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("path")).agg(F.floor(F.max("o_totalprice")).alias("size"), F.lit(0).alias("mtime"))
     return classify_files(o, c)
 
 
 @query("customers_without_orders", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def _anti(spark, d):
-    return B.table(spark, d, "customer").join(B.table(spark, d, "orders").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    return G.unsupported(B.table(spark, d, "customer"), B.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey", "c_name")
 
 
 @query("duplicate_contents", "SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS owner FROM documents")
 def _owners(spark, d):
-    docs = B.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    return docs.join(docs.groupBy("h").agg(F.min("doc_id").alias("owner")), "h").select("doc_id", "owner")
+    return content_owners(B.table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content"))).withColumnRenamed("path", "doc_id")
 
 
 @query("file_extents", "SELECT user_id AS path, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, count(*) AS line_count FROM events GROUP BY user_id")
 def _extents(spark, d):
-    f = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    return B.table(spark, d, "events").groupBy(F.col("user_id").alias("path")).agg(f(F.min("ts")).alias("first_ts"), f(F.max("ts")).alias("last_ts"), F.count(F.lit(1)).alias("line_count"))
+    f = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    lines = B.table(spark, d, "events").select(F.col("user_id").alias("path"), F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), "event_id")).alias("raw"))
+    return line_statistics(lines).select("path", f("first_ts"), f("last_ts"), "line_count")
 
 
 # --- corpus
@@ -264,7 +262,7 @@ def _around(spark, d):
 
 @query("project_list", f"WITH {Q} SELECT DISTINCT project, lower(project) AS k FROM sessions WHERE project <> ''")
 def _projects(spark, d):
-    return B.sessions(spark, d).filter("project <> ''").select("project", F.lower("project").alias("k")).distinct().orderBy("k", "project")
+    return R.labels(B.sessions(spark, d), "project")
 
 
 @query("text_functions", """SELECT doc_id, length(text) AS chars, strlen(text) AS bytes, sha256(text) AS sha, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16) AS sample_key, CASE WHEN substr(text, 1, 1) IN ('=', '+', '-', '@', chr(9), chr(13), chr(10)) THEN '''' || text ELSE text END AS guarded, right(source, 2) AS short FROM documents""")
@@ -291,7 +289,7 @@ def _instants(spark, d):
 
 @query("minimum_length", "SELECT conv_id, turn FROM conversations WHERE length(text) >= 200")
 def _minimum(spark, d):
-    return B.table(spark, d, "conversations").filter(F.length("text") >= 200).select("conv_id", "turn")
+    return R.long_enough(B.table(spark, d, "conversations"), "text", 200).select("conv_id", "turn")
 
 
 # --- search
@@ -333,6 +331,41 @@ def _bm25(spark, d):
     return H.bm25(B.table(spark, d, "documents"), "doc_id", "text", ["released", "mit license"]).select("doc_id", F.round("rank", 9).alias("rank"))
 
 
+@query("indexed_phrase_search", f"WITH {_TOKENS} SELECT doc_id, CAST({_phrase_sql('that the')} AS BIGINT) AS tf FROM tokens WHERE {_phrase_sql('that the')} > 0")
+def _indexed_phrase(spark, d):
+    return H.indexed_phrase(H.positions(B.table(spark, d, "documents"), "doc_id", "text"), "That THE").select("doc_id", "tf")
+
+
+@query("indexed_bm25", _bm25_sql(["released", "mit license"]))
+def _indexed_bm25(spark, d):
+    docs = B.table(spark, d, "documents")
+    return H.indexed_bm25(H.positions(docs, "doc_id", "text"), H.corpus_size(docs, "text"), ["released", "mit license"]).select("doc_id", F.round("rank", 9).alias("rank"))
+
+
+@query("stale_index", f"WITH {_TOKENS}, t AS (SELECT doc_id, unnest(w) AS term FROM tokens) SELECT 'missing' AS side, term, doc_id, count(*) AS tf FROM t WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP BY ALL")
+def _stale_index(spark, d):
+    docs = B.table(spark, d, "documents")
+    bad = B.table(spark, d, "labels").filter("quality = 0").select("doc_id")
+    return D.index_differences(H.postings(docs.join(bad, "doc_id", "left_anti"), "doc_id", "text"), H.postings(docs, "doc_id", "text")).select("side", "term", "doc_id", "tf")
+
+
+@query("listing_page", f"WITH {Q} SELECT prompt_id, ts FROM prompts p WHERE searchable AND role = 'user' AND kind = 'human' AND EXISTS (SELECT 1 FROM occurrences o WHERE o.prompt_id = p.prompt_id AND available) AND (ts IS NULL OR ts < '2024-01-20T00:00:00.000000000Z') ORDER BY ts IS NULL, ts DESC, prompt_id LIMIT 31")
+def _listing_page(spark, d):
+    return Z.listing(B.prompts(spark, d), B.occurrences(spark, d), size=30, last=["2024-01-20T00:00:00.000000000Z", 10**15]).select("prompt_id", "ts")
+
+
+@query("top_groups", f"WITH {_FACTS} SELECT provider, thread_kind, {_MEASURES} FROM labelled LEFT JOIN facts USING (session_id) GROUP BY 1, 2 ORDER BY sessions DESC, provider, thread_kind LIMIT 4")
+def _top_groups(spark, d):
+    return Z.statistics(B.sessions(spark, d), B.prompts(spark, d), B.occurrences(spark, d), ["provider", "thread_kind"], 4)[1]
+
+
+@query("disagreeing_roles", "WITH o AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS a, count(*) FILTER (WHERE o_orderstatus = 'O') AS b, date_diff('hour', min(o_orderdate), max(o_orderdate)) AS h FROM orders GROUP BY 1) SELECT o_custkey, abs(a - b) > 0.2 * greatest(a, b) OR h > 24 AS disagree FROM o")
+def _disagree(spark, d):
+    n = lambda k: F.count_if(F.col("o_orderstatus") == k)
+    g = B.table(spark, d, "orders").groupBy("o_custkey").agg(n("F").alias("a"), n("O").alias("b"), ((F.unix_timestamp(F.max("o_orderdate")) - F.unix_timestamp(F.min("o_orderdate"))) / 3600).alias("h"))
+    return g.select("o_custkey", R.roles_disagree(F.col("a"), F.col("b"), F.col("h")).alias("disagree"))
+
+
 _BOOLEAN = '("apache license" OR mit) NOT gnu OR licens* general'
 
 
@@ -380,6 +413,11 @@ def _representatives(spark, d):
     return M.representative(B.prompts(spark, d).select("prompt_id", "session_id", "text"), "session_id", "prompt_id", "text", _SEED)
 
 
+@query("coverage_of_a_sample", f"WITH {Q}, {_KEYED}, i AS (SELECT prompt_id FROM u ORDER BY sample_key < start_key, sample_key, prompt_id LIMIT 25) SELECT min(p.ts) AS first_ts, max(p.ts) AS last_ts, count(DISTINCT session_id) AS sessions, count(DISTINCT CASE WHEN coalesce(repository, '') <> '' THEN session_id END) AS repository_known, count(DISTINCT CASE WHEN coalesce(branch, '') <> '' THEN session_id END) AS branch_known FROM prompts p JOIN i USING (prompt_id) JOIN sessions USING (session_id)")
+def _sample_coverage(spark, d):
+    return Z.sample_coverage(Z.sample(B.prompts(spark, d), "prompt_id", "random", 25, _SEED), B.sessions(spark, d))
+
+
 # --- graph
 
 
@@ -393,10 +431,10 @@ def _edges(spark, d):
 def _tree(spark, d):
     s = B.sessions(spark, d).select("session_id")
     links = s.filter("session_id > 0").select(F.floor(F.col("session_id") / 2).alias("parent"), F.col("session_id").alias("child"))
-    return G.tree(links, s.filter("session_id = 1").select(F.col("session_id").alias("node")), -F.col("child"), 10)
+    return G.tree(links, s.filter("session_id = 1").select(F.col("session_id").alias("node")), -F.col("child"))
 
 
-@query("session_tree", f"""WITH RECURSIVE {Q}, t(node, depth, path) AS (SELECT session_id, 0, [CAST(0 AS BIGINT)] FROM sessions WHERE session_id = 1 UNION ALL SELECT s.session_id, depth + 1, list_append(path, -s.session_id) FROM t JOIN sessions s ON s.session_id // 2 = t.node AND s.session_id > 1 WHERE depth < 10)
+@query("session_tree", f"""WITH RECURSIVE {Q}, t(node, depth, path) AS (SELECT session_id, 0, [CAST(0 AS BIGINT)] FROM sessions WHERE session_id = 1 UNION ALL SELECT s.session_id, depth + 1, list_append(path, -s.session_id) FROM t JOIN sessions s ON s.session_id // 2 = t.node AND s.session_id > 1 WHERE depth < 16)
     SELECT node, depth, row_number() OVER (ORDER BY path) - 1 AS place FROM t""")
 def _session_tree(spark, d):
     return G.preorder(_tree(spark, d)).select("node", "depth", F.col("place").cast("long").alias("place"))
@@ -447,8 +485,7 @@ def _readiness(spark, d):
 
 @query("vault_page", f"WITH {B.MANIFEST_SQL} SELECT source_path, version, last_ts FROM manifest WHERE last_ts IS NULL OR last_ts < '1998-05-01' OR (last_ts = '1998-05-01' AND source_path > 'c5') ORDER BY last_ts IS NULL, last_ts DESC, source_path, version LIMIT 101")
 def _vault_page(spark, d):
-    keys = [("last_ts", True), ("source_path", False), ("version", False)]
-    return N.page(B.manifest(spark, d), keys, 100, ["1998-05-01", "c5", 10**9]).select("source_path", "version", "last_ts")
+    return Z.vault_page(B.manifest(spark, d), "last_ts", every_version=True, size=100, last=["1998-05-01", "c5", 10**9]).select("source_path", "version", "last_ts")
 
 
 @query("prompt_page", f"WITH {Q} SELECT prompt_id, ts FROM prompts WHERE ts IS NULL OR ts < '2024-01-20T00:00:00.000000000Z' ORDER BY ts IS NULL, ts DESC, prompt_id LIMIT 51")
@@ -458,8 +495,7 @@ def _prompt_page(spark, d):
 
 @query("catalog_page", f"WITH {Q} SELECT session_id, coalesce(last_ts, first_ts) AS \"at\" FROM sessions ORDER BY coalesce(last_ts, first_ts) IS NULL, coalesce(last_ts, first_ts) DESC, session_id LIMIT 21")
 def _catalog_page(spark, d):
-    s = B.sessions(spark, d).withColumn("at", F.coalesce("last_ts", "first_ts"))
-    return N.page(s, [("at", True), ("session_id", False)], 20).select("session_id", "at")
+    return Z.catalog(B.sessions(spark, d), size=20)[0].select("session_id", "at")
 
 
 @query("search_page", _bm25_sql(["license"]).replace("SELECT doc_id, round", "SELECT doc_id, round") + " ORDER BY rank, doc_id LIMIT 11")
@@ -470,7 +506,7 @@ def _search_page(spark, d):
 
 @query("newest_kept", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC OFFSET 100")
 def _offset(spark, d):
-    return B.table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).offset(100).select("event_id")
+    return N.beyond(B.table(spark, d, "events").select("ts", "event_id"), [("ts", True), ("event_id", True)], 100).select("event_id")
 
 
 # --- costs of sessions and comparisons
@@ -522,12 +558,12 @@ def _average(spark, d):
     return A.averages(B.priced(spark, d).groupBy("date").agg(F.sum("cost").alias("cost")))
 
 
-@query("parity_of_stores", """WITH a AS (SELECT c_custkey AS k, count(*) AS want FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 5 <> 0 GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) FILTER (WHERE o_orderstatus <> 'P') AS got FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1)
+@query("parity_of_stores", """WITH a AS (SELECT o_custkey AS k, count(*) AS want FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS got FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1)
     SELECT coalesce(a.k, b.k) AS k, want, got, CASE WHEN got IS NULL THEN 'missing' WHEN want IS NULL THEN 'extra' WHEN want = got THEN 'equal' ELSE 'different' END AS state FROM a FULL JOIN b ON a.k = b.k""")
 def _parity(spark, d):
     o = B.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderstatus")
-    want = o.filter("k % 5 <> 0").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    got = o.filter("k % 3 <> 0").groupBy("k").agg(F.count_if(F.col("o_orderstatus") != "P").alias("n"))
+    want = o.filter("o_orderstatus <> 'F'").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = o.filter("o_orderstatus <> 'P'").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     return A.differences(want, got, ["k"], "n")
 
 
@@ -538,11 +574,10 @@ def _project_statistics(spark, d):
 
 @query("units_of_both_kinds", f"WITH {Q} SELECT 'session' AS unit, session_id AS id, provider FROM sessions UNION ALL SELECT 'prompt', prompt_id, provider FROM prompts")
 def _units(spark, d):
-    s = B.sessions(spark, d).select(F.lit("session").alias("unit"), F.col("session_id").alias("id"), "provider")
-    return s.unionByName(B.prompts(spark, d).select(F.lit("prompt").alias("unit"), F.col("prompt_id").alias("id"), "provider"))
+    return R.units(B.sessions(spark, d), B.prompts(spark, d))
 
 
-@query("run_counters", """WITH c AS (SELECT c_custkey AS k, CAST(floor(c_acctbal) AS BIGINT) AS size FROM customer WHERE c_custkey % 7 <> 0), o AS (SELECT o_custkey AS k, CAST(floor(max(o_totalprice)) AS BIGINT) AS size FROM orders GROUP BY 1)
+@query("run_counters", """WITH c AS (SELECT c_custkey AS k, CAST(floor(c_acctbal) AS BIGINT) AS size FROM customer WHERE c_mktsegment <> 'BUILDING'), o AS (SELECT o_custkey AS k, CAST(floor(max(o_totalprice)) AS BIGINT) AS size FROM orders GROUP BY 1)
     SELECT count(*) AS scanned, count(*) FILTER (WHERE c.k IS NULL) AS new, count(*) FILTER (WHERE o.size = c.size) AS unchanged, CAST(0 AS BIGINT) AS appended, count(*) FILTER (WHERE o.size <> c.size) AS rewritten, count(*) FILTER (WHERE o.k IS NULL) AS missing FROM o FULL JOIN c ON o.k = c.k""")
 def _run_counters(spark, d):
     return A.run_counters(_freshness(spark, d))

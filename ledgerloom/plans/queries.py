@@ -12,6 +12,7 @@ from ledgerloom.operators import calendar as K
 from ledgerloom.operators import cube as C
 from ledgerloom.operators import pricing as P
 from ledgerloom.plans import bindings as B
+from ledgerloom.plans import reports as Y
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,7 +37,7 @@ TODAY = "1998-06-30"
 
 
 def day_costs(spark, d) -> DataFrame:
-    return B.priced(spark, d).groupBy("date").agg(F.sum("cost").alias("cost"))
+    return B.priced(spark, d).groupBy("date").agg(P.checked_sum(F.col("cost")).alias("cost"))
 
 
 # --- cube
@@ -174,13 +175,14 @@ _DOMINANT = """CASE WHEN sum(CASE WHEN provenance = 'user' THEN priced_tokens EL
 @query("report_daily", f"WITH {PR}, last AS (SELECT DISTINCT date FROM priced ORDER BY date DESC LIMIT 30) SELECT date, {S}, CAST(sum(cost) AS BIGINT) AS cost, {_DOMINANT} AS provenance FROM priced WHERE date IN (SELECT date FROM last) GROUP BY date")
 def report_daily(spark, d):
     """The flagship: scan, join, range join with rates, exact money, aggregate, last 30 active days."""
-    last = C.last_active_days(B.priced(spark, d), 30)
-    return last.groupBy("date").agg(*C.token_sums(), F.coalesce(P.checked_sum(F.col("cost")), F.lit(0)).alias("cost"), P.dominant_provenance(F.col("provenance"), F.col("priced_tokens")).alias("provenance"))
+    # the last days are found by their dates alone, and only their rows are added up and priced
+    rows = C.last_active_days(B.usage_rows(spark, d), 30)
+    return Y.daily_table(P.price(C.cube(rows), B.rates(spark))).drop("priced_tokens", "unpriced_tokens")
 
 
 @query("report_monthly", f"WITH {PR} SELECT substr(date, 1, 7) AS month, {S}, CAST(sum(cost) AS BIGINT) AS cost, {_DOMINANT} AS provenance FROM priced GROUP BY 1")
 def _report_monthly(spark, d):
-    return B.priced(spark, d).groupBy(F.substring("date", 1, 7).alias("month")).agg(*C.token_sums(), F.sum("cost").alias("cost"), P.dominant_provenance(F.col("provenance"), F.col("priced_tokens")).alias("provenance"))
+    return Y.monthly_table(B.priced(spark, d)).drop("priced_tokens", "unpriced_tokens")
 
 
 @query("report_models", f"""WITH {PR}, m AS (SELECT provider, model, {S}, count(DISTINCT date) AS active_days, min(date) AS first_date, max(date) AS last_date, {COSTS}, {_DOMINANT} AS provenance FROM priced GROUP BY provider, model)
@@ -214,10 +216,29 @@ def _weighted(spark, d):
     return P.weighted_rates(B.priced(spark, d))
 
 
-@query("rate_listing", f"WITH {B.RATES_SQL} SELECT model, base_input, r_output AS output, status, effective_from, effective_until, row_number() OVER (PARTITION BY model ORDER BY coalesce(effective_from, '')) AS place FROM rates")
+@query("rate_listing", """WITH r AS (SELECT p_brand AS model, nullif(1990 + p_size % 10, 1990) AS y, CAST(floor(min(p_retailprice)) AS BIGINT) AS base_input, CAST(floor(max(p_retailprice)) AS BIGINT) AS output FROM part GROUP BY 1, 2),
+    f AS (SELECT model, base_input, output, y || '-01-01' AS effective_from FROM r) SELECT *, row_number() OVER (PARTITION BY model ORDER BY coalesce(effective_from, '')) AS place FROM f""")
 def _rate_listing(spark, d):
-    w = Window.partitionBy("model").orderBy(F.coalesce("effective_from", F.lit("")))
-    return B.rates(spark).select("model", F.col("base_input"), "output", "status", "effective_from", "effective_until", F.row_number().over(w).cast("long").alias("place"))
+    year = 1990 + F.col("p_size") % 10
+    r = B.table(spark, d, "part").groupBy(F.col("p_brand").alias("model"), year.alias("y")).agg(F.floor(F.min("p_retailprice")).alias("base_input"), F.floor(F.max("p_retailprice")).alias("output"))
+    return P.listing(r.select("model", "base_input", "output", F.when(F.col("y") > 1990, F.concat("y", F.lit("-01-01"))).alias("effective_from")))
+
+
+@query("state_of_the_store", f"WITH {U} SELECT count(*) AS rows, count(DISTINCT model) AS models, min(date) AS first_date, max(date) AS last_date FROM usage")
+def _store_state(spark, d):
+    return Y.store_state(B.usage(spark, d))
+
+
+@query("capped_models", f"WITH {PR}, k AS (SELECT provider AS session_id, date, model, cost, row_number() OVER (PARTITION BY provider ORDER BY cost DESC, date, model) AS rank FROM priced) SELECT session_id, date, model, rank FROM k WHERE rank <= 32")
+def _capped(spark, d):
+    rows = B.priced(spark, d).withColumn("session_id", F.col("provider"))
+    return P.cap_models(rows).select("session_id", "date", "model", F.col("rank").cast("long").alias("rank"))
+
+
+@query("milli_rates", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(round(o_totalprice * 1000) AS BIGINT) END AS milli FROM orders")
+def _milli(spark, d):
+    text = F.format_string("%.2f", F.col("o_totalprice"))
+    return B.table(spark, d, "orders").select("o_orderkey", money.milli_rate(F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("-"), text)).otherwise(text)).alias("milli"))
 
 
 @query("user_rate_overlay", f"""WITH {U}, {B.RATES_SQL}, merged AS (SELECT * FROM rates WHERE model NOT IN ('Brand#3', 'Brand#5') UNION ALL VALUES ('Brand#3', 700, NULL, NULL, NULL, 900, 'user', NULL, NULL), ('Brand#5', 1, 2, 3, 3, 4, 'user', NULL, NULL)),

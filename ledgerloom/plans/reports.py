@@ -35,37 +35,61 @@ def _selected(usage: DataFrame, o: dict) -> DataFrame:
     return C.last_active_days(kept, o["last"]) if "last" in o else kept
 
 
-def _rows(df: DataFrame, limit: int = 10_000) -> list[dict]:
-    """A report's rows: periods or models, bounded."""
-    return [r.asDict(recursive=True) for r in df.limit(limit).collect()]
+#: Rows of a document that a caller reads; more of them are a table to be written.
+MOST_ROWS = 10_000
+
+
+def _rows(df: DataFrame) -> list[dict]:
+    """A document's rows: periods or models. More than MOST_ROWS are an error; nothing is left out."""
+    found = [r.asDict(recursive=True) for r in df.limit(MOST_ROWS + 1).collect()]
+    if len(found) > MOST_ROWS:
+        raise ValueError(f"a document has at most {MOST_ROWS} rows; take the report's table")
+    return found
 
 
 def _warnings(priced: DataFrame) -> list[str]:
-    found = P.unpriced_models(priced).orderBy("provider", "model").limit(100).collect()
-    return [f"no rate for {r.provider}/{r.model}: {r.unpriced_tokens} tokens" for r in found]
+    found = _rows(P.unpriced_models(priced).orderBy("provider", "model"))
+    return [f"no rate for {r['provider']}/{r['model']}: {r['unpriced_tokens']} tokens" for r in found]
 
 
 def _costed(priced: DataFrame, *by) -> DataFrame:
     return priced.groupBy(*by).agg(*C.token_sums(), *P.costs(), P.dominant_provenance(F.col("provenance"), F.col("priced_tokens")).alias("provenance"))
 
 
+def daily_table(priced: DataFrame) -> DataFrame:
+    return _costed(priced, "date")
+
+
+def monthly_table(priced: DataFrame) -> DataFrame:
+    return _costed(priced, F.substring("date", 1, 7).alias("month"))
+
+
+def model_table(priced: DataFrame) -> DataFrame:
+    return C.with_shares(_costed(priced, "provider", "model"))
+
+
+def store_state(usage: DataFrame) -> DataFrame:
+    """One row: rows, models and days of the store (AGG-32)."""
+    return usage.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("model").alias("models"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
 def daily(usage: DataFrame, rates: DataFrame, **flags) -> dict:
     o = options(**({"last": 30} | flags if not flags.get("since") and not flags.get("until") else flags))
     priced = P.price(_selected(usage, o), rates)
-    return envelope("daily", _rows(_costed(priced, "date").orderBy("date")), o, _warnings(priced))
+    return envelope("daily", _rows(daily_table(priced).orderBy("date")), o, _warnings(priced))
 
 
 def monthly(usage: DataFrame, rates: DataFrame, **flags) -> dict:
     o = options(**flags)
     priced = P.price(_selected(usage, o), rates)
-    return envelope("monthly", _rows(_costed(priced, F.substring("date", 1, 7).alias("month")).orderBy("month")), o, _warnings(priced))
+    return envelope("monthly", _rows(monthly_table(priced).orderBy("month")), o, _warnings(priced))
 
 
 def models(usage: DataFrame, rates: DataFrame, sort: str = "tokens", **flags) -> dict:
     """By tokens, cost or name (SRT-3)."""
     o = options(**flags)
     priced = P.price(_selected(usage, o), rates)
-    rows = C.with_shares(_costed(priced, "provider", "model"))
+    rows = model_table(priced)
     order = {"tokens": [F.desc("total")], "cost": [F.desc("cost")], "name": [F.lower("model")]}[sort]
     return envelope("models", _rows(rows.orderBy(*order, "provider", "model")), o, _warnings(priced))
 
@@ -96,6 +120,6 @@ def pricing(rates: DataFrame) -> dict:
 
 def doctor(usage: DataFrame, manifest: DataFrame) -> dict:
     """Counts and bounds of what there is (RPT-9, AGG-32)."""
-    store = usage.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("model").alias("models"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    store = store_state(usage)
     vault = manifest.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
     return envelope("doctor", {"store": _rows(store)[0], "vault": _rows(vault)[0]})
