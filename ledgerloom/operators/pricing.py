@@ -38,7 +38,12 @@ def rate_table(spark: SparkSession, entries: list[tuple]) -> DataFrame:
 
 def overlay(rates: DataFrame, override: DataFrame) -> DataFrame:
     """The override's models replace all entries of theirs (PRC-4)."""
-    return rates.join(F.broadcast(override.select("model").distinct()), "model", "left_anti").unionByName(override)
+    return rates.join(_small(override.select("model").distinct()), "model", "left_anti").unionByName(override)
+
+
+def _small(rates: DataFrame) -> DataFrame:
+    """Broadcast if counted to be at most MAX_RATE_ROWS rows; else Spark decides how to join."""
+    return F.broadcast(rates) if rates.limit(MAX_RATE_ROWS + 1).count() <= MAX_RATE_ROWS else rates
 
 
 def user_rates(spark: SparkSession, rates: dict[str, dict[str, int]]) -> DataFrame:
@@ -59,9 +64,9 @@ def fingerprint(entries: list[tuple]) -> str:
 def with_rates(usage: DataFrame, rates: DataFrame) -> DataFrame:
     """usage left join rates on model and date in [from, until], open ends allowed; at most one entry fits (JN-10).
 
-    The rate table is bounded by rate_table, so it is broadcast and the join is a hash join on model.
+    A rate table is small, which is counted, so it is broadcast and the join is a hash join on model.
     """
-    r = F.broadcast(rates.withColumnsRenamed({"model": "_model", **{c: f"rate_{c}" for c in RATES}}))
+    r = _small(rates.withColumnsRenamed({"model": "_model", **{c: f"rate_{c}" for c in RATES}}))
     fits = (F.col("model") == F.col("_model")) & (F.col("effective_from").isNull() | (F.col("date") >= F.col("effective_from"))) & (F.col("effective_until").isNull() | (F.col("date") <= F.col("effective_until")))
     return usage.join(r, fits, "left").drop("effective_from", "effective_until")
 

@@ -110,8 +110,14 @@ def write_bundle(path: str, members: dict[str, bytes]) -> dict[str, str]:
     return {name: hashlib.sha256(content).hexdigest() for name, content in members.items()}
 
 
-def read_bundles(spark: SparkSession, root: str) -> DataFrame:
-    """Members of all .tar.zst bundles below a root, hashed as they are read, a bundle a task (SRC-8, SRC-9)."""
+def list_bundles(spark: SparkSession, root: str) -> DataFrame:
+    """archive, size, mtime of the .tar.zst bundles below a root. Contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tar.zst").load(root)
+    return found.select(F.col("path").alias("archive"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+
+
+def read_bundles(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """Members of all .tar.zst bundles below a root, or of those listed, hashed as they are read, a bundle a task (SRC-8, SRC-9)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tar.zst").load(root).select("path", "content")
 
