@@ -25,6 +25,7 @@ SAMPLE_DOCS = 2_000  # of each language, about; the bound of what the model is f
 ROUNDS = 3
 SMOOTHING = 0.05
 SHIFT = 3.0  # nats a byte that keep products of probabilities within range
+MOST_LANGS = 256  # languages that are learnt, the most frequent ones; a bound of what is broadcast (pieces x languages)
 STEP = 32  # bytes of a run of letters after which its sums are rescaled
 LONG_RUN = 1 << 14  # bytes of a run of letters that are looked at together; a longer one goes on from the sums so far
 CACHE_WORDS = 300_000
@@ -212,7 +213,7 @@ def train(labelled: DataFrame, path: str, lang: str = "lang", text: str = "text"
     """Languages in order of name and log-shifted piece probabilities (pieces x languages), from about sample_docs documents of each."""
     rows = labelled.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
-    langs = sorted(sizes)
+    langs = sorted(sorted(sizes, key=lambda k: (-sizes[k], k))[:MOST_LANGS])
     if not langs:
         return [], np.zeros((0, 0))
     small_batches(rows.sparkSession)
