@@ -271,14 +271,12 @@ def _text_functions(spark, d):
     return B.table(spark, d, "documents").select("doc_id", F.length(x).cast("long").alias("chars"), F.octet_length(x).cast("long").alias("bytes"), F.sha2(x, 256).alias("sha"), T.sample_key(F.col("doc_id")).alias("sample_key"), T.csv_guard(x).alias("guarded"), F.right("source", F.lit(2)).alias("short"))
 
 
-@query("previews", "SELECT doc_id, array_to_string(string_split(text, chr(10))[1:4], chr(10)) AS head FROM documents WHERE strlen(array_to_string(string_split(text, chr(10))[1:4], chr(10))) <= 512")
-def _previews(spark, d):
-    docs = B.table(spark, d, "documents")
-    return docs.filter(F.octet_length(F.substring_index("text", "\n", 4)) <= 512).select("doc_id", T.preview(F.col("text")).alias("head"))
+#: The first four lines as hexadecimal digits, cut after 512 bytes or, where the next byte goes on with a character, before that character.
+_HEAD = "h AS (SELECT doc_id, hex(encode(array_to_string(string_split(text, chr(10))[1:4], chr(10)))) AS x FROM documents), k AS (SELECT doc_id, x, CASE WHEN length(x) <= 1024 THEN length(x) " + " ".join(f"WHEN substr(x, {2 * c + 1}, 1) NOT IN ('8', '9', 'A', 'B') THEN {2 * c}" for c in (512, 511, 510)) + " ELSE 1018 END AS n FROM h)"
 
 
-@query("whole_previews")  # of all documents, with the cut at a whole character, which DuckDB can't express; previews has those that need no cut
-def _whole_previews(spark, d):
+@query("previews", f"WITH {_HEAD} SELECT doc_id, decode(unhex(left(x, n))) AS head FROM k")
+def _previews(spark, d):
     return B.table(spark, d, "documents").select("doc_id", T.preview(F.col("text")).alias("head"))
 
 

@@ -114,6 +114,18 @@ def heatmap(usage: DataFrame, rates: DataFrame, **flags) -> dict:
     return envelope("heatmap", {"metric": metric, "days": _rows(K.levels(days, metric).orderBy("date")), "stats": _rows(K.heat_statistics(days, metric))[0]}, o, _warnings(priced))
 
 
+def pages(usage: DataFrame, rates: DataFrame, model_sessions: DataFrame, today: str, matrix_days: list[str]) -> dict[str, DataFrame]:
+    """What the pages of a dashboard show, each as a table over one priced cube: days with levels, statistics, streaks, rails, months, models, models by day (RPT-19)."""
+    from ledgerloom.plans.history_reports import model_page
+
+    priced = P.price(usage, rates)
+    days = priced.groupBy("date").agg(P.checked_sum(F.col("cost")).alias("cost"))
+    return {
+        "totals": C.totals(usage), "days": K.levels(days, "cost"), "statistics": K.heat_statistics(days, "cost"), "streaks": K.streaks(days, "cost"), "rails": K.rails(days, today),
+        "months": K.year_grid(days), "trend": K.week_over_week(days, "cost"), "models": model_page(priced, model_sessions, today), "matrix": K.matrix(priced, matrix_days), "unpriced": P.unpriced_models(priced),
+    }
+
+
 def pricing(rates: DataFrame) -> dict:
     return envelope("pricing", _rows(rates.orderBy("model", F.coalesce("effective_from", F.lit("")))))
 

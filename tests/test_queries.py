@@ -11,7 +11,8 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES = [
-    "report_daily", "report_models", "cost_rollup", "priced_rows", "retract_by_difference", "heat_levels", "heat_statistics", "year_grid", "model_attribution", "progressive_snapshots", "prompt_listing",
+    "report_daily", "report_models", "previews", "usage_events_a", "log_diagnostics_a", "resumed_usage_a", "usage_events_b", "prompts_of_rollouts_a", "prompts_of_rollouts_b", "transcripts_a", "transcripts_b", "positioned_lines", "lines_from_a_checkpoint",
+    "appended_and_rewritten", "indexed_bm25", "rate_listing", "newest_kept", "stale_index", "search_hits", "cost_rollup", "priced_rows", "retract_by_difference", "heat_levels", "heat_statistics", "year_grid", "model_attribution", "progressive_snapshots", "prompt_listing",
     "statistics_by_repository", "top_projects_and_other", "bm25", "boolean_search", "stratified_sample", "session_representatives", "resolved_edges", "session_tree", "vault_readiness", "vault_page",
 ]
 
@@ -64,7 +65,7 @@ def test_whole_previews_cut_at_a_character(spark, tmp_path):
             cut -= 1
         return raw[:cut].decode()
 
-    got = {r.doc_id: r["head"] for r in entry.queries()["whole_previews"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r["head"] for r in entry.queries()["previews"](spark, str(tmp_path)).collect()}
     assert got == {k: None if t is None else brute(t) for k, t in enumerate(texts)}
 
 
