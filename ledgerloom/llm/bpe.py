@@ -140,7 +140,8 @@ def encode_decode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
     """doc_id, ids (binary, little-endian unsigned 32-bit), decoded (string: the text made again from the ids).
 
     A null text is an empty one: no ids, an empty string. Each row has its own output row, repeated ones too; other
-    columns are ignored. Whole texts are encoded, whatever their length.
+    columns are ignored, whatever their names. Whole texts are encoded, whatever their length. An empty table gives an
+    empty result.
     """
     path = vocabulary or default_vocabulary()
     small_batches(docs.sparkSession)

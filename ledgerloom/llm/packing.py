@@ -26,7 +26,11 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece: a document's ids and end_id, cut into pieces of `capacity` only if longer, where the first piece takes the rest."""
+    """doc_id, piece, start, length, ids_crc32 of every piece: a document's ids and end_id, cut into pieces of `capacity` only if longer, where the first piece takes the rest.
+
+    A null or empty text is the end id alone. Rows without an id and repeated rows each have their own pieces. An empty
+    table gives an empty result; other columns are ignored, whatever their names.
+    """
     path = vocabulary or default_vocabulary()
     small_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
@@ -123,5 +127,9 @@ def best_fit_pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, **columns: str) -> DataFrame:
-    """Every document's pieces with their places. A null or empty text is one piece, the end id alone."""
+    """Every document's pieces with their places.
+
+    A null or empty text is one piece, the end id alone; a long text has as many pieces as it needs. Rows without an id
+    and repeated rows each have their own pieces. An empty table gives an empty result; other columns are ignored.
+    """
     return best_fit_pack(materialise(token_pieces(docs, capacity, end_id, **columns), "token-pieces"), capacity)

@@ -107,7 +107,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", tex
 
     A null text has no bytes, size 1 and the group and checksum of the empty text. Rows of equal texts share a shard;
     slots number the rows of a shard by doc_id without gaps (null ids first; repeated rows in any order). With fewer
-    groups than shards some shards are empty. Other columns are ignored.
+    groups than shards some shards are empty. Long texts count whole; an empty table gives an empty result. Other columns
+    are ignored, whatever their names.
     """
     content = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
