@@ -25,13 +25,21 @@ NEAR, SHINGLE_WORDS = 0.8, 5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is ordinary for trusted text of their language."""
+    """Documents whose perplexity is ordinary for trusted text of their language.
+
+    Texts without words (null, empty, blank) go. Repeated rows go or stay together; rows without an id are judged like
+    any other. Long texts count whole; without labels nothing but texts without words goes.
+    """
     judged = materialise(classify_quality(docs, table(spark, sf_dir, "labels")), "quality")
     return without(docs, judged.filter("not keep"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters whose language is recognised and that fit it about as well as the texts it was learnt from."""
+    """Documents with letters whose language is recognised and that fit it about as well as the texts it was learnt from.
+
+    Texts without letters go. Repeated rows go or stay together; rows without an id are judged like any other. Long
+    texts count whole. Where no document has a language nothing can be learnt, and all go.
+    """
     named = materialise(identify_languages(docs), "languages")
     limits = named.filter("not held_out and lang = lang_pred").groupBy("lang_pred").agg((F.percentile_approx("fit", 0.5, 10_000) - FIT_BELOW).alias("least"))
     named = named.join(F.broadcast(materialise(limits, "language-limits")), "lang_pred", "left")  # a row for each language
@@ -55,7 +63,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all documents' pieces in sequences of 1024 tokens."""
+    """The places of all documents' pieces in sequences of 1024 tokens; a null or empty text is its end id alone, repeated rows have their own pieces."""
     return pack_documents(docs, capacity=1024, end_id=2)
 
 
