@@ -31,8 +31,8 @@ FINGERPRINTS = 8
 HALF_BUDGET = 3
 #: Of the 128 bits of two fingerprints about 19 differ at a similarity of 0.8; so many are 3.6 standard deviations more.
 BUDGET = 34
-#: Of all 512 bits 77 differ at a similarity of 0.8, give or take 8: four standard deviations less are a copy for sure (1 in 30,000 such pairs is less similar), four more are none.
-SURE, FAR = 45, 110
+#: Of all 512 bits 77 differ at a similarity of 0.8, give or take 8: four standard deviations less are a copy for sure (1 in 30,000 such pairs is less similar), three more are none (of measured pairs of 0.80 to 0.805, 999 of 1000 have fewer).
+SURE, FAR = 45, 100
 _LANES = np.array([sum(1 << 8 * b for b in range(8) if v >> b & 1) for v in range(256)], np.uint64)  # a byte's bits, a lane of 8 bits each
 
 
@@ -87,6 +87,17 @@ def signatures(docs: DataFrame, words: int = 5, doc_id: str = "doc_id", text: st
     return rows.mapInArrow(run, "row long, doc_id long, text_hash long, class long, sketch array<long>, shingles binary")
 
 
+def _first_met(trie: int, differ: np.ndarray) -> np.ndarray:
+    """Of a trie's links those that can be copies and that no trie before it has: so every pair comes once."""
+    low = np.bitwise_count(differ & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    whole = np.bitwise_count(differ).astype(np.int64)
+    lead, pair = (whole - low, low), whole + np.roll(whole, -1, axis=1)
+    good = whole.sum(axis=1) <= FAR
+    for t in range(trie):
+        good &= ~((lead[t % 2][:, t // 2] <= HALF_BUDGET) & (pair[:, t // 2] <= BUDGET))
+    return good
+
+
 def _alike(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +130,7 @@ def near_copy_places(marked: DataFrame, least: float = 0.8) -> DataFrame:
         one = [F.element_at("sketch", k % FINGERPRINTS + 1) for k in range(FINGERPRINTS + 1)]
         turned = [F.shiftleft(x, 32).bitwiseOR(F.shiftrightunsigned(x, 32)) for x in one]
         tries = [F.struct(F.lit(2 * k + h).alias("trie"), (one, turned)[h][k].alias("key"), one[k + 1].alias("check")) for k in range(FINGERPRINTS) for h in (0, 1)]
-        label = ["label"] if "label" in rows.columns else []
+        label = ["label", "sketch"] if "label" in rows.columns else []
         return rows.select(F.explode(F.array(*tries)).alias("t"), "class", *label).select("t.trie", "t.key", "t.check", F.col("class").alias("id"), *label)
 
     def measured(pairs: DataFrame) -> DataFrame:
@@ -157,7 +168,8 @@ def near_copy_places(marked: DataFrame, least: float = 0.8) -> DataFrame:
     still = materialise(parted.select("ru").union(parted.select("rv")).distinct().toDF("label"), "copies-still")
     grouped = sketches.join(root.toDF("class", "root"), "class", "left").select("class", "sketch", F.coalesce("root", "class").alias("label"))
     grouped = materialise(grouped.join(still, "label", "left_semi"), "copies-grouped")
-    second = measured(linked_rows(entries(grouped), 32, HALF_BUDGET, BUDGET, every=True)).join(failed, ["u", "v"], "left_anti")
+    second = linked_rows(entries(grouped), 32, HALF_BUDGET, BUDGET, every=True, sift=_first_met)
+    second = second.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).join(failed, ["u", "v"], "left_anti")
     links = links.union(judged(second).filter("alike").select("u", "v"))
     places = materialise(classes.select("class").join(groups(links).toDF("class", "root"), "class", "left").select("class", F.coalesce("root", "class").alias("place")), "copies-places")
     return marked.join(places, "class")

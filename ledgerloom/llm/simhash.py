@@ -11,7 +11,7 @@ against all, and what leaves a task is a forest of its closest links.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -122,12 +122,12 @@ def _closest(x: np.ndarray, y: np.ndarray, differ: np.ndarray, labels: np.ndarra
         labels = _labels(len(labels), x[pick], y[pick], labels)
 
 
-def trie_links(keys: np.ndarray, split: int | None, prefix_bits: int = 64, prefix_budget: int = 3, budget: int = 3, checks: np.ndarray | None = None, labels: np.ndarray | None = None, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(keys: np.ndarray, split: int | None, prefix_bits: int = 64, prefix_budget: int = 3, budget: int = 3, checks: np.ndarray | None = None, labels: np.ndarray | None = None, every: bool = False, sift: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j) of linked keys (uint64): of keys[:split] with keys[split:], each part sorted, or of all with each other (split None).
 
     Two are linked if at most prefix_budget of their first prefix_bits bits differ and at most budget of all bits, those
     of `checks` included where given. What is returned is a spanning forest of the closest links, over the classes
-    `labels` (default: each key its own); or with `every` all links between different classes.
+    `labels` (default: each key its own); or with `every` all links between different classes that `sift` lets through.
     """
     own = split is None
     left, b = (keys, keys) if own else (keys[:split], keys[split:])
@@ -157,8 +157,10 @@ def trie_links(keys: np.ndarray, split: int | None, prefix_bits: int = 64, prefi
             for x, y, differ in _compare(keys, shift, alo[ripe], ahi[ripe], blo[ripe], bhi[ripe], own, prefix_bits, prefix_budget, budget, checks):
                 if every:
                     apart = labels[x] != labels[y]
-                    xs.append(x[apart])
-                    ys.append(y[apart])
+                    x, y = x[apart], y[apart]
+                    good = sift(x, y) if sift else slice(None)
+                    xs.append(x[good])
+                    ys.append(y[good])
                 elif len(x):
                     x, y, labels = _closest(x, y, differ, labels)
                     xs.append(x)
@@ -243,11 +245,12 @@ def leaf_pairs(leaves: list[tuple[int, int]], budget: int) -> list[tuple[int, in
     return out
 
 
-def linked_rows(entries: DataFrame, prefix_bits: int, prefix_budget: int, budget: int, every: bool = False) -> DataFrame:
+def linked_rows(entries: DataFrame, prefix_bits: int, prefix_budget: int, budget: int, every: bool = False, sift: Callable[[int, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Links (u, v) of the rows of entries (trie int, key long, check long, id long, and label long if classes are given), each trie by itself.
 
     Two ids are linked as in trie_links, the key's bits first. A forest of each pair of leaves, so all forests together
-    connect what the links connect; or with `every` all links between different labels.
+    connect what the links connect; or with `every` all links between different labels. There, `sift` may choose among
+    the links of a trie by the differing bits of a column sketch (array of long, one length) that entries then have.
     """
     spark = entries.sparkSession
     tries = {r["trie"]: r["n"] for r in entries.groupBy("trie").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a trie
@@ -258,24 +261,27 @@ def linked_rows(entries: DataFrame, prefix_bits: int, prefix_budget: int, budget
     held: dict[int, dict[int, int]] = {}
     for r in entries.groupBy("trie", top.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect():  # at most 2^depth rows a trie
         held.setdefault(r["trie"], {})[r["p"]] = r["n"]
-    starts, first_leaf, met = {}, 0, []
+    starts, first_leaf, met, trie_of = {}, 0, [], []
     for k, counts in sorted(held.items()):
         leaves = trie_leaves(counts, depth, max(2, LEAST_LEAVES // len(held)))  # several tries are dealt out together
         starts[k] = np.array([p << (depth - b) for p, b in leaves]), first_leaf
         for i, j in leaf_pairs(leaves, prefix_budget):
-            met += [(first_leaf + i, len(met), 0), (first_leaf + j, len(met), 1)][: 1 + (i != j)]
+            met += [(first_leaf + i, len(trie_of), 0), (first_leaf + j, len(trie_of), 1)][: 1 + (i != j)]
+            trie_of.append(k)
         first_leaf += len(leaves)
-    names = ["key", "check", "id", *(["label"] if "label" in entries.columns else [])]
-    order = np.dtype([(c, "<u8" if c in ("key", "check") else "<i8") for c in names])
+    names = ["key", "check", "id", *(c for c in ("label", "sketch") if c in entries.columns)]
+    words = entries.select(F.size("sketch")).first()[0] if "sketch" in names else 1
+    order = np.dtype([(c, "<u8" if c in ("key", "check", "sketch") else "<i8", *([(words,)] if c == "sketch" else [])) for c in names])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each leaf that a task holds: its entries in a string of bytes."""
 
         def rows(tables: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trie, *columns = (np.concatenate([t.column(k).to_numpy(zero_copy_only=False) for t in tables]) for k in range(1 + len(names)))
+            trie = np.concatenate([t.column(0).to_numpy() for t in tables])
             made = np.zeros(len(trie), order)
-            for name, c in zip(order.names, columns):
-                made[name] = c.view(order[name])
+            for k, name in enumerate(names, 1):
+                flat = [t.column(k).flatten() if name == "sketch" else t.column(k) for t in tables]
+                made[name] = np.concatenate([c.to_numpy(zero_copy_only=False) for c in flat]).view("<u8" if name in ("key", "check", "sketch") else "<i8").reshape(made[name].shape)
             leaf = np.zeros(len(trie), np.int64)
             for k in np.unique(trie):
                 own = trie == k
@@ -308,7 +314,9 @@ def linked_rows(entries: DataFrame, prefix_bits: int, prefix_budget: int, budget
             # labels are smallest places, so that a merged class keeps its smallest
             _, first, labels = np.unique(one["label"], return_index=True, return_inverse=True)
             labels = first[labels]
-        i, j = trie_links(np.ascontiguousarray(one["key"]), len(parts[0]) if len(parts[1]) else None, prefix_bits, prefix_budget, budget, np.ascontiguousarray(one["check"]), labels, every)
+        trie = trie_of[block.column("pair")[0].as_py()]
+        chosen = (lambda x, y: sift(trie, one["sketch"][x] ^ one["sketch"][y])) if sift else None
+        i, j = trie_links(np.ascontiguousarray(one["key"]), len(parts[0]) if len(parts[1]) else None, prefix_bits, prefix_budget, budget, np.ascontiguousarray(one["check"]), labels, every, chosen)
         u, v = one["id"][i], one["id"][j]
         apart = u != v
         return pa.table({"u": pa.array(u[apart]), "v": pa.array(v[apart])})

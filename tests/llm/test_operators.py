@@ -426,7 +426,7 @@ def test_perplexities_with_and_without_head(spark, monkeypatch, head):
     monkeypatch.setattr(quality, "BLOCK_CHARS", 7)
     grams = {"\x02\x02a": -1.0, "\x02a ": -2.0, "a a": -3.0, " ab": -4.0, "ab\x03": -5.0, "\x02ab": -6.0, "a\x03": -9.0, " a ": -0.5, "\ufffda ": -7.0, "\x02\x02\ufffd": -8.0, "\x02\ufffda": -1.5, "a\x03\x03": -9.0}
     grams = {g: v for g, v in grams.items() if len(g) == 3}
-    table = spark.createDataFrame([(g, k, v) for k, (g, v) in enumerate(grams.items())], "gram string, n long, logp double")
+    table = spark.createDataFrame([(g, k, v) for k, (g, v) in enumerate(grams.items(), 1)], "gram string, n long, logp double")
     texts = [(1, "a  a a ab\n"), (2, None), (3, " "), (None, "ab"), (1, "a  a a ab\n")]
 
     def brute(t):

@@ -90,6 +90,26 @@ def test_near_copies_of_every_kind(spark, tmp_path):
     assert set(range(600)) - kept == want
 
 
+def test_copies_of_one_text_that_are_no_copies_of_each_other(spark, tmp_path):
+    """The forest's links between edited copies don't hold; the original, which joins them, is found all the same."""
+    rng = np.random.default_rng(9)
+    words = np.array([f"w{k}" for k in range(5000)])
+    rows = []
+    for g in range(3):
+        base = rng.choice(words, 200)
+        rows.append((100 * g, " ".join(base)))
+        for k in range(30):
+            copy = base.copy()
+            copy[rng.choice(np.arange(5, 195), 4, replace=False)] = rng.choice(words, 4)
+            rows.append((100 * g + 1 + k, " ".join(copy)))
+    sets = {k: _shingles(t) for k, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    spokes = sum(alike(a, b) for a in range(1, 31) for b in range(1, a))
+    assert spokes < 60 and all(alike(100 * g, 100 * g + k) for g in range(3) for k in range(1, 31))
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()}
+    assert kept == {0, 100, 200}
+
+
 def test_language_rejects_what_fits_no_learnt_language(spark, corpus, tmp_path):
     rng = np.random.default_rng(6)
     docs = spark.read.parquet(corpus + "/documents.parquet")
