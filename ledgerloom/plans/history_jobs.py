@@ -42,7 +42,7 @@ def _prompts(lines: DataFrame, provider: str, assistant: bool) -> DataFrame:
     return made.withColumn("prompt_id", M.stable_id("path", "line_no"))
 
 
-def index_history(spark: SparkSession, roots: dict[str, str], store: str, generation: int, assistant: bool = False) -> tuple[int, dict]:
+def index_history(spark: SparkSession, roots: dict[str, str], store: str, generation: int, assistant: bool = False, pattern: str = "*.jsonl") -> tuple[int, dict]:
     """Reads generation `generation` of sources, sessions and prompts (0: none), writes the next, and counts what it met: new, moved, changed, unchanged, missing, failed."""
     out = f"{store}/generation={generation + 1}"
 
@@ -53,7 +53,7 @@ def index_history(spark: SparkSession, roots: dict[str, str], store: str, genera
     known = _table(spark, store, generation, "sources", SOURCES)
     listed = None
     for provider, root in roots.items():
-        one = J.listing(spark, root).withColumn("provider", F.lit(provider))
+        one = J.listing(spark, root, pattern).withColumn("provider", F.lit(provider))
         listed = one if listed is None else listed.unionByName(one)
     met = listed.join(known.select("path", *[F.col(c).alias(f"old_{c}") for c in known.columns if c != "path"]), "path", "full_outer")
     same = (F.col("size") == F.col("old_size")) & (F.col("mtime") == F.col("old_mtime")) & (F.col("old_rule") == RULE) & ~F.col("old_missing")

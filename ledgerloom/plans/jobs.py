@@ -32,7 +32,7 @@ def _table(spark: SparkSession, store: str, generation: int, name: str, schema:
     return spark.read.schema(schema).parquet(f"{store}/generation={generation}/{name}") if generation else spark.createDataFrame([], schema)
 
 
-def sync(spark: SparkSession, roots: str | dict[str, str], store: str, generation: int, zone: str = "UTC") -> tuple[int, dict]:
+def sync(spark: SparkSession, roots: str | dict[str, str], store: str, generation: int, zone: str = "UTC", pattern: str = "*.jsonl") -> tuple[int, dict]:
     """Reads generation `generation` (0: none), writes the next one whole, and counts what it met.
 
     roots: provider -> folder, or provider A's folder alone. A generation is never changed, so a run that fails leaves
@@ -50,7 +50,7 @@ def sync(spark: SparkSession, roots: str | dict[str, str], store: str, generatio
     known = _table(spark, store, generation, "files", FILES)
     listed = None
     for provider, root in roots.items():
-        one = J.listing(spark, root).withColumn("provider", F.lit(provider))
+        one = J.listing(spark, root, pattern).withColumn("provider", F.lit(provider))
         listed = one if listed is None else listed.unionByName(one)
     listed = keep(listed, "listed")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +16,11 @@ from ledgerloom.operators import history as Y
 from ledgerloom.operators import maintenance as D
 from ledgerloom.operators import vault as V
 from ledgerloom.plans import bindings as B
+from ledgerloom.plans import history_jobs, jobs
 from ledgerloom.plans.corpus_queries import query
 from ledgerloom.sources import jsonl as J
 from ledgerloom.sources import sinks as S
+from ledgerloom.streaming import ingest as I
 
 
 def _json(**fields) -> Column:
@@ -401,3 +406,92 @@ def _stable(spark, d):
 def _backfilled(spark, d):
     s = B.sessions(spark, d).withColumn("rule_version", F.when(F.col("provider") == "codex", F.lit(None).cast("int")).otherwise(F.lit(5)))
     return D.backfill(s, 3).select("session_id", "project", "rule_version")
+
+
+# --- whole jobs: the logs written as files, read back by the jobs
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder below the shared one that spark.checkpoint.dir names; a temporary one on a local master where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-logs-", dir="/tmp")
+    return f"{root}/logs-{uuid.uuid4().hex}"
+
+
+def _written(lines: DataFrame) -> str:
+    """The lines as a text file for each path, in order."""
+    out = _folder(lines.sparkSession)
+    lines.repartition("path").sortWithinPartitions("path", "line_no").select("path", "raw").write.partitionBy("path").text(out)
+    return out
+
+
+_BOTH = f"""{LOG_A_SQL}, ua AS (SELECT strftime(ts, '%Y-%m-%d') AS date, 'codex' AS provider, coalesce(before, later, 'unknown') AS model, v AS input, v // 3 AS cache_read, v // 10 AS cache_write_5m, 0 AS cache_write_1h, 0 AS cache_write_unclassified, v % 7 AS output, (v % 7) // 2 AS reasoning FROM m WHERE is_count AND v + v % 7 > 0 AND k % 9 <> 0)"""
+_CUBE = "date, provider, model, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("input", "cache_read", "cache_write_5m", "cache_write_1h", "cache_write_unclassified", "output", "reasoning"))
+_MADE_B = LOG_B_SQL.replace("e AS (", "eb AS (", 1).replace("FROM e WHERE", "FROM eb WHERE") + """, r AS (SELECT *, max(score) OVER (PARTITION BY message_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM b),
+    records AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY line_no DESC) AS place, min(ts) OVER (PARTITION BY message_id) AS first FROM r WHERE best IS NULL OR score > best), kept AS (SELECT *, strftime(first, '%Y-%m-%d') AS date FROM records WHERE place = 1),
+    ub AS (SELECT date, 'claude' AS provider, 'b' || (k % 5) AS model, v + v % 11 + v % 13 AS input, v % 11 AS cache_read, v % 5 AS cache_write_5m, CASE WHEN k % 4 = 0 THEN v % 3 ELSE 0 END AS cache_write_1h, greatest(0, v % 13 - v % 5 - CASE WHEN k % 4 = 0 THEN v % 3 ELSE 0 END) AS cache_write_unclassified, v % 7 AS output, 0 AS reasoning FROM kept WHERE k % 3 <> 0
+           UNION ALL SELECT date, 'claude', CASE WHEN k % 2 = 1 THEN 'b' || (k % 5) ELSE 'it' || (k % 4) END, v + 1, 1, 0, 0, 0, 2, 0 FROM kept WHERE k % 3 = 0 UNION ALL SELECT date, 'claude', 'b' || (k % 5), 3, 0, 0, 0, 0, v % 7, 0 FROM kept WHERE k % 3 = 0)"""
+
+
+@query("synced_usage", f"WITH {_BOTH}, {_MADE_B} SELECT {_CUBE} FROM (SELECT * FROM ua UNION ALL SELECT * FROM ub) WHERE input + output > 0 GROUP BY date, provider, model")
+def _synced(spark, d):
+    store = _folder(spark)
+    generation, _ = jobs.sync(spark, {"codex": _written(log_a(spark, d)), "claude": _written(log_b(spark, d))}, store, 0, pattern="*.txt")
+    return jobs.usage(spark, store, generation)
+
+
+@query("streamed_usage", f"WITH {_BOTH} SELECT {_CUBE} FROM ua GROUP BY date, provider, model")
+def _streamed(spark, d):
+    out = _folder(spark)
+    I.ingest(spark, _written(log_a(spark, d)), out, out + "-mark", pattern="*.txt").awaitTermination()
+    return I.cube_of(spark, out)
+
+
+# in a file the lines of a turn stand together, so each item of a user is its message's twin
+@query("indexed_prompts", f"WITH {SAID_SQL}, {_ROWS_A} SELECT role, sha256(said) AS text, classification, kind, searchable, true AS available, count(*) AS n FROM r WHERE confirmed OR role = 'assistant' GROUP BY ALL")
+def _indexed(spark, d):
+    store = _folder(spark)
+    generation, _ = history_jobs.index_history(spark, {"codex": _written(rollouts_a(spark, d))}, store, 0, assistant=True, pattern="*.txt")
+    p = history_jobs.prompts_with_state(spark, store, generation)
+    return p.groupBy("role", F.sha2("text", 256).alias("text"), "classification", "kind", "searchable", "available").agg(F.count(F.lit(1)).alias("n"))
+
+
+_EXPORT = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in S.EXPORT_COLUMNS if c != "provenance")
+
+
+@query("exported_csv", f"WITH {B.PRICED_SQL}, x AS (SELECT date, substr(date, 1, 7) AS month, strftime(CAST(date AS DATE), '%B') AS month_name, substr(date, 1, 4) AS year, provider, model, input, cache_read, cache_write_5m, cache_write_1h, cache_write_unclassified, output, reasoning, input + output AS total, CASE WHEN priced_tokens > 0 THEN cost END AS cost, provenance FROM priced) SELECT {_EXPORT}, provenance FROM x")
+def _exported(spark, d):
+    from ledgerloom.plans.queries import QUERIES as CUBE
+
+    out = _folder(spark)
+    S.write_csv(CUBE["export_rows"](spark, d), out)
+    return spark.read.option("header", True).csv(out)
+
+
+@query("written_transcripts", f"WITH {SAID_SQL}, {_BLOCKS_B} SELECT {_PATH_B} AS session, kind, count(*) AS n FROM b GROUP BY 1, 2")
+def _written_transcripts(spark, d):
+    out = _folder(spark)
+    S.write_transcripts(Y.transcript_b(rollouts_b(spark, d)), out)
+    return spark.read.json(out).groupBy(F.col("path").alias("session"), "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("archived_rows", f"WITH {B.MANIFEST_SQL} SELECT provider, substr(archive, length(provider) + 2) AS month, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM manifest GROUP BY 1, 2")
+def _archived(spark, d):
+    out = _folder(spark)
+    S.archive(B.manifest(spark, d).withColumn("month", F.expr("substring(archive, length(provider) + 2)")), out)
+    rows = spark.read.option("basePath", out).schema("provider string, month string, size long").parquet(out)
+    return rows.groupBy("provider", "month").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+
+
+@query("paired_records", "WITH r AS (SELECT user_id AS path, event_id, ts, CASE WHEN event_type IN ('click', 'error') THEN 'A' ELSE 'B' END AS kind, CAST(event_id % 5 AS VARCHAR) AS text_hash FROM events), x AS (SELECT *, lead(kind) OVER w AS k2, lead(event_id) OVER w AS e2 FROM r WINDOW w AS (PARTITION BY path, text_hash ORDER BY event_id)) SELECT event_id, coalesce(kind = 'A' AND k2 = 'B' AND e2 - event_id <= 40, false) AS paired FROM x")
+def _paired(spark, d):
+    e = B.table(spark, d, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("line_no"), F.lit("t").alias("ts"), F.when(F.col("event_type").isin("click", "error"), "A").otherwise("B").alias("kind"), (F.col("event_id") % 5).cast("string").alias("text_hash"))
+    return X.paired(e, within=40).select(F.col("line_no").alias("event_id"), "paired")
+
+
+@query("bars", "SELECT o_orderkey, repeat('#', CAST(least(10, floor(o_totalprice / 500000 * 10 + 0.5)) AS INTEGER)) AS bar FROM orders")
+def _bars(spark, d):
+    return B.table(spark, d, "orders").select("o_orderkey", T.bar(F.col("o_totalprice"), F.lit(500000)).alias("bar"))

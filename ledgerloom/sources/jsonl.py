@@ -23,9 +23,9 @@ def resolve_root(provider: str, flag: str | None = None, env: tuple[str, ...] =
     raise ValueError(f"no root for {provider}")
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """path, size, mtime of the .jsonl files below a root (SRC-2). Contents aren't read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(root)
+def listing(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
+    """path, size, mtime of the files of this pattern below a root (SRC-2). Contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 

@@ -14,10 +14,10 @@ from ledgerloom.operators import extraction as X
 from ledgerloom.operators.cube import BUCKETS, KEY, cube, sums
 
 
-def read_new_files(spark: SparkSession, root: str) -> DataFrame:
+def read_new_files(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
     """path and content of log files as they come; each path is read once, the checkpoint remembers which. For logs that grow in place see plans.jobs.sync (STR-1)."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).load(root).select("path", "content")
+    return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root).select("path", "content")
 
 
 def ledger_writer(out: str, zone: str = "UTC", provider: str = "codex"):
@@ -42,9 +42,9 @@ def ledger_writer(out: str, zone: str = "UTC", provider: str = "codex"):
     return write
 
 
-def ingest(spark: SparkSession, root: str, out: str, checkpoint: str, zone: str = "UTC", provider: str = "codex") -> StreamingQuery:
+def ingest(spark: SparkSession, root: str, out: str, checkpoint: str, zone: str = "UTC", provider: str = "codex", pattern: str = "*.jsonl") -> StreamingQuery:
     """All files of a provider that are new since the last call, then an end (ING-22, RPT-8)."""
-    return read_new_files(spark, root).writeStream.foreachBatch(ledger_writer(out, zone, provider)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return read_new_files(spark, root, pattern).writeStream.foreachBatch(ledger_writer(out, zone, provider)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def cube_of(spark: SparkSession, out: str, zone: str = "UTC", providers: tuple[str, ...] = ("codex",)) -> DataFrame:
