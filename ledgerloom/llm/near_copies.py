@@ -13,7 +13,7 @@ among classes that a failed link keeps apart are all candidates of different gro
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 from itertools import accumulate
 from operator import add
 
@@ -33,6 +33,8 @@ HALF_BUDGET = 3
 BUDGET = 34
 #: Of all 512 bits 77 differ at a similarity of 0.8, give or take 8: four standard deviations less are a copy for sure (1 in 30,000 such pairs is less similar), three more are none (of measured pairs of 0.80 to 0.805, 999 of 1000 have fewer).
 SURE, FAR = 45, 100
+#: Where groups stay apart, closer candidates are compared first: what they join needs no more comparing.
+STEPS = (85, FAR)
 _LANES = np.array([sum(1 << 8 * b for b in range(8) if v >> b & 1) for v in range(256)], np.uint64)  # a byte's bits, a lane of 8 bits each
 
 
@@ -87,12 +89,13 @@ def signatures(docs: DataFrame, words: int = 5, doc_id: str = "doc_id", text: st
     return rows.mapInArrow(run, "row long, doc_id long, text_hash long, class long, sketch array<long>, shingles binary")
 
 
-def _first_met(trie: int, differ: np.ndarray) -> np.ndarray:
-    """Of a trie's links those that can be copies and that no trie before it has: so every pair comes once."""
+def _first_met(trie: int, differ: np.ndarray, above: int, most: int) -> np.ndarray:
+    """Of a trie's links those of so many differing bits that no trie before it has: so every pair comes once."""
     low = np.bitwise_count(differ & np.uint64(0xFFFFFFFF)).astype(np.int64)
     whole = np.bitwise_count(differ).astype(np.int64)
     lead, pair = (whole - low, low), whole + np.roll(whole, -1, axis=1)
-    good = whole.sum(axis=1) <= FAR
+    total = whole.sum(axis=1)
+    good = (total > above) & (total <= most)
     for t in range(trie):
         good &= ~((lead[t % 2][:, t // 2] <= HALF_BUDGET) & (pair[:, t // 2] <= BUDGET))
     return good
@@ -166,10 +169,14 @@ def near_copy_places(marked: DataFrame, least: float = 0.8) -> DataFrame:
     failed = open_.filter("not alike").select("u", "v")
     parted = materialise(apart(failed, root).select("ru", "rv").distinct(), "copies-apart")
     still = materialise(parted.select("ru").union(parted.select("rv")).distinct().toDF("label"), "copies-still")
-    grouped = sketches.join(root.toDF("class", "root"), "class", "left").select("class", "sketch", F.coalesce("root", "class").alias("label"))
-    grouped = materialise(grouped.join(still, "label", "left_semi"), "copies-grouped")
-    second = linked_rows(entries(grouped), 32, HALF_BUDGET, BUDGET, every=True, sift=_first_met)
-    second = second.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).join(failed, ["u", "v"], "left_anti")
-    links = links.union(judged(second).filter("alike").select("u", "v"))
-    places = materialise(classes.select("class").join(groups(links).toDF("class", "root"), "class", "left").select("class", F.coalesce("root", "class").alias("place")), "copies-places")
+    held = sketches.join(root.toDF("class", "root"), "class", "left").withColumn("label", F.coalesce("root", "class"))
+    held = materialise(held.join(still, "label", "left_semi").select("class", "sketch"), "copies-held")
+    above = 0
+    for most in STEPS:
+        grouped = held.join(root.toDF("class", "root"), "class", "left").select("class", "sketch", F.coalesce("root", "class").alias("label"))
+        more = linked_rows(entries(materialise(grouped, "copies-grouped")), 32, HALF_BUDGET, BUDGET, every=True, sift=partial(_first_met, above=above, most=most))
+        more = more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).join(failed, ["u", "v"], "left_anti")
+        links, above = links.union(judged(more).filter("alike").select("u", "v")), most
+        root = groups(links)
+    places = materialise(classes.select("class").join(root.toDF("class", "root"), "class", "left").select("class", F.coalesce("root", "class").alias("place")), "copies-places")
     return marked.join(places, "class")
