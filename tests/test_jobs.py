@@ -128,7 +128,7 @@ def test_stream_forgets_what_is_gone(spark, tmp_path):
     ingest(spark, str(root), out, str(tmp_path / "mark")).awaitTermination()
     assert cube_of(spark, out).agg(F.sum("input")).first()[0] == 50
     # another version of the file, without events
-    gone = spark.createDataFrame([((root / "a.jsonl").as_uri(), bytearray((context("m") + "\n").encode()))], "path string, content binary")
+    gone = spark.createDataFrame([(spark.read.parquet(out + "/files").first()["path"], bytearray((context("m") + "\n").encode()))], "path string, content binary")
     ledger_writer(out)(gone, 7)
     assert cube_of(spark, out).count() == 0
     other = tmp_path / "b"
