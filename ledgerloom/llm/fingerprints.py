@@ -40,7 +40,7 @@ class Polynomial:
 
     def _grow(self, n: int) -> None:
         if len(self.powers) <= n:
-            size = 1 << n.bit_length()
+            size = n + n // 8 + 1024
             back = pow(self.base, -1, 1 << 64)
             for name, base in (("powers", self.base), ("inverses", back)):
                 steps = np.full(size, base % (1 << 64), np.uint64)
