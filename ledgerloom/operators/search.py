@@ -83,7 +83,7 @@ def indexed_bm25(index: DataFrame, size: DataFrame, terms: list[str], buckets: i
         one = indexed_phrase(index, t, buckets).withColumnRenamed("tf", f"tf{k}")
         counted = one.join(F.broadcast(one.agg(F.count(F.lit(1)).alias(f"df{k}"))))  # one row
         held = counted if held is None else held.join(counted.drop("length"), "doc_id")
-    return _ranked(held.join(F.broadcast(size)), len(terms))
+    return ranked_rows(held.join(F.broadcast(size)), len(terms))
 
 
 def let(value: Column, f) -> Column:
@@ -97,6 +97,11 @@ def phrase_count(words: Column, phrase: list[str]) -> Column:
 
 
 def _phrase_count(words: Column, phrase: list[str]) -> Column:
+    return F.size(_places(words, phrase)).cast("long")
+
+
+def _places(words: Column, phrase: list[str]) -> Column:
+    """0-based places at which the phrase begins."""
     last = F.size(words) - len(phrase)
     here = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
@@ -106,7 +111,7 @@ def _phrase_count(words: Column, phrase: list[str]) -> Column:
             out = out & (F.get(words, i + k) == w)
         return out
 
-    return F.size(F.filter(here, stands)).cast("long")
+    return F.filter(here, stands)
 
 
 def with_tokens(docs: DataFrame, text: str) -> DataFrame:
@@ -140,10 +145,10 @@ def bm25(docs: DataFrame, doc_id: str, text: str, terms: list[str], every: bool
     df = any_.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
     held = any_.filter(" and ".join(f"tf{k} > 0" for k in range(len(terms)))) if every else any_
     rows = held.join(F.broadcast(df)).join(F.broadcast(lengths))  # one row each
-    return _ranked(rows, len(terms))
+    return ranked_rows(rows, len(terms))
 
 
-def _ranked(rows: DataFrame, terms: int) -> DataFrame:
+def ranked_rows(rows: DataFrame, terms: int) -> DataFrame:
     """doc_id, rank of rows with tf and df of each term, length, n_docs and mean_length."""
     total = F.lit(0.0)
     for k in range(terms):
@@ -241,14 +246,31 @@ def parse(query: str) -> tuple:
     return made
 
 
-def snippet(words: Column, phrase: list[str], size: int = SNIPPET_TOKENS) -> Column:
-    """At most `size` tokens around the first match, which stands in brackets (FTS-5)."""
-    return let(words, lambda w: _snippet(w, phrase, size))
+def snippet(words: Column, *phrases: list[str], size: int = SNIPPET_TOKENS) -> Column:
+    """At most `size` tokens around the first match of any of the phrases; each match stands in brackets, and dots where tokens are left out (FTS-5)."""
+    return let(words, lambda w: let(_starts(w, list(phrases)), lambda found: _snippet(w, found, size)))
+
+
+def _starts(words: Column, phrases: list[list[str]]) -> Column:
+    """(at, end): the 0-based first and last places of every match, in order."""
+
+    def spans(p: list[str]) -> Column:
+        return F.transform(_places(words, p), lambda i: F.struct(i.alias("at"), (i + (len(p) - 1)).alias("end")))
+
+    found = [spans(p) for p in phrases if p]
+    return F.array_sort(F.concat(*found)) if found else F.array().cast("array<struct<at: int, end: int>>")
+
+
+def _snippet(words: Column, found: Column, size: int) -> Column:
+    first, n = F.get(found, 0), F.size(words)
+    before = F.least(F.lit(size // 2), F.greatest(F.lit(0), size - 1 - (first["end"] - first["at"])))
+    start = F.greatest(F.lit(0), F.coalesce(first["at"] - before, F.lit(0)))
 
+    def shown(w: Column, k: Column) -> Column:
+        i = start + k
+        opens = F.exists(found, lambda m: m["at"] == i) & ~F.exists(found, lambda m: (m["at"] < i) & (m["end"] >= i))  # matches that overlap stand in one bracket
+        closes = F.exists(found, lambda m: m["end"] == i) & ~F.exists(found, lambda m: (m["at"] <= i) & (m["end"] > i))
+        return F.concat(F.when(opens, "[").otherwise(""), w, F.when(closes, "]").otherwise(""))
 
-def _snippet(words: Column, phrase: list[str], size: int) -> Column:
-    first = F.array_position(words, phrase[0])  # 1-based place of the first word; 0 if absent
-    start = F.greatest(F.lit(1).cast("long"), first - size // 2).cast("int")
-    window = F.slice(words, start, size)
-    marked = F.transform(window, lambda w: F.when(w.isin(*phrase), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
-    return F.array_join(marked, " ")
+    text = F.array_join(F.transform(F.slice(words, start + 1, size), shown), " ")
+    return F.concat(F.when(start > 0, "... ").otherwise(""), text, F.when(start + size < n, " ...").otherwise(""))

@@ -12,6 +12,7 @@ from ledgerloom.functions import times
 from ledgerloom.operators import attribution as A
 from ledgerloom.operators import corpus as R
 from ledgerloom.operators import extraction as X
+from ledgerloom.operators import fulltext as K
 from ledgerloom.operators import graph as G
 from ledgerloom.operators import maintenance as D
 from ledgerloom.operators import pagination as N
@@ -21,6 +22,7 @@ from ledgerloom.operators import vault as V
 from ledgerloom.plans import bindings as B
 from ledgerloom.plans import history_reports as Z
 from ledgerloom.sources.jsonl import content_owners, line_statistics
+from ledgerloom.sources.scratch import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -367,15 +369,60 @@ def _disagree(spark, d):
 _BOOLEAN = '("apache license" OR mit) NOT gnu OR licens* general'
 
 
+# --- an index that is kept: made of a part of the documents, changed, reduced and merged; each search reads its terms
+
+
+def kept_index(spark: SparkSession, d: str) -> K.Index:
+    """The documents' index after four steps: two thirds of the documents, one third of which with other texts; then all as they are; those divisible by 7 deleted; and merged."""
+    docs, root = B.table(spark, d, "documents").select("doc_id", "text"), new_folder(spark, "index")
+    i = F.col("doc_id") % 3
+    first = docs.filter(i > 0).withColumn("text", F.when(i == 1, F.concat(F.lit("an older mit license text "), "text")).otherwise(F.col("text")))
+    at = K.update(spark, root, 0, first, "doc_id", "text")
+    at = K.update(spark, root, at, docs, "doc_id", "text")
+    at = K.delete(spark, root, at, docs.filter("doc_id % 7 = 0").select("doc_id"))
+    return K.open_index(spark, root, K.merge(spark, root, at))
+
+
+_KEPT = _TOKENS.replace("FROM documents", "FROM documents WHERE doc_id % 7 <> 0")
+_KEPT_BOOLEAN = '(("apache license" OR mit) NOT gnu) OR (licens* AND NEAR(general public, 2))'
+
+
+@query("kept_index_search", f"""WITH {_KEPT} SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM tokens WHERE ((({_phrase_sql("apache license")} > 0 OR list_contains(w, 'mit')) AND NOT list_contains(w, 'gnu'))
+    OR (len(list_filter(w, lambda x: starts_with(x, 'licens'))) > 0 AND len(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'general' AND list_contains(w[greatest(1, i - 3) : i + 3], 'public'))) > 0))""")
+def _kept_search(spark, d):
+    return K.matched(kept_index(spark, d), H.parse(_KEPT_BOOLEAN))
+
+
+@query("kept_index_bm25", _bm25_sql(["released", "mit license"]).replace(f"WITH {_TOKENS}", f"WITH {_KEPT}").replace("SELECT doc_id, round", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, round"))
+def _kept_bm25(spark, d):
+    return K.bm25(kept_index(spark, d), ["released", "mit license"]).select("doc_id", F.round("rank", 9).alias("rank"))
+
+
+@query("kept_index_top", _bm25_sql(["released", "license"]).replace(f"WITH {_TOKENS}", f"WITH {_KEPT}").replace("SELECT doc_id, round", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, round").replace("tf0 > 0 AND tf1 > 0", "tf0 > 0 OR tf1 > 0") + " ORDER BY rank, doc_id LIMIT 10")
+def _kept_top(spark, d):
+    return K.top(kept_index(spark, d), ["released", "license"], 10)[0].select("doc_id", F.round("rank", 9).alias("rank"))
+
+
+@query("kept_index_differences", "SELECT CAST(0 AS BIGINT) AS stale, CAST(0 AS BIGINT) AS missing, count(*) AS docs FROM documents WHERE doc_id % 7 <> 0")
+def _kept_differences(spark, d):
+    """What the kept index and one made anew don't share (FTS-7), and how many documents live."""
+    index = kept_index(spark, d)
+    found = D.index_differences(K.postings_of(index), K.fresh_postings(B.table(spark, d, "documents").filter("doc_id % 7 <> 0"), "doc_id", "text"))
+    return found.agg(F.count_if(F.col("side") == "stale").alias("stale"), F.count_if(F.col("side") == "missing").alias("missing")).withColumn("docs", F.lit(index.docs).cast("long"))
+
+
 @query("boolean_search", f"""WITH {_TOKENS} SELECT doc_id FROM tokens WHERE ((({_phrase_sql("apache license")} > 0 OR list_contains(w, 'mit')) AND NOT list_contains(w, 'gnu')) OR (len(list_filter(w, lambda x: starts_with(x, 'licens'))) > 0 AND list_contains(w, 'general')))""")
 def _boolean(spark, d):
     return H.with_tokens(B.table(spark, d, "documents"), "text").filter(H.boolean(F.col("_words"), H.parse(_BOOLEAN))).select("doc_id")
 
 
-@query("snippets", f"""WITH {_TOKENS}, f AS (SELECT doc_id, w, list_position(w, 'license') AS p FROM tokens WHERE list_contains(w, 'license')) SELECT doc_id, array_to_string(list_transform(w[greatest(1, p - 12):greatest(1, p - 12) + 23], lambda x: CASE WHEN x = 'license' THEN '[' || x || ']' ELSE x END), ' ') AS snippet FROM f""")
+#: A phrase of two words, the first of which also stands alone: the window lies around the whole phrase, and only matches are in brackets.
+@query("snippets", f"""WITH {_TOKENS}, m AS (SELECT doc_id, w, list_filter(range(1, len(w)), lambda i: w[i] = 'mit' AND w[i + 1] = 'license') AS places FROM tokens WHERE list_contains(w, 'license')),
+    f AS (SELECT *, greatest(1, places[1] - 12) AS p FROM m WHERE len(places) > 0)
+    SELECT doc_id, CASE WHEN p > 1 THEN '... ' ELSE '' END || array_to_string(list_transform(range(p, least(p + 23, len(w)) + 1), lambda i: CASE WHEN list_contains(places, i) THEN '[' || w[i] WHEN list_contains(places, i - 1) THEN w[i] || ']' ELSE w[i] END), ' ') || CASE WHEN p + 23 < len(w) THEN ' ...' ELSE '' END AS snippet FROM f""")
 def _snippets(spark, d):
-    docs = H.match_phrase(B.table(spark, d, "documents"), "text", "license")
-    return docs.select("doc_id", H.snippet(F.col("_words"), ["license"]).alias("snippet"))
+    docs = H.match_phrase(B.table(spark, d, "documents"), "text", "MIT license")
+    return docs.select("doc_id", H.snippet(F.col("_words"), H.fold_text("MIT license")).alias("snippet"))
 
 
 # --- samples
@@ -496,7 +543,7 @@ def _catalog_page(spark, d):
     return Z.catalog(B.sessions(spark, d), size=20)[0].select("session_id", "at")
 
 
-@query("search_page", _bm25_sql(["license"]).replace("SELECT doc_id, round", "SELECT doc_id, round") + " ORDER BY rank, doc_id LIMIT 11")
+@query("search_page", _bm25_sql(["license"]) + " ORDER BY rank, doc_id LIMIT 11")
 def _search_page(spark, d):
     ranked = H.bm25(B.table(spark, d, "documents"), "doc_id", "text", ["license"]).select("doc_id", F.round("rank", 9).alias("rank"))
     return N.page(ranked, [("rank", False), ("doc_id", False)], 10)

@@ -52,7 +52,7 @@ def search_hits(prompts: DataFrame, occurrences: DataFrame, query: str, raw: boo
         return base.withColumns({"rank": F.lit(0.0), "snippet": F.lit("")}).limit(0)
     scored = H.bm25(base, "prompt_id", "text", words) if not raw else H.bm25_any(base, "prompt_id", "text", words)
     hits = H.with_tokens(base, "text").filter(H.boolean(F.col("_words"), tree))
-    return hits.join(scored.withColumnRenamed("doc_id", "prompt_id"), "prompt_id").withColumn("snippet", H.snippet(F.col("_words"), H.fold_text(words[0]))).drop("_words")
+    return hits.join(scored.withColumnRenamed("doc_id", "prompt_id"), "prompt_id").withColumn("snippet", H.snippet(F.col("_words"), *map(H.fold_text, words))).drop("_words")
 
 
 def search(prompts: DataFrame, occurrences: DataFrame, query: str, raw: bool = False, condition: Column | None = None, size: int = 50, last: list | None = None) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +13,13 @@ from ledgerloom.operators import history as Y
 from ledgerloom.operators import maintenance as D
 from ledgerloom.operators import vault as V
 from ledgerloom.plans import bindings as B
-from ledgerloom.plans import history_jobs, jobs
+from ledgerloom.plans import archive_job, history_jobs, jobs
 from ledgerloom.plans.corpus_queries import query
 from ledgerloom.sources import jsonl as J
 from ledgerloom.sources import sinks as S
+from ledgerloom.sources import tail as L
+from ledgerloom.sources.scratch import new_folder
+from ledgerloom.streaming import carried as C
 from ledgerloom.streaming import ingest as I
 
 
@@ -145,16 +145,17 @@ def _said() -> Column:
     forms = (
         F.when(f == 0, F.lit("<environment_context>x</environment_context>")).when(f == 1, F.concat(F.lit("<command-name>/x</command-name>\n  <command-args>"), x, F.lit("</command-args>")))
         .when(f == 2, F.concat(F.lit("Message Type: NEW_TASK\nTask name: a\nSender: b\nPayload:\n"), x)).when(f == 3, F.concat(F.lit("<bash-input>ls</bash-input><bash-stdout>"), x, F.lit("</bash-stdout>")))
-        .when(f == 4, F.lit("<system-reminder>x</system-reminder>")).when(f == 5, F.concat(F.lit("  "), x, F.lit("\r\n"))).otherwise(x)
+        .when(f == 4, F.lit("<system-reminder>x</system-reminder>")).when(f == 5, F.concat(F.lit("  "), x, F.lit("\r\n")))
+        .when(f == 6, F.concat(F.lit(T.TEAMMATE_PREAMBLE + '<teammate-message id="a">'), x, F.lit("</teammate-message>\n \n" + T.TEAMMATE_TRAILER))).otherwise(x)
     )
     return F.when(F.col("role") == "user", forms).otherwise(x)
 
 
 _TRIMMED = "regexp_replace(regexp_replace({}, '^\\s+', ''), '\\s+$', '')"
 SAID_SQL = f"""c AS (SELECT *, (conv_id + turn) % 8 AS f, strftime(TIMESTAMP '2024-01-01' + to_minutes(CAST(conv_id * 97 + turn * 11 AS BIGINT)), '%Y-%m-%dT%H:%M:%SZ') AS ts FROM conversations),
-    s AS (SELECT *, {_TRIMMED.format("CASE WHEN role <> 'user' OR f > 5 THEN text WHEN f = 0 THEN '<environment_context>x</environment_context>' WHEN f = 1 THEN '<command-name>/x</command-name>' || chr(10) || '  <command-args>' || text || '</command-args>' WHEN f = 2 THEN 'Message Type: NEW_TASK' || chr(10) || 'Task name: a' || chr(10) || 'Sender: b' || chr(10) || 'Payload:' || chr(10) || text WHEN f = 3 THEN '<bash-input>ls</bash-input><bash-stdout>' || text || '</bash-stdout>' WHEN f = 4 THEN '<system-reminder>x</system-reminder>' ELSE text END")} AS said FROM c),
+    s AS (SELECT *, {_TRIMMED.format("CASE WHEN role <> 'user' OR f > 6 THEN text WHEN f = 6 THEN '" + T.TEAMMATE_PREAMBLE.strip() + "' || chr(10) || '<teammate-message id=\"a\">' || text || '</teammate-message>' || chr(10) || ' ' || chr(10) || '" + T.TEAMMATE_TRAILER.replace("'", "''") + "' WHEN f = 0 THEN '<environment_context>x</environment_context>' WHEN f = 1 THEN '<command-name>/x</command-name>' || chr(10) || '  <command-args>' || text || '</command-args>' WHEN f = 2 THEN 'Message Type: NEW_TASK' || chr(10) || 'Task name: a' || chr(10) || 'Sender: b' || chr(10) || 'Payload:' || chr(10) || text WHEN f = 3 THEN '<bash-input>ls</bash-input><bash-stdout>' || text || '</bash-stdout>' WHEN f = 4 THEN '<system-reminder>x</system-reminder>' ELSE text END")} AS said FROM c),
     p AS (SELECT *, CASE WHEN role <> 'user' THEN 'assistant' WHEN f = 0 THEN 'system_injected' WHEN f = 4 THEN 'agent_instruction' ELSE 'human' END AS classification,
-                 CASE WHEN role <> 'user' OR f IN (0, 4) THEN 'unknown' WHEN f IN (1, 3) THEN 'command' WHEN f = 2 THEN 'delegation' ELSE 'human' END AS kind FROM s WHERE coalesce(said, '') <> '')"""
+                 CASE WHEN role <> 'user' OR f IN (0, 4) THEN 'unknown' WHEN f IN (1, 3) THEN 'command' WHEN f = 2 THEN 'delegation' WHEN f = 6 THEN 'agent_message' ELSE 'human' END AS kind FROM s WHERE coalesce(said, '') <> '')"""
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
@@ -412,13 +413,7 @@ def _backfilled(spark, d):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder below the shared one that spark.checkpoint.dir names; a temporary one on a local master where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="spark-logs-", dir="/tmp")
-    return f"{root}/logs-{uuid.uuid4().hex}"
+    return new_folder(spark, "logs")
 
 
 def _written(lines: DataFrame) -> str:
@@ -450,6 +445,123 @@ def _streamed(spark, d):
     return I.cube_of(spark, out)
 
 
+def _growing(lines: DataFrame, out: str, share: float) -> None:
+    """The first `share` of each path's lines as they would stand in a file, cut at any byte; files grow from one call to the next. A task that runs again writes the same bytes."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        fs, folder = L.file_system(out)
+        fs.create_dir(folder)
+
+        def close(path: str | None, held: list[str]) -> None:
+            if held:
+                content = "".join(f"{line}\n" for line in held).encode()
+                with fs.open_output_stream(f"{folder}/.{path}") as f:
+                    f.write(content if share >= 1 else content[: int(share * len(content))])
+                fs.move(f"{folder}/.{path}", f"{folder}/{path}.jsonl")
+
+        path, held = None, []
+        for batch in batches:
+            for p, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if p != path:
+                    close(path, held)
+                    path, held = p, []
+                held.append(raw)
+        close(path, held)
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["files"])
+
+    lines.repartition("path").sortWithinPartitions("path", "line_no").select("path", "raw").mapInArrow(run, "files long").write.format("noop").mode("overwrite").save()
+
+
+@query("ranged_records", f"WITH {LOG_A_SQL} SELECT path, count(*) AS lines, count(*) FILTER (WHERE event_type = 'purchase') AS purchases, count(*) FILTER (WHERE event_type = 'error') AS errors FROM e GROUP BY path")
+def _ranged(spark, d):
+    """Files read by ranges of 1,000 bytes: each line once, whatever range it lies in."""
+    out = _folder(spark)
+    _growing(log_a(spark, d), out, 1)
+    lines = L.read_lines(spark, out, range_bytes=1000)
+    name = F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)
+    return lines.groupBy(name.alias("path")).agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("raw").contains('"last_token_usage"') | F.col("raw").contains('"info"') | (F.col("raw").contains("token_count") & ~F.col("raw").contains('"n":'))).alias("purchases"), F.count_if(F.col("raw").contains('"n":')).alias("errors"))
+
+
+@query("tailed_usage", f"WITH {_BOTH} SELECT {_CUBE} FROM ua GROUP BY date, provider, model")
+def _tailed(spark, d):
+    """A stream follows logs that have grown between its two runs, and what it has read is decoded at the end."""
+    out = _folder(spark)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/lines/batch={batch_id}")
+
+    for share in (0.45, 1):
+        _growing(log_a(spark, d), f"{out}/logs", share)
+        stream = L.tail_lines(spark, f"{out}/logs", f"{out}/positions", range_bytes=4096)
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/mark").trigger(availableNow=True).start().awaitTermination()
+    lines = spark.read.schema("path string, start_offset long, raw string").parquet(f"{out}/lines").withColumnRenamed("start_offset", "line_no")
+    return jobs.cube(X.to_cube_rows(X.events_a(lines)))
+
+
+@query("carried_usage", f"WITH {_BOTH} SELECT {_CUBE} FROM ua GROUP BY date, provider, model")
+def _carried(spark, d):
+    """The keyed parser over logs that grow in three steps, cut at any byte."""
+    out = _folder(spark)
+    for share in (0.3, 0.7, 1):
+        _growing(log_a(spark, d), f"{out}/logs", share)
+        C.follow_logs(spark, f"{out}/logs", f"{out}/store", f"{out}/mark").awaitTermination()
+    return C.cube_of_changes(spark, f"{out}/store")
+
+
+# --- an archive: files of documents' hashes, forty of them, archived when half of the lines are there and again when all are
+
+
+def _shelved(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """The vault and its manifest after three runs: half of the lines, all of them, and nothing new."""
+    docs = B.table(spark, d, "documents")
+    shelf = F.col("doc_id") % 40
+    lines = docs.select(F.concat(F.lit("d"), shelf).alias("path"), F.col("doc_id").alias("line_no"), F.concat_ws(" ", F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("raw"), shelf.alias("shelf"))
+    out, generation = _folder(spark), 0
+    roots = {"codex": f"{out}/codex", "claude": f"{out}/claude"}
+    for some in ("line_no % 3 = 0 or shelf % 5 = 0", "true", None):
+        if some:
+            for side, provider in enumerate(roots):
+                _growing(lines.filter(some).filter(F.col("shelf") % 2 == side), roots[provider], 1)
+        generation, _ = archive_job.archive(spark, roots, f"{out}/vault", f"{out}/store", generation, "2100-01-01")
+    return f"{out}/vault", archive_job.manifest(spark, f"{out}/store", generation)
+
+
+_SHELVES = """l AS (SELECT doc_id, doc_id % 40 AS shelf, doc_id || ' ' || sha256(coalesce(text, '')) || chr(10) AS line FROM documents),
+    s AS (SELECT shelf, 1 AS version, string_agg(line, '' ORDER BY doc_id) AS content, count(*) AS lines FROM l WHERE doc_id % 3 = 0 OR shelf % 5 = 0 GROUP BY shelf
+          UNION ALL SELECT shelf, 2, string_agg(line, '' ORDER BY doc_id), count(*) FROM l WHERE shelf % 5 <> 0 GROUP BY shelf),
+    v AS (SELECT CASE WHEN shelf % 2 = 0 THEN 'codex' ELSE 'claude' END AS provider, 'd' || shelf || '.jsonl' AS name, CAST(version AS BIGINT) AS version, CAST(strlen(content) AS BIGINT) AS size, sha256(content) AS sha256, lines, content FROM s)"""
+
+
+@query("archived_members", f"WITH {_SHELVES} SELECT provider, name, version, size, sha256, lines, 'ok' AS state FROM v")
+def _archived_members(spark, d):
+    """Versions as the manifest has them, each read back from its bundle and hashed again."""
+    vault, rows = _shelved(spark, d)
+    state = archive_job.verified(rows, vault)
+    return rows.join(state, ["source_path", "version"]).select("provider", F.col("rel_path").alias("name"), "version", "size", F.col("content_sha256").alias("sha256"), F.col("line_count").alias("lines"), "state")
+
+
+@query("indexed_bundles", f"WITH {_SHELVES} SELECT provider, name, size, sha256, true AS unchanged FROM v")
+def _indexed_bundles(spark, d):
+    """The vault's bundles indexed twice: the second run meets no change (ING-25)."""
+    vault, _ = _shelved(spark, d)
+    store = _folder(spark)
+    generation, _ = history_jobs.index_bundles(spark, vault, store, 0)
+    generation, counts = history_jobs.index_bundles(spark, vault, store, generation)
+    members = spark.read.schema(history_jobs.MEMBERS).parquet(f"{store}/generation={generation}/members")
+    return members.select(F.regexp_extract("archive", "([^/]+)/[^/]+$", 1).alias("provider"), "name", "size", "sha256", F.lit(set(counts) == {"unchanged"}).alias("unchanged"))
+
+
+@query("member_lines", f"WITH {_SHELVES} SELECT version, unnest(string_split(rtrim(content, chr(10)), chr(10))) AS line FROM v WHERE name = 'd7.jsonl'")
+def _member_lines(spark, d):
+    """A member by its path: its first version and its newest (DML-13, SRC-9)."""
+    vault, rows = _shelved(spark, d)
+    found = archive_job.member(rows, vault, "d7.jsonl", 1).unionByName(archive_job.member(rows, vault, "d7.jsonl"))
+    lines = J.positioned_lines(found.select(F.col("version").cast("string").alias("path"), "content"), complete_only=False)
+    return lines.select(F.col("path").cast("long").alias("version"), F.col("raw").alias("line"))
+
+
 # in a file the lines of a turn stand together, so each item of a user is its message's twin
 @query("indexed_prompts", f"WITH {SAID_SQL}, {_ROWS_A} SELECT role, sha256(said) AS text, classification, kind, searchable, true AS available, count(*) AS n FROM r WHERE confirmed OR role = 'assistant' GROUP BY ALL")
 def _indexed(spark, d):

@@ -55,7 +55,13 @@ def test_rate_tables(spark):
     assert {r.model: r.status for r in P.overlay(P.rate_table(spark, [a, b]), P.user_rates(spark, {"m": {"input": 5, "output": 6}})).collect()} == {"m": "user", "k": "user"}
 
 
+_MESSAGE, _NESTED = '<teammate-message id="a">done</teammate-message>', '<teammate-message id="a">quoted <teammate-message id="b">inner</teammate-message> text</teammate-message>'
+_BEFORE, _AFTER = T.TEAMMATE_PREAMBLE, T.TEAMMATE_TRAILER
 KINDS = [
+    (_BEFORE + _MESSAGE, "human", "agent_message"), (_BEFORE + '<teammate-message\n  id="a"\n  color="b">done</teammate-message>', "human", "agent_message"), (_BEFORE + _MESSAGE + "\n\n" + _AFTER, "human", "agent_message"),
+    (_BEFORE + _NESTED + "\n \t\n" + _AFTER, "human", "agent_message"), (_BEFORE + _MESSAGE + "\nfollow-up\n" + _MESSAGE + "\n\n" + _AFTER, "human", "agent_message"), (_BEFORE + _NESTED, "human", "human"), (_NESTED, "human", "human"),
+    ("Please read:\n" + _BEFORE + _MESSAGE, "human", "human"), (_BEFORE + _MESSAGE + "\nThanks", "human", "human"), (_BEFORE + _MESSAGE + "\n\n" + _AFTER + "\nThanks", "human", "human"), (_BEFORE + " \n" + _MESSAGE + "\n\n" + _AFTER, "human", "human"),
+    ("<teammate-message id=a>done</teammate-message>", "human", "human"), (_BEFORE, "human", "human"), (_BEFORE + _AFTER, "human", "human"),
     ("Message Type: NEW_TASK\nTask name: a\nSender: b\nPayload:\nx", "human", "delegation"), ("<codex_delegation>x</codex_delegation>", "human", "delegation"), ("Message Type: MESSAGE\nTask name: a\nSender: b\nPayload:\nx", "human", "agent_message"),
     ('<teammate-message from="a">hello</teammate-message>', "human", "agent_message"), ("<teammate-message>a</teammate-message><teammate-message>b</teammate-message>", "human", "human"), ("<command-name>/x</command-name>", "human", "command"),
     ("<bash-input>ls</bash-input><bash-stdout>a</bash-stdout>", "human", "command"), ("<turn_aborted>x</turn_aborted>", "system_injected", "control"), ("<heartbeat></heartbeat>", "human", "control"), ("<system-reminder>x</system-reminder>", "agent_instruction", "unknown"),
@@ -69,6 +75,23 @@ def test_prompt_kinds(spark):
     assert [(r.c, r.kind) for r in got] == [(c, kind) for _, c, kind in KINDS]
 
 
+def test_snippets(spark):
+    long = "mit one " + "w " * 30 + "the mit license mit license here " + "z " * 30
+    rows = [(long,), ("a mit license",), ("license license mit",), ("aa aa aa b",)]
+
+    def shown(text, *phrases, size=24):
+        docs = H.with_tokens(spark.createDataFrame([(text,)], "t string"), "t")
+        return docs.select(H.snippet(F.col("_words"), *phrases, size=size)).first()[0]
+
+    assert shown(rows[0][0], ["mit", "license"]) == "... " + "w " * 11 + "the [mit license] [mit license] here " + " ".join(["z"] * 7) + " ..."
+    assert shown(rows[1][0], ["mit", "license"]) == "a [mit license]"
+    assert shown(rows[2][0], ["license"], ["mit"]) == "[license] [license] [mit]"
+    assert shown(rows[3][0], ["aa", "aa"]) == "[aa aa aa] b"  # overlapping matches
+    assert shown(rows[0][0], ["one"], size=4) == "mit [one] w w ..."
+    assert shown("x y", ["absent"]) == "x y"
+    assert shown("", ["a"]) == ""
+
+
 def test_text(spark):
     assert values(spark, [("a\r\nb ",), ("\u00a0x\u2003",)], "t string", T.clean(F.col("t"))) == [("a\nb",), ("x",)]
     rows = [("https://user@Host.com:22/a/b.git",), ("git@host.com:team/repo.git",), ("ssh://host/x/",), ("nothing",), (None,)]
