@@ -153,7 +153,7 @@ def distinct_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = docs.select(text_key(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     once = rows.groupBy("key").agg(F.min("doc").alias("doc"), F.first("text").alias("text"))  # a minimum is null only if no row has an id
     name = f"texts_{uuid.uuid4().hex}"
-    once.write.format("parquet").bucketBy(partitions(spark), "key").option("path", f"{scratch_root(spark)}/{name}").saveAsTable(name)
+    once.write.format("parquet").option("compression", "zstd").bucketBy(partitions(spark), "key").option("path", f"{scratch_root(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 
@@ -222,7 +222,7 @@ def _parted(texts: DataFrame, open_runs: DataFrame, size: int, depth: int, segme
 
 def _settled(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(repeated, open) of one pass: runs that stand whole somewhere earlier, and the first of each where another run has the same digit."""
-    place = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "key", "span")
+    place = F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), "key", "span")  # rows without an id come last
     firsts = runs.groupBy(F.col("core").alias("_core"), F.col("whole").alias("_whole")).agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("f"))
     firsts = materialise(firsts, "firsts")
     again = firsts.filter("f > 1")
