@@ -15,12 +15,17 @@ from ledgerloom.operators import extraction as X
 from ledgerloom.operators import fulltext as K
 from ledgerloom.operators import graph as G
 from ledgerloom.operators import maintenance as D
+from ledgerloom.operators import merging as MG
 from ledgerloom.operators import pagination as N
+from ledgerloom.operators import pricing as P
 from ledgerloom.operators import sampling as M
 from ledgerloom.operators import search as H
+from ledgerloom.operators import seekable
 from ledgerloom.operators import vault as V
 from ledgerloom.plans import bindings as B
+from ledgerloom.plans import cost_cache
 from ledgerloom.plans import history_reports as Z
+from ledgerloom.sources import buckets
 from ledgerloom.sources.jsonl import content_owners, line_statistics
 from ledgerloom.sources.scratch import new_folder
 
@@ -587,6 +592,74 @@ def _session_costs(spark, d):
     return A.session_costs(_session_events(spark, d), B.rates(spark), sessions).drop("priced_tokens")
 
 
+@query("cached_costs", f"""WITH {_SESSION_PRICED}, s AS (SELECT session_id, CAST(sum(cost) AS BIGINT) AS cost, CAST(sum(unpriced) AS BIGINT) AS unpriced_tokens, CAST(sum(input + output) AS BIGINT) AS tokens FROM sp GROUP BY session_id)
+    SELECT c_custkey AS session_id, coalesce(cost, 0) AS cost, coalesce(unpriced_tokens, 0) AS unpriced_tokens, coalesce(tokens, 0) AS tokens, CASE WHEN tokens IS NULL THEN 'no_usage_events' WHEN unpriced_tokens <> 0 THEN 'incomplete' ELSE 'complete' END AS attribution_status, (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0) AS priced FROM customer LEFT JOIN s ON c_custkey = session_id""")
+def _cached_costs(spark, d):
+    """Costs of the odd sessions are made first; a second call for all of them prices the even ones only."""
+    sessions, store = B.table(spark, d, "customer").select(F.col("c_custkey").alias("session_id")), new_folder(spark, "costs")
+    events, prints = _session_events(spark, d), P.fingerprint(B.rate_entries())
+    at, _, _ = cost_cache.session_costs(spark, store, 0, events, B.rates(spark), prints, sessions.filter("session_id % 2 = 1"))
+    _, found, counts = cost_cache.session_costs(spark, store, at, events, B.rates(spark), prints, sessions)
+    return found.drop("priced_tokens").withColumn("priced", F.lit(counts["priced"]).cast("long"))
+
+
+# --- tables in the order of their keys; counts that are maintained; sessions that turn out to be one
+
+
+_AT = ["1995-06-17 12:00:00", 0]
+
+
+@query("sorted_page", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, o_totalprice FROM orders WHERE o_orderdate < '1995-06-17 12:00:00' ORDER BY orders.o_orderdate DESC, o_orderkey LIMIT 51")
+def _sorted_page(spark, d):
+    """A page in the middle of a table that lies in the page's order: only the files from the seek on are read."""
+    keys, path = [("o_orderdate", True), ("o_orderkey", False)], new_folder(spark, "sorted")
+    seekable.write(B.table(spark, d, "orders").select("o_orderdate", "o_orderkey", "o_totalprice"), keys, path, 1000)
+    at = [F.lit(_AT[0]).cast("timestamp"), _AT[1]]
+    return seekable.open_sorted(spark, path, keys).page(50, at).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_totalprice")
+
+
+@query("sample_walk", f"WITH {Q}, {_KEYED} SELECT prompt_id, sample_key FROM u ORDER BY sample_key < start_key, sample_key, prompt_id LIMIT 25")
+def _sample_walk(spark, d):
+    path = new_folder(spark, "sampled")
+    seekable.write_sampled(B.prompts(spark, d).select("prompt_id"), "prompt_id", path, 100)
+    return seekable.walk(spark, path, "prompt_id", 25, _SEED)[0]
+
+
+@query("maintained_counts", "SELECT lang, source, count(*) AS n FROM documents WHERE doc_id % 11 <> 0 GROUP BY lang, source")
+def _maintained_counts(spark, d):
+    """Counts of three generations: two thirds of the documents, some under another language; all; and those divisible by 11 removed."""
+    docs, root, group = B.table(spark, d, "documents").select("doc_id", "lang", "source"), new_folder(spark, "counts"), ["lang", "source"]
+    first = docs.filter("doc_id % 3 <> 0").withColumn("lang", F.when(F.col("doc_id") % 5 == 0, "xx").otherwise(F.col("lang")))
+    at, before = 0, docs.limit(0)
+    for after in (first, docs, docs.filter("doc_id % 11 <> 0")):
+        at = buckets.add_counts(spark, root, at, buckets.signed_changes(before, after, "doc_id", group), group, "lang string, source string")
+        before = after
+    return buckets.read(spark, root, at, "lang string, source string, n long")
+
+
+#: Of four sessions that follow one another the last three go to the one before them: chains of up to three merges.
+@query("merged_identities", """WITH c AS (SELECT DISTINCT conv_id FROM conversations), m AS (SELECT conv_id, CASE WHEN conv_id % 4 >= 1 AND conv_id - 1 IN (SELECT conv_id FROM c) THEN CASE WHEN conv_id % 4 >= 2 AND conv_id - 2 IN (SELECT conv_id FROM c) THEN CASE WHEN conv_id % 4 = 3 AND conv_id - 3 IN (SELECT conv_id FROM c) THEN conv_id - 3 ELSE conv_id - 2 END ELSE conv_id - 1 END ELSE conv_id END AS session_id FROM c),
+    p AS (SELECT session_id, turn, conv_id FROM conversations JOIN m USING (conv_id)),
+    e AS (SELECT DISTINCT a.session_id AS child, b.session_id AS parent FROM (SELECT conv_id AS child, conv_id - 2 AS parent FROM c WHERE conv_id % 3 = 0) JOIN m a ON a.conv_id = child JOIN m b ON b.conv_id = parent WHERE a.session_id <> b.session_id)
+    SELECT session_id, count(DISTINCT turn) AS prompts, count(*) AS occurrences, count(*) - count(DISTINCT turn) AS prompt_aliases, count(DISTINCT conv_id) - 1 AS session_aliases, (SELECT count(*) FROM e WHERE e.child = p.session_id) AS parents FROM p GROUP BY session_id""")
+def _merged(spark, d):
+    c = B.table(spark, d, "conversations")
+    sessions = c.select(F.col("conv_id").alias("session_id"), F.lit("2024").alias("first_ts"), F.lit("2025").alias("last_ts")).distinct()
+    ids = sessions.select("session_id")
+    merges = ids.filter("session_id % 4 > 0").select(F.col("session_id").alias("donor"), (F.col("session_id") - 1).alias("recipient")).join(ids.withColumnRenamed("session_id", "recipient"), "recipient", "left_semi")
+    prompts = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), F.col("conv_id").alias("session_id"), F.col("turn").alias("logical_key"))
+    occurrences = prompts.select("prompt_id", (F.col("prompt_id") + 7).alias("location_id"))
+    edges = ids.filter("session_id % 3 = 0").select(F.col("session_id").alias("child"), (F.col("session_id") - 2).alias("parent"), F.lit("fork").alias("kind")).join(ids.withColumnRenamed("session_id", "parent"), "parent", "left_semi").select("child", "parent", "kind")
+    m = MG.merge_sessions(merges, sessions, prompts, occurrences, edges, edges.withColumn("location_id", F.lit(1)), spark.createDataFrame([], "alias long, canonical long, kind string"))
+    count = lambda rows, key, name: rows.groupBy(F.col(key).alias("session_id")).agg(F.count(F.lit(1)).alias(name))
+    at = m.prompts.select("prompt_id", "session_id")
+    parts = [count(m.prompts, "session_id", "prompts"), count(m.occurrences.join(at, "prompt_id"), "session_id", "occurrences"), count(m.aliases.filter("kind = 'prompt'").join(at, F.col("canonical") == F.col("prompt_id")), "session_id", "prompt_aliases"), count(m.aliases.filter("kind = 'session'"), "canonical", "session_aliases"), count(m.edges, "child", "parents")]
+    out = m.sessions.select("session_id")
+    for part in parts:
+        out = out.join(part, "session_id", "left")
+    return out.fillna(0)
+
+
 @query("preferred_locations", f"""WITH {Q}, k AS (SELECT prompt_id, location_id, row_number() OVER (PARTITION BY prompt_id ORDER BY list_position(['provider_live', 'provider_archive', 'vault'], kind), location_id DESC) AS choice FROM occurrences WHERE available) SELECT prompt_id, location_id, choice FROM k WHERE choice <= 2""")
 def _preferred(spark, d):
     o = B.occurrences(spark, d).withColumn("recency", F.col("location_id"))

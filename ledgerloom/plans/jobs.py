@@ -8,6 +8,8 @@ has only grown only the new bytes are booked. Who owns a contribution is derived
 * a file that goes on from the whole of another one contributes what comes after that;
 * a vanished file keeps its contribution.
 
+Ledger and messages lie in buckets (sources.buckets): a run writes those that its changes fall in.
+
 So nothing has to be handed over: a file that comes to own its content is booked then, and one that no longer does isn't
 part of the ledger. Provider B's messages are kept by id, whatever file brought them.
 """
@@ -16,10 +18,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.operators import extraction as X
 from ledgerloom.operators import maintenance as M
 from ledgerloom.operators.cube import KEY, cube, sums
+from ledgerloom.sources import buckets as K
 from ledgerloom.sources import jsonl as J
 
 LEDGER = "path string, date string, provider string, model string, input long, cache_read long, cache_write_5m long, cache_write_1h long, cache_write_unclassified long, output long, reasoning long"
@@ -124,19 +128,25 @@ def sync(spark: SparkSession, roots: str | dict[str, str], store: str, generatio
     models = X.decode_a(lines).groupBy("path").agg(F.max_by("context_model", F.when(F.col("context_model").isNotNull(), F.col("line_no"))).alias("now_model"))
     models = keep(models, "models")
 
-    ledger = _table(spark, store, generation, "ledger", LEDGER)
-    ledger = ledger.join(gone.select(F.col("moved_from").alias("path"), F.col("path").alias("moved_to")), "path", "left").withColumn("path", F.coalesce("moved_to", "path")).drop("moved_to")
+    # the ledger lies in buckets by path; only those of paths that are booked, moved or lost are read and written
     staying = now.filter(owned).select("path").join(plan.filter("booking = 'whole'").select("path"), "path", "left_anti")
-    keep(ledger.join(staying, "path", "left_semi").unionByName(booked), "ledger")
+    lost = known.filter("owner = path").select("path").join(staying, "path", "left_anti")
+    paths = lost.unionByName(todo.select("path")).unionByName(gone.select("path"))
+    parts = K.touched(paths, "path")
+    ledger = K.read(spark, f"{store}/ledger", generation, LEDGER, parts)
+    ledger = ledger.join(gone.select(F.col("moved_from").alias("path"), F.col("path").alias("moved_to")), "path", "left").withColumn("path", F.coalesce("moved_to", "path")).drop("moved_to")
+    K.replace(f"{store}/ledger", generation, parts, ledger.join(staying, "path", "left_semi").unionByName(booked), "path")
 
     # provider B: messages by id
     from_b = now.filter((F.col("provider") == PROVIDERS[1]) & F.col("kind").isin("new", "appended", "rewritten", "moved")).select("path", F.when(F.col("kind") == "appended", F.col("old_byte_offset")).alias("start"), F.when(F.col("kind") == "appended", F.col("old_lines")).alias("before"))
     from_b = keep(from_b, "changed-b")
     files_b = J.contents_of(spark, [r["path"] for r in from_b.select("path").collect()]).join(from_b, "path")
     snapshots = X.candidates_b(J.positioned_lines(files_b, start="start", lines="before")).withColumn("generation", F.lit(generation + 1).cast("long"))
-    messages = _table(spark, store, generation, "messages", MESSAGES)
-    every = messages.unionByName(snapshots.select(*messages.columns))
-    keep(X.progressive(every, "message_id", ["generation", "path", "line_no"]), "messages")
+    columns = [f.name for f in T.StructType.fromDDL(MESSAGES)]
+    snapshots = keep(snapshots.select(*columns), "snapshots")
+    parts = K.touched(snapshots, "message_id")
+    every = K.read(spark, f"{store}/messages", generation, MESSAGES, parts).unionByName(snapshots)
+    K.replace(f"{store}/messages", generation, parts, X.progressive(every, "message_id", ["generation", "path", "line_no"]), "message_id")
 
     settled = F.col("size").isNull() & F.coalesce("old_settled", F.lit(False))
     unread = F.col("kind") == "failed"
@@ -151,8 +161,8 @@ def sync(spark: SparkSession, roots: str | dict[str, str], store: str, generatio
 
 def usage(spark: SparkSession, store: str, generation: int, zone: str = "UTC") -> DataFrame:
     """The cube of a generation, of both providers (SRC-12)."""
-    messages = X.to_cube_rows(X.events_b(_table(spark, store, generation, "messages", MESSAGES)), zone)
-    rows = _table(spark, store, generation, "ledger", LEDGER).drop("path")
+    messages = X.to_cube_rows(X.events_b(K.read(spark, f"{store}/messages", generation, MESSAGES)), zone)
+    rows = K.read(spark, f"{store}/ledger", generation, LEDGER).drop("path")
     return cube(rows.unionByName(messages.select(*rows.columns)))
 
 
