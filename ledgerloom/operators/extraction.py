@@ -17,10 +17,14 @@ def model_or_unknown(x: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(x), F.lit("")), F.lit("unknown"))
 
 
+def of_interest_a(lines: DataFrame) -> DataFrame:
+    """Provider A's lines with the exact bytes of the two kinds that matter (ING-1)."""
+    return lines.filter(F.col("raw").contains('"turn_context"') | F.col("raw").contains('"token_count"'))
+
+
 def decode_a(lines: DataFrame) -> DataFrame:
     """Provider A's records (path, line_no, raw) of the two kinds that matter, decoded; the exact bytes are looked for before any JSON is parsed (ING-1, ING-3, ING-4)."""
-    kept = lines.filter(F.col("raw").contains('"turn_context"') | F.col("raw").contains('"token_count"'))
-    r = kept.withColumn("r", F.from_json("raw", RECORD_A, {"mode": "PERMISSIVE"}))
+    r = of_interest_a(lines).withColumn("r", F.from_json("raw", RECORD_A, {"mode": "PERMISSIVE"}))
     is_context = F.col("r.type") == "turn_context"
     counted = (F.col("r.type") == "event_msg") & (F.col("r.payload.type") == "token_count") & F.col("r.payload.info.total_token_usage").isNotNull() & F.col("r.payload.info.last_token_usage").isNotNull()
     return r.select(

@@ -53,7 +53,7 @@ def archive(spark: SparkSession, roots: dict[str, str], vault: str, store: str,
     due = F.lit(True) if every else ~(young | F.coalesce(same, F.lit(False)))
     met = keep(met.withColumns({"repair": repair, "due": due}).drop("broken", "root"), "listed")
 
-    staged = keep(S.contents_at(met.filter("due").repartition("path")), "staging")  # each file is read once
+    staged = keep(S.contents_at(met.filter("due")), "staging")  # each file is read once
     lines = J.line_statistics(J.positioned_lines(staged, complete_only=False))
     facts = staged.select("path", F.octet_length("content").cast("long").alias("read"), F.sha2("content", 256).alias("sha")).join(lines, "path", "left")
     found = met.filter("due").join(facts, "path", "left")

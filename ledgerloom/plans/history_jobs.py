@@ -14,6 +14,8 @@ from ledgerloom.operators import history as Y
 from ledgerloom.operators import maintenance as M
 from ledgerloom.plans.jobs import _table
 from ledgerloom.sources import jsonl as J
+from ledgerloom.sources import tail as L
+from ledgerloom.sources.scratch import kept
 from ledgerloom.sources import sinks as S
 
 RULE = 1  # the version of what is extracted; a source of an older one is read again
@@ -60,8 +62,8 @@ def index_history(spark: SparkSession, roots: dict[str, str], store: str, genera
     kind = F.when(F.col("size").isNull(), "missing").when(F.col("old_size").isNull(), "new").when(same, "unchanged").otherwise("changed")
     met = keep(met.withColumn("kind", kind), "met")
     read = met.filter("kind in ('new', 'changed')")
-    files = J.contents_of(spark, [r["path"] for r in read.select("path").collect()])  # names of the sources that differ
-    facts = keep(J.file_facts(files.withColumn("offsets", F.array().cast("array<long>"))).select("path", "content_sha"), "facts")
+    none = {"offsets": F.array().cast("array<long>"), **{f"old_{c}": F.lit(None).cast("long" if c in ("byte_offset", "lines") else "string") for c in ("byte_offset", "lines", "complete_sha", "head_hash", "chain")}}
+    facts = keep(L.facts_at(read.select("path").withColumns(none)).select("path", "content_sha"), "facts")
 
     # a new path with the content of exactly one vanished source is that source, moved
     gone = met.filter("kind = 'missing'").groupBy(F.col("old_content_sha").alias("content_sha")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("moved_from")).filter("n = 1").drop("n")
@@ -78,7 +80,8 @@ def index_history(spark: SparkSession, roots: dict[str, str], store: str, genera
     keep(sources, "sources")
     changed = state.filter("kind in ('new', 'changed', 'moved')").select("path", "provider")
     replaced = keep(changed.select("path").union(moves.select("moved_from")), "replaced")
-    lines = J.positioned_lines(files.join(changed.select("path"), "path", "left_semi"))
+    whole = changed.select("path", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("lines"), F.lit(None).cast("long").alias("stop"))
+    lines = kept(L.lines_at(whole), "lines")  # read once, used for sessions and prompts
     for name, schema, made in (("sessions", SESSIONS, _sessions), ("prompts", PROMPTS, lambda x, p: _prompts(x, p, assistant))):
         before = _table(spark, store, generation, name, schema)
         rows = before.join(replaced, "path", "left_anti")

@@ -1,7 +1,8 @@
 """Batch jobs over a store of generations: each run reads one, writes the next (ING-13..18, ING-22, STR-1..2, STR-6, STR-9, DML-8, DML-11, RPT-8).
 
-A run lists the files and compares sizes and times with what it knows; only files that differ are read, and of one that
-has only grown only the new bytes are booked. Who owns a contribution is derived anew in each run from content hashes:
+A run lists the files and compares sizes and times with what it knows; only files that differ are read, by the tasks
+themselves, and of one that has only grown only what comes after its last hashed block is read and the new lines are
+booked. Who owns a contribution is derived anew in each run from content hashes:
 
 * of files with equal content the first path contributes, and a present one before a vanished one;
 * a new path whose first bytes are those of exactly one vanished file is that file, moved;
@@ -25,9 +26,10 @@ from ledgerloom.operators import maintenance as M
 from ledgerloom.operators.cube import KEY, cube, sums
 from ledgerloom.sources import buckets as K
 from ledgerloom.sources import jsonl as J
+from ledgerloom.sources import tail as L
 
 LEDGER = "path string, date string, provider string, model string, input long, cache_read long, cache_write_5m long, cache_write_1h long, cache_write_unclassified long, output long, reasoning long"
-FILES = "path string, provider string, size long, mtime timestamp, byte_offset long, lines long, content_sha string, complete_sha string, head_hash string, model string, owner string, base string, base_lines long, missing boolean, settled boolean"
+FILES = "path string, provider string, size long, mtime timestamp, byte_offset long, lines long, content_sha string, complete_sha string, head_hash string, chain string, model string, owner string, base string, base_lines long, missing boolean, settled boolean"
 MESSAGES = "message_id string, generation long, path string, line_no long, ts timestamp, iterations array<struct<model: string, raw_input: long, cache_read: long, cache_creation: long, w5m: long, w1h: long, unclassified: long, output: long>>, score long"
 PROVIDERS = ("codex", "claude")
 
@@ -65,17 +67,15 @@ def sync(spark: SparkSession, roots: str | dict[str, str], store: str, generatio
     first = F.when(F.col("size").isNull(), "missing").when(F.col("old_size").isNull(), "new").when(same, "unchanged").otherwise("changed")
     met = keep(met.withColumn("first", first), "met")
     changed = met.filter("first in ('new', 'changed')")
-    paths = [r["path"] for r in changed.select("path").collect()]  # names of changed files, as Spark's readers take them
-    offsets = changed.select("path", F.when(F.col("old_byte_offset").isNotNull(), F.array("old_byte_offset")).otherwise(F.array().cast("array<long>")).alias("offsets"))
-    facts = keep(J.file_facts(J.contents_of(spark, paths).join(offsets, "path")), "facts")
-    names = ("byte_offset", "lines", "content_sha", "complete_sha", "head_hash")
-    now = met.join(facts.select("path", *[F.col(c).alias(f"new_{c}") for c in names], "prefixes"), "path", "left")
-    grown = (F.col("new_byte_offset") >= F.col("old_byte_offset")) & (F.get("prefixes", 0) == F.col("old_complete_sha"))
-    kind = F.when(F.col("first") != "changed", F.col("first")).when(grown, "appended").otherwise("rewritten")
+    # of a file that has grown the bytes after its last whole block are read and hashed, of others all
+    facts = keep(L.facts_at(changed.withColumn("offsets", F.array().cast("array<long>"))), "facts")
+    names = ("byte_offset", "lines", "content_sha", "complete_sha", "head_hash", "chain")
+    now = met.join(facts.select("path", *[F.col(c).alias(f"new_{c}") for c in names], "resumed"), "path", "left")
+    kind = F.when(F.col("first") != "changed", F.col("first")).when(F.col("resumed"), "appended").otherwise("rewritten")
     kind = F.when(F.col("first").isin("new", "changed") & F.col("new_byte_offset").isNull(), "failed").otherwise(kind)
     now = now.withColumn("kind", kind).filter("not (kind = 'failed' and old_size is null)")
     now = now.withColumns({c: F.coalesce(F.col(f"new_{c}"), F.col(f"old_{c}")) for c in names}).withColumn("provider", F.coalesce("provider", "old_provider"))
-    now = keep(now.drop("prefixes", *[f"new_{c}" for c in names]), "now")
+    now = keep(now.drop("resumed", *[f"new_{c}" for c in names]), "now")
 
     # new files of provider A against files with the same first record: moved from a vanished one, or going on from one
     fresh = now.filter((F.col("kind") == "new") & (F.col("provider") == PROVIDERS[0])).select("path", "head_hash", "byte_offset")
@@ -86,9 +86,9 @@ def sync(spark: SparkSession, roots: str | dict[str, str], store: str, generatio
     # of two new files one goes on from the other only under the same name
     likely = ~F.col("other_new") | (last("path") == last("other"))
     near = keep(fresh.join(other, "head_hash").filter("path <> other and other_offset <= byte_offset").filter(likely), "near")
-    read = [r["path"] for r in near.select("path").distinct().collect()]
     wanted = near.groupBy("path").agg(F.array_sort(F.collect_set("other_offset")).alias("offsets"))  # an offset for each file of one first record
-    prefixes = J.file_facts(J.contents_of(spark, read).join(wanted, "path")).select("path", "prefixes").join(wanted, "path")
+    none = {f"old_{c}": F.lit(None).cast("long" if c in ("byte_offset", "lines") else "string") for c in ("byte_offset", "lines", "complete_sha", "head_hash", "chain")}
+    prefixes = L.facts_at(wanted.withColumns(none)).select("path", "prefixes").join(wanted, "path")
     prefixes = prefixes.select("path", F.explode(F.arrays_zip("offsets", "prefixes")).alias("z")).select("path", F.col("z.offsets").alias("other_offset"), F.col("z.prefixes").alias("other_sha"))
     near = keep(near.join(prefixes, ["path", "other_offset", "other_sha"], "left_semi"), "prefixes")
     gone = near.filter("gone").groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("other").alias("moved_from")).filter("n = 1").drop("n")
@@ -117,11 +117,10 @@ def sync(spark: SparkSession, roots: str | dict[str, str], store: str, generatio
     turned = (~held | ~F.col("base").eqNullSafe(F.col("old_base"))) & F.col("size").isNotNull() & (F.col("kind") != "failed")
     stale = F.col("kind").isin("new", "rewritten") | turned | (F.col("kind").isin("appended", "moved") & ~goes_on)
     plan = now.withColumn("booking", F.when(owned & goes_on & (F.col("byte_offset") > F.col("old_byte_offset")), "more").when(owned & stale, "whole"))
-    plan = keep(plan.select("path", "booking", "old_byte_offset", "old_lines", "old_model", "base_lines"), "plan")
+    plan = keep(plan.select("path", "booking", "byte_offset", "old_byte_offset", "old_lines", "old_model", "base_lines"), "plan")
     todo = plan.filter("booking is not null")
-    files = J.contents_of(spark, [r["path"] for r in todo.select("path").collect()]).join(todo, "path")
     at = F.when(F.col("booking") == "more", F.col("old_byte_offset"))
-    lines = J.positioned_lines(files.select("path", "content", at.alias("start"), F.when(at.isNotNull(), F.col("old_lines")).alias("before")), start="start", lines="before")
+    lines = keep(X.of_interest_a(L.lines_at(todo.select("path", at.alias("start"), F.when(at.isNotNull(), F.col("old_lines")).alias("lines"), F.col("byte_offset").alias("stop")))), "lines")  # read once, used twice
     marks = todo.filter("booking = 'more'").select("path", F.col("old_model").alias("model"))
     events = M.resumed_events_a(lines, marks).join(todo.select("path", "base_lines"), "path").filter("line_no > coalesce(base_lines, 0)")
     booked = keep(X.to_cube_rows(events, zone).groupBy("path", *KEY).agg(*sums()), "booked")
@@ -138,10 +137,8 @@ def sync(spark: SparkSession, roots: str | dict[str, str], store: str, generatio
     K.replace(f"{store}/ledger", generation, parts, ledger.join(staying, "path", "left_semi").unionByName(booked), "path")
 
     # provider B: messages by id
-    from_b = now.filter((F.col("provider") == PROVIDERS[1]) & F.col("kind").isin("new", "appended", "rewritten", "moved")).select("path", F.when(F.col("kind") == "appended", F.col("old_byte_offset")).alias("start"), F.when(F.col("kind") == "appended", F.col("old_lines")).alias("before"))
-    from_b = keep(from_b, "changed-b")
-    files_b = J.contents_of(spark, [r["path"] for r in from_b.select("path").collect()]).join(from_b, "path")
-    snapshots = X.candidates_b(J.positioned_lines(files_b, start="start", lines="before")).withColumn("generation", F.lit(generation + 1).cast("long"))
+    from_b = now.filter((F.col("provider") == PROVIDERS[1]) & F.col("kind").isin("new", "appended", "rewritten", "moved")).select("path", F.when(F.col("kind") == "appended", F.col("old_byte_offset")).alias("start"), F.when(F.col("kind") == "appended", F.col("old_lines")).alias("lines"), F.col("byte_offset").alias("stop"))
+    snapshots = X.candidates_b(L.lines_at(keep(from_b, "changed-b"))).withColumn("generation", F.lit(generation + 1).cast("long"))
     columns = [f.name for f in T.StructType.fromDDL(MESSAGES)]
     snapshots = keep(snapshots.select(*columns), "snapshots")
     parts = K.touched(snapshots, "message_id")
@@ -152,7 +149,7 @@ def sync(spark: SparkSession, roots: str | dict[str, str], store: str, generatio
     unread = F.col("kind") == "failed"
     state = now.join(models, "path", "left").select(
         "path", "provider", F.when(unread | F.col("size").isNull(), F.col("old_size")).otherwise(F.col("size")).alias("size"), F.when(unread | F.col("size").isNull(), F.col("old_mtime")).otherwise(F.col("mtime")).alias("mtime"),
-        "byte_offset", "lines", "content_sha", "complete_sha", "head_hash", F.coalesce("now_model", F.when(F.col("kind") != "rewritten", F.col("old_model"))).alias("model"), "owner", "base", "base_lines", F.col("size").isNull().alias("missing"), settled.alias("settled"),
+        "byte_offset", "lines", "content_sha", "complete_sha", "head_hash", "chain", F.coalesce("now_model", F.when(F.col("kind") != "rewritten", F.col("old_model"))).alias("model"), "owner", "base", "base_lines", F.col("size").isNull().alias("missing"), settled.alias("settled"),
     )
     keep(state, "files")
     counts = {r["kind"]: r["n"] for r in now.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}

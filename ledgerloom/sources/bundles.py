@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from ledgerloom.sources.tail import file_system
+from ledgerloom.sources.tail import file_system, spread
 
 MEMBERS = "archive string, name string, place long, size long, content binary, sha256 string"
 ROWS = "archive string, place long, name string, mtime timestamp, content binary"
@@ -137,7 +137,7 @@ def bundle_members(archives: DataFrame, root: str, content: bool = True) -> Data
                 except (OSError, EOFError, tarfile.TarError, zstandard.ZstdError):
                     continue
 
-    return archives.select("archive").distinct().repartition("archive").mapInArrow(run, MEMBERS)
+    return spread(archives.select(F.col("archive").alias("path")).distinct()).mapInArrow(run, MEMBERS)
 
 
 def contents_at(files: DataFrame) -> DataFrame:
@@ -154,4 +154,4 @@ def contents_at(files: DataFrame) -> DataFrame:
                     continue
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([data], pa.binary())], names=["path", "content"])
 
-    return files.select("path").mapInArrow(run, "path string, content binary")
+    return spread(files.select("path")).mapInArrow(run, "path string, content binary")

@@ -28,7 +28,7 @@ from fnmatch import fnmatchcase
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.errors import AnalysisException
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 LINES = "path string, life long, start_offset long, end_offset long, raw string"
@@ -147,6 +147,137 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], names=_NAMES)
 
 
+#: Hashes go on from here: what comes before is one chained value.
+BLOCK = 1 << 20
+FACTS = "path string, byte_offset long, lines long, content_sha string, complete_sha string, head_hash string, chain string, resumed boolean, prefixes array<string>, read long"
+NUMBERED = "path string, line_no long, start_offset long, end_offset long, raw string"
+
+
+class Chain:
+    """The hash of a file's first n bytes for any n on the way: whole blocks are chained into one value, to which the rest of the last block is added."""
+
+    def __init__(self, chain: str = "", at: int = 0) -> None:
+        self.chain, self.at, self.rest = chain, at, hashlib.sha256()
+
+    def feed(self, data: bytes) -> None:
+        view = memoryview(data)
+        while len(view):
+            piece = view[: BLOCK - self.at % BLOCK]
+            self.rest.update(piece)
+            self.at += len(piece)
+            view = view[len(piece) :]
+            if self.at % BLOCK == 0:
+                self.chain, self.rest = hashlib.sha256(f"{self.chain}{self.rest.hexdigest()}".encode()).hexdigest(), hashlib.sha256()
+
+    def digest(self) -> str:
+        return hashlib.sha256(f"{self.chain}:{self.rest.hexdigest()}".encode()).hexdigest()
+
+
+def first_record_hash(source: pa.NativeFile) -> str:
+    """Of the first complete line with its end; of nothing if there is none."""
+    source.seek(0)
+    found = hashlib.sha256()
+    while chunk := source.read(CHUNK):
+        end = chunk.find(b"\n") + 1
+        found.update(chunk[: end or len(chunk)])
+        if end:
+            return found.hexdigest()
+    return hashlib.sha256().hexdigest()
+
+
+def file_facts(source: pa.NativeFile, offsets: list[int] | None = None, known: tuple | None = None) -> tuple:
+    """byte_offset, lines, content_sha, complete_sha, head_hash, chain, resumed, prefixes, bytes read (FACTS).
+
+    known: (byte_offset, lines, complete_sha, head_hash, chain) of an earlier read. If the first record and the bytes
+    from the last block before that offset on are the same, only what comes after is read; else all of it. prefixes:
+    hashes of the bytes before each of `offsets`, null beyond the end.
+    """
+    head, read, resumed = first_record_hash(source), 0, False
+    hashed, end, lines, last_hash, last_chain = Chain(), 0, 0, Chain().digest(), ""
+    if known and known[0] and head == known[3]:
+        begin = known[0] // BLOCK * BLOCK
+        source.seek(begin)
+        before = source.read(known[0] - begin)
+        read += len(before)
+        tried = Chain(known[4], begin)
+        tried.feed(before)
+        if len(before) == known[0] - begin and tried.digest() == known[2]:
+            resumed, hashed = True, tried
+            end, lines, last_hash, last_chain = known[0], known[1], known[2], tried.chain
+    source.seek(hashed.at)
+    wanted, found = sorted(set(offsets or [])), {0: Chain().digest()}
+    while chunk := source.read(CHUNK):
+        read += len(chunk)
+        stop = chunk.rfind(b"\n") + 1
+        base = hashed.at
+        cuts = sorted({n - base for n in wanted if base < n <= base + len(chunk)} | ({stop} if stop else set()) | {len(chunk)})
+        for a, b in zip([0, *cuts], cuts):
+            hashed.feed(chunk[a:b])
+            if base + b in wanted:
+                found[base + b] = hashed.digest()
+            if b == stop:
+                end, last_hash, last_chain = base + b, hashed.digest(), hashed.chain
+        lines += chunk.count(b"\n")
+    return end, lines, hashed.digest(), last_hash, head, last_chain, resumed, [found.get(n) for n in offsets or []], read
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """Rows that stand for files, dealt out to tasks by number: they are too small for Spark to see the work in them."""
+    return files.repartition(max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))), "path")
+
+
+def facts_at(files: DataFrame) -> DataFrame:
+    """Facts (FACTS) of files (path, offsets, and of an earlier read old_byte_offset, old_lines, old_complete_sha, old_head_hash, old_chain), opened by the tasks; a file that can't be read has no row."""
+    columns = ["path", "offsets", "old_byte_offset", "old_lines", "old_complete_sha", "old_head_hash", "old_chain"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.int64()]
+    names = [c.split()[0] for c in FACTS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, offsets, *known in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    fs, at = file_system(path)
+                    with fs.open_input_file(at) as source:
+                        out.append((path, *file_facts(source, offsets, tuple(known) if known[4] is not None else None)))
+                except OSError:
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * len(kinds), kinds)], names=names)
+
+    return spread(files.select(*columns)).mapInArrow(run, FACTS)
+
+
+def lines_at(files: DataFrame) -> DataFrame:
+    """Complete lines (NUMBERED) of files (path, start, lines, stop): from byte `start`, which ends a line, on, with numbers after `lines` (null: from the beginning), and before `stop` (null: the end of the last complete line)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, start, line, stop in zip(*(c.to_pylist() for c in batch.columns)):
+                out: list[tuple] = []
+                try:
+                    fs, at = file_system(path)
+                    with fs.open_input_file(at) as source:
+                        begin, line = start or 0, line or 0
+                        end = complete_end(source, source.size(), begin) if stop is None else stop
+                        for a, b, raw in lines_of(source, Range(path, 0, begin, end, end, True)):
+                            line += 1
+                            out.append((path, line, a, b, raw.rstrip(b"\r\n").decode("utf-8", "replace")))
+                            if len(out) == _BATCH_LINES:
+                                yield _numbered(out)
+                                out = []
+                except OSError:
+                    continue
+                if out:
+                    yield _numbered(out)
+
+    return spread(files.select("path", "start", "lines", "stop")).mapInArrow(run, NUMBERED)
+
+
+def _numbered(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["path", "line_no", "start_offset", "end_offset", "raw"])
+
+
 def _uri(root: str, path: str) -> str:
     """The file's path as the root is given."""
     scheme = root.partition("://")[0] + "://" if "://" in root else "file:" if root.startswith("file:") else ""

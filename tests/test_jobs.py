@@ -93,8 +93,8 @@ def test_only_new_bytes_are_booked(spark, tmp_path, monkeypatch):
     jobs.sync(spark, str(root), store, 0)
     assert total(spark, store, 1) == 3
     seen = []
-    booked = jobs.J.positioned_lines
-    monkeypatch.setattr(jobs.J, "positioned_lines", lambda files, **k: seen.append([tuple(r) for r in booked(files, **k).select("path", "line_no").collect()]) or booked(files, **k))
+    booked = jobs.L.lines_at
+    monkeypatch.setattr(jobs.L, "lines_at", lambda files: seen.append([tuple(r) for r in booked(files).select("path", "line_no").collect()]) or booked(files))
     (root / "a.jsonl").write_text(log(1, 2) + counted(4) + "\n" + counted(8) + "\n")
     jobs.sync(spark, str(root), store, 1)
     assert [n for _, n in seen[0]] == [4, 5] and total(spark, store, 2) == 15

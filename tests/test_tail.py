@@ -134,6 +134,37 @@ def test_stream_needs_a_folder():
         L.LogStream({"path": "/tmp/x"})
 
 
+def test_facts_of_a_grown_file(tmp_path, monkeypatch):
+    """A chained hash of any beginning; of a grown file only what follows its last whole block is read."""
+    monkeypatch.setattr(L, "BLOCK", 1000)
+    monkeypatch.setattr(L, "CHUNK", 700)
+    path = f"{tmp_path}/a.jsonl"
+    whole = b"".join(b"line %d\n" % k for k in range(900))
+
+    def facts(content, *more):
+        put(path, content)
+        with pa.fs.LocalFileSystem().open_input_file(path) as f:
+            return dict(zip([c.split()[0] for c in L.FACTS.split(", ")][1:], L.file_facts(f, *more)))
+
+    def known(f):
+        return tuple(f[c] for c in ("byte_offset", "lines", "complete_sha", "head_hash", "chain"))
+
+    marks = [0, 1, 999, 1000, 1001, 5003, len(whole), len(whole) + 1]
+    first = facts(whole, marks)
+    assert (first["byte_offset"], first["lines"], first["content_sha"], first["resumed"]) == (len(whole), 900, first["complete_sha"], False)
+    for n, sha in zip(marks, first["prefixes"]):
+        assert sha == (facts(whole[:n])["content_sha"] if n <= len(whole) else None)
+    for cut in (0, 3, 8, 999, 1000, 1007, 4321, len(whole)):
+        before = facts(whole[:cut])
+        again = facts(whole, [], known(before))
+        fresh = facts(whole)
+        assert {k: v for k, v in again.items() if k not in ("resumed", "read")} == {k: v for k, v in fresh.items() if k not in ("resumed", "read")}
+        assert again["resumed"] == (before["byte_offset"] > 0) and (not again["resumed"] or again["read"] <= len(whole) - before["byte_offset"] + 1000)
+    before = facts(whole[:4321])
+    for other in (b"other\n" + whole, whole[:4200], whole[:4300] + b"?" + whole[4301:], b""):
+        assert not facts(other, [], known(before))["resumed"]
+
+
 def context(model):
     return json.dumps({"timestamp": "2024-01-01T00:00:00Z", "type": "turn_context", "payload": {"model": model}})
 
