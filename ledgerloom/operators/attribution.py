@@ -45,8 +45,8 @@ def in_window(events: DataFrame, since: str | None, until: str | None) -> tuple[
 
 def provider_mix(priced: DataFrame) -> DataFrame:
     """Share of each provider by cost, or by unpriced tokens if nothing is priced (AGG-40)."""
-    g = priced.groupBy("provider").agg(F.sum("cost").alias("cost"), F.sum("priced_tokens").alias("priced_tokens"), F.sum("unpriced_tokens").alias("unpriced_tokens"))
-    whole = g.agg(F.sum("cost").alias("_c"), F.sum("priced_tokens").alias("_p"), F.sum("unpriced_tokens").alias("_u"))
+    g = priced.groupBy("provider").agg(P.checked_sum(F.col("cost")).alias("cost"), F.sum("priced_tokens").alias("priced_tokens"), F.sum("unpriced_tokens").alias("unpriced_tokens"))
+    whole = g.agg(P.checked_sum(F.col("cost")).alias("_c"), F.sum("priced_tokens").alias("_p"), F.sum("unpriced_tokens").alias("_u"))
     share = F.when(F.col("_p") > 0, F.col("cost") / F.nullif("_c", F.lit(0))).otherwise(F.col("unpriced_tokens") / F.nullif("_u", F.lit(0)))
     return g.join(F.broadcast(whole)).select("provider", "cost", F.round(F.coalesce(share, F.lit(0.0)) * 100, 6).alias("share"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.scratch import kept
+
 MOST_DEPTH = 16
 
 
@@ -27,20 +29,26 @@ def resolve(edges_: DataFrame, sessions: DataFrame) -> DataFrame:
 def tree(links: DataFrame, roots: DataFrame, order: Column, depth: int = MOST_DEPTH) -> DataFrame:
     """node, root, depth, path of everything below the roots, in preorder by path (GR-4).
 
-    links (parent, child) with an order key for siblings; a level is one join, so there are at most `depth` of them; a
-    node that is on its own path already ends there.
+    links (parent, child) with an order key for siblings. Each round doubles how far down is known: paths of 1, 2, 4, ...
+    steps are joined with themselves and with what is reached, so depth 16 takes five rounds; each is a table in the
+    scratch folder. A node that is on its own path already ends there.
     """
-    step = links.select("parent", "child", F.struct(order.alias("k"), F.col("child").alias("c")).alias("key"))
-    level = roots.select(F.col("node"), F.col("node").alias("root"), F.lit(0).alias("depth"), F.array("node").alias("seen"), F.array(F.struct(F.lit(None).cast(step.schema["key"].dataType["k"].dataType).alias("k"), F.col("node").alias("c"))).alias("path"))
-    out = level
-    for d in range(1, depth + 1):
-        level = level.join(step, F.col("node") == F.col("parent")).filter(~F.array_contains("seen", F.col("child"))).select(
-            F.col("child").alias("node"), "root", F.lit(d).alias("depth"), F.array_append("seen", F.col("child")).alias("seen"), F.array_append("path", F.col("key")).alias("path")
-        )
-        level = level.persist()  # a level is joined once, however many come after it
-        if level.isEmpty():
+    key = F.struct(order.alias("k"), F.col("child").alias("c"))
+    jump = links.select(F.col("parent").alias("from"), F.col("child").alias("to"), F.array("child").alias("steps"), F.array(key).alias("keys")).filter("from <> to")
+    kind = jump.schema["keys"].dataType.elementType["k"].dataType
+    out = roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.array("node").alias("seen"), F.array(F.struct(F.lit(None).cast(kind).alias("k"), F.col("node").alias("c"))).alias("path"))
+    length = 1
+    while length <= depth:
+        jump = kept(jump, "jumps")
+        if not jump.head(1):
             break
-        out = out.unionByName(level)
+        further = out.filter(F.col("depth") + length <= depth).join(jump, F.col("node") == F.col("from")).filter(~F.arrays_overlap("seen", "steps"))
+        further = further.select(F.col("to").alias("node"), "root", (F.col("depth") + length).alias("depth"), F.concat("seen", "steps").alias("seen"), F.concat("path", "keys").alias("path"))
+        out = kept(out.unionByName(further), "reached")
+        on = jump.select(F.col("from").alias("_at"), F.col("to").alias("_to"), F.col("steps").alias("_steps"), F.col("keys").alias("_keys"))
+        joined = jump.join(on, F.col("to") == F.col("_at")).filter(~F.arrays_overlap("steps", "_steps") & ~F.array_contains("_steps", F.col("from")))
+        jump = joined.select("from", F.col("_to").alias("to"), F.concat("steps", "_steps").alias("steps"), F.concat("keys", "_keys").alias("keys"))
+        length *= 2
     return out
 
 
@@ -51,7 +59,8 @@ def preorder(nodes: DataFrame, root: str = "root") -> DataFrame:
     them in their tree is a running sum over a row for each partition and tree.
     """
     at = F.monotonically_increasing_id()
-    dealt = nodes.repartitionByRange(root, "path").sortWithinPartitions(root, "path").withColumn("_at", at).withColumn("_part", F.shiftright("_at", 33)).persist()
+    dealt = nodes.repartitionByRange(root, "path").sortWithinPartitions(root, "path").withColumn("_at", at).withColumn("_part", F.shiftright("_at", 33))
+    dealt = kept(dealt, "preorder")  # numbered once and for all
     ends = dealt.groupBy(root, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(root).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(root, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))

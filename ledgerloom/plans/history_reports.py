@@ -9,6 +9,7 @@ from ledgerloom.functions.money import div
 from ledgerloom.operators import attribution as A
 from ledgerloom.operators import corpus as R
 from ledgerloom.operators import pagination as N
+from ledgerloom.operators import pricing as P
 from ledgerloom.operators import sampling as M
 from ledgerloom.operators import search as H
 from ledgerloom.operators import vault as V
@@ -110,8 +111,8 @@ def vault_page(manifest: DataFrame, sort: str = "last_ts", provider: str | None
 
 def model_page(priced: DataFrame, model_sessions: DataFrame, report_date: str) -> DataFrame:
     """provider, model, cost, share of cost, recency, tokens a session (AGG-25, AGG-39)."""
-    m = priced.groupBy("provider", "model").agg(F.sum("cost").alias("cost"), F.sum(F.col("input") + F.col("output")).alias("tokens"), F.max("date").alias("last_date"))
-    whole = m.agg(F.sum("cost").alias("_whole"))
+    m = priced.groupBy("provider", "model").agg(P.checked_sum(F.col("cost")).alias("cost"), F.sum(F.col("input") + F.col("output")).alias("tokens"), F.max("date").alias("last_date"))
+    whole = m.agg(P.checked_sum(F.col("cost")).alias("_whole"))
     rows = m.join(model_sessions, ["provider", "model"], "left").fillna(0, ["sessions"]).join(F.broadcast(whole))
     share = F.when(F.col("_whole") > 0, F.round(F.col("cost") / F.col("_whole") * 1000) / 10)
     recency = F.greatest(F.lit(0), F.datediff(F.to_date(F.lit(report_date)), F.to_date("last_date")))
@@ -121,7 +122,7 @@ def model_page(priced: DataFrame, model_sessions: DataFrame, report_date: str) -
 def project_day(session_costs: DataFrame, sessions: DataFrame) -> DataFrame:
     """tokens, cost of complete sessions, and sessions of each project (AGG-26)."""
     both = session_costs.join(sessions.select("session_id", F.coalesce(F.nullif("project", F.lit("")), F.lit("unknown")).alias("project")), "session_id")
-    return both.groupBy("project").agg(F.sum("tokens").alias("tokens"), F.coalesce(F.sum(F.when(F.col("attribution_status") == "complete", F.col("cost"))), F.lit(0)).alias("cost"), F.count(F.lit(1)).alias("sessions"))
+    return both.groupBy("project").agg(F.sum("tokens").alias("tokens"), F.coalesce(P.checked_sum(F.when(F.col("attribution_status") == "complete", F.col("cost"))), F.lit(0)).alias("cost"), F.count(F.lit(1)).alias("sessions"))
 
 
 def daily_averages(days: DataFrame, value: str) -> DataFrame:

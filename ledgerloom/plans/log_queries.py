@@ -510,6 +510,42 @@ def _carried(spark, d):
     return C.cube_of_changes(spark, f"{out}/store")
 
 
+@query("streamed_messages", f"WITH {_MADE_B.rpartition(', kept AS')[0]} SELECT message_id, score, strftime(first, '%Y-%m-%d %H:%M:%S') AS at FROM records WHERE place = 1")
+def _streamed_messages(spark, d):
+    """Messages' best snapshots from a stream over growing files: the last change of each message is its state, late and better snapshots included (STR-3, STR-4)."""
+    out = _folder(spark)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/changes/batch={batch_id}")
+
+    for share in (0.5, 1):
+        _growing(log_b(spark, d), f"{out}/logs", share)
+        lines = L.tail_lines(spark, f"{out}/logs", f"{out}/positions").withColumnRenamed("start_offset", "line_no")
+        snapshots = X.candidates_b(lines).select("message_id", "line_no", "ts", "score")
+        I.message_updates(snapshots).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}/mark").trigger(availableNow=True).start().awaitTermination()
+    changes = spark.read.parquet(f"{out}/changes")
+    last = changes.groupBy("message_id").agg(F.max_by(F.struct("score", "ts"), F.struct("batch", "score")).alias("m"))
+    return last.select("message_id", "m.score", F.date_format("m.ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("daily_stream", f"WITH {LOG_A_SQL} SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(sum(v) AS BIGINT) AS input, CAST(sum(v % 7) AS BIGINT) AS output FROM m WHERE is_count AND v + v % 7 > 0 AND k % 9 <> 0 GROUP BY 1")
+def _daily_stream(spark, d):
+    """Tumbling days over a stream of events, each day's last sums (STR-7)."""
+    out = _folder(spark)
+    X.events_a(log_a(spark, d)).withColumn("part", F.col("line_no") % 2).write.partitionBy("part").parquet(f"{out}/events")
+    kinds = X.events_a(log_a(spark, d)).schema
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/days/batch={batch_id}")
+
+    for part in (0, 1):  # the second run's events lie between the first run's: within the lateness
+        spark.read.schema(kinds).parquet(f"{out}/events/part={part}").write.mode("append").parquet(f"{out}/arriving")
+        stream = spark.readStream.schema(kinds).parquet(f"{out}/arriving")
+        I.daily_windows(stream, "36500 days").writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}/mark").trigger(availableNow=True).start().awaitTermination()
+    days = spark.read.parquet(f"{out}/days").groupBy("day", "provider", "model").agg(F.max_by(F.struct("input", "output"), "batch").alias("m"))
+    return days.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.sum("m.input").alias("input"), F.sum("m.output").alias("output"))
+
+
 # --- an archive: files of documents' hashes, forty of them, archived when half of the lines are there and again when all are
 
 

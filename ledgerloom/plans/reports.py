@@ -108,7 +108,7 @@ def heatmap(usage: DataFrame, rates: DataFrame, **flags) -> dict:
     """Dense days with levels and statistics, by cost; by tokens where nothing is priced."""
     o = options(**flags)
     priced = P.price(_selected(usage, o), rates)
-    by = priced.groupBy("date").agg(F.sum("cost").alias("cost"), F.sum(F.col("input") + F.col("output")).alias("tokens"), F.sum("priced_tokens").alias("priced"))
+    by = priced.groupBy("date").agg(P.checked_sum(F.col("cost")).alias("cost"), F.sum(F.col("input") + F.col("output")).alias("tokens"), F.sum("priced_tokens").alias("priced"))
     metric = "cost" if (by.agg(F.sum("priced")).first()[0] or 0) > 0 else "tokens"
     days = K.dense_days(by, metric)
     return envelope("heatmap", {"metric": metric, "days": _rows(K.levels(days, metric).orderBy("date")), "stats": _rows(K.heat_statistics(days, metric))[0]}, o, _warnings(priced))

@@ -155,3 +155,36 @@ def contents_at(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([data], pa.binary())], names=["path", "content"])
 
     return spread(files.select("path")).mapInArrow(run, "path string, content binary")
+
+
+def copy_raw(files: DataFrame, out: str) -> DataFrame:
+    """Byte-exact copies of files (path, name) below a folder, made by the tasks, and the manifest (name, size, sha256) of what was copied, as a table beside them (SRC-19).
+
+    A copy appears under its name when it is whole; a task that runs again replaces it. A file that can't be read is
+    missing in the manifest.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to, folder = file_system(out)
+        for batch in batches:
+            done = []
+            for path, name in zip(*(c.to_pylist() for c in batch.columns)):
+                target, hashed, size = f"{folder}/raw/{name}", hashlib.sha256(), 0
+                try:
+                    fs, at = file_system(path)
+                    with fs.open_input_stream(at, compression=None) as source:
+                        to.create_dir(target.rpartition("/")[0])
+                        part = f"{target}.{uuid.uuid4().hex}.part"
+                        with to.open_output_stream(part, compression=None) as f:
+                            while data := source.read(1 << 20):
+                                hashed.update(data)
+                                size += len(data)
+                                f.write(data)
+                        to.move(part, target)
+                except OSError:
+                    continue
+                done.append((name, size, hashed.hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*done)) or [()] * 3, (pa.string(), pa.int64(), pa.string()))], names=["name", "size", "sha256"])
+
+    spread(files.select("path", "name")).mapInArrow(run, "name string, size long, sha256 string").write.mode("overwrite").parquet(f"{out}/manifest")
+    return files.sparkSession.read.parquet(f"{out}/manifest")
