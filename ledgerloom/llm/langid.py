@@ -12,7 +12,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ SAMPLE_DOCS = 2_000  # of each language, about; the bound of what the model is f
 ROUNDS = 3
 SMOOTHING = 0.05
 SHIFT = 3.0  # nats a byte that keep products of probabilities within range
-MOST_LANGS = 256  # languages that are learnt, the most frequent ones; a bound of what is broadcast (pieces x languages)
+BLOCK_LANGS = 256  # languages that are learnt and scored together: a bound of what is broadcast (pieces x languages); further ones come in further blocks
 STEP = 32  # bytes of a run of letters after which its sums are rescaled
 LONG_RUN = 1 << 14  # bytes of a run of letters that are looked at together; a longer one goes on from the sums so far
 CACHE_WORDS = 300_000
@@ -209,13 +209,18 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(labelled: DataFrame, path: str, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages in order of name and log-shifted piece probabilities (pieces x languages), from about sample_docs documents of each."""
-    rows = labelled.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
-    langs = sorted(sorted(sizes, key=lambda k: (-sizes[k], k))[:MOST_LANGS])
+def languages(labelled: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, int]:
+    """Documents of each language to learn from."""
+    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    return {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+
+
+def train(labelled: DataFrame, path: str, sizes: dict[str, int], lang: str = "lang", text: str = "text", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
+    """The languages of `sizes` (see languages) in order of name and their piece probabilities (pieces x languages), from about sample_docs documents of each. A run of letters of over LONG_RUN bytes is learnt from by its stretches of that length."""
+    langs = sorted(sizes)
     if not langs:
         return [], np.zeros((0, 0))
+    rows = labelled.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("lang").isin(langs) & F.col("text").isNotNull())
     small_batches(rows.sparkSession)
     rate = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, sample_docs / sizes[k])))])
     chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(rate, F.col("lang")) * 1_000_000)
@@ -270,7 +275,7 @@ _worker: dict = {}
 
 
 def identify(docs: DataFrame, langs: list[str], p: np.ndarray, path: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """doc_id, text_hash, lang (as labelled), lang_pred, score, n_bytes, fit of every row.
+    """doc_id, text_hash, lang (as labelled), lang_pred, score, n_bytes, fit of every row; of the languages given.
 
     The most probable language (equal: the first by name), its posterior under equal priors, the bytes that it is told
     by and its log likelihood a byte; `und`, 0, 0 and null for a null text or one without letters.
@@ -327,6 +332,23 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, path: str, doc_id
     return rows.mapInArrow(run, "doc_id long, text_hash long, lang string, lang_pred string, score double, n_bytes long, fit double")
 
 
+def _in_blocks(docs: DataFrame, labelled: DataFrame, blocks: list[dict[str, int]], path: str, doc_id: str, text: str, lang: str) -> DataFrame:
+    """As identify, for more languages than are scored together: a pass for each block of them, and each row's best of all blocks. A language's probabilities don't depend on the others; the posterior of the best one is put together from those of the blocks."""
+    rows = materialise(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).withColumn("row", F.monotonically_increasing_id()), "language-rows")
+    parts = []
+    for k, sizes in enumerate(blocks):
+        # the row's number goes along in place of its id
+        part = identify(rows, *train(labelled, path, sizes, lang, text, doc_id), path, "row", "text", "lang")
+        parts.append(materialise(part.select(F.col("doc_id").alias("row"), "text_hash", "lang", F.lit(-k).alias("block"), "lang_pred", "score", "n_bytes", "fit"), "language-block"))
+    every = reduce(DataFrame.union, parts)
+    logp = F.col("fit") * F.col("n_bytes")  # of the block's best; score: its share of the block
+    best = every.groupBy("row", "text_hash", "lang").agg(F.max(F.struct(logp.alias("logp"), "block", "lang_pred", "n_bytes", "fit")).alias("best"), F.collect_list(F.struct(logp.alias("logp"), "score")).alias("each"))  # one of each block
+    share = F.aggregate("each", F.lit(0.0), lambda a, x: a + F.exp(x["logp"] - F.col("best.logp")) / x["score"])
+    told = F.col("best.logp").isNotNull()
+    found = best.select("row", "text_hash", "lang", "best.lang_pred", F.when(told, 1 / share).otherwise(0.0).alias("score"), "best.n_bytes", "best.fit")
+    return rows.select("row", F.col("id").alias("doc_id")).join(found, "row").drop("row")
+
+
 def identify_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", pieces: str | None = None) -> DataFrame:
     """Learns from the documents that aren't held out and have a language, and predicts every row: doc_id, text_hash, held_out, lang, lang_pred, score, n_bytes, fit.
 
@@ -335,6 +357,11 @@ def identify_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     anything to learn from all is `und`. Other columns are ignored.
     """
     path = pieces or default_pieces()
-    langs, p = train(docs.filter(~is_held_out(F.col(doc_id))), path, lang, text, doc_id)
-    found = identify(docs, langs, p, path, doc_id, text, lang)
+    labelled = docs.filter(~is_held_out(F.col(doc_id)))
+    sizes = languages(labelled, lang, text)
+    names = sorted(sizes)
+    if len(names) <= BLOCK_LANGS:
+        found = identify(docs, *train(labelled, path, sizes, lang, text, doc_id), path, doc_id, text, lang)
+    else:
+        found = _in_blocks(docs, labelled, [{k: sizes[k] for k in names[at : at + BLOCK_LANGS]} for at in range(0, len(names), BLOCK_LANGS)], path, doc_id, text, lang)
     return found.select("doc_id", "text_hash", is_held_out(F.col("doc_id")).alias("held_out"), "lang", "lang_pred", "score", "n_bytes", "fit")

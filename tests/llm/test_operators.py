@@ -374,6 +374,24 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify_languages(docs_of(spark, [(1, "hello there")], None)).collect()} == {"und"}
 
 
+def test_languages_in_blocks(spark, monkeypatch):
+    """More languages than are scored together: the same predictions and posteriors as with all at once."""
+    rng = np.random.default_rng(1)
+    letters = ["abcde", "fghij", "klmno", "pqrst", "uvwxy", "acegi", "bdfhj"]
+    rows = [(k, " ".join("".join(rng.choice(list(letters[k % 7]), 4)) for _ in range(12)), f"l{k % 7}", *[None] * 7) for k in range(140)]
+    rows += [(900, None, "l1", *[None] * 7), (901, "12", None, *[None] * 7), (None, "abcde", None, *[None] * 7), (5, rows[5][1], "l5", *[None] * 7), (902, "ace bdf", None, *[None] * 7)]
+    docs = spark.createDataFrame(rows, DOC)
+
+    def found():
+        return sorted(((r.doc_id is None, r.doc_id or 0, r.lang_pred, r.n_bytes, r.held_out, round(r.score, 6), None if r.fit is None else round(r.fit, 6)) for r in langid.identify_languages(docs).collect()), key=str)
+
+    whole = found()
+    for size in (3, 1):
+        monkeypatch.setattr(langid, "BLOCK_LANGS", size)
+        assert found() == whole
+    assert len(whole) == len(rows) and {r[2] for r in whole} == {f"l{k}" for k in range(7)} | {"und"}
+
+
 def brute_kn(grams, trained, order):
     """Log probabilities by the textbook recursion."""
     counts = {order: dict(trained)}
