@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import small_batches
 
-CACHE_FRAGMENTS = 400_000
+CACHE_FRAGMENTS = 200_000
 CACHE_CHARS = 40
 _PLAIN = re.compile(r"[\x00-\x7e\xa1-ɏ]*\Z")
 
@@ -153,6 +153,7 @@ def encode_decode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
                 ids = tool.encode_batch([t or "" for t in batch.column(1)[at : at + 64].to_pylist()])
                 arrays = [batch.column(0)[at : at + 64], pa.array(ids, pa.binary()), pa.array([tool.decode(x) for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "decoded"])
+        tool.cache.clear()  # a worker that goes on to other work keeps nothing of this
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids binary, decoded string")

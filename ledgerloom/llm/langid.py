@@ -28,7 +28,7 @@ SHIFT = 3.0  # nats a byte that keep products of probabilities within range
 BLOCK_LANGS = 256  # languages that are learnt and scored together: a bound of what is broadcast (pieces x languages); further ones come in further blocks
 STEP = 32  # bytes of a run of letters after which its sums are rescaled
 LONG_RUN = 1 << 14  # bytes of a run of letters that are looked at together; a longer one goes on from the sums so far
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -327,6 +327,7 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, path: str, doc_id
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), batch.column(3), pa.array(predicted, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64()), pa.array(fits, pa.float64())], names=["doc_id", "text_hash", "lang", "lang_pred", "score", "n_bytes", "fit"]
             )
+        _worker.clear()  # a worker that goes on to other work keeps nothing of this
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(lang).alias("lang"))
     return rows.mapInArrow(run, "doc_id long, text_hash long, lang string, lang_pred string, score double, n_bytes long, fit double")

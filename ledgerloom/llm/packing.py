@@ -48,6 +48,7 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, doc_id:
             columns = list(zip(*out)) or [()] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        tool.cache.clear()  # a worker that goes on to other work keeps nothing of this
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, PIECE_SCHEMA)
