@@ -45,6 +45,15 @@ def sessions_a(lines: DataFrame) -> DataFrame:
     return out.withColumns({"project": project["project"], "project_source": project["source"], "identity": F.coalesce(F.concat(F.lit("native:"), T.null_if_empty(F.col("native_id"))), F.concat(F.lit("sha256:"), F.col("_first")))}).drop("_first")
 
 
+def sessions_b(lines: DataFrame) -> DataFrame:
+    """Provider B's sessions: the first directory and branch that their lines name, and what the path tells."""
+    at = lambda p: F.get_json_object("raw", p)
+    first = lines.groupBy("path").agg(*[F.min_by(at(f"$.{c}"), F.when(at(f"$.{c}").isNotNull(), F.col("line_no"))).alias(n) for c, n in (("cwd", "cwd"), ("gitBranch", "branch"))])
+    facts, none = T.thread_facts(F.col("path")), F.lit(None).cast("string")
+    project = T.project_of(none, F.col("cwd"))
+    return first.select("path", facts["native_id"].alias("native_id"), facts["parent_id"].alias("parent_native"), none.alias("forked_from"), "cwd", "branch", none.alias("repository"), project["project"].alias("project"), project["source"].alias("project_source"), facts["thread_kind"].alias("thread_kind"))
+
+
 def _finished(rows: DataFrame) -> DataFrame:
     """Cleaned text with its classification, kind, and whether it can be searched."""
     clean = rows.withColumn("text", T.clean(F.col("text"))).filter("text <> ''")

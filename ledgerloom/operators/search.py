@@ -42,7 +42,7 @@ def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def positions(docs: DataFrame, doc_id: str, text: str, buckets: int = 64) -> DataFrame:
-    """term, doc_id, positions, length, bucket: the inverted index with the places of each term, its document's number of tokens, and the bucket of the term by which a stored index is parted (FTS-1)."""
+    """term, doc_id, positions, length, bucket: the inverted index with the places of each term, its document's number of tokens, and a bucket of the term (FTS-1); fulltext keeps such an index as a table."""
     words = with_tokens(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text")
     each = words.select("doc_id", F.size("_words").cast("long").alias("length"), F.posexplode("_words").alias("at", "term"))
     found = each.groupBy("term", "doc_id", "length").agg(F.array_sort(F.collect_list("at")).alias("positions"))  # of one document's term
@@ -53,12 +53,6 @@ def bucket_of(term: Column, buckets: int = 64) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def write_index(index: DataFrame, docs: DataFrame, doc_id: str, text: str, path: str) -> None:
-    """The index in folders by bucket, and one row of how many documents and tokens it stands for; a search reads the buckets of its terms only."""
-    index.repartition("bucket").sortWithinPartitions("term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/positions")
-    corpus_size(docs, text).write.mode("overwrite").parquet(f"{path}/size")
-
-
 def corpus_size(docs: DataFrame, text: str) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tokens(F.col(text)))).alias("mean_length"))
 

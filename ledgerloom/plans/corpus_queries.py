@@ -766,3 +766,11 @@ def _issues(spark, d):
     SELECT prompt_id, round(-(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 9) AS rank FROM c, s WHERE tf > 0""")
 def _search_hits(spark, d):
     return Z.search_hits(B.prompts(spark, d), B.occurrences(spark, d), "the").select("prompt_id", F.round("rank", 9).alias("rank"))
+
+
+@query("indexed_search_page", ORACLES["search_hits"] + " ORDER BY rank, ts DESC NULLS LAST, prompt_id LIMIT 51")
+def _indexed_search_page(spark, d):
+    """The same hits from a kept index of the prompts, a page of them by rank and time (SRT-5, FTS-6)."""
+    prompts, occurrences, root = B.prompts(spark, d), B.occurrences(spark, d), new_folder(spark, "index")
+    at = K.update(spark, root, 0, R.available_prompts(prompts.filter(R.prompt_filter()), occurrences), "prompt_id", "text")
+    return Z.search(prompts, occurrences, "the", index=K.open_index(spark, root, at)).select("prompt_id", F.round("rank", 9).alias("rank"))

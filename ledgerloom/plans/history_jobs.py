@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text as T
 from ledgerloom.operators import history as Y
 from ledgerloom.operators import maintenance as M
+from ledgerloom.operators.adapters import adapter
 from ledgerloom.plans.jobs import _table
 from ledgerloom.sources import jsonl as J
 from ledgerloom.sources import tail as L
+from ledgerloom.sources.bundles import members_at
 from ledgerloom.sources.scratch import kept
 from ledgerloom.sources import sinks as S
 
@@ -27,20 +29,11 @@ MEMBERS = "archive string, name string, size long, sha256 string"
 
 
 def _sessions(lines: DataFrame, provider: str) -> DataFrame:
-    extent = J.line_statistics(lines)
-    if provider == "codex":
-        found = Y.sessions_a(lines).drop("identity")
-    else:
-        at = lambda p: F.get_json_object("raw", p)
-        first = lines.groupBy("path").agg(*[F.min_by(at(f"$.{c}"), F.when(at(f"$.{c}").isNotNull(), F.col("line_no"))).alias(n) for c, n in (("cwd", "cwd"), ("gitBranch", "branch"))])
-        facts, none = T.thread_facts(F.col("path")), F.lit(None).cast("string")
-        project = T.project_of(none, F.col("cwd"))
-        found = first.select("path", facts["native_id"].alias("native_id"), facts["parent_id"].alias("parent_native"), none.alias("forked_from"), "cwd", "branch", none.alias("repository"), project["project"].alias("project"), project["source"].alias("project_source"), facts["thread_kind"].alias("thread_kind"))
-    return extent.join(found, "path", "left").withColumn("provider", F.lit(provider))
+    return J.line_statistics(lines).join(adapter(provider).sessions(lines), "path", "left").withColumn("provider", F.lit(provider))
 
 
 def _prompts(lines: DataFrame, provider: str, assistant: bool) -> DataFrame:
-    made = (Y.prompts_a if provider == "codex" else Y.prompts_b)(lines, assistant).withColumn("provider", F.lit(provider))
+    made = adapter(provider).prompts(lines, assistant).withColumn("provider", F.lit(provider))
     return made.withColumn("prompt_id", M.stable_id("path", "line_no"))
 
 
@@ -118,8 +111,8 @@ def index_bundles(spark: SparkSession, root: str, store: str, generation: int) -
     met = listed.join(known.toDF("archive", "old_size", "old_mtime", "old_fingerprint"), "archive", "full_outer")
     first = F.when(F.col("size").isNull(), "missing").when(F.col("old_size").isNull(), "new").when((F.col("size") == F.col("old_size")) & (F.col("mtime") == F.col("old_mtime")), "unchanged").otherwise("changed")
     met = keep(met.withColumn("kind", first), "met-bundles")
-    paths = [r["archive"] for r in met.filter("kind in ('new', 'changed')").select("archive").collect()]
-    found = keep((S.read_bundles(spark, paths) if paths else spark.createDataFrame([], S.BUNDLE_SCHEMA)).drop("content"), "read-members")
+    differ = met.filter("kind in ('new', 'changed')").select(F.col("archive").alias("path"))
+    found = keep(members_at(differ, content=False).drop("content", "place"), "read-members")
     prints = found.groupBy("archive").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("name", "sha256")))), 256).alias("fingerprint"))  # of one bundle's members
     met = met.join(prints, "archive", "left")
     kind = F.when((F.col("kind") == "changed") & (F.col("fingerprint") == F.col("old_fingerprint")), "unchanged").otherwise(F.col("kind"))

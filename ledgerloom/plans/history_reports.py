@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.money import div
 from ledgerloom.operators import attribution as A
 from ledgerloom.operators import corpus as R
+from ledgerloom.operators import fulltext as K
 from ledgerloom.operators import pagination as N
 from ledgerloom.operators import pricing as P
 from ledgerloom.operators import sampling as M
@@ -33,13 +34,8 @@ def listing(prompts: DataFrame, occurrences: DataFrame, condition: Column | None
     return N.page(found, PROMPT_KEYS, size, last)
 
 
-def search_hits(prompts: DataFrame, occurrences: DataFrame, query: str, raw: bool = False, condition: Column | None = None) -> DataFrame:
-    """Every hit: prompts that may be searched and match, each with its rank and a snippet (FTS-6, RPT-12).
-
-    The words of a plain query stand together; a raw one may use the grammar of `search.parse`, and its rank counts
-    each of its plain words and phrases.
-    """
-    base = R.available_prompts(prompts.filter(R.prompt_filter() if condition is None else condition), occurrences)
+def _parsed(query: str, raw: bool) -> tuple[tuple, list[str]]:
+    """The query's tree, and the words and phrases that its rank counts."""
     tree = H.parse(query) if raw else ("phrase", query)
 
     def terms(q: tuple) -> list[str]:
@@ -48,17 +44,32 @@ def search_hits(prompts: DataFrame, occurrences: DataFrame, query: str, raw: boo
             return [args[0]]
         return [t for x in (args[:1] if kind == "not" else args) if isinstance(x, tuple) for t in terms(x)]
 
-    words = [w for w in terms(tree) if H.fold_text(w)]
+    return tree, [w for w in terms(tree) if H.fold_text(w)]
+
+
+def search_hits(prompts: DataFrame, occurrences: DataFrame, query: str, raw: bool = False, condition: Column | None = None, index: K.Index | None = None) -> DataFrame:
+    """Every hit: prompts that may be searched and match, each with its rank and a snippet (FTS-6, RPT-12).
+
+    The words of a plain query stand together; a raw one may use the grammar of `search.parse`, and its rank counts
+    each of its plain words and phrases. With an index (operators.fulltext, of prompts by prompt_id) only the terms'
+    rows of the index are read, and the texts of the hits; ranks are then those of all that is indexed.
+    """
+    base = R.available_prompts(prompts.filter(R.prompt_filter() if condition is None else condition), occurrences)
+    tree, words = _parsed(query, raw)
     if not words:
         return base.withColumns({"rank": F.lit(0.0), "snippet": F.lit("")}).limit(0)
-    scored = H.bm25(base, "prompt_id", "text", words) if not raw else H.bm25_any(base, "prompt_id", "text", words)
-    hits = H.with_tokens(base, "text").filter(H.boolean(F.col("_words"), tree))
-    return hits.join(scored.withColumnRenamed("doc_id", "prompt_id"), "prompt_id").withColumn("snippet", H.snippet(F.col("_words"), *map(H.fold_text, words))).drop("_words")
+    if index is not None:
+        found = K.hits(index, tree, words)
+        hits = H.with_tokens(base.join(found, F.col("prompt_id").cast("string") == F.col("doc_id")).drop("doc_id"), "text")
+    else:
+        scored = H.bm25(base, "prompt_id", "text", words) if not raw else H.bm25_any(base, "prompt_id", "text", words)
+        hits = H.with_tokens(base, "text").filter(H.boolean(F.col("_words"), tree)).join(scored.withColumnRenamed("doc_id", "prompt_id"), "prompt_id")
+    return hits.withColumn("snippet", H.snippet(F.col("_words"), *map(H.fold_text, words))).drop("_words")
 
 
-def search(prompts: DataFrame, occurrences: DataFrame, query: str, raw: bool = False, condition: Column | None = None, size: int = 50, last: list | None = None) -> DataFrame:
+def search(prompts: DataFrame, occurrences: DataFrame, query: str, raw: bool = False, condition: Column | None = None, size: int = 50, last: list | None = None, index: K.Index | None = None) -> DataFrame:
     """A page of hits by rank, then time (SRT-5)."""
-    return N.page(search_hits(prompts, occurrences, query, raw, condition), SEARCH_KEYS, size, last)
+    return N.page(search_hits(prompts, occurrences, query, raw, condition, index), SEARCH_KEYS, size, last)
 
 
 def sample(units: DataFrame, unit_id: str, strategy: str, count: int, seed: str, group: str | None = None, session: str | None = None, least: int = 1) -> DataFrame:

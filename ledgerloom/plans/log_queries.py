@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
+from ledgerloom.operators import adapters
 from ledgerloom.operators import attribution as A
 from ledgerloom.operators import extraction as X
 from ledgerloom.operators import graph as G
@@ -546,6 +547,13 @@ def _daily_stream(spark, d):
     return days.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.sum("m.input").alias("input"), F.sum("m.output").alias("output"))
 
 
+@query("adapter_events", f"WITH {_BOTH}, {_MADE_B} SELECT provider, date, count(*) AS events, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output FROM (SELECT * FROM ua UNION ALL SELECT * FROM ub) WHERE input + output > 0 GROUP BY provider, date")
+def _adapter_events(spark, d):
+    """Both providers' lines through their adapters, in one relation (UDF-1)."""
+    events = adapters.events({"codex": log_a(spark, d), "claude": log_b(spark, d)})
+    return X.to_cube_rows(events).groupBy("provider", "date").agg(F.count(F.lit(1)).alias("events"), F.sum("input").alias("input"), F.sum("output").alias("output"))
+
+
 # --- an archive: files of documents' hashes, forty of them, archived when half of the lines are there and again when all are
 
 

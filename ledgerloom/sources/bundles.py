@@ -119,25 +119,31 @@ def bundle_list(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.regexp_extract("path", r"([^/]+/[^/]+\.tar\.zst)$", 1).alias("archive"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 
-def bundle_members(archives: DataFrame, root: str, content: bool = True) -> DataFrame:
-    """Members (MEMBERS) of the bundles named in archives (archive), hashed as they are read; a bundle that can't be read ends with what could be."""
+def members_at(files: DataFrame, content: bool = True) -> DataFrame:
+    """Members (MEMBERS; archive is the bundle's path) of bundles (path), hashed as they are read, one held at a time; a bundle that can't be read ends with what could be."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        fs, folder = file_system(root)
         for batch in batches:
-            for archive in batch.column(0).to_pylist():
+            for path in batch.column(0).to_pylist():
                 try:
-                    with fs.open_input_stream(f"{folder}/{archive}", compression=None) as raw, tarfile.open(fileobj=zstandard.ZstdDecompressor().stream_reader(raw), mode="r|") as tar:
+                    fs, at = file_system(path)
+                    with fs.open_input_stream(at, compression=None) as raw, tarfile.open(fileobj=zstandard.ZstdDecompressor().stream_reader(raw), mode="r|") as tar:
                         for place, member in enumerate(m for m in tar if m.isfile()):
                             data = tar.extractfile(member).read()
-                            row = ([archive], [member.name], [place], [len(data)], [data if content else None], [hashlib.sha256(data).hexdigest()])
+                            row = ([path], [member.name], [place], [len(data)], [data if content else None], [hashlib.sha256(data).hexdigest()])
                             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()))], names=["archive", "name", "place", "size", "content", "sha256"])
                 except (OSError, EOFError, tarfile.TarError, zstandard.ZstdError):
                     continue
 
-    return spread(archives.select(F.col("archive").alias("path")).distinct()).mapInArrow(run, MEMBERS)
+    return spread(files.select("path").distinct()).mapInArrow(run, MEMBERS)
+
+
+def bundle_members(archives: DataFrame, root: str, content: bool = True) -> DataFrame:
+    """Members of the bundles named in archives (archive, below the root)."""
+    found = members_at(archives.select(F.concat(F.lit(f"{root}/"), "archive").alias("path")), content)
+    return found.withColumn("archive", F.expr(f"substring(archive, {len(root) + 2})"))
 
 
 def contents_at(files: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
 from collections.abc import Iterator
 
@@ -35,37 +34,6 @@ def contents(spark: SparkSession, root: str) -> DataFrame:
     return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
 
 
-def contents_of(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, content of these files; one that can't be read is left out and fails nothing else."""
-    if not paths:
-        return spark.createDataFrame([], "path string, content binary")
-    found = spark.read.format("binaryFile").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(paths)
-    return found.select("path", "content")
-
-
-def file_facts(files: DataFrame) -> DataFrame:
-    """Facts of files (path, content, offsets): byte_offset and lines of the complete records, hashes of the whole, of the complete part, of the first record, and of the bytes before each of `offsets` (ING-15, ING-23). A few large files a batch."""
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    schema = "path string, byte_offset long, lines long, content_sha string, complete_sha string, head_hash string, prefixes array<string>"
-
-    def sha(content: bytes) -> str:
-        return hashlib.sha256(content).hexdigest()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                content = row["content"]
-                end = content.rfind(b"\n") + 1
-                whole, head = memoryview(content), content[: content.find(b"\n") + 1]
-                out.append((row["path"], end, content.count(b"\n"), sha(whole), sha(whole[:end]), sha(head), [sha(whole[:n]) if n <= len(content) else None for n in row["offsets"] or []]))
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()))
-            columns = list(zip(*out)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["path", "byte_offset", "lines", "content_sha", "complete_sha", "head_hash", "prefixes"])
-
-    return files.select("path", "content", "offsets").mapInArrow(run, schema)
-
-
 def positioned_lines(files: DataFrame, complete_only: bool = True, bounds: str | None = None, start: str | None = None, lines: str | None = None) -> DataFrame:
     """Every record of files (path, content) with its line number and byte range.
 

@@ -9,14 +9,13 @@ import os
 import secrets
 import tarfile
 import tempfile
-from collections.abc import Iterator
 from datetime import datetime, timezone
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import csv_guard
+from ledgerloom.sources.bundles import members_at
 
 #: The columns of the export, in order.
 EXPORT_COLUMNS = ("date", "month", "month_name", "year", "provider", "model", "input", "cache_read", "cache_write_5m", "cache_write_1h", "cache_write_unclassified", "output", "reasoning", "total", "cost", "provenance")
@@ -93,9 +92,6 @@ def markdown(records: list[dict], title: str, nonce: str | None = None) -> str:
     return "\n".join(lines)
 
 
-BUNDLE_SCHEMA = "archive string, name string, size long, content binary, sha256 string"
-
-
 def write_bundle(path: str, members: dict[str, bytes]) -> dict[str, str]:
     """A zstd tar of one archive's members; their hashes (SRC-20)."""
     import zstandard
@@ -116,25 +112,9 @@ def list_bundles(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.col("path").alias("archive"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 
-def read_bundles(spark: SparkSession, root: str | list[str]) -> DataFrame:
-    """Members of all .tar.zst bundles below a root, or of those listed, hashed as they are read, a bundle a task (SRC-8, SRC-9)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tar.zst").load(root).select("path", "content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                stream = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content))
-                with tarfile.open(fileobj=stream, mode="r|") as tar:
-                    for member in tar:
-                        if member.isfile():
-                            data = tar.extractfile(member).read()
-                            row = ([path], [member.name], [len(data)], [data], [hashlib.sha256(data).hexdigest()])
-                            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()))], names=["archive", "name", "size", "content", "sha256"])
-
-    return files.mapInArrow(run, BUNDLE_SCHEMA)
+def read_bundles(spark: SparkSession, root: str) -> DataFrame:
+    """Members of all .tar.zst bundles below a root, hashed as they are read, a bundle a task (SRC-8, SRC-9)."""
+    return members_at(list_bundles(spark, root).select(F.col("archive").alias("path"))).drop("place")
 
 
 def archive(rows: DataFrame, path: str) -> None:

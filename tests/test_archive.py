@@ -107,3 +107,33 @@ def test_a_bundle_is_a_plain_tar(spark, root):
     run(spark, root, 0)
     with open(f"{root}/vault/claude/2024-01.tar.zst", "rb") as f, tarfile.open(fileobj=zstandard.ZstdDecompressor().stream_reader(f), mode="r|") as tar:
         assert sorted((m.name, m.size, int(m.mtime)) for m in tar) == [("four.jsonl", 1, OLD), ("three.jsonl", 12, OLD)]
+
+
+def test_backups(spark, tmp_path):
+    from ledgerloom.plans import backup as K
+
+    root, tables = str(tmp_path), {"a": spark.range(5), "b": spark.createDataFrame([("x",)], "t string")}
+    assert K.statistics(root) == {"count": 0, "bytes": 0, "newest": None}
+    with pytest.raises(LookupError):
+        K.restored(spark, root, "a")
+    assert K.backup(tables, root, "2024-01", 2) == [] and K.backup(tables, root, "2024-02", 2) == []
+    spark.range(3).write.parquet(f"{root}/2024-03/a")  # broken off: it has no mark
+    assert K.stamps(root) == ["2024-01", "2024-02"] and K.restored(spark, root, "a").count() == 5
+    assert K.backup({**tables, "a": spark.range(9)}, root, "2024-04", 2) == ["2024-01"]
+    found = K.statistics(root)
+    assert (found["count"], found["newest"]) == (2, "2024-04") and found["bytes"] > 0
+    assert K.restored(spark, root, "a").count() == 9 and K.restored(spark, root, "a", "2024-02").count() == 5
+    with pytest.raises(ValueError):
+        K.backup(tables, root, "x", 0)
+
+
+def test_raw_copies(spark, tmp_path):
+    import hashlib
+
+    contents = {"x/one": b"\x00\xff bytes", "two": b"", "three": b"n" * 3_000_000}
+    for name, content in contents.items():
+        put(f"{tmp_path}/in/{name}", content)
+    files = spark.createDataFrame([(f"{tmp_path}/in/{n}", f"c/{n}") for n in contents] + [(f"{tmp_path}/in/none", "c/none")], "path string, name string")
+    got = {r["name"]: (r["size"], r["sha256"]) for r in S.copy_raw(files, f"{tmp_path}/out").collect()}
+    assert got == {f"c/{n}": (len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items()}
+    assert all(open(f"{tmp_path}/out/raw/c/{n}", "rb").read() == c for n, c in contents.items())
