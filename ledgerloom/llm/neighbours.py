@@ -117,7 +117,7 @@ def nearest_by_codes(vectors: DataFrame, is_query: Column, k: int = 20, error: f
     product whose estimate isn't finite is computed in full, so large components lose nothing.
 
     Vectors that are null, zero or hold a null or non-finite component, have no id or another length than most, take no
-    part. A row repeated under one id counts each time as a candidate and once as a query. An empty table gives an
+    part. A row repeated under one id counts each time as a candidate and once as a query (of different vectors the smallest asks). An empty table gives an
     empty result; fewer candidates than k give as many rows as there are. Other columns are ignored.
     """
     short = isinstance(getattr(vectors.schema[embedding].dataType, "elementType", None), FloatType)
@@ -147,7 +147,7 @@ def nearest_by_codes(vectors: DataFrame, is_query: Column, k: int = 20, error: f
     opening = {c: int(number[cell_of == c].min()) for c in set(cell_of.tolist())}
 
     # queries of one cell stay together, so that a chunk of them reaches few blocks; a cell of many queries is split
-    picked = materialise(index.filter(is_query).dropDuplicates(["vec_id"]).select("vec_id", "v", "length", "cell"), "queries")
+    picked = materialise(index.filter(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "length", "cell")).alias("q")).select("vec_id", "q.*"), "queries")
     asked = {r["cell"]: r["n"] for r in picked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most MOST_CELLS rows
     if not asked:
         return rows.filter("false").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))

@@ -98,7 +98,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int =
     as long as sums stay below 2^53; a sum beyond 63 bits counts as the largest or smallest number of them.
 
     Rows with a null id or a null, NaN or infinite component, and of another length than most, take no part. A row
-    repeated under one id counts each time as a candidate and once as a query. An empty table, or one without queries,
+    repeated under one id counts each time as a candidate and once as a query (of different vectors the smallest asks). An empty table, or one without queries,
     gives an empty result; fewer candidates than k give as many rows as there are. Other columns are ignored.
     """
     usable = _usable(vectors, vec_id, embedding)
@@ -111,7 +111,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int =
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
     block = max(BLOCK_ROWS, -(-n // MOST_BLOCKS))
     rows = rows.withColumn("block", F.floor(F.col("place") / block).cast("int"))
-    picked = materialise(rows.filter(is_query).dropDuplicates(["vec_id"]).select("vec_id", "v", "shorter"), "queries")
+    picked = materialise(rows.filter(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "shorter")).alias("q")).select("vec_id", "q.*"), "queries")
     queries, chunks = _chunks(picked, picked.count())
     some = _sample(rows, n)
     # the right singular vectors, from the d x d matrix of products; the left ones would have a row and column for each vector
