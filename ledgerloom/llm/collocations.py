@@ -26,7 +26,7 @@ from ledgerloom.llm.fingerprints import as_longs, bit_map, in_map, mixed, polyno
 #: A block is closed at so many bytes; a piece that is longer goes on in another block.
 BLOCK_BYTES = 1 << 20
 #: A task holds sums of so many fingerprints before it hands them on.
-TALLY = 1_000_000
+TALLY = 500_000
 #: Pointers are broadcast up to so many (24 MB); beyond, they and the blocks meet in a shuffle.
 BROADCAST_POINTERS = 1_000_000
 #: A pointer is a block's number and a byte in it.
