@@ -201,8 +201,8 @@ def _sessions_a(spark, d):
 
 
 @query("transcripts_a", f"""WITH {SAID_SQL} SELECT 'c' || conv_id AS path, CAST(0 AS BIGINT) AS line_no, 'metadata' AS kind, NULL AS role, NULL AS said FROM (SELECT DISTINCT conv_id FROM c) UNION ALL
-    SELECT 'c' || conv_id, turn * 10 + 1, 'message', role, length(CASE WHEN role = 'user' AND f = 5 THEN '  ' || text || chr(13) || chr(10) WHEN role = 'user' AND f < 5 THEN said ELSE text END) FROM s UNION ALL
-    SELECT 'c' || conv_id, turn * 10 + CASE WHEN turn % 4 = 0 THEN 3 ELSE 6 END, 'message', 'user', length(CASE WHEN f = 5 THEN '  ' || text || chr(13) || chr(10) WHEN f < 5 THEN said ELSE text END) FROM s WHERE role = 'user'""")
+    SELECT 'c' || conv_id, turn * 10 + 1, 'message', role, length(CASE WHEN role = 'user' AND f = 5 THEN '  ' || text || chr(13) || chr(10) WHEN role = 'user' AND (f < 5 OR f = 6) THEN said ELSE text END) FROM s UNION ALL
+    SELECT 'c' || conv_id, turn * 10 + CASE WHEN turn % 4 = 0 THEN 3 ELSE 6 END, 'message', 'user', length(CASE WHEN f = 5 THEN '  ' || text || chr(13) || chr(10) WHEN f < 5 OR f = 6 THEN said ELSE text END) FROM s WHERE role = 'user'""")
 def _transcripts_a(spark, d):
     r = Y.transcript_a(rollouts_a(spark, d))
     return r.select("path", "line_no", "kind", "role", F.when(F.col("kind") != "metadata", F.length("text")).cast("long").alias("said"))
