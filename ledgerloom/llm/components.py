@@ -29,7 +29,9 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
             break
         last = tuple(state)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # the larger neighbours of a node: each link once, from its smaller end
+        upward = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        large = _star(upward, both).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = materialise(large, "cc-large")
         starred = _star(large, large)
         small = starred.select(F.col("v").alias("u"), F.col("m").alias("v")).union(starred.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
