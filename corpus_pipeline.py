@@ -48,7 +48,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id (then text hash); of repeated rows, one."""
+    """One document of each group of near copies: the one with the smallest id (then text hash); of repeated rows, one.
+
+    Texts without words (null, empty, blank) are copies of one another. A row without an id stays only where no row of
+    its group has one. Long texts count whole. An empty table gives an empty result.
+    """
     marked = materialise(signatures(docs, SHINGLE_WORDS), "pipeline-signatures")
     groups = materialise(near_copy_places(marked, NEAR).select("doc_id", "text_hash", "place"), "pipeline-groups")
     # sums and minima of plain numbers, kept as a table, so that a large group is gathered within tasks and its join can be split
@@ -63,7 +67,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all documents' pieces in sequences of 1024 tokens; a null or empty text is its end id alone, repeated rows have their own pieces."""
+    """The places of all documents' pieces in sequences of 1024 tokens; a null or empty text is its end id alone, repeated rows have their own pieces, a long text has as many as it needs. An empty table gives an empty result."""
     return pack_documents(docs, capacity=1024, end_id=2)
 
 
