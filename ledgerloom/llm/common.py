@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.scratch import scratch_root
+
 TEXT_BATCH_ROWS = 256
 
 
@@ -15,17 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; where it is unset, a temporary one on a local master, else an error: executors would write where the driver can't read."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared scratch folder and read it back: lineage ends there and a lost executor costs nothing."""
     path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"

@@ -72,7 +72,7 @@ def sketch(hashes: np.ndarray) -> list[int]:
 
 
 def signatures(docs: DataFrame, words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """row, doc_id, text_hash, class (of the set of shingles), sketch, shingles (sorted 32-bit hashes, packed) of every row. A text without words has an empty sketch and no shingles."""
+    """row, doc_id, text_hash, class (of the set of shingles), sketch, shingles (sorted 32-bit hashes, packed) of every row. A text without words has an empty sketch and no shingles; repeated rows and rows without an id have a row each."""
     import xxhash
 
     small_batches(docs.sparkSession)
@@ -122,7 +122,8 @@ def _alike(least: float):
 def near_copy_places(marked: DataFrame, least: float = 0.8) -> DataFrame:
     """marked (a table of signatures) with place: rows have the same one if links of similarity `least` or more lead from one's class to the other's.
 
-    Texts without words are one class. An empty table gives an empty result.
+    Texts without words are one class. Rows are told apart by their number, so repeated ones and those without an id have
+    a place like any other. An empty table gives an empty result.
     """
     classes = materialise(marked.groupBy("class").agg(F.min("row").alias("row")), "copies-classes")
     of_class = marked.join(classes.select("row"), "row", "left_semi").filter(F.size("sketch") > 0)
