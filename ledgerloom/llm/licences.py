@@ -20,7 +20,7 @@ from ledgerloom.llm.common import ascii_lower, materialise
 
 THRESHOLD = 0.8
 #: The phrases of the contract and their labels.
-PHRASES = [("the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
+PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 #: Grants as licences print them, with the words that a block must hold because they tell the licence from others.
 TEMPLATES = [
     ("mit", "released under the mit license", "mit"),

@@ -505,6 +505,19 @@ def test_licences(spark):
     assert licences.scan_licences(docs_of(spark, [])).count() == 0
 
 
+def test_licences_of_the_contract(spark):
+    """The contract's phrases with their first words, and what stands next to them."""
+    texts = [
+        (1, "the MIT license"), (2, "Released UNDER the MIT license, under\x00the mit license"), (3, "\u00e9under the mit license"), (4, "under the mit licenses"), (5, "under under the mit license the mit license"),
+        (6, "use Apache-License, VERSION 2.0; CC-BY-NC"), (7, "apache license version 20"), (8, "under\u00a0the mit license"), (9, "\u212a under the m\u0130t license cc by nc"), (10, None),
+    ]
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licences.scan_licences(docs_of(spark, texts)).collect()}
+    none = (0, None, None, "")
+    assert got == {
+        1: (3, *none), 2: (9, 2, 1, 5, "mit"), 3: (4, *none), 4: (4, *none), 5: (8, 1, 1, 1, "mit"), 6: (9, 2, 1, 6, "apache-2,cc-by-nc"), 7: (4, *none), 8: (3, *none), 9: (8, 1, 5, 5, "cc-by-nc"), 10: (0, *none),
+    }
+
+
 def test_urls(spark):
     pages = [
         (1, None), (2, ""), (3, "no scheme example.org/es/"), (4, "https://EXAMPLE.org/es/x?y#z"), (5, "http://a.example.org/en/1"), (6, "http://a.example.org/en/123"), (7, "http://example.org"), (8, "http://shop.com/fr/2"), (9, "http://shop.com/de/2"),
