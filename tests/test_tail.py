@@ -218,3 +218,19 @@ def test_batches_of_lines_are_bounded(tmp_path):
     reader = L.LogReader({"path": f"file:{tmp_path}"})
     sizes = [b.num_rows for part in reader.partitions() for b in reader.read(part)]
     assert sizes == [L._BATCH_LINES, L._BATCH_LINES, 1] and all(isinstance(b, pa.RecordBatch) for part in reader.partitions() for b in reader.read(part))
+
+
+@pytest.mark.parametrize("size", [3, 50, 1 << 20])
+def test_many_files_make_few_tasks(tmp_path, monkeypatch, size):
+    """However many files and ranges there are, their tasks are bounded, and each line comes once."""
+    monkeypatch.setattr(L, "MOST_TASKS", 10)
+    random.seed(size)
+    files = {f"f{k}": b"\n".join(b"y" * random.randrange(9) for _ in range(k % 7)) + b"\nrest" * (k % 2) for k in range(100)} | {"big": b"z\n" * 999}
+    for name, content in files.items():
+        put(f"{tmp_path}/logs/{name}.jsonl", content)
+    reader = L.LogReader({"path": f"{tmp_path}/logs", "rangebytes": str(size)})
+    options = {"path": f"{tmp_path}/logs", "state": f"{tmp_path}/state", "rangebytes": str(size)}
+    stream = L.LogStream(options)
+    for tasks, read in ((reader.partitions(), reader.read), (stream.partitions({"manifest": 0}, stream.latestOffset()), stream.read)):
+        rows = [(r["path"].rpartition("/")[2], r["start_offset"], r["end_offset"], r["raw"]) for task in tasks for batch in read(task) for r in batch.to_pylist()]
+        assert len(tasks) <= 10 and sorted(rows) == sorted((f"{name}.jsonl", *line) for name, content in files.items() for line in reference(content))
