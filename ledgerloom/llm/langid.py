@@ -260,12 +260,13 @@ def train(labelled: DataFrame, path: str, sizes: dict[str, int], lang: str = "la
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(used), pa.string()), pa.array(used), pa.array(found[used])], names=["lang", "piece", "n"])
 
         try:
-            found = words.mapInArrow(expect, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()  # at most pieces x languages
+            found = words.mapInArrow(expect, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()  # at most pieces x languages
         finally:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
         p = np.full((size, len(langs)), SMOOTHING)
-        for r in found:
-            p[r["piece"], langs.index(r["lang"])] += r["n"]
+        if found.num_rows:
+            of = np.array([langs.index(k) for k in found["lang"].to_pylist()])
+            p[found["piece"].to_numpy(), of] += found["n"].to_numpy()
         p /= p.sum(0)
         shared.unpersist()
     return langs, p
@@ -282,6 +283,7 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, path: str, doc_id
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(p * np.exp(SHIFT * pieces_of(path).length)[:, None] if langs else p)
+    pieces_of.cache_clear()  # the driver needs no more of the pieces
     model = uuid.uuid4().hex  # a worker's cache is of one model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

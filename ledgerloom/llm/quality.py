@@ -1,6 +1,6 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of characters.
 
-The model is trained on trusted text. Words are separated by one blank, and n-grams run across them, so repeated or
+The model is trained on all trusted text. Words are separated by one blank, and n-grams run across them, so repeated or
 shuffled words count as well as odd ones. Counts, context totals and continuation counts are tables dealt out by
 n-gram; joined order by order with the n-grams that the corpus holds they give every such n-gram its log probability.
 A document's perplexity comes from the sum over its n-grams: the most frequent n-grams (a fixed number) are looked up
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import materialise, small_batches
 
 ORDER = 5
-TRUSTED_DOCS = 50_000  # about; the bound of the labelled rows that the classifier is fitted on
+BROADCAST_TRUSTED = 1_000_000  # ids of trusted documents are broadcast up to so many; beyond, they and the texts meet in a shuffle
 HELD_OUT = 5  # one in so many trusted documents sets the thresholds
 QUANTILE = 0.99
 SHORT = 400  # characters at which a document's mean log probability varies by chance as much as from document to document
@@ -167,10 +167,15 @@ def perplexities(docs: DataFrame, grams: DataFrame, order: int = ORDER, head: in
     enough = np.cumsum([k for _, k in steps]) <= head
     least = steps[int(enough.sum()) - 1][0] if enough.any() else None
     chosen = grams.filter(step >= least) if least is not None else grams.filter("false")
-    top = chosen.select("gram", "logp").toPandas()  # at most `head` rows
-    known = _gram_hashes(top["gram"].tolist(), order)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_gram_hashes(batch.column(0).to_pylist(), order).view(np.int64)), batch.column(1)], names=["hash", "logp"])
+
+    top = chosen.select("gram", "logp").mapInArrow(hashed, "hash long, logp double").toArrow()  # at most `head` rows of 16 bytes
+    known, logs = top["hash"].to_numpy().view(np.uint64), top["logp"].to_numpy()
     by = np.argsort(known)
-    shared = spark.sparkContext.broadcast((known[by], top["logp"].to_numpy(np.float64)[by]))
+    shared = spark.sparkContext.broadcast((known[by], logs[by]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, logp = shared.value
@@ -204,12 +209,10 @@ def perplexities(docs: DataFrame, grams: DataFrame, order: int = ORDER, head: in
     return whole.select("key.doc_id", "key.text_hash", "lang", F.col("n").alias("n_grams"), F.when(F.col("n") > 0, F.exp(-summed / F.col("n"))).alias("perplexity"))
 
 
-def trusted_ids(labels: DataFrame, bound: int = TRUSTED_DOCS) -> DataFrame:
-    """doc_id, held_out of about `bound` documents, at most, that every label calls good and none toxic, chosen by a hash of the id."""
-    good = materialise(labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and coalesce(t, 0) = 0").select("doc_id"), "trusted")
-    rate = min(1.0, bound / max(1, good.count()))
-    chosen = good.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(rate * 1_000_000))
-    return materialise(chosen.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT == 0).alias("held_out")), "trusted-sample")
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_id, held_out of all documents that every label calls good and none toxic."""
+    good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and coalesce(t, 0) = 0")
+    return materialise(good.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT == 0).alias("held_out")), "trusted")
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, short: int = SHORT, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -225,14 +228,15 @@ def classify_quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, qua
     ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    trusted = F.broadcast(trusted_ids(labels))  # at most about TRUSTED_DOCS rows
+    trusted = trusted_ids(labels)
+    trusted = F.broadcast(trusted) if trusted.count() <= BROADCAST_TRUSTED else trusted
     trained = gram_counts(rows.join(trusted.filter("not held_out"), "doc_id", "left_semi"), order)
     grams = materialise(log_probabilities(materialise(gram_counts(rows, order), "grams"), trained, order), "gram-scores")
     scored = materialise(perplexities(rows, grams, order), "perplexities")
     calm = scored.filter("n_grams > 0").join(trusted.filter("held_out"), "doc_id", "left_semi").select("lang", "n_grams", F.log("perplexity").alias("l"))
     calm = materialise(calm, "held-out")
     spread = F.sqrt(1 + F.lit(float(short)) / F.col("n_grams"))
-    usual = materialise(calm.groupBy("lang").agg(F.percentile_approx("l", 0.5, 10_000).alias("usual")), "usual")  # a row for each language of the held-out sample
+    usual = materialise(calm.groupBy("lang").agg(F.percentile_approx("l", 0.5, 10_000).alias("usual")), "usual")  # a row for each language of the held-out documents
     far = calm.join(F.broadcast(usual), calm.lang.eqNullSafe(usual.lang)).select(usual.lang, "usual", ((F.col("l") - F.col("usual")) / spread).alias("far"))
     limits = materialise(far.groupBy("lang", "usual").agg((F.percentile_approx("far", quantile, 10_000) * (1 + SMALL_SAMPLE / F.count(F.lit(1)))).alias("far")), "thresholds")
     top = limits.agg(F.max_by("usual", F.col("usual") + F.col("far")), F.max_by("far", F.col("usual") + F.col("far"))).first()

@@ -578,3 +578,14 @@ def test_empty_tables(spark, f):
 def test_sha_of_ids(spark):
     row = bpe.encode_decode(docs_of(spark, [(1, "hello world")])).select(F.sha2("ids", 256).alias("h"), "ids").first()
     assert row.h == hashlib.sha256(bytes(row.ids)).hexdigest()
+
+
+def test_quality_learns_from_every_trusted_document(spark):
+    """All good documents of the labels take part, however many there are; one id in five is held out."""
+    n = 60_000
+    labels = spark.range(n + 10).select(F.col("id").alias("doc_id"), (F.col("id") < n).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    labels = labels.unionByName(spark.createDataFrame([(0, 1, 1), (1, 0, 0), (2, 1, None), (None, 1, 0)], "doc_id long, quality int, toxic int"))
+    got = quality.trusted_ids(labels)
+    held = {r.held_out: r.n for r in got.groupBy("held_out").agg(F.count("*").alias("n")).collect()}
+    assert held[True] + held[False] == n - 2 and got.select("doc_id").distinct().count() == n - 2
+    assert 0.15 < held[True] / n < 0.25 and got.filter("doc_id in (0, 1)").count() == 0
