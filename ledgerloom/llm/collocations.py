@@ -24,7 +24,7 @@ from ledgerloom.llm.common import materialise, partitions, small_batches
 from ledgerloom.llm.fingerprints import as_longs, bit_map, in_map, mixed, polynomial
 
 #: A block is closed at so many bytes; a piece that is longer goes on in another block.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: A task holds sums of so many fingerprints before it hands them on.
 TALLY = 500_000
 #: Pointers are broadcast up to so many (24 MB); beyond, they and the blocks meet in a shuffle.
@@ -295,6 +295,6 @@ def mine_collocations(docs: DataFrame, least: int = 30, top: int = 2000, lang: s
     ordered by the phrase's bytes. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     blocks = materialise(blocks_of(docs, lang, text, block_bytes), "blocks")
-    small_batches(docs.sparkSession, 8)  # whole blocks
+    small_batches(docs.sparkSession, 4)  # whole blocks
     phrases = materialise(frequent_phrases(blocks, least, bits), "phrases")
     return score_phrases(phrases, materialise(word_totals(blocks), "totals"), top)
