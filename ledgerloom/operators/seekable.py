@@ -17,14 +17,16 @@ from ledgerloom.operators.sampling import keyed, pivot
 
 #: Rows of a file, about.
 FILE_ROWS = 200_000
+#: Ranges that the rows are dealt to, at most: a range is written as files of `file_rows`, so that what the driver samples and collects doesn't grow with the files.
+MOST_RANGES = 200
 
 
 def write(rows: DataFrame, keys: list[tuple[str, bool]], path: str, file_rows: int = FILE_ROWS) -> None:
     """rows in the order of keys (column, descending; nulls last), and the index of the files. The keys name each row."""
     counted = rows.count()
     order = [F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in keys]
-    dealt = rows.repartitionByRange(max(1, -(-counted // file_rows)), *order).sortWithinPartitions(*order)
-    dealt.write.mode("overwrite").parquet(f"{path}/rows")
+    dealt = rows.repartitionByRange(min(MOST_RANGES, max(1, -(-counted // file_rows))), *order).sortWithinPartitions(*order)
+    dealt.write.option("maxRecordsPerFile", file_rows).mode("overwrite").parquet(f"{path}/rows")
     at = F.struct(*[c for c, _ in keys])
     held = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows").select(F.col("_metadata.file_path").alias("file"), at.alias("at"), F.col("_metadata.row_index").alias("_p"))
     # a file is sorted: its first and last rows are those of the keys' order
