@@ -70,7 +70,11 @@ def resumed_events_a(lines: DataFrame, checkpoints: DataFrame) -> DataFrame:
 
 def index_differences(postings: DataFrame, rebuilt: DataFrame) -> DataFrame:
     """Postings that only one of the index and its rebuilding has (FTS-7): empty if the index is sound."""
-    return postings.exceptAll(rebuilt).withColumn("side", F.lit("stale")).unionByName(rebuilt.exceptAll(postings).withColumn("side", F.lit("missing")))
+    columns = postings.columns
+    both = postings.withColumn("_side", F.lit(1)).unionByName(rebuilt.select(*columns).withColumn("_side", F.lit(-1)))
+    # one sum for each different row; what is there as often on either side is gone before anything is told apart
+    left = both.groupBy(*columns).agg(F.sum("_side").alias("_n")).filter("_n <> 0")
+    return left.select(*columns, F.when(F.col("_n") > 0, "stale").otherwise("missing").alias("side"), F.explode(F.array_repeat(F.lit(0), F.abs("_n").cast("int"))).alias("_k")).drop("_k")
 
 
 def archive_counters(members: DataFrame) -> DataFrame:
