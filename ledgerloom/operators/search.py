@@ -57,13 +57,21 @@ def corpus_size(docs: DataFrame, text: str) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tokens(F.col(text)))).alias("mean_length"))
 
 
+def rows_of_terms(index: DataFrame, terms: list[str], buckets: int = 64) -> DataFrame:
+    """The rows of an index that searches for these words and phrases read."""
+    words = sorted({w for t in terms for w in fold_text(t)})
+    if not words:
+        return index.limit(0)
+    hashes = index.sparkSession.range(1).select(*[bucket_of(F.lit(w), buckets).alias(f"b{k}") for k, w in enumerate(words)]).first()
+    return index.filter(F.col("bucket").isin(sorted(set(hashes))) & F.col("term").isin(words))
+
+
 def indexed_phrase(index: DataFrame, phrase: str, buckets: int = 64) -> DataFrame:
     """doc_id, length, tf of the documents that hold the phrase, from the index alone: the places of its k-th word less k meet where it begins (FTS-2)."""
     words = fold_text(phrase)
     if not words:
         return index.select("doc_id", "length", F.lit(0).cast("long").alias("tf")).limit(0)
-    hashes = index.sparkSession.range(1).select(*[bucket_of(F.lit(w), buckets).alias(f"b{k}") for k, w in enumerate(words)]).first()
-    own = index.filter(F.col("bucket").isin(sorted(set(hashes))) & F.col("term").isin(words))
+    own = rows_of_terms(index, [phrase], buckets)
     places = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in enumerate(words)])
     starts = own.select("doc_id", "length", "term", "positions", F.explode(places).alias("p")).filter("term = p.w").select("doc_id", "length", F.explode(F.transform("positions", lambda x: x - F.col("p.k"))).alias("start"))
     whole = starts.groupBy("doc_id", "length", "start").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(words))
