@@ -172,3 +172,22 @@ def test_merged_sessions(spark):
     assert rows(m.edges) == [(1, 4, "fork"), (4, 1, "subagent")]
     assert rows(m.supports) == [(1, 4, "fork", 1), (1, 4, "fork", 2)]
     assert rows(m.aliases) == sorted([(77, 1, "session"), (78, 21, "prompt"), (79, 4, "session"), (80, 21, "session"), (2, 1, "session"), (3, 1, "session"), (20, 10, "prompt"), (30, 21, "prompt")])
+
+
+def test_sorted_table_has_few_ranges_and_small_files(spark, monkeypatch):
+    """Ranges are bounded and files are not: each has as many rows as asked for, in the order of the keys."""
+    from ledgerloom.operators import seekable
+    from ledgerloom.sources.scratch import new_folder
+
+    monkeypatch.setattr(seekable, "MOST_RANGES", 3)
+    path, keys = new_folder(spark, "sorted"), [("v", True), ("id", False)]
+    rows = spark.range(1000).selectExpr("id", "if(id % 50 = 0, null, id % 7) AS v")
+    seekable.write(rows, keys, path, 20)
+    files = spark.read.parquet(f"{path}/files").collect()
+    assert sum(r["rows"] for r in files) == 1000 and max(r["rows"] for r in files) <= 20 and len({r["file"].rpartition("/")[2].split("-")[1] for r in files}) <= 3
+    want = sorted(((r["id"], r["v"]) for r in rows.collect()), key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    table, last, got = seekable.open_sorted(spark, path, keys), None, []
+    for _ in range(3):
+        page = [(r["id"], r["v"]) for r in table.page(100, last).collect()][:100]
+        got, last = got + page, [page[-1][1], page[-1][0]]
+    assert got == want[:300]
