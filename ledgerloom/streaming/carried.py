@@ -5,10 +5,13 @@ sums that were booked for it by day and model. Events before the first model are
 model comes, their negation and the events under that model follow. A file that begins anew (the next life) takes back
 all that it was booked for. So the signed sums of all output are the cube of the files as they are, however the lines
 were cut into batches.
+
+All of it is one value, read once and written once for a file in a batch: each call of the state store is a round trip.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -50,34 +53,30 @@ class UsageParser(StatefulProcessor):
     """Rows of one file in any order within a batch -> what its sums by day and model change by (DELTAS)."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.context = handle.getValueState("context", "life long, model string, " + ", ".join(f"{c} long" for c in _TOTALS) + ", seen boolean")
-        self.pending = handle.getListState("pending", "date string, " + ", ".join(f"{c} long" for c in _TOKENS))
-        self.booked = handle.getMapState("booked", "date string, model string", ", ".join(f"{c} long" for c in (*_TOKENS, "events")))
+        # pending: events (date, tokens); booked: sums (date, model, tokens, events); both as JSON
+        self.context = handle.getValueState("context", "life long, model string, " + ", ".join(f"{c} long" for c in _TOTALS) + ", seen boolean, pending string, booked string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["life", "start_offset"])  # of one file's new lines, those that matter
-        life, model, last = -1, None, None
-        if self.context.exists():
-            life, model, *totals, seen = self.context.get()
+        found = [r for frame in rows for r in zip(*(frame[c].tolist() for c in DECODED))]  # of one file's new lines, those that matter
+        life, model, last, waiting, booked = -1, None, None, [], {}
+        if (held := self.context.get()) is not None:
+            life, model, *totals, seen, pending, sums = held
             last = tuple(totals) if seen else None
-        waiting = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
-        waited = bool(waiting)
+            waiting = json.loads(pending)
+            booked = {(date, under): tokens for date, under, *tokens in json.loads(sums)}
         changes: dict[tuple[str, str], list[int]] = {}  # what is handed on
-        own: dict[tuple[str, str], list[int]] = {}  # what this life is booked for beyond the state
         resets = repeats = 0
 
         def book(date: str, under: str, tokens: tuple, sign: int) -> None:
-            for sums in (changes, own):
+            for sums in (changes, booked):
                 _add(sums, (date, under), [sign * n for n in (*tokens, 1)])
 
-        for r in frame.to_dict("records"):
+        for r in (dict(zip(DECODED, r)) for r in sorted(found, key=lambda r: r[1:3])):
             if r["life"] != life:
                 if life >= 0:  # the file began anew: all that it was booked for goes
-                    for k, sums in [*self.booked.iterator(), *own.items()]:
-                        _add(changes, tuple(k), [-n for n in sums])
-                    self.booked.clear()
-                    own.clear()
-                    waiting, model, last = [], None, None
+                    for k, sums in booked.items():
+                        _add(changes, k, [-n for n in sums])
+                    waiting, model, last, booked = [], None, None, {}
                 life = int(r["life"])
             if not r["is_count"]:
                 model = r["context_model"]
@@ -97,18 +96,8 @@ class UsageParser(StatefulProcessor):
                 if model is None:
                     waiting.append((r["date"], *tokens))
 
-        self.context.update((life, model, *(last or [0] * len(_TOTALS)), last is not None))
-        if waiting:
-            self.pending.put(waiting)
-        elif waited:
-            self.pending.clear()
-        for k, sums in own.items():
-            before = self.booked.getValue(k) if self.booked.containsKey(k) else [0] * len(sums)
-            after = tuple(int(x + y) for x, y in zip(sums, before))
-            if any(after):
-                self.booked.updateValue(k, after)
-            elif any(before):
-                self.booked.removeKey(k)
+        kept = [(*k, *sums) for k, sums in booked.items() if any(sums)]
+        self.context.update((life, model, *(last or [0] * len(_TOTALS)), last is not None, json.dumps(waiting), json.dumps(kept)))
         out = [(key[0], *k, *sums) for k, sums in changes.items() if any(sums)]
         if out or resets or repeats:
             out = out or [(key[0], None, None, *[0] * (len(_TOKENS) + 1))]

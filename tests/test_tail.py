@@ -234,3 +234,39 @@ def test_many_files_make_few_tasks(tmp_path, monkeypatch, size):
     for tasks, read in ((reader.partitions(), reader.read), (stream.partitions({"manifest": 0}, stream.latestOffset()), stream.read)):
         rows = [(r["path"].rpartition("/")[2], r["start_offset"], r["end_offset"], r["raw"]) for task in tasks for batch in read(task) for r in batch.to_pylist()]
         assert len(tasks) <= 10 and sorted(rows) == sorted((f"{name}.jsonl", *line) for name, content in files.items() for line in reference(content))
+
+
+def test_a_file_s_state_is_read_and_written_once():
+    """However many days and models a file is booked for, a batch makes two calls of the state store."""
+    import pandas as pd
+
+    calls, held = [], {}
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return held.get("v")
+
+        def update(self, v):
+            calls.append("update")
+            held["v"] = v
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+    def batch(start, model, life=0):
+        rows = [("p", life, start, model, False, None, *[0] * (len(C._TOKENS) + len(C._TOTALS)))] if model else []
+        rows += [("p", life, start + k, None, True, f"2024-01-{k:02d}", *[k] * (len(C._TOKENS) + len(C._TOTALS))) for k in range(1, 29)]
+        return pd.DataFrame(rows, columns=list(C.DECODED))
+
+    parser = C.UsageParser()
+    parser.init(Handle())
+    sums = {}
+    for frame in (batch(0, None), batch(100, "m1"), batch(0, "m2", life=1)):
+        calls.clear()
+        for out in parser.handleInputRows(("p",), iter([frame.sample(frac=1, random_state=1)]), None):
+            for r in out.itertuples():
+                sums[r.date, r.model] = sums.get((r.date, r.model), 0) + r.input
+        assert sorted(calls) == ["get", "update"]
+    assert {k: v for k, v in sums.items() if v} == {(f"2024-01-{k:02d}", "m2"): k for k in range(1, 29)}
