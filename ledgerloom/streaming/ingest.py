@@ -69,14 +69,12 @@ def _beat(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
     best, first = state.get if state.exists else (None, None)
     old = best, first
     for frame in frames:
-        rows = frame.sort_values("line_no")
-        beaten = rows["score"].cummax().shift().fillna(-1 if best is None else best).clip(lower=-1 if best is None else best)
-        records = rows[rows["score"] > beaten]
-        if len(records):
-            best, first = int(records["score"].max()), records["ts"].min() if first is None else min(first, records["ts"].min())
+        for _, score, ts in sorted(zip(frame["line_no"].tolist(), frame["score"].tolist(), frame["ts"].tolist()), key=lambda r: r[0]):
+            if score > (-1 if best is None else best):
+                best, first = int(score), ts if first is None else min(first, ts)
     if (best, first) != old:
         state.update((best, first))
-        yield pd.DataFrame({"message_id": [key[0]], "score": [best], "ts": [first], "old_score": pd.array([old[0]], dtype="Int64"), "old_ts": pd.to_datetime([old[1]])})
+        yield pd.DataFrame({"message_id": [key[0]], "score": [best], "ts": [first], "old_score": [old[0]], "old_ts": [old[1]]}, dtype=object)
 
 
 def message_updates(snapshots: DataFrame) -> DataFrame:
