@@ -78,23 +78,31 @@ def sync(spark: SparkSession, roots: str | dict[str, str], store: str, generatio
     now = keep(now.drop("resumed", *[f"new_{c}" for c in names]), "now")
 
     # new files of provider A against files with the same first record: moved from a vanished one, or going on from one
-    fresh = now.filter((F.col("kind") == "new") & (F.col("provider") == PROVIDERS[0])).select("path", "head_hash", "byte_offset")
-    other = now.filter((F.col("provider") == PROVIDERS[0]) & (F.col("kind") != "rewritten") & (F.col("byte_offset") > 0)).select(
-        "head_hash", F.col("path").alias("other"), F.col("byte_offset").alias("other_offset"), F.col("lines").alias("other_lines"), F.col("complete_sha").alias("other_sha"), (F.col("kind") == "missing").alias("gone"), (F.col("kind") == "new").alias("other_new")
-    )
     last = lambda c: F.element_at(F.split(c, "/"), -1)
-    # of two new files one goes on from the other only under the same name
-    likely = ~F.col("other_new") | (last("path") == last("other"))
-    near = keep(fresh.join(other, "head_hash").filter("path <> other and other_offset <= byte_offset").filter(likely), "near")
-    wanted = near.groupBy("path").agg(F.array_sort(F.collect_set("other_offset")).alias("offsets"))  # an offset for each file of one first record
+    fresh = now.filter((F.col("kind") == "new") & (F.col("provider") == PROVIDERS[0])).select("path", "head_hash", last("path").alias("under"), "byte_offset")
+    other = now.filter((F.col("provider") == PROVIDERS[0]) & (F.col("kind") != "rewritten") & (F.col("byte_offset") > 0))
+    gone, own = F.col("kind") == "missing", F.struct(F.col("path").alias("other"), F.col("lines").alias("other_lines"))
+    # of two new files one goes on from the other only under the same name; files of one end and hash are a row, so many files of one first record don't meet in pairs
+    other = other.groupBy("head_hash", F.when(F.col("kind") == "new", last("path")).alias("under"), F.col("byte_offset").alias("other_offset"), F.col("complete_sha").alias("other_sha")).agg(
+        F.count_if(gone).alias("n"), F.max(F.when(gone, F.col("path"))).alias("moved_from"), F.max(F.when(~gone, own)).alias("on")
+    )
+    other = keep(other, "others")
+    held, new = other.filter("under is null").drop("under"), other.filter("under is not null")
+    ends = lambda rows, name, *key: rows.groupBy(*key).agg(F.collect_set("other_offset").alias(name))  # noqa: E731  an offset for each length of files of one first record
+    wanted = fresh.join(ends(held, "a", "head_hash"), "head_hash", "left").join(ends(new, "b", "head_hash", "under"), ["head_hash", "under"], "left")
+    none = F.array().cast("array<long>")
+    shorter = F.concat(F.filter(F.coalesce("a", none), lambda x: x <= F.col("byte_offset")), F.filter(F.coalesce("b", none), lambda x: x < F.col("byte_offset")))
+    wanted = keep(wanted.select("path", "head_hash", "under", "byte_offset", F.array_sort(F.array_distinct(shorter)).alias("offsets")).filter(F.size("offsets") > 0), "near")
     none = {f"old_{c}": F.lit(None).cast("long" if c in ("byte_offset", "lines") else "string") for c in ("byte_offset", "lines", "complete_sha", "head_hash", "chain")}
-    prefixes = L.facts_at(wanted.withColumns(none)).select("path", "prefixes").join(wanted, "path")
-    prefixes = prefixes.select("path", F.explode(F.arrays_zip("offsets", "prefixes")).alias("z")).select("path", F.col("z.offsets").alias("other_offset"), F.col("z.prefixes").alias("other_sha"))
-    near = keep(near.join(prefixes, ["path", "other_offset", "other_sha"], "left_semi"), "prefixes")
-    gone = near.filter("gone").groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("other").alias("moved_from")).filter("n = 1").drop("n")
+    prefixes = L.facts_at(wanted.select("path", "offsets").withColumns(none)).select("path", "prefixes").join(wanted, "path")
+    prefixes = prefixes.select("path", "head_hash", "under", "byte_offset", F.explode(F.arrays_zip("offsets", "prefixes")).alias("z")).select("path", "head_hash", "under", "byte_offset", F.col("z.offsets").alias("other_offset"), F.col("z.prefixes").alias("other_sha"))
+    at = ["head_hash", "other_offset", "other_sha"]
+    begun = prefixes.drop("under").join(held, at).unionByName(prefixes.join(new, [*at, "under"]).filter("other_offset < byte_offset").drop("under"))
+    near = keep(begun.select("path", "byte_offset", "other_offset", "n", "moved_from", "on"), "prefixes")
+    gone = near.groupBy("path").agg(F.sum("n").alias("n"), F.max("moved_from").alias("moved_from")).filter("n = 1").drop("n")
     # one vanished file moves to one path, the first; further copies of it are copies
     gone = keep(gone.groupBy("moved_from").agg(F.min("path").alias("path")), "moves")
-    base = near.filter("not gone and other_offset < byte_offset").groupBy("path").agg(F.max_by(F.struct("other", "other_lines"), F.struct("other_offset", "other")).alias("b"))
+    base = near.filter("on is not null and other_offset < byte_offset").groupBy("path").agg(F.max_by("on", F.struct("other_offset", "on.other")).alias("b"))
     now = now.join(gone, "path", "left").join(base, "path", "left")
     # a moved file goes on where the vanished one ended
     before = known.select(F.col("path").alias("moved_from"), *[F.col(c).alias(f"was_{c}") for c in ("byte_offset", "lines", "model", "base", "base_lines")])

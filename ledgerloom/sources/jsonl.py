@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from fnmatch import fnmatchcase
+from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import FINGERPRINT_BYTES, tail_fingerprint
+from ledgerloom.sources.tail import file_system
 
 LINES = "path string, line_no long, start_offset long, end_offset long, raw string"
 
@@ -23,9 +27,32 @@ def resolve_root(provider: str, flag: str | None = None, env: tuple[str, ...] =
 
 
 def listing(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
-    """path, size, mtime of the files of this pattern below a root (SRC-2). Contents aren't read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    """path, size, mtime of the files of this pattern below a root (SRC-2). Contents aren't read; each folder of the root is listed by a task, and no file is a task's split of its own. Names that Spark takes for hidden are left out."""
+    fs, top = file_system(root)
+    prefix = "file:" if isinstance(fs, pa.fs.LocalFileSystem) else root[: root.index("://") + 3] + (urlsplit(root).netloc if root.startswith(("hdfs:", "viewfs:")) else "")
+    hidden = lambda name: name.startswith(".") or name.startswith("_") and "=" not in name
+    folders = [f.path for f in fs.get_file_info(pa.fs.FileSelector(top)) if f.type == pa.fs.FileType.Directory and not hidden(f.base_name)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = file_system(root)
+        for batch in batches:
+            for folder, deep in zip(*(c.to_pylist() for c in batch.columns)):
+                todo, found = [folder], []
+                while todo:
+                    for f in fs.get_file_info(pa.fs.FileSelector(todo.pop())):
+                        if hidden(f.base_name):
+                            continue
+                        if f.is_file and fnmatchcase(f.base_name, pattern):
+                            found.append((prefix + f.path, f.size, f.mtime_ns // 1_000_000 * 1000))
+                        elif deep and f.type == pa.fs.FileType.Directory:
+                            todo.append(f.path)
+                for k in range(0, len(found), 10_000):
+                    path, size, mtime = zip(*found[k : k + 10_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(size, pa.int64()), pa.array(mtime, pa.timestamp("us", "UTC"))], names=["path", "size", "mtime"])
+
+    rows = spark.createDataFrame([(top, False), *[(f, True) for f in folders]], "folder string, deep boolean")
+    tasks = min(len(folders) + 1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    return rows.repartition(tasks).mapInArrow(run, "path string, size long, mtime timestamp")
 
 
 def contents(spark: SparkSession, root: str) -> DataFrame:

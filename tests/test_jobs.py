@@ -186,3 +186,17 @@ def test_session_reports(spark):
     for df in (p, s, o):
         df.unpersist()
 
+
+
+def test_files_of_one_first_record_do_not_meet_in_pairs(spark, tmp_path):
+    root, store = tmp_path / "logs", str(tmp_path / "store")
+    root.mkdir()
+    for k in range(30):
+        (root / f"f{k}.jsonl").write_text(log(1, *[k + 1] * (k % 3)))
+    jobs.sync(spark, str(root), store, 0)
+    assert spark.read.parquet(f"{store}/generation=1/near").count() == 0
+    (root / "g.jsonl").write_text(log(1, 500))
+    jobs.sync(spark, str(root), store, 1)
+    # the ten files of the first record alone, equal in content, are one row for g
+    assert spark.read.parquet(f"{store}/generation=2/prefixes").count() == 1
+    assert total(spark, store, 2) == 1 + 500 + sum((k % 3) * (k + 1) + 1 for k in range(30) if k % 3)
