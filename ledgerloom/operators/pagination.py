@@ -30,13 +30,16 @@ def decode_cursor(cursor: str, filters: str, generation: int) -> list[Any]:
 
 
 def after(keys: list[tuple[str, bool]], last: list[Any]) -> Column:
-    """Rows past the last one in the order of keys (column, descending); a null key stands last, in either direction (SRT-4)."""
+    """Rows past the last one, of values or columns, in the order of keys (column, descending); a null key stands last, in either direction (SRT-4)."""
     out, equal = F.lit(False), F.lit(True)
     for (name, down), value in zip(keys, last):
         c = F.col(name)
         if value is None:
             beyond = F.lit(False)  # nothing is past unknown but by the keys that follow
             same = c.isNull()
+        elif isinstance(value, Column):
+            beyond = value.isNotNull() & (c.isNull() | ((c < value) if down else (c > value)))
+            same = c.eqNullSafe(value)
         else:
             beyond = c.isNull() | ((c < value) if down else (c > value))
             same = c == value

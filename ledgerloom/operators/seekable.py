@@ -9,10 +9,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.pagination import after
+from ledgerloom.operators.pagination import after, encode_cursor
 from ledgerloom.operators.sampling import keyed, pivot
 
 #: Rows of a file, about.
@@ -73,6 +73,31 @@ def open_sorted(spark: SparkSession, path: str, keys: list[tuple[str, bool]]) ->
     return Sorted(spark, path, keys, [])
 
 
+def paged(spark: SparkSession, path: str, keys: list[tuple[str, bool]], size: int, filters: str, generation: int) -> DataFrame:
+    """All rows of a table of `write` with their page (from 0) and `cursor`, the one that leads to that page (null: the first): what a walk from page to page gives.
+
+    A row's place is the rows of the files before its own, summed over the index, and its place in its file. So all
+    pages are found in one pass, and only each page's last row becomes a cursor.
+    """
+    table = open_sorted(spark, path, keys)
+    index = spark.read.parquet(f"{path}/files")
+    # a row for each file of the index
+    before = F.coalesce(F.sum("rows").over(Window.orderBy(*table._order("first")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = index.select("file", before.alias("_before"))
+    rows = spark.read.parquet(f"{path}/rows")
+    names = rows.columns
+    placed = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("_at")).join(F.broadcast(starts), "file")
+    placed = placed.withColumn("_slot", F.col("_before") + F.col("_at"))
+    page = F.call_function("div", F.col("_slot"), F.lit(size).cast("long"))
+
+    @F.udf("string")
+    def cursor(last) -> str:
+        return encode_cursor(list(last), filters, generation)
+
+    ends = placed.filter(F.col("_slot") % size == size - 1).select((page + 1).alias("page"), cursor(F.struct(*[c for c, _ in keys])).alias("cursor"))
+    return placed.select(*names, page.alias("page")).join(ends, "page", "left").select(*names, "page", "cursor")
+
+
 def write_sampled(units: DataFrame, unit_id: str, path: str, file_rows: int = FILE_ROWS) -> None:
     """Units in the order of their sample keys."""
     write(keyed(units, unit_id), [("sample_key", False), (unit_id, False)], path, file_rows)

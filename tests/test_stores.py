@@ -191,3 +191,17 @@ def test_sorted_table_has_few_ranges_and_small_files(spark, monkeypatch):
         page = [(r["id"], r["v"]) for r in table.page(100, last).collect()][:100]
         got, last = got + page, [page[-1][1], page[-1][0]]
     assert got == want[:300]
+
+
+def test_all_pages_are_those_of_a_walk(spark, tmp_path):
+    rows = spark.createDataFrame([(k, None if k % 9 == 0 else float(k % 5)) for k in range(103)], "id long, v double")
+    keys = [("v", True), ("id", False)]
+    Q.write(rows, keys, str(tmp_path / "t"), 10)  # pages lie across files
+    got = Q.paged(spark, str(tmp_path / "t"), keys, 7, "f", 3).collect()
+    page, cursor = 0, None
+    while page == 0 or cursor:
+        found = N.page(rows, keys, 7, N.decode_cursor(cursor, "f", 3) if cursor else None).collect()
+        assert {r.id for r in found[:7]} == {r.id for r in got if r.page == page} and {r.cursor for r in got if r.page == page} == {cursor}
+        cursor = N.encode_cursor([found[6].v, found[6].id], "f", 3) if len(found) > 7 else None
+        page += 1
+    assert page == 15 and len(got) == 103
