@@ -7,12 +7,21 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import attribution as A
 from ledgerloom.operators.pagination import beyond
+from ledgerloom.sources.scratch import new_folder
 
 KEY = ["session_id", "content_hash", "rates", "since", "until"]
 #: Results kept of one session, and of all; the newest stay.
 MOST_OF_SESSION, MOST = 8, 50_000
 
 
+def by_session(events: DataFrame) -> DataFrame:
+    """events as a table in buckets by session, written once: what reads it by session, any number of times, doesn't shuffle it."""
+    spark, at = events.sparkSession, new_folder(events.sparkSession, "session_events")
+    name, n = at.rpartition("/")[2].replace("-", "_"), int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    events.repartition(n, "session_id").write.format("parquet").option("compression", "zstd").bucketBy(n, "session_id").option("path", at).saveAsTable(name)
+    return spark.table(name)
+
+
 def content_hashes(events: DataFrame) -> DataFrame:
     """session_id, content_hash: of a session's events in any order; equal events count as often as they come."""
     each = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in sorted(events.columns)])

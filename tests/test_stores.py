@@ -205,3 +205,11 @@ def test_all_pages_are_those_of_a_walk(spark, tmp_path):
         cursor = N.encode_cursor([found[6].v, found[6].id], "f", 3) if len(found) > 7 else None
         page += 1
     assert page == 15 and len(got) == 103
+
+
+def test_events_by_session_are_read_without_a_shuffle(spark):
+    events = spark.createDataFrame([(k % 7, k) for k in range(100)], "session_id long, input long")
+    kept = cost_cache.by_session(events)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, events.collect()))
+    plan = cost_cache.content_hashes(kept)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and sorted(map(tuple, cost_cache.content_hashes(kept).collect())) == sorted(map(tuple, cost_cache.content_hashes(events).collect()))
