@@ -39,3 +39,15 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def joined_components(root: DataFrame, links: DataFrame) -> DataFrame:
+    """root (node, root) of connected_components with more links (u, v): the components of all links.
+
+    The links are taken between the roots, so what is joined already isn't walked again: a round costs what is new. Each
+    root is the smallest node of its group, and so is the smallest of the roots that the links join.
+    """
+    met = links.join(root.toDF("u", "ru"), "u", "left").join(root.toDF("v", "rv"), "v", "left")
+    top = materialise(connected_components(met.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))), "cc-joined")
+    old = root.join(top.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return old.unionByName(top.join(root, "node", "left_anti"))

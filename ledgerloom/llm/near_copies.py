@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import materialise, small_batches
-from ledgerloom.llm.components import connected_components
+from ledgerloom.llm.components import connected_components, joined_components
 from ledgerloom.llm.simhash import SEED, _word_blocks, linked_rows
 
 FINGERPRINTS = 8
@@ -157,14 +157,14 @@ def near_copy_places(marked: DataFrame, least: float = 0.8) -> DataFrame:
         met = pairs.join(root.toDF("u", "ru"), "u", "left").join(root.toDF("v", "rv"), "v", "left")
         return met.withColumns({"ru": F.coalesce("ru", "u"), "rv": F.coalesce("rv", "v")}).filter("ru <> rv")
 
-    def groups(links: DataFrame) -> DataFrame:
-        return materialise(connected_components(links), "copies-roots")
+    def groups(links: DataFrame, root: DataFrame | None = None) -> DataFrame:
+        """Roots of the links, or with them of the groups that there are."""
+        return materialise(connected_components(links) if root is None else joined_components(root, links), "copies-roots")
 
     first = measured(linked_rows(entries(sketches), 32, HALF_BUDGET, BUDGET))
-    links = first.filter(F.col("differ") <= SURE).select("u", "v")
-    open_ = judged(apart(first.filter(F.col("differ") > SURE), groups(links)))
-    links = links.union(open_.filter("alike").select("u", "v"))
-    root = groups(links)
+    root = groups(first.filter(F.col("differ") <= SURE).select("u", "v"))
+    open_ = judged(apart(first.filter(F.col("differ") > SURE), root))
+    root = groups(open_.filter("alike").select("u", "v"), root)
 
     # groups that a link which didn't hold would have joined: only there can another candidate still do so
     failed = open_.filter("not alike").select("u", "v")
@@ -177,7 +177,6 @@ def near_copy_places(marked: DataFrame, least: float = 0.8) -> DataFrame:
         grouped = held.join(root.toDF("class", "root"), "class", "left").select("class", "sketch", F.coalesce("root", "class").alias("label"))
         more = linked_rows(entries(materialise(grouped, "copies-grouped")), 32, HALF_BUDGET, BUDGET, every=True, sift=partial(_first_met, above=above, most=most))
         more = more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).join(failed, ["u", "v"], "left_anti")
-        links, above = links.union(judged(more).filter("alike").select("u", "v")), most
-        root = groups(links)
+        root, above = groups(judged(more).filter("alike").select("u", "v"), root), most
     places = materialise(classes.select("class").join(root.toDF("class", "root"), "class", "left").select("class", F.coalesce("root", "class").alias("place")), "copies-places")
     return marked.join(places, "class")

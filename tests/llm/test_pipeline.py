@@ -118,3 +118,17 @@ def test_language_rejects_what_fits_no_learnt_language(spark, corpus, tmp_path):
     rows = [(1000 + k, t, None, "s", len(t)) for k, t in enumerate(unlearnt + letters)]
     kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.union(spark.createDataFrame(rows, docs.schema)), corpus).collect()}
     assert set(range(60)) <= kept and not kept & set(range(1000, 1012))
+
+
+def test_components_go_on_from_those_there_are(spark, monkeypatch):
+    from ledgerloom.llm import components as C
+
+    first = [(k, k - 1) for k in range(1, 60) if k % 10] + [(70, 71), (80, 81)]
+    more = [(9, 10), (19, 71), (90, 91), (5, 3), (81, 90)]
+    links = lambda rows: spark.createDataFrame(rows, "u long, v long")
+    want = sorted(map(tuple, C.connected_components(links(first + more)).collect()))
+    root = spark.createDataFrame(C.connected_components(links(first)).collect(), "node long, root long")
+    met, star = [], C._star
+    monkeypatch.setattr(C, "_star", lambda directed, least: met.append(directed.count()) or star(directed, least))
+    assert sorted(map(tuple, C.joined_components(root, links(more)).collect())) == want
+    assert max(met) <= len(more)  # the links within the groups that there were aren't walked again
