@@ -270,3 +270,28 @@ def test_a_file_s_state_is_read_and_written_once():
                 sums[r.date, r.model] = sums.get((r.date, r.model), 0) + r.input
         assert sorted(calls) == ["get", "update"]
     assert {k: v for k, v in sums.items() if v} == {(f"2024-01-{k:02d}", "m2"): k for k in range(1, 29)}
+
+
+def test_a_range_reads_little_beyond_its_end(tmp_path):
+    path = tmp_path / "a.jsonl"
+    path.write_bytes(b"".join(b"%07d\n" % k for k in range(50_000)) + b"x" * 300_000 + b"\n")
+    size, read = path.stat().st_size, []
+
+    class Counted:
+        def __init__(self, source):
+            self.source = source
+
+        def seek(self, at):
+            self.source.seek(at)
+
+        def read(self, n):
+            got = self.source.read(n)
+            read.append(len(got))
+            return got
+
+    seen = []
+    with pa.OSFile(str(path)) as source:
+        for a in range(0, size, 4000):
+            seen += L.lines_of(Counted(source), L.Range(str(path), 0, a, min(size, a + 4000), size, not a))
+    assert [e for _, e, _ in seen] == [8 * (k + 1) for k in range(50_000)] + [size]
+    assert sum(read) < 4 * size
