@@ -7,7 +7,9 @@ or one for the shingles themselves to decide: copies have a Jaccard similarity o
 the same set of shingles are one class, compared once.
 
 First the tries give a forest of the closest candidates. Where all of its links hold, its classes are one group. Only
-among classes that a failed link keeps apart are all candidates of different groups compared.
+among classes that a failed link keeps apart are all candidates of different groups compared. There, a task that finds
+two of them first counts the bits in which the parities of their shingles differ: never more than the shingles that one
+of them lacks. Texts that are too far apart for copies by that, most of those just less similar, don't become a row.
 """
 
 from __future__ import annotations
@@ -35,6 +37,9 @@ BUDGET = 34
 SURE, FAR = 45, 100
 #: Where groups stay apart, closer candidates are compared first: what they join needs no more comparing.
 STEPS = (85, FAR)
+#: Bits of a text's parities: twice its shingles, so that pairs of a similarity up to 0.75 are told apart; by the longest but a few texts, in these limits.
+LEAST_PARITIES, MOST_PARITIES = 512, 1 << 14
+SIFT_BLOCK = 1 << 14  # pairs whose parities are looked at together in a task
 _LANES = np.array([sum(1 << 8 * b for b in range(8) if v >> b & 1) for v in range(256)], np.uint64)  # a byte's bits, a lane of 8 bits each
 
 
@@ -89,8 +94,39 @@ def signatures(docs: DataFrame, words: int = 5, doc_id: str = "doc_id", text: st
     return rows.mapInArrow(run, "row long, doc_id long, text_hash long, class long, sketch array<long>, shingles binary")
 
 
-def _first_met(trie: int, differ: np.ndarray, above: int, most: int) -> np.ndarray:
-    """Of a trie's links those of so many differing bits that no trie before it has: so every pair comes once."""
+def parities(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """Of a set of hashes, dealt by their value to so many bits (a power of two of at least 64): whether each bit has an odd number of them; as unsigned words of 64 bits."""
+    return np.packbits(np.bincount(shingles & np.uint32(bits - 1), minlength=bits).astype(np.uint8) & 1, bitorder="little").view("<u8")
+
+
+def may_be_alike(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets can have a Jaccard similarity of `least`, by rows of their number of members and their parities.
+
+    Sets of similarity s differ in (1 - s) / (1 + s) of both their members. Each member that one set alone has turns one
+    bit, so the bits that differ are at most so many: none that is alike is ever lost.
+    """
+    differ = np.bitwise_count(x[:, 1:] ^ y[:, 1:]).sum(axis=1, dtype=np.int64)
+    one, two = x[:, 0].astype(np.int64), y[:, 0].astype(np.int64)
+    return differ * (1 + least) <= (one + two) * (1 - least) + 1e-6  # a share more, for rounded products
+
+
+def _with_parities(bits: int):
+    """Adds to the sketches of rows (class, sketch, shingles) the number of shingles and their parities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for own, raw in zip(batch.column(1).to_pylist(), batch.column(2)):
+                shingles = np.frombuffer(raw.as_buffer(), "<u4")
+                made.append([*own, len(shingles), *parities(shingles, bits).view(np.int64).tolist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["class", "sketch"])
+
+    return run
+
+
+def _first_met(trie: int, sketch: np.ndarray, x: np.ndarray, y: np.ndarray, above: int, most: int, least: float) -> np.ndarray:
+    """Of a trie's links x[i], y[i] those of so many differing bits that no trie before it has, so every pair comes once, and whose parities don't rule out that they are alike."""
+    differ = sketch[x, :FINGERPRINTS] ^ sketch[y, :FINGERPRINTS]
     low = np.bitwise_count(differ & np.uint64(0xFFFFFFFF)).astype(np.int64)
     whole = np.bitwise_count(differ).astype(np.int64)
     lead, pair = (whole - low, low), whole + np.roll(whole, -1, axis=1)
@@ -98,6 +134,10 @@ def _first_met(trie: int, differ: np.ndarray, above: int, most: int) -> np.ndarr
     good = (total > above) & (total <= most)
     for t in range(trie):
         good &= ~((lead[t % 2][:, t // 2] <= HALF_BUDGET) & (pair[:, t // 2] <= BUDGET))
+    open_ = np.flatnonzero(good)
+    for at in range(0, len(open_), SIFT_BLOCK):
+        part = open_[at : at + SIFT_BLOCK]
+        good[part] = may_be_alike(sketch[x[part], FINGERPRINTS:], sketch[y[part], FINGERPRINTS:], least)
     return good
 
 
@@ -171,11 +211,15 @@ def near_copy_places(marked: DataFrame, least: float = 0.8) -> DataFrame:
     parted = materialise(apart(failed, root).select("ru", "rv").distinct(), "copies-apart")
     still = materialise(parted.select("ru").union(parted.select("rv")).distinct().toDF("label"), "copies-still")
     held = sketches.join(root.toDF("class", "root"), "class", "left").withColumn("label", F.coalesce("root", "class"))
-    held = materialise(held.join(still, "label", "left_semi").select("class", "sketch"), "copies-held")
+    held = of_class.select("class", "sketch", "shingles").join(held.join(still, "label", "left_semi").select("class"), "class", "left_semi")
+    held = materialise(held, "copies-held")
+    size = held.agg(F.percentile_approx(F.length("shingles") / 4, 0.95)).first()[0] or 0
+    bits = min(MOST_PARITIES, max(LEAST_PARITIES, 1 << int(2 * size).bit_length()))
+    held = materialise(held.mapInArrow(_with_parities(bits), "class long, sketch array<long>"), "copies-parities")
     above = 0
     for most in STEPS:
         grouped = held.join(root.toDF("class", "root"), "class", "left").select("class", "sketch", F.coalesce("root", "class").alias("label"))
-        more = linked_rows(entries(materialise(grouped, "copies-grouped")), 32, HALF_BUDGET, BUDGET, every=True, sift=partial(_first_met, above=above, most=most))
+        more = linked_rows(entries(materialise(grouped, "copies-grouped")), 32, HALF_BUDGET, BUDGET, every=True, sift=partial(_first_met, above=above, most=most, least=least))
         more = more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).join(failed, ["u", "v"], "left_anti")
         root, above = groups(judged(more).filter("alike").select("u", "v"), root), most
     places = materialise(classes.select("class").join(root.toDF("class", "root"), "class", "left").select("class", F.coalesce("root", "class").alias("place")), "copies-places")

@@ -245,12 +245,13 @@ def leaf_pairs(leaves: list[tuple[int, int]], budget: int) -> list[tuple[int, in
     return out
 
 
-def linked_rows(entries: DataFrame, prefix_bits: int, prefix_budget: int, budget: int, every: bool = False, sift: Callable[[int, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def linked_rows(entries: DataFrame, prefix_bits: int, prefix_budget: int, budget: int, every: bool = False, sift: Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Links (u, v) of the rows of entries (trie int, key long, check long, id long, and label long if classes are given), each trie by itself.
 
     Two ids are linked as in trie_links, the key's bits first. A forest of each pair of leaves, so all forests together
     connect what the links connect; or with `every` all links between different labels. There, `sift` may choose among
-    the links of a trie by the differing bits of a column sketch (array of long, one length) that entries then have.
+    the links of a trie by a column sketch (array of long, one length) that entries then have: it gets the trie, the
+    sketches of a block (unsigned) and the places there of each link's two ends.
     """
     spark = entries.sparkSession
     tries = {r["trie"]: r["n"] for r in entries.groupBy("trie").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a trie
@@ -315,7 +316,7 @@ def linked_rows(entries: DataFrame, prefix_bits: int, prefix_budget: int, budget
             _, first, labels = np.unique(one["label"], return_index=True, return_inverse=True)
             labels = first[labels]
         trie = trie_of[block.column("pair")[0].as_py()]
-        chosen = (lambda x, y: sift(trie, one["sketch"][x] ^ one["sketch"][y])) if sift else None
+        chosen = (lambda x, y: sift(trie, one["sketch"], x, y)) if sift else None
         i, j = trie_links(np.ascontiguousarray(one["key"]), len(parts[0]) if len(parts[1]) else None, prefix_bits, prefix_budget, budget, np.ascontiguousarray(one["check"]), labels, every, chosen)
         u, v = one["id"][i], one["id"][j]
         apart = u != v

@@ -132,3 +132,41 @@ def test_components_go_on_from_those_there_are(spark, monkeypatch):
     monkeypatch.setattr(C, "_star", lambda directed, least: met.append(directed.count()) or star(directed, least))
     assert sorted(map(tuple, C.joined_components(root, links(more)).collect())) == want
     assert max(met) <= len(more)  # the links within the groups that there were aren't walked again
+
+
+def test_texts_just_too_far_apart_are_told_apart_before_they_are_rows(spark, tmp_path, monkeypatch):
+    """Edited copies of one text, of which two share about 0.68: the candidates that are judged grow no faster than the texts."""
+    from ledgerloom.llm import near_copies as N
+
+    rng = np.random.default_rng(1)
+    words = np.array([f"w{k}" for k in range(5000)])
+    base, texts = rng.choice(words, 200), []
+    for _ in range(300):
+        copy = base.copy()
+        copy[rng.choice(np.arange(5, 195), 5, replace=False)] = rng.choice(words, 5)
+        texts.append(" ".join(copy))
+    texts[150] = texts[20].rsplit(" ", 3)[0]  # and a copy among them
+    opened, real = [], N.materialise
+    monkeypatch.setattr(N, "materialise", lambda df, label: (out := real(df, label), label == "copies-open" and opened.append(out.count()))[0])
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path)).collect()}
+    assert kept == set(range(300)) - {150}
+    assert len(opened) == 3 and sum(opened[1:]) < 300
+
+
+def test_parities_rule_out_no_copy():
+    from ledgerloom.llm.near_copies import may_be_alike, parities
+
+    rng = np.random.default_rng(2)
+    rows, alike = [], []
+    for k in range(4000):
+        n, bits = int(rng.integers(1, 400)), 512
+        both = int(rng.integers(0, n + 1)) if k % 4 == 0 else int(n * rng.uniform(0.85, 0.95)) if k % 4 < 3 else 8 * (n // 10)
+        made = rng.choice(1 << 32, 2 * n, replace=False).astype("<u4")
+        extra = 10 * (n // 10) - both if k % 4 == 3 else n - both  # every fourth pair shares 0.8 to the number
+        one, two = made[: both + extra - extra // 2 if k % 4 == 3 else n], np.concatenate([made[:both], made[n : n + (extra // 2 if k % 4 == 3 else extra)]])
+        met, total = len(np.intersect1d(one, two)), len(np.union1d(one, two))
+        rows.append([np.concatenate([[np.uint64(len(v))], parities(v, bits)]) for v in (one, two)])
+        alike.append(total > 0 and met >= 0.8 * total)
+    x, y = (np.stack([r[k] for r in rows]).astype(np.uint64) for k in (0, 1))
+    may, alike = may_be_alike(x, y, 0.8), np.array(alike)
+    assert alike.sum() > 1000 and may[alike].all() and may[~alike].mean() < 0.4
