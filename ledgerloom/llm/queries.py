@@ -44,7 +44,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan_licences(table(spark, sf_dir, "documents"))
+    return licences.scan_licences(table(spark, sf_dir, "documents"), wider=licences.WIDER)
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -518,6 +518,26 @@ def test_licences_of_the_contract(spark):
     }
 
 
+def test_op6_keeps_the_grants_that_the_contract_leaves_out(spark, tmp_path):
+    """"the mit license" without the word before: no base phrase, but labelled, scored and placed by the query as by its SQL."""
+    import duckdb
+
+    from ledgerloom.llm.queries import ORACLES, QUERIES
+
+    texts = [
+        (1, "see the MIT\nlicense"), (2, "released under the MIT license, as is the mit license of x"), (3, "a b c " * 20_000 + "the mit license"), (4, "the bsd license"), (5, "the mit license; cc by nc"), (6, None),
+    ]
+    docs_of(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, QUERIES["op6_licences"](spark, str(tmp_path)).select("doc_id", "n_base", "first_word", "base_labels", "labels", "score", "n_wider", "first_wider", "last_wider").collect()))
+    assert got == [
+        (1, 0, None, "", "mit", 1.0, 1, 1, 1), (2, 1, 1, "mit", "mit", 1.0, 2, 2, 7), (3, 0, None, "", "mit", 1.0, 1, 60_000, 60_000), (4, 0, None, "", "", 0.0, 0, None, None),
+        (5, 1, 3, "cc-by-nc", "cc-by-nc,mit", 1.0, 2, 0, 3), (6, 0, None, "", "", 0.0, 0, None, None),
+    ]
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(duck.execute(ORACLES["op6_licences"]).fetchall(), key=str) == sorted((tuple(r) for r in QUERIES["op6_licences"](spark, str(tmp_path)).collect()), key=str)
+
+
 def test_urls(spark):
     pages = [
         (1, None), (2, ""), (3, "no scheme example.org/es/"), (4, "https://EXAMPLE.org/es/x?y#z"), (5, "http://a.example.org/en/1"), (6, "http://a.example.org/en/123"), (7, "http://example.org"), (8, "http://shop.com/fr/2"), (9, "http://shop.com/de/2"),
