@@ -3,6 +3,8 @@
 import json
 import os
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import extraction as X
@@ -156,6 +158,41 @@ def test_streamed_messages(spark, tmp_path):
     assert {(r.message_id, r.score, r.ts.hour, r.old_score) for r in spark.table("messages").collect()} == {("a", 9, 10, None), ("b", 1, 12, None)}
 
 
+def test_messages_share_a_state_in_groups(spark, tmp_path):
+    """A state for a group of messages, not for each; the changes are those of a state for each, late and better snapshots included."""
+    from ledgerloom.streaming.ingest import message_updates
+
+    schema = "message_id string, line_no long, ts timestamp, score long"
+    rng = np.random.default_rng(4)
+    batches = [[(f"m{m}" if m else None, int(k), f"2026-01-01 {h:02d}:30:00", int(s)) for k, m, h, s in zip(rng.permutation(1500) + 1000 * b, rng.integers(0, 600, 1500), rng.integers(0, 24, 1500), rng.integers(-2, 6 + 6 * b, 1500))] for b in (0, 1)]
+    shown = {}
+    for groups in (None, 5):
+        root = tmp_path / str(groups)
+        for b, rows in enumerate(batches):
+            spark.createDataFrame(rows, "message_id string, line_no long, t string, score long").selectExpr("message_id", "line_no", "cast(t as timestamp) ts", "score").write.mode("append").parquet(str(root / "in"))
+            stream = message_updates(spark.readStream.schema(schema).parquet(str(root / "in")), groups=groups)
+            write = lambda batch, batch_id, root=root, b=b: batch.write.mode("overwrite").parquet(str(root / f"out{b}"))
+            stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", str(root / "c")).trigger(availableNow=True).start().awaitTermination()
+            states = spark.read.format("statestore").load(str(root / "c")).count()
+            assert states == groups if groups else states > 500
+        shown[groups] = [sorted(map(str, spark.read.parquet(str(root / f"out{b}")).collect())) for b in (0, 1)]
+    from ledgerloom.streaming import ingest as I
+
+    class State:
+        exists, value = False, None
+
+        def update(self, value):
+            self.value = value
+
+    frame = pd.DataFrame({"message_id": "a", "line_no": [4, 1, 3, 2], "ts": [3, 1, 2, 0], "score": [7, 5, 5, 3]})  # records: lines 1 and 4, however frames are cut
+    for fold in (I._beat, I._beat_group):
+        (out,) = fold(("a",), iter([frame[:2], frame[2:]]), State())
+        assert out.values.tolist() == [["a", 7, 1, None, None]]
+        (out,) = fold(("a",), iter([frame[2:], frame[:2]]), State())
+        assert out.values.tolist() == [["a", 7, 1, None, None]]
+    assert shown[None] == shown[5] and len(shown[5][0]) > 500 and any("old_score=None" not in r for r in shown[5][1])
+
+
 def test_a_message_s_rows_are_folded_without_frames_of_their_own():
     """A message costs far less than a frame's operations do (500 took about 2 s with those); the record is the same in any order of rows."""
     import time
